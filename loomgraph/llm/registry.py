@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from loomgraph.llm import mixing
+from loomgraph.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_simhash": simhash.op4_simhash,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLE: dict = {}
