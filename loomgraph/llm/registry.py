@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from loomgraph.llm import mixing, sharding, simhash
+from loomgraph.llm import mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
