@@ -1,12 +1,13 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from loomgraph.llm import minhash, mixing, packing, sharding, simhash
+from loomgraph.llm import minhash, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_minhash": minhash.op2_minhash,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_quality": quality.op5_quality,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE: dict = {}
