@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from loomgraph.llm import minhash, mixing, packing, quality, sharding, simhash
+from loomgraph.llm import minhash, mixing, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE: dict = {}
