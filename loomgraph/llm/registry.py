@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from loomgraph.llm import minhash, mixing, packing, quality, sharding, simhash, toxicity
+from loomgraph.llm import chat, minhash, mixing, packing, passages, pseudonyms, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,9 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_pseudonyms": pseudonyms.op7_pseudonyms,
+    "op8_chat": chat.op8_chat,
+    "op9_passages": passages.op9_passages,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE: dict = {}
