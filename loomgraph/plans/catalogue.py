@@ -1,4 +1,6 @@
 """All named queries of the engine and their reference SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from loomgraph.plans import analysis, graph, networks, texts
+from loomgraph.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "analysis", "graph", "networks", "texts"]
