@@ -126,9 +126,9 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     d = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double")))
-    d = d.select(F.col("b").cast("int").alias("bucket"), "doc_id", "text")
+    d = d.select(F.coalesce(F.col("b").cast("int"), F.lit(len(splits))).alias("bucket"), "doc_id", "text")
     least = d.groupBy("bucket").agg(F.min("doc_id").alias("least"))
     order = Window.orderBy("bucket")  # one row a bucket
     least = least.withColumn("to", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())))
@@ -187,3 +187,80 @@ def op2_minhash(spark, sf_dir: str) -> DataFrame:
             )
 
     return with_next(table(spark, sf_dir, "documents")).mapInArrow(of, schema)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, same (digest of the whole text) and signature (its minima as bytes) of every row."""
+    bounded_batches(docs.sparkSession)
+    names = ["doc_id", "same", "signature"]
+
+    def of(batches):
+        for b in batches:
+            texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in b.column(1)]
+            lo, size = 0, 0
+            for k, t in enumerate([*texts, None]):
+                if t is None or size + len(t) > 1_000_000:
+                    if k > lo:
+                        s = signatures(texts[lo:k])
+                        same = [hashlib.blake2b(x, digest_size=16).digest() for x in texts[lo:k]]
+                        yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k - lo), pa.array(same), pa.array([x.astype("<u4").tobytes() for x in s])], names)
+                    lo, size = k, 0
+                size += len(t or b"")
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, same binary, signature binary")
+
+
+def _band_keys(signature: bytes, bands: int) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big", signed=True) for part in np.frombuffer(signature, "<u4").reshape(bands, -1).copy()]
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """Links (u, v, jaccard) between different texts of a Jaccard similarity of `threshold` or more.
+
+    Equal texts are one class, named by their least doc_id, so copies are no pairs. Texts that share a band
+    of their signatures are candidates; a band's group streams through one task sorted, pair distances
+    side by side, and each candidate's similarity is verified on its whole shingle sets. Texts without
+    words and rows without a doc_id have no links."""
+    rows = written(signed(docs.filter("doc_id is not null")), "signatures")
+    classes = rows.groupBy("same").agg(F.min(F.struct("doc_id", "signature")).alias("r")).select("r.doc_id", "r.signature")
+
+    def keys(batches):
+        for b in batches:
+            got = [(d, k, x) for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if s.strip(b"\xff") for k, x in enumerate(_band_keys(s, bands))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["rep", "band", "key"])
+
+    banded = classes.mapInArrow(keys, "rep long, band int, key long").repartition("band", "key").sortWithinPartitions("band", "key", "rep")
+
+    def pairs(batches):
+        held = None
+        for b in (*batches, None):
+            now = np.stack([b.column(k).to_numpy() for k in (1, 2, 0)], axis=1) if b is not None else np.zeros((0, 3), np.int64)
+            held = now if held is None else np.concatenate((held, now))
+            if not len(held):
+                continue
+            last = (held[:, :2] == held[-1, :2]).all(axis=1) if b is not None else np.zeros(len(held), bool)
+            done, held = held[~last], held[last]
+            at, d = np.arange(len(done)), 1
+            while len(at):
+                at = at[at + d < len(done)]
+                at = at[(done[at, :2] == done[at + d, :2]).all(axis=1)]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(done[at, 2]), pa.array(done[at + d, 2])], ["u", "v"])
+                d += 1
+
+    found = banded.mapInArrow(pairs, "u long, v long").filter("u <> v").distinct()
+    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    both = found.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+
+    def verify(batches):
+        for b in batches:
+            out = []
+            for u, v, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
+                s, _ = shingle_hashes([x.encode("utf-8", "surrogatepass")])
+                t, _ = shingle_hashes([y.encode("utf-8", "surrogatepass")])
+                s, t = np.unique(s), np.unique(t)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                out.append((u, v, common / max(1, len(s) + len(t) - common)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "jaccard"])
+
+    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, jaccard double").filter(F.col("jaccard") >= threshold)

@@ -50,10 +50,10 @@ def source_targets(sizes: DataFrame, budget_share: float = 1.0, weights: tuple =
 def queued(docs: DataFrame, size: str = "size", seed: int = 17, budget_share: float = 1.0, weights: tuple = (1, 2, 3), max_passes: int = MAX_PASSES, slots: int = SLOTS) -> DataFrame:
     """One row a document, with its place in its source's queue.
 
-    docs: doc_id, source and the column `size` (words; null counts as 0), other columns pass through.
+    docs: doc_id, source and the column `size` (words; null counts as 0); other columns are not read.
     Adds source_size, target, before (words of its source ahead of it in each pass), rn and slot.
     Repeated rows are queued one by one; a null source is a source of its own; no rows give no rows."""
-    d = docs.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    d = docs.select("doc_id", "source", F.coalesce(F.col(size), F.lit(0)).cast("long").alias(size))
     d = d.withColumn("skey", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce(F.col("source").cast("string"), F.lit(""))))
     d = d.withColumn("turn", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(size)))
     d = d.withColumn("slot", F.shiftrightunsigned(F.col("turn"), 32) % slots)

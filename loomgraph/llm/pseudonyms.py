@@ -216,17 +216,17 @@ def pseudonymised(text: str | None, key: bytes = KEY) -> tuple[str | None, list[
     return "".join([*out, text[at:]]), found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """All columns of docs with the text replaced, and found: array of (kind, start, end, pseudonym).
+def pseudonymise(docs: DataFrame, key: bytes = KEY, out: str = "found") -> DataFrame:
+    """All columns of docs with the text replaced, and `out`: array of (kind, start, end, pseudonym).
 
-    Rows are independent: no shuffle. Null and empty texts have an empty array; a column named found
-    is replaced."""
+    Rows are independent: no shuffle. Null and empty texts have an empty array; a column of docs
+    that has the name `out` is replaced."""
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("found")
+    docs = docs.drop(out)
     at = docs.columns.index("text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", found array<struct<kind:string,start:int,end:int,pseudonym:string>>"
-    names = [*docs.columns, "found"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` array<struct<kind:string,start:int,end:int,pseudonym:string>>"
+    names = [*docs.columns, out]
 
     def of(batches):
         for b in batches:

@@ -41,10 +41,10 @@ class SlotMap:
         shards = shards or self.shards
         to = np.array([s % shards if s >= shards else s for s in self.shard_of])
         load = np.bincount(to, weights=weights, minlength=shards)
-        most = load.sum() / shards * (1 + tolerance)
+        mean = load.sum() / shards
         for slot in np.lexsort((np.arange(len(weights)), -weights)):
             s, light = to[slot], int(load.argmin())
-            if load[s] > most and load[light] + weights[slot] < load[s]:
+            if load[s] - weights[slot] >= mean * (1 - tolerance) and load[light] + weights[slot] <= mean * (1 + tolerance):
                 to[slot] = light
                 load[s] -= weights[slot]
                 load[light] += weights[slot]
