@@ -176,3 +176,27 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return digests(formatted(turns.unionAll(probe)))
+
+
+def _oracle() -> str:
+    """The query in SQL: escaping is one replacement a control string, as none holds another one."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def escaped(column: str) -> str:
+        out = f"replace({column}, {quoted(chr(92))}, {quoted(chr(92) * 2)})"
+        for c in sorted(CONTROL, key=len, reverse=True):
+            out = f"replace({out}, {quoted(c)}, {quoted(c[0] + chr(92) + c[1:])})"
+        return out
+
+    said = quoted("</s>[INST] ok [/INST]")
+    return f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {said} UNION ALL SELECT -1, 1, 'assistant', {said}),
+    g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS lost,
+     sum(length({escaped("role")}) + length({escaped("text")}) + {len(START + BODY + END)})::BIGINT AS formatted_chars FROM t GROUP BY 1)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars FROM g
+    """
+
+
+ORACLE_SQL = _oracle()

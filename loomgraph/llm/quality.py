@@ -148,3 +148,19 @@ def known_rule(name: str) -> Rule:
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     """Base features and the verdict on all documents; see judged()."""
     return judged(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+v AS (SELECT *, lead(word) OVER t AS b, lead(word, 2) OVER t AS c FROM w WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, (c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, b, c) > 1)::INT AS again FROM v),
+x AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside, count(*) OVER (PARTITION BY doc_id, word) AS same FROM r),
+f AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(inside) AS n_repeat_words, max(same) AS same, count(*) FILTER (length(word) > 1 AND upper(word) = word AND lower(word) <> word) AS caps FROM x GROUP BY 1),
+l AS (SELECT doc_id, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS lines FROM d),
+a AS (SELECT l.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, coalesce(same, 0) AS same, coalesce(caps, 0) AS caps FROM l LEFT JOIN f ON l.doc_id = f.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND NOT (10 * n_symbols > n_words OR (n_words > 0 AND NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)) OR 2 * n_dup_lines > n_lines OR same > 0.3 * n_words OR caps > 0.7 * n_words) AS kept
+FROM b
+"""
