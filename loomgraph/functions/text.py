@@ -110,6 +110,11 @@ def after(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.substring(text, at + len(mark), F.lit(1 << 30))).otherwise("")
 
 
+def after_text(whole: Column, part: Column, width: int = 80) -> Column:
+    """The next characters after the first place of a part in the whole."""
+    return F.substring(whole, F.position(part, whole) + F.length(part), F.lit(width))
+
+
 def truncated(text: Column, n: int = 90) -> Column:
     return F.when(F.length(text) < n + 1, text).otherwise(F.concat(F.left(text, F.lit(n)), F.lit(" ...")))
 
