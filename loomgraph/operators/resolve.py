@@ -32,12 +32,17 @@ def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None
     done, rest = got.filter("iri is not null").select("mention", "iri", "priority"), got.filter("iri is null").select("mention")
     rest = rest.withColumn("base", base_words(F.col("mention")))
     side = labels.select("label", F.col("iri").alias("label_iri"), "seq")
-    if labels.count() <= BROADCAST_LABELS:
-        side = F.broadcast(side)
+    blocks = max(1, -(-labels.count() // BROADCAST_LABELS))
     inside = (F.col("base") != "") & F.contains(F.col("base"), F.col("label"))
-    hit = rest.join(side, inside | F.contains(F.col("label"), F.col("mention")), "left")
     rank = F.when(F.col("label").isNull(), 5).when(inside, 3).otherwise(4)
-    best = hit.groupBy("mention").agg(F.min(F.struct(rank.alias("priority"), F.col("seq"), F.col("label_iri").alias("iri"))).alias("b"))
+    least = F.min(F.struct(rank.alias("priority"), F.col("seq"), F.col("label_iri").alias("iri")))
+    best = None
+    for k in range(blocks):  # each block of labels is small enough to broadcast
+        part = side.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k) if blocks > 1 else side
+        hit = rest.join(F.broadcast(part), inside | F.contains(F.col("label"), F.col("mention")), "left")
+        one = hit.groupBy("mention").agg(least.alias("b"))
+        best = one if best is None else best.unionByName(one)
+    best = best.groupBy("mention").agg(F.min("b").alias("b"))
     return done.unionByName(best.select("mention", "b.iri", "b.priority"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vocab as V
+from loomgraph.operators import align as A
 from loomgraph.operators import news as N
 from loomgraph.operators import resolve as R
 from loomgraph.operators import semantics as S
@@ -39,11 +40,11 @@ def quotes_group_concat(t):
     return t("documents").select("doc_id").join(roles, F.col("doc_id") == F.col("conv_id"), "left").select("doc_id", F.coalesce("roles", F.lit("")).alias("roles"))
 
 
-@query("attribution_counts", "SELECT s_name AS agent, n_name AS label, count(*) AS cnt FROM lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 10 GROUP BY ALL")
+@query("attribution_counts", "SELECT s_name AS agent, n_name AS label, count(*) AS cnt FROM lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2 GROUP BY ALL")
 def attribution_counts(t):
     """Counts by agent and optional label; the group without a label stays."""
     per = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    got = per.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation").filter("n_nationkey < 10"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    got = per.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation").filter("n_regionkey <> 2"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return got.groupBy(F.col("s_name").alias("agent"), F.col("n_name").alias("label")).agg(F.sum("n").alias("cnt"))
 
 
@@ -121,9 +122,9 @@ def dup_first_class(t):
     return t("part").groupBy(F.col("p_name").alias("term")).agg(F.min_by("p_type", "p_partkey").alias("class"), F.countDistinct("p_type").alias("classes")).filter("classes > 1")
 
 
-@query("title_prefix_dedupe", "WITH x AS (SELECT doc_id AS id, left(text, 60) AS title FROM documents WHERE length(text) >= 60) SELECT id, title FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.id <> a.id AND left(b.title, 30) = left(a.title, 30))")
+@query("title_prefix_dedupe", "SELECT doc_id AS id, text AS title FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id <> a.doc_id AND starts_with(b.text, left(a.text, 30)))")
 def title_prefix_dedupe(t):
-    return N.without_prefix_titles(t("documents").filter("length(text) >= 60").select(F.col("doc_id").alias("id"), F.left("text", F.lit(60)).alias("title")))
+    return N.without_prefix_titles(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title")))
 
 
 _RULES = [(".example.com", "article"), ("//m.", "main"), (".example.net", "div")]
@@ -288,16 +289,13 @@ def pricing_summary(t):
 
 @query(
     "topic_align",
-    "WITH a AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20), b AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id >= 20 AND vec_id < 40), s AS (SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", round(list_cosine_similarity(a.embedding, b.embedding), 4) AS score FROM a, b) SELECT \"left\", arg_max(\"right\", score) AS \"right\", max(score) AS score FROM s GROUP BY 1",
+    "WITH q AS (SELECT vec_id AS l, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT l, vec_id AS r, list_cosine_similarity(x, embedding::DOUBLE[]) AS score FROM q JOIN embeddings ON vec_id <> l) SELECT l AS \"left\", arg_max(r, round(score, 9) - r * 1e-15) AS \"right\", round(max(score), 6) AS score FROM s GROUP BY 1",
 )
 def topic_align(t):
-    """Topics of two narratives (here two fixed lists of 20 topics) aligned by cosine similarity."""
+    """Each topic of the stated query set (ids divisible by 20) with its nearest other topic by cosine."""
     v = t("embeddings")
-    a = v.filter("vec_id < 20").select(F.col("vec_id").alias("left"), F.col("embedding").alias("x"))
-    b = v.filter("vec_id >= 20 and vec_id < 40").select(F.col("vec_id").alias("right"), F.col("embedding").alias("y"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    s = a.crossJoin(F.broadcast(b)).withColumn("score", F.round(dot(F.col("x"), F.col("y")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y"))), 4))  # both sides are fixed lists
-    return s.groupBy("left").agg(F.max_by("right", F.struct("score", -F.col("right"))).alias("right"), F.max("score").alias("score"))
+    got = A.nearest(v.filter("vec_id % 20 = 0"), v, "vec_id", "embedding")
+    return got.select("left", "right", F.round("score", 6).alias("score"))
 
 
 @query("stream_ingest_equiv", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")

@@ -58,14 +58,14 @@ def text_normalize(t):
     return t("documents").select("doc_id", T.normalised(F.col("text")).alias("norm"))
 
 
-_REPAIR_IN = "concat(replace(left(text, 200), 'e ', 'e- '), ' 5 % ]')"
+_REPAIR_IN = "concat(replace(text, 'e ', 'e- '), ' 5 % ]')"
 _REP = "regexp_replace(regexp_replace({0}, '([0-9]) %', '\\1%', 'g'), ' (\\])', '\\1', 'g')"
 _HY = "regexp_replace({0}, '([a-zA-Z])- ([a-zA-Z])', '\\1-\\2', 'g')"
 
 
 @query("text_token_repair", f"SELECT doc_id, {_HY.format(_HY.format(_REP.format(_REPAIR_IN)))} AS repaired FROM documents")
 def text_token_repair(t):
-    raw = F.concat(F.replace(F.left("text", F.lit(200)), F.lit("e "), F.lit("e- ")), F.lit(" 5 % ]"))
+    raw = F.concat(F.replace("text", F.lit("e "), F.lit("e- ")), F.lit(" 5 % ]"))
     return t("documents").select("doc_id", T.repaired(raw).alias("repaired"))
 
 
@@ -84,10 +84,10 @@ def text_possessive_strip(t):
     return t("customer").select("c_custkey", T.without_possessive(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, "'s").otherwise("’"))).alias("stripped"))
 
 
-@query("text_from_capital", r"SELECT doc_id, regexp_extract(lower(left(text, 5)) || substr(text, 6, 60), '(\p{Lu}[^\n]*)$', 1) AS cut FROM documents WHERE NOT contains(left(text, 65), chr(10))")
+@query("text_from_capital", f"WITH n AS (SELECT doc_id, {NORM} AS t FROM documents) SELECT doc_id, regexp_extract(lower(left(t, 5)) || substr(t, 6), '(\\p{{Lu}}.*)$', 1) AS cut FROM n")
 def text_from_capital(t):
-    d = t("documents").filter(~F.contains(F.left("text", F.lit(65)), F.lit("\n")))
-    return d.select("doc_id", T.from_capital(F.concat(F.lower(F.left("text", F.lit(5))), F.substring("text", 6, 60))).alias("cut"))
+    n = t("documents").select("doc_id", T.normalised(F.col("text")).alias("t"))
+    return n.select("doc_id", T.from_capital(F.concat(F.lower(F.left("t", F.lit(5))), F.expr("substr(t, 6)"))).alias("cut"))
 
 
 _I = "replace(regexp_replace(c_name, '[^:a-zA-Z0-9_]', '_', 'g'), '__', '_')"
@@ -135,9 +135,9 @@ def strafter(t):
     return t("pages").groupBy(F.substring_index(T.after(F.col("url"), "//"), "/", 1).alias("url_key")).agg(F.count("*").alias("pages"))
 
 
-@query("literal_encode", "SELECT doc_id, CASE WHEN contains(x, chr(10)) THEN '\"\"\"' || x || '\"\"\"' ELSE '\"' || x || '\"' END AS lit FROM (SELECT doc_id, replace(replace(left(text, 120), '\"', ''''), '\\', '\\\\') AS x FROM documents)")
+@query("literal_encode", "SELECT doc_id, CASE WHEN contains(x, chr(10)) THEN '\"\"\"' || x || '\"\"\"' ELSE '\"' || x || '\"' END AS lit FROM (SELECT doc_id, replace(replace(text, '\"', ''''), '\\', '\\\\') AS x FROM documents)")
 def literal_encode(t):
-    return t("documents").select("doc_id", T.literal(F.left("text", F.lit(120))).alias("lit"))
+    return t("documents").select("doc_id", T.literal(F.col("text")).alias("lit"))
 
 
 @query("punctuation_flags", "SELECT doc_id, contains(text, '?') AS question, contains(text, '!') AS exclamation FROM documents")
@@ -188,7 +188,7 @@ def json_extract(t):
 
 @query("json_reply", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total, count(*) AS n FROM events GROUP BY 1")
 def json_reply(t):
-    k = T.json_reply(F.concat(F.lit("{\n"), F.substring("props", 2, 1000)), "k long")["k"]
+    k = T.json_reply(F.concat(F.lit("{\n"), F.expr("substr(props, 2)")), "k long")["k"]
     return t("events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
 
 
