@@ -100,3 +100,29 @@ def test_providers(spark):
     lex = P.Lexicon(spark.createDataFrame([("Jane Doe", "PERSON"), ("Wyoming", "GPE")], "name string, ner_type string"))
     ents = lex.entities(spark.createDataFrame([(1, "In Wyoming, Jane Doe won."), (2, "Jane lost.")], "key int, text string")).collect()
     assert {(r["key"], r["name"], r["place"]) for r in ents} == {(1, "Wyoming", 4), (1, "Jane Doe", 13)}
+
+
+def test_nearest_topics(spark, monkeypatch):
+    from loomgraph.operators import align as A
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(60, 8))
+    x[7] = x[3]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(99, None)]
+    v = spark.createDataFrame(rows, "k long, v array<float>").repartition(5)
+    u = np.array([np.array(r[1], np.float32) for r in rows[:60]], np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    np.fill_diagonal(c, -2)
+    for block in (20_000, 7):
+        monkeypatch.setattr(A, "BLOCK", block)
+        got = {r["left"]: r["right"] for r in A.nearest(v.filter("k % 3 = 0"), v, "k", "v").collect()}
+        assert got == {k: int(c[k].argmax()) for k in range(0, 60, 3)}
+
+
+def test_labels_in_blocks(spark, monkeypatch):
+    labels = spark.createDataFrame([(f"name{i:03d}x", f":L{i}", i) for i in range(50)], "label string, iri string, seq int")
+    m = spark.createDataFrame([("the Name name007x",), ("ame03",), ("none",), ("name010x",)], "mention string")
+    want = {tuple(r) for r in R.resolved(m, labels).collect()}
+    monkeypatch.setattr(R, "BROADCAST_LABELS", 7)
+    assert {tuple(r) for r in R.resolved(m, labels).collect()} == want and ("ame03", ":L30", 4) in want
