@@ -179,3 +179,29 @@ def punctuation(text: Column) -> tuple[Column, Column]:
 
 def admin_level(code: Column, default: int = 0) -> Column:
     return F.coalesce(F.regexp_extract(code, "([0-9])", 1).try_cast("int"), F.lit(default))
+
+
+def restored(text: Column, name: str, values: Column) -> Column:
+    """Placeholders [name1], [name2], ... replaced by the array's values."""
+    step = lambda a, x: F.struct((a["k"] + 1).alias("k"), F.replace(a["t"], F.concat(F.lit(f"[{name}"), (a["k"] + 1).cast("string"), F.lit("]")), x).alias("t"))
+    return F.aggregate(values, F.struct(F.lit(0).alias("k"), text.alias("t")), step, lambda a: a["t"])
+
+
+def retry_seconds(header: Column, now: Column) -> Column:
+    """A retry-after header in seconds: a number, or the time until a date; 0 where it is neither."""
+    number = header.try_cast("int")
+    at = F.try_to_timestamp(F.regexp_replace(header, r"^\w+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.coalesce(number, F.greatest(F.unix_timestamp(at) - F.unix_timestamp(now), F.lit(0)).cast("int"), F.lit(0))
+
+
+def reflowed(text: Column, header: str) -> Column:
+    """Pages to paragraphs: lines that match the page header go, single line ends become blanks."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(header))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"([^\n])\n([^\n])", "$1 $2"), r"\n{2,}", "\n\n")
+
+
+def alternate_names(xml: Column) -> tuple[Column, Column]:
+    """A gazetteer reply's English names and its encyclopedia link."""
+    names = F.xpath(xml, F.lit("//alternateName[@lang='en']/text()"))
+    links = F.filter(F.xpath(xml, F.lit("//alternateName[@lang='link']/text()")), lambda x: F.contains(x, F.lit("en.wikipedia")))
+    return names, F.try_element_at(links, F.lit(1))

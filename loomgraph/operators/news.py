@@ -120,3 +120,20 @@ def without_prefix_titles(titles: DataFrame, width: int = 30) -> DataFrame:
 
 def pages_needed(total: Column, size: int = 100) -> Column:
     return F.ceil(total / F.lit(size)).cast("int")
+
+
+def span_paragraphs(html: str | None, least: int = 75) -> str:
+    """Texts of paragraphs that begin with a span, of those over `least` characters."""
+    import re
+
+    found = re.findall(r"<p[^>]*>\s*<span[^>]*>(.*?)</span>", html or "", re.S)
+    texts = [re.sub(r"<[^>]+>", "", x).strip() for x in found]
+    return " ".join(x for x in texts if len(x) > least)
+
+
+def matching_articles(sources: list[DataFrame], width: int = 30) -> DataFrame:
+    """(id, title, ...) of several searches together, without the ones whose title another one starts with."""
+    every = sources[0]
+    for s in sources[1:]:
+        every = every.unionByName(s)
+    return every.join(without_prefix_titles(every.select("id", "title"), width).select("id"), "id", "left_semi")

@@ -96,3 +96,53 @@ def gender(names: DataFrame, female: DataFrame, male: DataFrame) -> DataFrame:
     f, m = (x.select(F.col("name").alias(c)).distinct() for x, c in ((female, "f"), (male, "m")))
     got = names.withColumn("first", first).join(f, F.col("first") == F.col("f"), "left").join(m, F.col("first") == F.col("m"), "left")
     return got.select("name", F.when(F.col("f").isNotNull(), "FEMALE").when(F.col("m").isNotNull(), "MALE").otherwise("").alias("gender"))
+
+
+def cleaned_name(text: str) -> str:
+    """A mention without dots, leading article, trailing conjunction and possessive, from its first capital
+    on; empty where nothing of two characters is left."""
+    import re
+    import unicodedata
+
+    t = "".join(c for c in unicodedata.normalize("NFKD", text.replace(".", "")) if not unicodedata.combining(c))
+    t = re.sub(r"^(?:a|A|an|An|the|The) ", "", t)
+    t = re.sub(r" (?:and|or)$", "", t)
+    m = re.search(r"[A-Z].*$", t)
+    t = re.sub(r"['’]s?$", "", m[0] if m else "")
+    return t if len(t) > 1 else ""
+
+
+def _minted(text: str) -> str:
+    import re
+
+    t = re.sub(r"[^:a-zA-Z0-9_]", "_", text).replace("__", "_").strip("_")
+    return f":{t}"
+
+
+def defined_in_order(mentions: DataFrame, labels: DataFrame) -> DataFrame:
+    """(narrative_id, offset, k, text, kind) against (label, iri) -> the same with iri and is_new.
+
+    The dictionary grows while a narrative is read: a mention that no label matches defines an entity that
+    the narrative's later mentions can match. Narratives are independent of each other, so they are dealt
+    to tasks; one narrative's mentions are read in order. Known labels are a checked, broadcast list."""
+    rows = labels.orderBy("seq").select("label", "iri").limit(BROADCAST_LABELS + 1).collect()
+    if len(rows) > BROADCAST_LABELS:
+        raise ValueError(f"more than {BROADCAST_LABELS} labels: resolve() them first, then only the rest in order")
+    known = mentions.sparkSession.sparkContext.broadcast([(r["label"], r["iri"]) for r in rows])
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        exact, listed, out = dict(reversed(known.value)), list(known.value), []
+        for r in pdf.sort_values(["offset", "k"]).itertuples(index=False):
+            name = cleaned_name(r.text)
+            iri, new = exact.get(name), False
+            if iri is None and name:
+                iri = next((i for label, i in listed if label in name), None) or next((i for label, i in listed if name in label), None)
+            if iri is None and name:
+                iri, new = _minted(name), True
+                exact[name] = iri
+                listed.append((name, iri))
+            if name:
+                out.append((r.narrative_id, r.offset, r.k, r.text, r.kind, iri, new))
+        return pd.DataFrame(out, columns=["narrative_id", "offset", "k", "text", "kind", "iri", "is_new"])
+
+    return mentions.groupBy("narrative_id").applyInPandas(of, "narrative_id string, offset long, k long, text string, kind string, iri string, is_new boolean")

@@ -98,3 +98,22 @@ def news(spark: SparkSession, path: str) -> DataFrame:
     """News API replies: articles that are whole, without the marker of removed ones."""
     a = spark.read.schema("articles array<struct<title: string, url: string, content: string, publishedAt: string>>").json(path).select(F.explode("articles").alias("a")).select("a.*")
     return a.filter((F.col("title") != "[Removed]") & F.contains("content", F.lit(" [+")))
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV file with a header; without a schema all columns are strings, so that nothing is read twice."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def dumped(graph: DataFrame, details: DataFrame, path: str) -> None:
+    """A narrative's graph as Turtle and its details as JSON, side by side."""
+    from loomgraph.sources import turtle
+
+    turtle.write(graph, f"{path}/graph")
+    details.coalesce(1).write.mode("overwrite").json(f"{path}/details")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Rows as JSON strings, for a response."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
