@@ -21,19 +21,22 @@ N_QUOTES = {"straight": "len(regexp_extract_all(text, '\"(.*?)\"'))", "single":
     FROM w LEFT JOIN labels l ON w.doc_id = l.doc_id ORDER BY n_sentences DESC, doc_id""",
 )
 def article_overview(t):
+    """The per-article panel. Texts become a few numbers before anything moves; the numbers are shuffled
+    once, so that neither the join nor the sort's sampling computes on the texts again."""
     d = t("documents").select("doc_id", "source", T.sentences(T.normalised(F.col("text"))).alias("s"), sum(F.size(T.quotes(F.col("text"), k)) for k in T.QUOTE_STYLES).alias("q"))
-    w = d.withColumn("c", F.transform("s", lambda x: F.size(F.split(x, " ")))).withColumn("n", F.size("s"))
+    words = d.select("doc_id", "source", "q", F.transform("s", lambda x: F.size(F.split(x, " "))).alias("c"))
     total = F.aggregate("c", F.lit(0), lambda a, x: a + x)
+    w = words.select("doc_id", "source", "q", F.size("c").alias("n"), F.array_min("c").alias("least"), F.array_max("c").alias("most"), total.alias("total")).repartition("doc_id")
     out = w.join(t("labels"), "doc_id", "left").select(
-        "doc_id", "source", F.col("n").cast("long").alias("n_sentences"), F.array_min("c").cast("long").alias("min_words"), F.array_max("c").cast("long").alias("max_words"),
-        F.round(F.when(F.col("n") > 0, total / F.col("n")), 6).alias("avg_words"), F.col("q").cast("long").alias("n_quotes"), F.round(F.when(F.col("n") > 0, 100.0 * F.col("q") / F.col("n")), 2).alias("quote_pct"), "quality", "toxic",
+        "doc_id", "source", F.col("n").cast("long").alias("n_sentences"), F.col("least").cast("long").alias("min_words"), F.col("most").cast("long").alias("max_words"),
+        F.round(F.when(F.col("n") > 0, F.col("total") / F.col("n")), 6).alias("avg_words"), F.col("q").cast("long").alias("n_quotes"), F.round(F.when(F.col("n") > 0, 100.0 * F.col("q") / F.col("n")), 2).alias("quote_pct"), "quality", "toxic",
     )
     return out.orderBy(F.desc("n_sentences"), "doc_id")
 
 
 @query("narr_by_length_desc", f"SELECT doc_id, source, CAST(len({SENTS.format(NORM)}) AS BIGINT) AS n_sentences FROM documents ORDER BY n_sentences DESC, doc_id")
 def narr_by_length_desc(t):
-    return t("documents").select("doc_id", "source", F.size(T.sentences(T.normalised(F.col("text")))).cast("long").alias("n_sentences")).orderBy(F.desc("n_sentences"), "doc_id")
+    return t("documents").select("doc_id", "source", F.size(T.sentences(T.normalised(F.col("text")))).cast("long").alias("n_sentences")).repartition("doc_id").orderBy(F.desc("n_sentences"), "doc_id")
 
 
 @query(
