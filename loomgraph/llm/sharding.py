@@ -37,17 +37,24 @@ class SlotMap:
         return SlotMap(tuple(map(int, to)), shards)
 
     def rebalanced(self, weights: np.ndarray, shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
-        """The next version: as few slots as needed go from heavy shards to light (or new) ones."""
+        """The next version: slots, heaviest first, go from heavy shards to those (also new ones) that are
+        under the mean now; no other slot moves. Fewer shards: the slots of the dropped ones are dealt again."""
         shards = shards or self.shards
-        to = np.array([s % shards if s >= shards else s for s in self.shard_of])
-        load = np.bincount(to, weights=weights, minlength=shards)
+        to = np.array(self.shard_of)
+        order = np.lexsort((np.arange(len(weights)), -weights))
+        load = np.bincount(to[to < shards], weights=weights[to < shards], minlength=shards)
+        for slot in order[to[order] >= shards]:
+            to[slot] = int(load.argmin())
+            load[to[slot]] += weights[slot]
         mean = load.sum() / shards
-        for slot in np.lexsort((np.arange(len(weights)), -weights)):
-            s, light = to[slot], int(load.argmin())
-            if load[s] - weights[slot] >= mean * (1 - tolerance) and load[light] + weights[slot] <= mean * (1 + tolerance):
+        under = np.flatnonzero(load < mean * (1 - tolerance))
+        for slot in order if len(under) else ():
+            s, w = to[slot], weights[slot]
+            light = int(under[load[under].argmin()])
+            if s not in under and load[s] - w >= mean * (1 - tolerance) and load[light] + w <= mean * (1 + tolerance):
                 to[slot] = light
-                load[s] -= weights[slot]
-                load[light] += weights[slot]
+                load[s] -= w
+                load[light] += w
         return replace(self, shard_of=tuple(map(int, to)), shards=shards, version=self.version + 1)
 
     def frame(self, spark: SparkSession) -> DataFrame:
