@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._common import bounded_batches, table, written
+from loomgraph.llm.components import components
+from loomgraph.llm.simhash import GROUP_ROWS, group_edges, references, unlike_bytes
 
 PERMUTATIONS, WIDTH, BANDS, THRESHOLD = 128, 5, 32, 0.8
 #: Shingles hashed at once: a permutation's values stay in the cache.
@@ -49,14 +51,14 @@ def permutations(n: int = PERMUTATIONS, seed: int = 5) -> tuple[np.ndarray, np.n
     return r.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all shingles of all texts, and each text's first one (len + 1 numbers).
+def shingle_hashes(texts: list[bytes], width: int = WIDTH, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit (wide: 64-bit) hashes of all shingles of all texts, and each text's first one (len + 1 numbers).
 
     ASCII letters are lower-cased. A text of fewer words is one shingle; one without words has none."""
     raw = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
     gap = _GAP[raw]
     if not len(raw):
-        return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64 if wide else np.uint32), np.zeros(len(texts) + 1, np.int64)
     change = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if not gap[0]:
         change = np.concatenate(([0], change))
@@ -77,7 +79,7 @@ def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
         factor = np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
         term = _mix(padded[begin + k] + factor)
         total = total * np.uint64(0x100000001B3) + (term if k == 0 else np.where(reach > k, term, np.uint64(0)))
-    return (_mix(total) >> np.uint64(32)).astype(np.uint32), place
+    return _mix(total) if wide else (_mix(total) >> np.uint64(32)).astype(np.uint32), place
 
 
 def signatures(texts: list[bytes], width: int = WIDTH, perms=None) -> np.ndarray:
@@ -264,3 +266,113 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "jaccard"])
 
     return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, jaccard double").filter(F.col("jaccard") >= threshold)
+
+
+#: Texts of which over this share of the minima differ are not compared: at a similarity of 0.8 that has a chance of about 1e-10.
+UNLIKE = 58 / PERMUTATIONS
+#: Bytes of text of one cluster that a task compares; larger clusters are dealt out in pairs of chunks of half of it.
+CLUSTER_BYTES = 32 << 20
+
+
+def linked(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that connect what has a Jaccard similarity of `threshold` or more: each component's spanning forest.
+
+    The sets' elements are unique; intersections are counted through an index of who has an element."""
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate(([0], np.cumsum(size)))
+    _, element, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(element, kind="stable")]
+    begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+    left, front, out_i, out_j = np.ones(len(sets), bool), [], [], []
+    unseen = iter(range(len(sets)))
+    while left.any():
+        if front:
+            x = front.pop()
+        else:
+            x = next(k for k in unseen if left[k])
+            left[x] = False
+        e = element[at[x] : at[x + 1]]
+        e = e[n[e] > 1]
+        m = n[e]
+        common = np.bincount(owner[np.repeat(begin[e] - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=len(sets))
+        got = np.flatnonzero(left & (common / np.maximum(size + size[x] - common, 1) >= threshold))
+        left[got] = False
+        front += got.tolist()
+        out_i.append(np.full(len(got), x))
+        out_j.append(got)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _candidates(classes: DataFrame, bands: int, group_rows: int) -> DataFrame:
+    """(doc_id, signature) of different texts -> edges (u, v) that connect all texts that share a band and have enough minima alike."""
+    words, rows_of_band = PERMUTATIONS // 8, PERMUTATIONS // bands
+    fp = [f"fp{n}" for n in range(words)]
+
+    def of(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            s = np.stack([np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()])
+            key = np.zeros((len(s), bands), np.uint64)
+            for k in range(rows_of_band):
+                key = _mix(key * _P + s[:, k::rows_of_band].astype(np.uint64) + np.uint64(1))
+            low = np.ascontiguousarray(s.astype(np.uint8)).view(np.int64)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), parts, *(pa.array(np.ascontiguousarray(low[:, n])) for n in range(words))], ["rep", "parts", *fp])
+
+    sketches = written(classes.mapInArrow(of, "rep long, parts array<long>, " + ", ".join(f"{x} long" for x in fp)), "sketches")
+    keys = sketches.select("rep", F.posexplode("parts").alias("k", "part"))
+    met = keys.join(keys.groupBy("k", "part").agg(F.count("*").alias("n")).filter("n > 1"), ["k", "part"], "left_semi")
+    rows = met.join(sketches.drop("parts"), "rep").select("k", "part", F.lit(0).alias("cell"), "rep", *fp)
+    return group_edges(rows, words, round(UNLIKE * PERMUTATIONS), references(1, words), group_rows, unlike_bytes)
+
+
+def copy_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, group_rows: int = GROUP_ROWS, cluster_bytes: int = CLUSTER_BYTES) -> DataFrame:
+    """doc_id and component_id of every row: groups connected by a Jaccard similarity of `threshold` or more between whole
+    texts, as sets of WIDTH-word shingles, named by their least doc_id.
+
+    Signatures only propose: texts that share a band and most minima make clusters, and in a cluster every text's whole set of
+    shingles (64-bit hashes) is compared with all that it isn't connected to yet. A pair at 0.8 misses all of the 32 bands
+    with a chance of 5e-8. Equal texts are one class, so are all without words; rows without a doc_id are left out;
+    repeated rows come out repeated."""
+    spark = docs.sparkSession
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    empty = F.col("signature") == F.lit(b"\xff" * 4 * PERMUTATIONS)
+    rows = signed(docs).withColumn("same", F.when(empty, F.lit(b"")).otherwise(F.col("same")))
+    rows = written(rows, "signatures")
+    classes = written(rows.groupBy("same").agg(F.min(F.struct("doc_id", "signature")).alias("r")).select("same", F.col("r.doc_id").alias("rep"), "r.signature"), "classes")
+    near = components(_candidates(classes.filter(F.col("same") != F.lit(b"")).select("rep", "signature"), bands, group_rows))
+    near = near.unionAll(near.select(F.col("component").alias("node"), "component")).distinct()  # a star's centre has no row of its own
+    bounded_batches(spark)
+    texts = docs.join(near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id").dropDuplicates(["doc_id", "text"])
+    texts = written(texts.select("cluster", "doc_id", "text"), "texts")
+    chunks = texts.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / (cluster_bytes / 2)).cast("int").alias("chunks"))
+    # every pair of chunks of a large cluster meets in one cell; a small one is one cell
+    chunks = chunks.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
+    dealt = texts.join(chunks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cell = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
+    dealt = dealt.select("cluster", cell.alias("cell"), "doc_id", "text").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
+
+    def of(batches):
+        group, ids, sets = None, [], []
+
+        def found():
+            i, j = linked(sets, threshold)
+            ids_ = np.array(ids, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids_[i], pa.int64()), pa.array(ids_[j], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            for c, cell, d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if (c, cell) != group:
+                    if len(ids) > 1:
+                        yield found()
+                    group, ids, sets = (c, cell), [], []
+                ids.append(d)
+                sets.append(np.unique(shingle_hashes([(text.as_py() or "").encode("utf-8", "surrogatepass")], wide=True)[0]))
+        if len(ids) > 1:
+            yield found()
+
+    joined = components(dealt.mapInArrow(of, "u long, v long"))
+    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("class"), F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(named, F.col("same") == F.col("class")).select("doc_id", "component_id")

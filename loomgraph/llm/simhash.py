@@ -49,25 +49,6 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * votes > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: str | None, width: int) -> tuple[int, int]:
-    """SimHash of 128 bits over the width-word shingles, as two signed longs; zero for no words."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0, 0
-    joined, h = b" ".join(words), xxhash.xxh3_128_digest
-    n = max(1, len(words) - width + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[min(width, len(words)) - 1 :].tolist()
-    votes, step = np.zeros(2 * BITS, np.int64), 65536
-    for at in range(0, n, step):
-        got = np.frombuffer(b"".join([h(joined[s:e]) for s, e in zip(starts[at : at + step], ends[at : at + step])]), np.uint8)
-        votes += np.unpackbits(got.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    return tuple(map(int, np.packbits(2 * votes > n).view(np.int64)))
-
-
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and fp: the fingerprint's 64 bits as a signed long."""
     bounded_batches(docs.sparkSession)
@@ -89,21 +70,26 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
 
 
-def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
+def unlike_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bytes, row by row, of the same rows."""
+    return (np.ascontiguousarray(a).view(np.uint8) != np.ascontiguousarray(b).view(np.uint8)).sum(axis=1, dtype=np.int16)
+
+
+def distance_table(fps: np.ndarray, refs: np.ndarray, of=distance) -> np.ndarray:
     """Hamming distances of each fingerprint to each reference, one column a reference."""
-    return np.stack([distance(fps, r[None, :]) for r in refs], axis=1)
+    return np.stack([of(fps, r[None, :]) for r in refs], axis=1)
 
 
-def _near(fps, dist, i, j, radius):
+def _near(fps, dist, i, j, radius, of=distance):
     """Of the pairs (i, j): discard by the largest coordinate difference, verify the survivors."""
     for a in range(0, dist.shape[1], 4):
         keep = (np.abs(dist[i, a : a + 4] - dist[j, a : a + 4]) <= radius).all(axis=1)
         i, j = i[keep], j[keep]
-    keep = distance(fps[i], fps[j]) <= radius
+    keep = of(fps[i], fps[j]) <= radius
     return i[keep], j[keep]
 
 
-def _grow(fps, dist, at, radius):
+def _grow(fps, dist, at, radius, of=distance):
     """Spanning forest of the links among the rows `at` of a large group."""
     left, out_i, out_j = at[np.argsort(dist[at, 0], kind="stable")], [], []
     front = left[:0]
@@ -113,7 +99,7 @@ def _grow(fps, dist, at, radius):
             continue
         x, front = front[:1], front[1:]
         lo, hi = np.searchsorted(dist[left, 0], [dist[x[0], 0] - radius, dist[x[0], 0] + radius + 1])
-        i, j = _near(fps, dist, np.repeat(x, hi - lo), left[lo:hi], radius)
+        i, j = _near(fps, dist, np.repeat(x, hi - lo), left[lo:hi], radius, of)
         if len(j):
             out_i.append(i)
             out_j.append(j)
@@ -123,7 +109,7 @@ def _grow(fps, dist, at, radius):
     return np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
 
 
-def group_links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int, refs: np.ndarray):
+def group_links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int, refs: np.ndarray, of=distance):
     """Edges (id, id) that connect what is linked inside the groups; rows of a group are adjacent."""
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     length = np.diff(np.append(start, len(group)))
@@ -132,7 +118,7 @@ def group_links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int
     if not len(fps):
         return ids[:0], ids[:0]
     start = np.concatenate(([0], np.cumsum(length)[:-1]))
-    dist = distance_table(fps, refs)
+    dist = distance_table(fps, refs, of)
     got = []
     end_of = np.repeat(start + length, length)
     small = np.flatnonzero(np.repeat(length <= SMALL, length))
@@ -140,8 +126,8 @@ def group_links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int
         small = small[small + d < end_of[small]]
         if not len(small):
             break
-        got.append(_near(fps, dist, small, small + d, radius))
-    got += [_grow(fps, dist, np.arange(s, s + n), radius) for s, n in zip(start, length) if n > SMALL]
+        got.append(_near(fps, dist, small, small + d, radius, of))
+    got += [_grow(fps, dist, np.arange(s, s + n), radius, of) for s, n in zip(start, length) if n > SMALL]
     i, j = (np.concatenate(x) for x in zip(*got))
     return ids[i], ids[j]
 
@@ -161,10 +147,10 @@ def links(reps: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -
     """(rep, fp) of distinct fingerprints -> edges (u, v) whose components are those of all links."""
     pairs = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for k, m in enumerate(_masks(radius))]
     rows = reps.select("rep", F.col("fp").alias("fp0"), F.explode(F.array(*pairs)).alias("x")).select("x.k", "x.part", F.lit(0).alias("cell"), "rep", "fp0")
-    return _group_edges(rows, 1, radius, references(), group_rows)
+    return group_edges(rows, 1, radius, references(), group_rows)
 
 
-def _group_edges(rows: DataFrame, words: int, radius: int, refs: np.ndarray, group_rows: int) -> DataFrame:
+def group_edges(rows: DataFrame, words: int, radius: int, refs: np.ndarray, group_rows: int, apart=distance) -> DataFrame:
     """Rows (k, part, cell, rep, fp0, ...) -> edges that connect what is linked in each group (k, part)."""
     fp = [f"fp{n}" for n in range(words)]
     sizes = rows.groupBy("k", "part").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows)
@@ -193,7 +179,7 @@ def _group_edges(rows: DataFrame, words: int, radius: int, refs: np.ndarray, gro
             if not len(done):
                 continue
             group = np.concatenate(([0], np.cumsum((done[1:, :3] != done[:-1, :3]).any(axis=1))))
-            u, v = group_links(group, np.ascontiguousarray(done[:, 4:]).view(np.uint64), done[:, 3], radius, refs)
+            u, v = group_links(group, np.ascontiguousarray(done[:, 4:]).view(np.uint64), done[:, 3], radius, refs, apart)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return rows.mapInArrow(of, "u long, v long")
@@ -216,35 +202,3 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of all documents; see near_groups()."""
     got = near_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 22, 48, 16
-
-
-def wide_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, tables: int = WIDE_TABLES, key_bits: int = WIDE_KEY_BITS) -> DataFrame:
-    """doc_id and component_id of near-copies that 4 of 64 bits would miss: 128-bit fingerprints of
-    width-word shingles, linked at `radius` bits or fewer.
-
-    A Jaccard similarity of 0.8 moves about one bit in seven. No pair of blocks survives that, so here the
-    groups are `tables` seeded samples of key_bits bits: a pair 22 bits apart meets in one of them with a
-    probability of 0.91, one 13 bits apart with 0.9999. In the groups, reference distances and verification
-    decide as in links(). Nulls, empty texts and repeated rows as in near_groups()."""
-    bounded_batches(docs.sparkSession)
-
-    def of(batches):
-        for b in batches:
-            got = [wide_fingerprint(x.as_py(), width) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in (0, 1))], ["doc_id", "fp0", "fp1"])
-
-    fps = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp0 long, fp1 long"), "fingerprints")
-    reps = written(fps.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("rep")), "representatives")
-    r = np.random.default_rng(128)
-    keys = []
-    for k in range(tables):
-        bits = np.sort(r.choice(2 * BITS, key_bits, replace=False))
-        masks = [_signed(sum(1 << int(x - BITS * w) for x in bits if x // BITS == w)) for w in (0, 1)]
-        keys.append(F.struct(F.lit(k).alias("k"), F.xxhash64(F.col("fp0").bitwiseAND(F.lit(masks[0])), F.col("fp1").bitwiseAND(F.lit(masks[1]))).alias("part")))
-    rows = reps.filter("rep is not null").select("rep", "fp0", "fp1", F.explode(F.array(*keys)).alias("x")).select("x.k", "x.part", F.lit(0).alias("cell"), "rep", "fp0", "fp1")
-    found = components(_group_edges(rows, 2, radius, references(4, 2), GROUP_ROWS))
-    named = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp0").alias("a"), F.col("fp1").alias("b"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, (F.col("fp0") == F.col("a")) & (F.col("fp1") == F.col("b")), "left").select("doc_id", "component_id")

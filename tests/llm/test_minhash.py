@@ -84,3 +84,34 @@ def test_near_links_against_brute_force(spark):
     want = {(min(p), max(p)) for p in want}
     pairs = {(r["u"], r["v"]) for r in minhash.near_links(docs).collect()}
     assert pairs <= want and len(pairs) >= 0.9 * len(want)
+
+
+def test_copy_groups_against_brute_force(spark):
+    """Chains, edits on both sides of 0.8, copies, texts without words; small groups and cells give the same components."""
+    r, texts = np.random.default_rng(8), []
+    for k in range(14):
+        words = [f"w{x}" for x in r.integers(0, 5000, int(r.integers(4, 160)))]
+        for step in range(9):
+            texts.append(" ".join(words))
+            for at in r.integers(0, len(words), max(1, len(words) * (step % 4) // 90)):
+                words[at] = f"new{r.integers(0, 10**9)}"
+    texts += [texts[0], texts[0].upper(), "", None, " \n "]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
+    name = list(range(len(texts)))
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            likeness = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            close += 0.5 <= likeness < 0.8
+            if likeness >= 0.8 and name[i] != name[j]:
+                a, b = sorted((name[i], name[j]))
+                name = [a if x == b else x for x in name]
+    assert close > 20 and len(set(name)) < len(texts) - 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sizes in ({}, {"group_rows": 6, "cluster_bytes": 2000}):
+        got = {x["doc_id"]: x["component_id"] for x in minhash.copy_groups(docs, **sizes).collect()}
+        assert [got[k] for k in range(len(texts))] == name
+    assert minhash.copy_groups(docs.limit(0)).count() == 0
