@@ -93,12 +93,47 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
-def _card(m: re.Match, key: bytes) -> str | None:
-    d = re.sub(r"\D", "", m[0])
-    if luhn_digit(d[:-1]) != d[-1]:
-        return None
-    payload = _digits(d[:-1], key, "card")
-    return _filled(m[0], payload + luhn_digit(payload))
+#: Digit groups that cards are printed in; one group alone is one too.
+_PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
+
+
+def _card_spans(text: str, taken) -> list[tuple[int, int]]:
+    """Valid cards in every run of digit groups: any whole groups of 13 to 19 digits that pass Luhn, so a number beside a card
+    doesn't hide it. Groups as cards are printed go first, then by place, longest first; other spans must not cut a phone number."""
+    got: list[tuple[int, int]] = []
+    phones = None
+    for run in _RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        spans = []
+        for i in range(len(groups)):
+            n = 0
+            for j in range(i, len(groups)):
+                n += groups[j][1] - groups[j][0]
+                if n > 19:
+                    break
+                if n >= 13:
+                    printed = i == j or tuple(e - s for s, e in groups[i : j + 1]) in _PRINTED
+                    spans.append((not printed, i, -j))
+        for odd, i, j in sorted(spans):
+            s, e = groups[i][0], groups[-j][1]
+            if any(a < e and s < b for a, b in got) or taken(s, e):
+                continue
+            d = re.sub(r"\D", "", text[s:e])
+            if luhn_digit(d[:-1]) != d[-1]:
+                continue
+            if odd:
+                phones = [m.span() for m in _PHONE.finditer(text)] if phones is None else phones
+                if any((a < s < b or a < e < b) for a, b in phones):
+                    continue
+            got.append((s, e))
+    return got
+
+
+def _card(shape: str, key: bytes) -> str:
+    payload = _digits(re.sub(r"\D", "", shape)[:-1], key, "card")
+    return _filled(shape, payload + luhn_digit(payload))
 
 
 def _ip(m: re.Match, key: bytes) -> str | None:
@@ -176,6 +211,8 @@ def _access(m: re.Match, key: bytes) -> str:
     return m[0][:4] + _letters(m[0][4:], key, "access", {c: _UPPER + _DIGIT for c in _UPPER + _DIGIT})
 
 
+_RUN, _GROUP = re.compile(r"(?<![\w+.-])\d++(?:[ -]\d++)*(?!-?\w)"), re.compile(r"\d+")
+_PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!-?\w)|(?<!\w)\+\d[\d ().-]{8,18}\d(?!\w)")
 #: kind, what a text must contain for it, pattern, replacement (None: the value isn't valid and stays)
 KINDS = [
     ("email", "@", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), _email),
@@ -185,8 +222,8 @@ KINDS = [
     ("date", None, re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-])"), _date),
     ("ip", ".", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"), _ip),
     ("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
-    ("card", None, re.compile(r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?!-?\w)"), _card),
-    ("phone", None, re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!-?\w)|(?<!\w)\+\d[\d ().-]{8,18}\d(?!\w)"), _phone),
+    ("card", None, _RUN, None),  # its spans are found by _card_spans
+    ("phone", None, _PHONE, _phone),
 ]
 _ANY_DIGIT = re.compile(r"\d")
 
@@ -202,6 +239,10 @@ def pseudonymised(text: str | None, key: bytes = KEY) -> tuple[str | None, list[
     for kind, needs, pattern, of in KINDS:
         if needs is not None and needs not in text:
             continue
+        if kind == "card":
+            spans = _card_spans(text, lambda a, b: any(s < b and a < e for _, s, e, _ in found))
+            found += [(kind, s, e, _card(text[s:e], key)) for s, e in spans]
+            continue
         for m in pattern.finditer(text):
             if any(s < m.end() and m.start() < e for _, s, e, _ in found):
                 continue

@@ -57,3 +57,21 @@ def test_edges(odd_docs, no_docs):
     assert [f["kind"] for f in got[7]["found"]] == ["email", "phone", "card"] and "4111 1111" not in got[7]["text"]
     assert P.pseudonymise(no_docs).count() == 0
     assert P.pseudonymise(odd_docs, out="slot").columns == ["doc_id", "text", "lang", "source", "n_chars", "slot"]
+
+
+def test_cards_beside_other_numbers():
+    """A number before or after a valid card, by blank or hyphen, does not hide it and stays; phones are not cut."""
+    cards = ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "411111 1111111111")
+    for card in cards:
+        for text in (f"{card} 12/29", f"{card} 123", f"12 {card}", f"{card} 737", f"7 {card} 99 11", f"x {card}", f"{card} 1234 5678 1234 5679", f"{card}-12 x"):
+            new, found = P.pseudonymised(text, KEY)
+            at = text.index(card)
+            assert ("card", at, at + len(card)) in [f[:3] for f in found], text
+            assert card not in new and len(new) == len(text) and new[:at] == text[:at]
+    two = "4111111111111111 5555555555554444 12"
+    assert [f[:3] for f in P.pseudonymised(two, KEY)[1]] == [("card", 0, 16), ("card", 17, 33)]
+    assert P.pseudonymised("4111111111111112 12/29", KEY) == ("4111111111111112 12/29", [])
+    assert P.pseudonymised("41111111111111111111 7", KEY)[1] == []
+    for k in range(200):
+        text = f"call 555-{k:03d}-4567 555-{k:03d}-4568 or 555 {k:03d} 1234 today"
+        assert [f[0] for f in P.pseudonymised(text, KEY)[1]] == ["phone"] * 3, text
