@@ -211,19 +211,20 @@ def _access(m: re.Match, key: bytes) -> str:
     return m[0][:4] + _letters(m[0][4:], key, "access", {c: _UPPER + _DIGIT for c in _UPPER + _DIGIT})
 
 
+_NUMBER = None
 _RUN, _GROUP = re.compile(r"(?<![\w+.-])\d++(?:[ -]\d++)*(?!-?\w)"), re.compile(r"\d+")
 _PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!-?\w)|(?<!\w)\+\d[\d ().-]{8,18}\d(?!\w)")
-#: kind, what a text must contain for it, pattern, replacement (None: the value isn't valid and stays)
+#: kind, of what a text must contain one for it (_NUMBER: any digit; in lower case for secrets), pattern, replacement (None: the value isn't valid and stays)
 KINDS = [
-    ("email", "@", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), _email),
-    ("secret", None, re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,})"), _secret),
-    ("access", "A", re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"), _access),
-    ("iban", None, re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"), _iban),
-    ("date", None, re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-])"), _date),
-    ("ip", ".", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"), _ip),
-    ("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
-    ("card", None, _RUN, None),  # its spans are found by _card_spans
-    ("phone", None, _PHONE, _phone),
+    ("email", ("@",), re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), _email),
+    ("secret", ("token", "secret", "passw", "key"), re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,})"), _secret),
+    ("access", ("AKIA", "ASIA"), re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"), _access),
+    ("iban", _NUMBER, re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"), _iban),
+    ("date", _NUMBER, re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-])"), _date),
+    ("ip", _NUMBER, re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"), _ip),
+    ("ssn", _NUMBER, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
+    ("card", _NUMBER, _RUN, None),  # its spans are found by _card_spans
+    ("phone", _NUMBER, _PHONE, _phone),
 ]
 _ANY_DIGIT = re.compile(r"\d")
 
@@ -233,11 +234,11 @@ def pseudonymised(text: str | None, key: bytes = KEY) -> tuple[str | None, list[
 
     Null stays null. Kinds are sought in a fixed order; a place that one kind has taken is closed to the
     later ones."""
-    if not text or not ("@" in text or _ANY_DIGIT.search(text)):
+    if not text:
         return text, []
-    found = []
+    found, folded, digits = [], text.casefold(), _ANY_DIGIT.search(text)
     for kind, needs, pattern, of in KINDS:
-        if needs is not None and needs not in text:
+        if not (digits if needs is _NUMBER else any(x in (folded if kind == "secret" else text) for x in needs)):
             continue
         if kind == "card":
             spans = _card_spans(text, lambda a, b: any(s < b and a < e for _, s, e, _ in found))
