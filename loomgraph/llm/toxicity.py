@@ -30,6 +30,8 @@ BLANKS = 10
 #: A subword counts if it is in so many sampled documents, at such a distance from the share of label 1.
 LEAST_DOCS, LEAST_Z = 4, 4.5
 FOLDS = 5
+#: Bytes of a word, with its marks, that are read as one; words of up to SHORT characters hardly have more.
+PIECE, SHORT = 64, 10
 
 _WORDS = re.compile(WORD)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -43,9 +45,15 @@ def normal(word: str) -> str:
     return w if w.isalnum() else _EDGE.sub("", w) or w
 
 
-def subwords(word: str) -> list[bytes]:
-    """A normal word with its ends marked, and its n-grams of 4 to 6 bytes (of 64 bytes at most)."""
-    w = f"<{word}>".encode("utf-8", "surrogatepass")[:64]
+def pieces(word: str) -> list[bytes]:
+    """A normal word with its ends marked; a longer one than PIECE bytes as consecutive pieces that overlap by five bytes, so
+    that each n-gram is in one. Each counts as a word: an unspaced sentence weighs by its length."""
+    w = f"<{word}>".encode("utf-8", "surrogatepass")
+    return [w] if len(w) <= PIECE else [w[k : k + PIECE] for k in range(0, len(w) - 5, PIECE - 5)]
+
+
+def subwords(w: bytes) -> list[bytes]:
+    """A piece and its n-grams of 4 to 6 bytes."""
     n = len(w)
     return [w, *[w[i : i + 4] for i in range(n - 3)], *[w[i : i + 5] for i in range(n - 4)], *[w[i : i + 6] for i in range(n - 5)]]
 
@@ -59,13 +67,17 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def of_word(self, word: str) -> float:
-        parts = subwords(word)
-        got = [self.share[p] for p in parts if p in self.share]
-        return sum(got) / len(parts) if got else 0.0
+        """The sum of its pieces' shares."""
+        total = 0.0
+        for w in pieces(word):
+            parts = subwords(w)
+            got = [self.share[p] for p in parts if p in self.share]
+            total += sum(got) / len(parts) if got else 0.0
+        return total
 
 
 class WordScores(dict):
-    """word -> its share, for one model; emptied when it holds too many words."""
+    """word -> its share, for one model; emptied when it holds too many words; long words are not held."""
 
     LIMIT = 500_000
 
@@ -77,6 +89,8 @@ class WordScores(dict):
             self.clear()
             self.plain.clear()
         w = normal(word)
+        if len(word) > PIECE:
+            return self.model.of_word(w)
         got = self.plain.get(w)
         if got is None:
             got = self.plain[w] = self.model.of_word(w)
@@ -85,7 +99,8 @@ class WordScores(dict):
 
     def log_odds(self, text: str | None) -> float:
         words = _WORDS.findall(text or "")
-        return self.model.bias + (sum(map(self.__getitem__, words)) / (len(words) + BLANKS) if words else 0.0)
+        n = len(words) + sum(len(pieces(normal(w))) - 1 for w in words if len(w) > SHORT)
+        return self.model.bias + (sum(map(self.__getitem__, words)) / (n + BLANKS) if words else 0.0)
 
 
 _kept: dict[str, WordScores] = {}
@@ -99,14 +114,13 @@ def word_scores(model: Model) -> WordScores:
     return _kept[model.key]
 
 
-def _bags(texts: list[str | None]) -> tuple[list, set[str]]:
-    """(buckets, weights) of each text, and the words seen. A text's weights sum to nearly one."""
+def _bags(texts: list[str | None]) -> tuple[list, set[bytes]]:
+    """(buckets, weights) of each text, and the words' pieces seen. A text's weights sum to nearly one."""
     known, out = {}, []
     for text in texts:
-        words = _WORDS.findall(text or "")
-        seen: dict[str, int] = {}
+        words = [p for w in _WORDS.findall(text or "") for p in pieces(normal(w))]
+        seen: dict[bytes, int] = {}
         for w in words:
-            w = normal(w)
             seen[w] = seen.get(w, 0) + 1
         for w in seen:
             if w not in known:

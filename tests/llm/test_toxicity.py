@@ -34,3 +34,24 @@ def test_edges(spark, odd_docs, no_docs):
     assert toxicity.scored(no_docs, m).count() == 0
     labels = spark.createDataFrame([(1, None, 1), (2, 1, None), (None, 1, 1), (7, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
     toxicity.fitted(odd_docs, labels)
+
+
+def test_long_words_are_read_to_their_end():
+    """What stands after the first 62 bytes of a word counts, in scoring and in training, and a long word weighs by its length."""
+    clean = [f"the day number{i} was fine and the sun went over town{i % 7} again" for i in range(120)]
+    bad = [f"the day number{i} was fine you worthless moron over town{i % 7} again" for i in range(60)]
+    s = toxicity.word_scores(toxicity.trained(clean + bad, [0] * 120 + [1] * 60))
+    start = "https://host.example/" + "q" * 80 + "/"
+    for join in ("_", "\u00a0", "\u3000", "."):
+        plain, toxic = (start + join.join(["you", end, "x", end]) for end in ("zzzzzzz", "worthless"))
+        assert s.log_odds(toxic) > s.log_odds(plain)
+        assert all(s.log_odds("x" * k + "worthless") > s.log_odds("x" * k + "zzzzzzzzz") for k in range(40, 140))
+    filler = "今日は天気がとても良いので公園まで散歩に行って友達と話をしてから帰りました"
+    texts = [filler + f"番号{i}の日" for i in range(120)] + [filler + f"番号{i}の馬鹿野郎" for i in range(60)]
+    s = toxicity.word_scores(toxicity.trained(texts, [0] * 120 + [1] * 60))
+    assert s.log_odds(filler + "番号999の馬鹿野郎") > s.log_odds(filler + "番号999の日")
+    text = "z" * 5000 + "worthless"
+    assert b"".join(p[: 64 - 5] for p in toxicity.pieces(text)).startswith(b"<" + b"z" * 4000) and all(len(p) <= 64 for p in toxicity.pieces(text))
+    want = f"<{text}>".encode()
+    got = {g for p in toxicity.pieces(text) for g in toxicity.subwords(p)}
+    assert all(want[i : i + n] in got for n in (4, 5, 6) for i in range(len(want) - n + 1))
