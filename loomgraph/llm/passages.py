@@ -1,14 +1,17 @@
-"""Repeated passages, removed line by line.
+"""Repeated passages, removed by runs of sentences and lines.
 
-A text's lines (or paragraphs) are normalised and hashed; digests are grouped over the whole corpus; the
-occurrence with the least (doc_id, offset) stays and the others are removed, with their original offsets
-kept beside the cleaned text. Units under min_words words are never removed: short lines repeat by chance."""
+A text's sentences and lines are normalised, and the shortest runs of them that have min_words words, from each start
+and to each end, are hashed (or its paragraphs are); digests are grouped over the whole corpus; the occurrence with the
+least (doc_id, offset) stays and the others are removed, with their original offsets kept beside the cleaned text.
+Less than min_words words are never removed: short lines repeat by chance."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,19 +21,37 @@ from loomgraph.llm._common import WORD, bounded_batches, table, written
 
 MIN_WORDS = 20
 _WORDS = re.compile(WORD)
-_LINE, _PARAGRAPH = re.compile(r"[^\n]+"), re.compile(r"(?:(?!\n\s*\n).)+", re.S)
+#: A sentence with the blanks after it, or the rest of a line.
+_SENTENCE, _PARAGRAPH = re.compile(r"[^\n]*?[.!?]+[)\"'\u2019\u201d]*[ \t]+(?=[^ \t\n])|[^\n]*?[\u3002\uff01\uff1f]+|[^\n]+"), re.compile(r"(?:(?!\n\s*\n).)+", re.S)
+
+
+def _digest(plain: str) -> bytes:
+    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def units_of(text: str | None, min_words: int = MIN_WORDS, paragraphs: bool = False) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest of 16 bytes) of the text's units of at least min_words words.
+    """(start, end, digest of 16 bytes) of the text's units of at least min_words words, by start and end, none inside of another
+    but from or to the same place.
 
+    Units are the shortest runs of adjacent sentences, over line ends, from each sentence on and up to each. What is repeated is
+    thus covered from its first whole sentence to its last. A unit that overlaps an equal one before it is left out.
     Normal form: NFKC, case-folded, runs of white space as one blank."""
-    out = []
-    for m in (_PARAGRAPH if paragraphs else _LINE).finditer(text or ""):
+    atoms = []
+    for m in (_PARAGRAPH if paragraphs else _SENTENCE).finditer(text or ""):
         words = _WORDS.findall(m[0])
-        if len(words) >= min_words:
-            plain = unicodedata.normalize("NFKC", " ".join(words)).casefold()
-            out.append((m.start(), m.end(), hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+        if words:
+            atoms.append((m.start(), m.end(), len(words), unicodedata.normalize("NFKC", " ".join(words)).casefold()))
+    if paragraphs:
+        return [(s, e, _digest(plain)) for s, e, n, plain in atoms if n >= min_words]
+    total = [0, *accumulate(n for _, _, n, _ in atoms)]
+    runs = {(i, bisect_left(total, total[i] + min_words) - 1) for i in range(len(atoms)) if total[i] + min_words <= total[-1]}
+    runs |= {(bisect_right(total, total[j + 1] - min_words) - 1, j) for j in range(len(atoms)) if total[j + 1] >= min_words}
+    out, until = [], {}
+    for i, j in sorted(runs):
+        start, end, d = atoms[i][0], atoms[j][1], _digest(" ".join(a[3] for a in atoms[i : j + 1]))
+        if until.get(d, 0) <= start:
+            until[d] = end
+            out.append((start, end, d))
     return out
 
 
@@ -91,5 +112,5 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = Fals
 
 
 def op9_passages(spark, sf_dir: str) -> DataFrame:
-    """All documents without their repeated lines, and what was removed from where."""
+    """All documents without their repeated runs of sentences and lines, and what was removed from where."""
     return cleaned(table(spark, sf_dir, "documents"))

@@ -34,3 +34,22 @@ def test_paragraphs_and_edges(odd_docs, no_docs):
     by = {r["doc_id"]: r for r in got.collect()}
     assert got.count() == odd_docs.count() and by[6]["text"] == "" and by[6]["removed"][0]["first_doc_id"] == 5
     assert passages.cleaned(no_docs).count() == 0
+
+
+def test_wrapped_listed_and_inner_passages(spark):
+    """A passage of short lines, and one inside of longer lines, goes; short repeats and the first occurrence stay."""
+    words = [f"gamma{i}" for i in range(60)]
+    wrapped = "\n".join(" ".join(words[k : k + 12]) for k in range(0, 60, 12))
+    verse = "\n\n".join(" ".join(words[k : k + 4]) + "," for k in range(0, 60, 4))
+    inner = " ".join(" ".join(words[k : k + 15]) + "." for k in range(0, 60, 15))
+    short = "Only nine words are in this one short line."
+    rows = [(10 * k + d, f"Own start {k} {d}.\n{p}\nown end {k} {d}") for k, p in enumerate((wrapped, verse)) for d in (1, 2)]
+    rows += [(31, f"First of all. {inner} So it ends."), (32, f"Here is more. {inner} Then it goes on."), (33, short), (34, f"x\n{short}\ny")]
+    rows += [(41, "la la la\n" * 20), (42, "Same here\n" + "la la la\n" * 7)]
+    got = {r["doc_id"]: r for r in passages.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for k in (0, 10):
+        assert got[k + 1]["text"] == text[k + 1] and got[k + 2]["text"] == f"Own start {k // 10} 2.\nown end {k // 10} 2"
+    assert got[31]["text"] == text[31] and got[32]["text"] == "Here is more. Then it goes on."
+    assert got[33]["text"] == text[33] and got[34]["text"] == text[34]
+    assert got[41]["text"].startswith("la la la\n" * 7) and {(r["first_doc_id"]) for r in got[42]["removed"]} == {41}
