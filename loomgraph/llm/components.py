@@ -8,23 +8,37 @@ from pyspark.sql import functions as F
 from loomgraph.llm._common import written
 
 MAX_ROUNDS = 60
+#: Edges of a node that has more than HOT of them, and more than one in SHARE of all, don't go to one task.
+HOT, SHARE = 1_000, 500
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(e: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """e (u, v) with m of least (c, m, n) at u = c, where the n sum up to total.
+
+    A star's centre may have any share of all edges. Nodes that have more than one in SHARE of them are less than
+    SHARE, so they are broadcast and their edges stay where they are."""
+    often = F.col("n") > max(HOT, total // SHARE)
+    hot = F.broadcast(least.filter(often).select(F.col("c").alias("hot"), F.col("m").alias("hot_m")))
+    e = e.join(hot, F.col("u") == F.col("hot"), "left")
+    cold = e.filter("hot is null").select("u", "v").join(least.filter(~often).select("c", "m"), F.col("u") == F.col("c"))
+    return cold.select("u", "v", "m").unionAll(e.filter("hot is not null").select("u", "v", F.col("hot_m").alias("m")))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     e = _both(edges)
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-    e = e.filter("v > u").join(least, F.col("u") == F.col("c"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"), "n")
+    e = _with_least(e.filter("v > u"), least, 2 * total)
     return e.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    e = e.join(least, F.col("u") == F.col("c"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("c"), "m", "n")
+    e = _with_least(e, least, total)
     return e.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
 
 
@@ -39,6 +53,6 @@ def components(edges: DataFrame) -> DataFrame:
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == sign or not got[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        sign = tuple(got)
-        now = written(_small_star(_large_star(now)).distinct(), "edges")
+        sign, total = tuple(got), got[0]
+        now = written(_small_star(_large_star(now, total).distinct(), total).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

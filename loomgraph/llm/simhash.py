@@ -22,7 +22,7 @@ from loomgraph.llm.components import components
 BITS, RADIUS, REFERENCES = 64, 4, 16
 #: Rows of one group that a task compares; larger groups are dealt out in pairs of chunks.
 GROUP_ROWS = 20_000
-#: Groups up to this size are compared side by side, larger ones by growing components.
+#: Groups up to this size are compared side by side, larger ones by growing components; the links found are the same.
 SMALL = 48
 
 
@@ -109,8 +109,25 @@ def _grow(fps, dist, at, radius, of=distance):
     return np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the pairs (i, j) are joined: each row's root is the least row that it is connected to."""
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        np.minimum.at(root, high, low)
+        while True:  # every row points to a root again
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return root
+
+
 def group_links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int, refs: np.ndarray, of=distance):
-    """Edges (id, id) that connect what is linked inside the groups; rows of a group are adjacent."""
+    """Edges (id, id) that connect what is linked inside the groups; rows of a group are adjacent.
+
+    A group of any size gives a forest: one edge less than it has rows, at most."""
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     length = np.diff(np.append(start, len(group)))
     many = np.repeat(length > 1, length)
@@ -119,15 +136,16 @@ def group_links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int
         return ids[:0], ids[:0]
     start = np.concatenate(([0], np.cumsum(length)[:-1]))
     dist = distance_table(fps, refs, of)
-    got = []
     end_of = np.repeat(start + length, length)
-    small = np.flatnonzero(np.repeat(length <= SMALL, length))
-    for d in range(1, SMALL):
+    small, root = np.flatnonzero(np.repeat(length <= SMALL, length)), np.arange(len(fps))
+    for d in range(1, SMALL):  # rows d apart, in all small groups at once, if nothing connects them yet
         small = small[small + d < end_of[small]]
         if not len(small):
             break
-        got.append(_near(fps, dist, small, small + d, radius, of))
-    got += [_grow(fps, dist, np.arange(s, s + n), radius, of) for s, n in zip(start, length) if n > SMALL]
+        open_ = small[root[small] != root[small + d]]
+        root = _joined(root, *_near(fps, dist, open_, open_ + d, radius, of))
+    tied = np.flatnonzero(root != np.arange(len(root)))
+    got = [(tied, root[tied])] + [_grow(fps, dist, np.arange(s, s + n), radius, of) for s, n in zip(start, length) if n > SMALL]
     i, j = (np.concatenate(x) for x in zip(*got))
     return ids[i], ids[j]
 

@@ -69,3 +69,35 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, **{200 + k: 200 for k in range(50)}} or got == {**{k: 0 for k in range(1, 41)}, 101: 100, **{200 + k: 200 for k in range(1, 50)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_group_gives_a_forest():
+    """Whatever the size of a group: at most one edge less than rows, and the components of all links."""
+    r = np.random.default_rng(8)
+    for n in (2, 47, 48, 49, 120):
+        fps = np.array([int(r.integers(0, 2**63))], np.uint64) ^ (np.uint64(1) << r.integers(0, 3, n).astype(np.uint64))
+        u, v = simhash.group_links(np.zeros(n, int), fps[:, None], np.arange(n), 4, simhash.references())
+        assert len(u) == n - 1 and len({*u.tolist(), *v.tolist()}) == n
+    group = np.repeat(np.arange(40), r.integers(1, 70, 40))
+    fps = np.array([int(x) for x in r.integers(0, 2**12, len(group))], np.uint64)
+    u, v = simhash.group_links(group, fps[:, None], np.arange(len(group)), 2, simhash.references())
+    want = []
+    for g in range(40):
+        at = np.flatnonzero(group == g)
+        want += [at[x] for x in plain_components(list(range(len(at))), [int(x) for x in fps[at]], 2)]
+    name = {i: i for i in range(len(group))}
+    for a, b in zip(u.tolist(), v.tolist()):
+        assert group[a] == group[b]
+        x, y = sorted((name[a], name[b]))
+        name = {k: (x if c == y else c) for k, c in name.items()}
+    assert [name[i] for i in range(len(group))] == want and len(u) == len(group) - len(set(want))
+
+
+def test_components_of_hot_stars(spark, monkeypatch):
+    from loomgraph.llm import components as C
+
+    monkeypatch.setattr(C, "HOT", 3)
+    monkeypatch.setattr(C, "SHARE", 10)
+    edges = [(k, 5_000) for k in range(1, 400)] + [(900 + k, 901 + k) for k in range(30)] + [(930, 399)]
+    got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {n: c for n, c in got.items() if n != 1} == dict.fromkeys([*range(2, 400), *range(900, 931), 5_000], 1)
