@@ -1,12 +1,15 @@
 """Mix sources to target weights by weighted fair queueing.
 
-Each source is a queue of its documents in a seeded shuffle, repeated pass after pass. A queued pass
-gets the virtual finish time `cumulative words of the source / target of the source`; the queues are
-merged in the order of finish times and the merge is cut at the total budget. A queue ends when its
-source has given its target: the pass in service then is cut there.
-
-Cumulative sums are never made by one task a source: documents are dealt into hash slots in shuffle
-order, slots are summed first, and only the sums are accumulated over a source's slots.
+Each source is a queue of its documents in a seeded shuffle, repeated pass after pass. A queued pass gets the
+virtual finish time `cumulative words of the source / target of the source`; a pass that is still in service
+when the budget is used up is served in packets, of about a thousandth of its source's target, with finish
+times of their own. All are range-sorted by their finish times, words are summed up along this order, and the
+order is truncated at the total budget: the packet in service there is cut. As the targets add up to the
+budget, every source then has given its target but for a packet or so.
+
+Cumulative sums are never made by one task: a source's documents are dealt into hash slots in shuffle
+order, the merged passes into ranges of finish times; slots and ranges are summed first, and only those
+sums are accumulated.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm._common import n_words, table, written
 
 SLOTS = 1024
-BINS = 4096
 MAX_PASSES = 3
+#: Packets that a target is served in.
+PACKETS = 1024
 
 
 def source_targets(sizes: DataFrame, budget_share: float = 1.0, weights: tuple = (1, 2, 3), max_passes: int = MAX_PASSES) -> DataFrame:
@@ -73,50 +77,63 @@ def queued(docs: DataFrame, size: str = "size", seed: int = 17, budget_share: fl
     )
 
 
-def mix(docs: DataFrame, size: str = "size", budget: int | None = None, max_passes: int = MAX_PASSES, keep_untaken: bool = False, bins: int = BINS, **how) -> DataFrame:
-    """The mix: one row for each pass of a document that the mix takes, in the order of finish times.
+def mix(docs: DataFrame, size: str = "size", budget: int | None = None, max_passes: int = MAX_PASSES, keep_untaken: bool = False, **how) -> DataFrame:
+    """The mix: one row for each pass of a document that the mix takes.
 
-    Adds pass (from 0), finish (virtual, 1 when the source has given its target) and taken (words).
-    budget cuts the merged queues after so many words (default: all that the targets hold); the pass in
-    service there is cut. keep_untaken also keeps documents that give nothing (pass null, taken 0).
-    Sorted by ranges of the finish time, so that writing it keeps the order of the mix."""
+    Adds pass (from 0), finish (virtual: the source has given its target at 1) and taken (words). budget: the
+    words that the merged queues give, at most and by default what the targets hold together. keep_untaken also
+    keeps documents that give nothing (pass null, taken 0)."""
     q = queued(docs, size, max_passes=max_passes, **how)
-    end = F.floor("target")
-    rounds = F.when(F.col("source_size") > 0, F.least(F.lit(max_passes), F.floor(F.greatest(end - F.col("before") - 1, F.lit(-1)) / F.col("source_size")) + 1)).otherwise(0)
-    passes = F.when(rounds > 0, F.sequence(F.lit(0), (rounds - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    p = q.withColumn("pass", F.explode_outer(passes))
-    start = F.col("pass") * F.col("source_size") + F.col("before")
-    p = p.withColumn("taken", F.when(F.col("pass").isNull(), 0).otherwise(F.least(F.col(size), end - start)).cast("long"))
-    p = p.withColumn("finish", F.when(F.col("pass").isNotNull(), F.least(F.lit(1.0), (start + F.col(size)) / F.col("target"))))
+    t = q.filter("target > 0").groupBy("skey").agg(F.first("target").alias("target")).withColumn("packet", _packet(F.col("target")))
+    held, slowest = t.agg(F.sum("target"), F.max(F.col("packet") / F.col("target"))).first()
+    held, slowest = held or 0.0, slowest or 0.0
+    budget = round(held) if budget is None else min(int(budget), round(held))
+    end = budget / held if held else 0.0  # the virtual time of the cut, but for a packet of each source
+    target, whole, packet = F.col("target"), F.col(size), _packet(F.col("target"))
+    upto = F.lit(end + slowest) * target  # what starts here or later finishes after all that the budget holds
+    rounds = F.when((whole > 0) & (target > 0), F.least(F.lit(max_passes), F.ceil((upto - F.col("before")) / F.col("source_size")))).otherwise(0)
+    passes = F.when(rounds > 0, F.sequence(F.lit(0), rounds.cast("int") - 1))
+    p = q.withColumn("pass", F.explode_outer(passes)).withColumn("start", F.col("pass") * F.col("source_size") + F.col("before"))
+    done = F.coalesce(F.col("start") + whole <= end * target, F.lit(True))
+    count = F.least(F.ceil(whole / packet), F.ceil((upto - F.col("start")) / packet))
+    p = p.withColumn("packet", F.explode(F.when(done, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))))
+    at = F.greatest(F.col("packet"), F.lit(0)) * packet
+    p = p.withColumn("words", F.when(F.col("packet") < 0, whole).otherwise(F.least(packet, whole - at)))
+    p = p.withColumn("finish", (F.col("start") + at + F.col("words")) / target)
+    p = written(p.drop("start"), "passes")
+    served = truncated(p.filter("pass is not null"), budget)
+    keys = ["skey", *(c for c in q.columns if c != "skey"), "pass"]
+    parts = served.filter("packet >= 0").groupBy(*keys).agg(F.max("finish").alias("finish"), F.sum("taken").alias("taken"))
+    out = served.filter("packet < 0").select(*keys, "finish", "taken").unionByName(parts)
     if not keep_untaken:
-        p = p.filter("taken > 0")
-    if budget is not None:
-        p = _cut(p, budget, bins)
-        if not keep_untaken:
-            p = p.filter("taken > 0")
-    return p.drop("skey").orderBy("finish", "turn", "doc_id")
-
-
-def _cut(p: DataFrame, budget: int, bins: int) -> DataFrame:
-    """Keep the first `budget` words in the order (finish, turn, doc_id, pass).
-
-    The order is cut into ranges of finish times by sums over bins, twice; only the passes of the one
-    fine bin that holds the cut are ranked."""
-    key = ["finish", "turn", "doc_id", "pass"]
-    p = written(p.withColumn("b1", F.floor(F.coalesce("finish", F.lit(0.0)) * bins)).withColumn("b2", F.floor(F.coalesce("finish", F.lit(0.0)) * bins * bins)), "queued")
-    left, part = int(budget), p.filter("taken > 0")
-    for name in ("b1", "b2"):
-        upto = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hit = part.groupBy(name).agg(F.sum("taken").alias("t")).withColumn("upto", F.sum("t").over(upto)).filter(F.col("upto") >= left).orderBy(name).first()
-        if hit is None:
-            return p.drop("b1", "b2")
-        left -= hit["upto"] - hit["t"]
-        part = part.filter(F.col(name) == hit[name])
-    upto = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = part.withColumn("upto", F.sum("taken").over(upto)).filter(F.col("upto") >= left).orderBy("upto").first()
-    mine, cut = F.struct(*key), F.struct(*[F.lit(last[k]).cast(p.schema[k].dataType).alias(k) for k in key])
-    rest = last["taken"] - (last["upto"] - left)
-    return p.withColumn("taken", F.when(mine < cut, F.col("taken")).when(mine == cut, F.lit(rest)).otherwise(0).cast("long")).drop("b1", "b2")
+        return out.filter("taken > 0").drop("skey")
+    # a document whose first pass gives nothing gives nothing in the later ones
+    out = out.filter("taken > 0 or pass = 0").unionByName(p.filter("pass is null").select(*keys, "finish", F.lit(0).cast("long").alias("taken")))
+    none = F.col("taken") == 0
+    return out.withColumn("pass", F.when(~none, F.col("pass"))).withColumn("finish", F.when(~none, F.col("finish"))).drop("skey")
+
+
+def _packet(target):
+    return F.greatest(F.lit(1), F.floor(target / PACKETS)).cast("long")
+
+
+ORDER = ["finish", "turn", "doc_id", "pass", "rn", "packet"]
+
+
+def truncated(p: DataFrame, budget: int) -> DataFrame:
+    """Adds taken: the words of each row inside of the first `budget` words in the order of finish times.
+
+    The rows are range-sorted and stored; each range is summed, and a row's place in the order is the sum of
+    the ranges before its own and of the rows before it there. Ties go by turn, doc_id, pass, rn and packet."""
+    p = p.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("range", F.spark_partition_id())
+    p = written(p, "merged")
+    sums = p.groupBy("range").agg(F.sum("words").alias("range_size"))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = sums.select("range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead"))
+    here = Window.partitionBy("range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    p = p.withColumn("upto", F.sum("words").over(here)).join(F.broadcast(sums), "range")
+    left = F.lit(int(budget)) - (F.col("ahead") + F.col("upto") - F.col("words"))
+    return p.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")).drop("range", "upto", "ahead")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
