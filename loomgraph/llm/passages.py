@@ -1,9 +1,12 @@
 """Repeated passages, removed by runs of sentences and lines.
 
-A text's sentences and lines are normalised, and the shortest runs of them that have min_words words, from each start
-and to each end, are hashed (or its paragraphs are); digests are grouped over the whole corpus; the occurrence with the
-least (doc_id, offset) stays and the others are removed, with their original offsets kept beside the cleaned text.
-Less than min_words words are never removed: short lines repeat by chance."""
+A text's lines are cut into sentences, and sentences of more than LONG words into pieces, after words that a hash of
+the word and the one before it picks: the same words are cut at the same places wherever they stand. The shortest runs
+of these that have min_words words, from each start on and up to each line's end, are normalised and hashed (or the
+text's paragraphs are); digests are grouped over the whole corpus; the occurrence with the least (doc_id, offset)
+stays and the others are removed, with their original offsets kept beside the cleaned text. A passage of 50 words is
+thus found wherever it begins and ends in its sentences, lines and texts. Less than min_words words are never removed:
+they repeat by chance."""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,81 +23,130 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._common import WORD, bounded_batches, table, written
 
-MIN_WORDS = 20
+#: Words of a unit, at least; words of a sentence that is not cut; one in how many places of a longer one is a cut.
+MIN_WORDS, LONG, CUT = 22, 14, 5
 _WORDS = re.compile(WORD)
 #: A sentence with the blanks after it, or the rest of a line.
-_SENTENCE, _PARAGRAPH = re.compile(r"[^\n]*?[.!?]+[)\"'\u2019\u201d]*[ \t]+(?=[^ \t\n])|[^\n]*?[\u3002\uff01\uff1f]+|[^\n]+"), re.compile(r"(?:(?!\n\s*\n).)+", re.S)
+_SENTENCE, _PARAGRAPH = re.compile(r"[^\n]*?[.!?]+[)\"'’”]*[ \t]+(?=[^ \t\n])|[^\n]*?[。！？]+|[^\n]+"), re.compile(r"(?:(?!\n\s*\n).)+", re.S)
+
+
+def _normal(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
 
 
 def _digest(plain: str) -> bytes:
-    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=12).digest()
 
 
-def units_of(text: str | None, min_words: int = MIN_WORDS, paragraphs: bool = False) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest of 16 bytes) of the text's units of at least min_words words, by start and end, none inside of another
-    but from or to the same place.
+def pieces_of(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, words, normal form) of a text's sentences, long ones in pieces; all are adjacent within a line.
 
-    Units are the shortest runs of adjacent sentences, over line ends, from each sentence on and up to each. What is repeated is
-    thus covered from its first whole sentence to its last. A unit that overlaps an equal one before it is left out.
-    Normal form: NFKC, case-folded, runs of white space as one blank."""
-    atoms = []
-    for m in (_PARAGRAPH if paragraphs else _SENTENCE).finditer(text or ""):
+    Normal form: NFKC, case-folded, words with one blank between them."""
+    out = []
+    for m in _SENTENCE.finditer(text):
         words = _WORDS.findall(m[0])
-        if words:
-            atoms.append((m.start(), m.end(), len(words), unicodedata.normalize("NFKC", " ".join(words)).casefold()))
+        if not words:
+            continue
+        if len(words) <= LONG:
+            out.append((m.start(), m.end(), len(words), _normal(" ".join(words))))
+            continue
+        plain = [_normal(w) for w in words]
+        start, low, ends = m.start(), 0, [x.end() for x in _WORDS.finditer(m[0])]
+        for k in range(1, len(plain) - 1):
+            if crc32(f"{plain[k - 1]} {plain[k]}".encode("utf-8", "surrogatepass")) % CUT == 0:
+                end = m.start() + ends[k]
+                out.append((start, end, k + 1 - low, " ".join(plain[low : k + 1])))
+                start, low = end, k + 1
+        out.append((start, m.end(), len(plain) - low, " ".join(plain[low:])))
+    return out
+
+
+def units_of(text: str | None, min_words: int = MIN_WORDS, paragraphs: bool = False) -> list[tuple[int, int, bytes, bool]]:
+    """(start, end, digest of 12 bytes, again) of the text's units of at least min_words words, by start and end, none
+    inside of another but from or to the same place.
+
+    again: an equal unit is before it in the text. A unit that overlaps an equal one before it is left out."""
+    if not text:
+        return []
     if paragraphs:
-        return [(s, e, _digest(plain)) for s, e, n, plain in atoms if n >= min_words]
-    total = [0, *accumulate(n for _, _, n, _ in atoms)]
-    runs = {(i, bisect_left(total, total[i] + min_words) - 1) for i in range(len(atoms)) if total[i] + min_words <= total[-1]}
-    runs |= {(bisect_right(total, total[j + 1] - min_words) - 1, j) for j in range(len(atoms)) if total[j + 1] >= min_words}
+        atoms = [(m.start(), m.end(), len(w), _normal(" ".join(w))) for m in _PARAGRAPH.finditer(text) if (w := _WORDS.findall(m[0]))]
+        runs = [(i, i) for i, a in enumerate(atoms) if a[2] >= min_words]
+    else:
+        atoms = pieces_of(text)
+        total = [0, *accumulate(a[2] for a in atoms)]
+        from_each = {(i, bisect_left(total, total[i] + min_words) - 1) for i in range(len(atoms)) if total[i] + min_words <= total[-1]}
+        line_ends = [j for j, a in enumerate(atoms) if j + 1 == len(atoms) or "\n" in text[a[1] : atoms[j + 1][0]]]
+        runs = sorted(from_each | {(bisect_right(total, total[j + 1] - min_words) - 1, j) for j in line_ends if total[j + 1] >= min_words})
     out, until = [], {}
-    for i, j in sorted(runs):
+    for i, j in runs:
         start, end, d = atoms[i][0], atoms[j][1], _digest(" ".join(a[3] for a in atoms[i : j + 1]))
-        if until.get(d, 0) <= start:
+        before = until.get(d)
+        if before is None or before <= start:
             until[d] = end
-            out.append((start, end, d))
+            out.append((start, end, d, before is not None))
     return out
 
 
+#: A unit: its row's doc_id and variant, its place, the first 8 and the last 4 bytes of its digest.
+UNIT = "doc_id long, variant int, start int, end int, high long, low int, again boolean"
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
-    """doc_id, start, end, high, low: one row a unit, its digest as two longs."""
+    """UNIT rows of docs (doc_id, variant, text)."""
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "start", "end", "high", "low"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+    names = ["doc_id", "variant", "start", "end", "high", "low", "again"]
 
     def of(batches):
         for b in batches:
-            cols = ([], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for s, e, d in units_of(text.as_py(), min_words, paragraphs):
-                    for c, x in zip(cols, (doc, s, e, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True))):
+            cols = [[] for _ in names]
+            for doc, variant, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                for s, e, d, again in units_of(text.as_py(), min_words, paragraphs):
+                    for c, x in zip(cols, (doc, variant, s, e, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), again)):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("variant").cast("int"), "text").mapInArrow(of, UNIT)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, start int, end int, high long, low long")
+def with_variant(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text) plus variant: 0 but where rows share a doc_id and not the text, whose texts are numbered by
+    their digests; and whether there are such rows."""
+    digest = F.xxhash64("text")
+    texts = docs.filter("doc_id is not null").select("doc_id", digest.alias("digest")).distinct()
+    several = texts.groupBy("doc_id").agg(F.sort_array(F.collect_set("digest")).alias("digests")).filter(F.size("digests") > 1)
+    several = written(several, "several")
+    if several.isEmpty():
+        return docs.withColumn("variant", F.lit(0)), False
+    named = several.withColumnRenamed("doc_id", "named")
+    got = docs.join(named, F.col("doc_id") == F.col("named"), "left")
+    at = F.when(F.col("digests").isNull(), 0).otherwise(F.array_position("digests", digest) - 1)
+    return got.select("doc_id", "text", at.cast("int").alias("variant")), True
 
 
-def repeats(found: DataFrame) -> DataFrame:
-    """Units that an earlier ranked unit equals: doc_id, start, end, first_doc_id. Null ids rank last.
+def repeats(found: DataFrame, several: bool = False) -> DataFrame:
+    """Units that an earlier ranked unit equals: doc_id, variant, start, end, first_doc_id.
 
     Digests are counted by partial sums; only those that repeat are joined back, and a digest that many
-    units have is a skewed side of a sort-merge join, which Spark splits."""
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("start"))
-    first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    got = found.join(first, ["high", "low"]).filter(rank > F.col("first"))
-    return got.select("doc_id", "start", "end", F.col("first")["doc_id"].alias("first_doc_id"))
+    units have is a skewed side of a sort-merge join, which Spark splits. several: doc_ids have several texts."""
+    rank = F.struct("doc_id", "variant") if several else F.col("doc_id")
+    first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    got = found.join(first, ["high", "low"]).filter((rank > F.col("first")) | F.col("again"))
+    return got.select("doc_id", "variant", "start", "end", (F.col("first")["doc_id"] if several else F.col("first")).alias("first_doc_id"))
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
     """doc_id, text without the removed units (and the line ends after them), n_removed and removed:
     array of (start, end, first_doc_id) by original offsets, of every row.
 
-    Rows that repeat a doc_id are taken as one document: what is removed from one is removed from all.
-    Null texts stay null; rows with a null doc_id stay as they are."""
+    Rows that repeat a doc_id and its text are one document: what is removed from one is removed from all.
+    Rows that share a doc_id but not the text are documents of their own, ranked by a digest of their texts.
+    Null texts stay null; rows with a null doc_id stay as they are and count for nothing; no rows give no rows."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs, several = with_variant(docs.select(F.col("doc_id").cast("long"), "text"))
     found = written(units(docs.filter("doc_id is not null"), min_words, paragraphs), "units")
-    spans = repeats(found).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "first_doc_id"))).alias("removed"))
-    both = docs.join(spans, "doc_id", "left").select("doc_id", "text", "removed")
+    spans = repeats(found, several).groupBy("doc_id", "variant").agg(F.sort_array(F.collect_set(F.struct("start", "end", "first_doc_id"))).alias("removed"))
+    both = docs.join(spans, ["doc_id", "variant"], "left").select("doc_id", "text", "removed")
     names = ["doc_id", "text", "n_removed", "removed"]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64())]))
 
@@ -104,7 +157,7 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = Fals
                 text, at, out = text.as_py(), 0, []
                 for r in cut:
                     out.append(text[at : r["start"]])
-                    at = r["end"] + (text[r["end"] : r["end"] + 1] == "\n")
+                    at = max(at, r["end"] + (text[r["end"] : r["end"] + 1] == "\n"))
                 texts.append("".join([*out, text[at:]]) if cut else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(r) for r in removed], pa.int32()), pa.array(removed, kind)], names)
 
@@ -112,5 +165,5 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = Fals
 
 
 def op9_passages(spark, sf_dir: str) -> DataFrame:
-    """All documents without their repeated runs of sentences and lines, and what was removed from where."""
+    """All documents without their repeated passages, and what was removed from where; see cleaned()."""
     return cleaned(table(spark, sf_dir, "documents"))
