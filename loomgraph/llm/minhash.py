@@ -3,7 +3,7 @@
 A batch of texts is hashed as one byte array: words by a polynomial over prefix sums, shingles by a
 mix of their words' hashes, then every permutation is one multiply-add over all shingles of the batch
 and one minimum a text. Signatures cut into bands are joined in Spark and the candidates' Jaccard
-similarity is verified on the shingles themselves (near_links)."""
+similarity is verified on the shingles themselves (copy_groups)."""
 
 from __future__ import annotations
 
@@ -142,7 +142,12 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts; see the columns' contract in README."""
+    """Fingerprints of all documents and of their edited texts: doc_id, n_chars, edited_sha256, fingerprint and
+    edited_fingerprint (the low 16 bits of 128 minima), near_edited and near_next (shares of equal minima).
+
+    A null text is empty; texts without words have one fingerprint, all ones. Equal texts have equal
+    fingerprints. Rows are in the order of doc_id, null last, and text, so repeated rows are each other's next
+    document; a single row is its own. Other columns aren't read; no rows give no rows."""
     bounded_batches(spark)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -212,62 +217,6 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, same binary, signature binary")
 
 
-def _band_keys(signature: bytes, bands: int) -> list[int]:
-    return [int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big", signed=True) for part in np.frombuffer(signature, "<u4").reshape(bands, -1).copy()]
-
-
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """Links (u, v, jaccard) between different texts of a Jaccard similarity of `threshold` or more.
-
-    Equal texts are one class, named by their least doc_id, so copies are no pairs. Texts that share a band
-    of their signatures are candidates; a band's group streams through one task sorted, pair distances
-    side by side, and each candidate's similarity is verified on its whole shingle sets. Texts without
-    words and rows without a doc_id have no links."""
-    rows = written(signed(docs.filter("doc_id is not null")), "signatures")
-    classes = rows.groupBy("same").agg(F.min(F.struct("doc_id", "signature")).alias("r")).select("r.doc_id", "r.signature")
-
-    def keys(batches):
-        for b in batches:
-            got = [(d, k, x) for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if s.strip(b"\xff") for k, x in enumerate(_band_keys(s, bands))]
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["rep", "band", "key"])
-
-    banded = classes.mapInArrow(keys, "rep long, band int, key long").repartition("band", "key").sortWithinPartitions("band", "key", "rep")
-
-    def pairs(batches):
-        held = None
-        for b in (*batches, None):
-            now = np.stack([b.column(k).to_numpy() for k in (1, 2, 0)], axis=1) if b is not None else np.zeros((0, 3), np.int64)
-            held = now if held is None else np.concatenate((held, now))
-            if not len(held):
-                continue
-            last = (held[:, :2] == held[-1, :2]).all(axis=1) if b is not None else np.zeros(len(held), bool)
-            done, held = held[~last], held[last]
-            at, d = np.arange(len(done)), 1
-            while len(at):
-                at = at[at + d < len(done)]
-                at = at[(done[at, :2] == done[at + d, :2]).all(axis=1)]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(done[at, 2]), pa.array(done[at + d, 2])], ["u", "v"])
-                d += 1
-
-    found = banded.mapInArrow(pairs, "u long, v long").filter("u <> v").distinct()
-    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = found.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-
-    def verify(batches):
-        for b in batches:
-            out = []
-            for u, v, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
-                s, _ = shingle_hashes([x.encode("utf-8", "surrogatepass")])
-                t, _ = shingle_hashes([y.encode("utf-8", "surrogatepass")])
-                s, t = np.unique(s), np.unique(t)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                out.append((u, v, common / max(1, len(s) + len(t) - common)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "jaccard"])
-
-    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, jaccard double").filter(F.col("jaccard") >= threshold)
-
-
 #: Texts of which over this share of the minima differ are not compared: at a similarity of 0.8 that has a chance of about 1e-10.
 UNLIKE = 58 / PERMUTATIONS
 #: Bytes of text of one cluster that a task compares; larger clusters are dealt out in pairs of chunks of half of it.
