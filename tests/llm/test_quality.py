@@ -35,6 +35,40 @@ def test_order_changes_no_verdict():
         assert any(r.rejects(quality.Features(t)) for r in ordered) == any(r.rejects(quality.Features(t)) for r in quality.RULES)
 
 
+def test_cheap_and_selective_rules_go_first():
+    """By a clock that the rules move: rejections per second decide, of what the base lets through."""
+    now = [0.0]
+
+    def rule(name, cost, share):
+        def rejects(f):
+            now[0] += cost
+            return hash(f.text) % 100 < share
+
+        return quality.Rule(name, rejects)
+
+    texts = [" ".join(f"w{i}x{k}" for i in range(80)) for k in range(300)] + ["few words"] * 300
+    rules = [rule("dear", 5.0, 60), rule("rare", 1.0, 2), rule("good", 1.0, 50)]
+    assert [r.name for r in quality.cascade(texts, rules, clock=lambda: now[0])] == ["good", "dear", "rare"]
+
+
+def test_a_rejected_text_meets_no_later_rule():
+    asked = []
+    rules = [quality.Rule(n, lambda f, n=n: asked.append(n) or n == "second") for n in ("first", "second", "third")]
+    good = quality.Features(" ".join(f"w{i}" for i in range(60)))
+    assert quality.verdict(good, rules) == (False, False) and asked == ["first", "second"]
+    assert quality.verdict(quality.Features("few"), rules) == (True, False) and asked == ["first", "second"]
+    assert quality.verdict(good, rules[:1]) == (False, True)
+    f = quality.Features("# * & " * 40 + " ".join(f"w{i}" for i in range(60)))
+    quality.verdict(f, [r for r in quality.RULES if r.name in ("symbols", "one_word")])
+    assert "commonest" not in vars(f)  # the feature of a rule that wasn't asked is not computed
+
+
+def test_sample_is_random(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r["doc_id"] for r in quality.random_rows(docs, 100).collect()]
+    assert 60 <= len(got) <= 100 and max(got) > 500 and got == [r["doc_id"] for r in quality.random_rows(docs, 100).collect()]
+
+
 def test_query(spark, sf):
     got = {r["doc_id"]: r for r in quality.op5_quality(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
