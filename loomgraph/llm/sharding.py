@@ -68,7 +68,10 @@ class SlotMap:
         return at
 
     @staticmethod
-    def load(spark: SparkSession, path: str, version: int) -> SlotMap:
+    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """A stored version, by default the last one."""
+        if version is None:
+            version = spark.read.parquet(path).agg(F.max("version")).first()[0]
         rows = spark.read.parquet(f"{path}/version={version:06d}").orderBy("vslot").collect()
         return SlotMap(tuple(r["shard"] for r in rows), rows[0]["shards"], version)
 
@@ -107,7 +110,17 @@ def sharded(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, slot_map:
     return rows.withColumn("slot", F.col("first") + F.row_number().over(here) - 1).drop("first")
 
 
+def resharded(docs: DataFrame, path: str, shards: int | None = None) -> tuple[DataFrame, SlotMap]:
+    """The rows by the next version of a stored map, which is edited for the slots' bytes now (and another number of
+    shards) and stored beside the others, and that version."""
+    spark = docs.sparkSession
+    last = SlotMap.load(spark, path)
+    now = last.rebalanced(slot_bytes(slotted(docs, len(last.shard_of)), len(last.shard_of)), shards)
+    return sharded(docs, now.shards, len(now.shard_of), now, path), now
+
+
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 39 of near equal bytes, by a stored slot-to-shard map."""
-    got = sharded(table(spark, sf_dir, "documents"), 40, store=f"{shared_dir(spark)}/slot_map")
-    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    """All documents in shards 0 to 39 of near equal bytes, by the slot-to-shard map that map_path names, version 1."""
+    path = f"{shared_dir(spark)}/slot_map"
+    got = sharded(table(spark, sf_dir, "documents"), 40, store=path)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(path).alias("map_path"), F.lit(1).alias("map_version"))

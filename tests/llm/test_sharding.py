@@ -32,7 +32,22 @@ def test_map_versions(spark, tmp_path):
     path = f"file://{tmp_path}/maps"
     one.store(spark, path)
     two.store(spark, path)
-    assert sharding.SlotMap.load(spark, path, 1) == one and sharding.SlotMap.load(spark, path, 2) == two
+    assert sharding.SlotMap.load(spark, path, 1) == one and sharding.SlotMap.load(spark, path, 2) == two == sharding.SlotMap.load(spark, path)
+
+
+def test_a_later_run_edits_the_query_s_map(spark):
+    """The map that the query stored is loaded by its path; a 41st shard takes rows, and no other one does."""
+    sf = "/root/testdata/sf0.01"
+    was = {r["doc_id"]: r for r in sharding.op10_sharding(spark, sf).collect()}
+    path = next(iter(was.values()))["map_path"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows, now = sharding.resharded(docs, path, 41)
+    got = {r["doc_id"]: r for r in rows.collect()}
+    assert now.version == 2 and sharding.SlotMap.load(spark, path) == now and set(got) == set(was)
+    moved = [d for d in got if got[d]["shard"] != was[d]["shard"]]
+    assert moved and {got[d]["shard"] for d in moved} == {40} and all(got[d]["vslot"] == was[d]["vslot"] for d in got)
+    load = np.bincount([r["shard"] for r in got.values()], weights=[r["size"] for r in got.values()], minlength=41)
+    assert load[40] > 0.7 * load.mean()
 
 
 def test_edges(odd_docs, no_docs):
