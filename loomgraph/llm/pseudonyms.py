@@ -2,24 +2,39 @@
 
 Values are found by pattern, checked (Luhn, mod 97, octets, calendar) and replaced by a keyed permutation
 of the set of all values of their format: a Feistel network over the value's number, walked until it lands
-inside the set again. The replacement has the format, length and checksum of what it replaces, and equal
-values become equal pseudonyms in every document, however their digits are grouped."""
+inside the set again. The permutation is one cycle through the whole set, so no value is its own pseudonym.
+The replacement has the format, length and checksum of what it replaces, and equal values become equal
+pseudonyms in every document, however their digits are grouped. Whoever has the key can undo them: it comes
+from the caller or the session and is never a constant."""
 
 from __future__ import annotations
 
 import datetime
 import hashlib
 import re
+import secrets
+from bisect import bisect_right, insort
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm._common import bounded_batches, table
 
-KEY = b"change this key: whoever holds it can undo the pseudonyms"
+#: Session setting of the key, in hex.
+KEY_SETTING = "spark.loomgraph.pseudonyms.key"
 ROUNDS = 8
 
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key; a session without one gets a random one, so values stay linked within it only."""
+    got = spark.conf.get(KEY_SETTING, None)
+    if got is None:
+        got = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, got)
+    return bytes.fromhex(got)
+
+
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CLASS = {c: group for group in (_LOWER, _UPPER, _DIGIT) for c in group}
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -53,11 +68,17 @@ def permute(value: int, size: int, key: bytes, kind: str, inverse: bool = False)
             return value
 
 
+def moved(value: int, size: int, key: bytes, kind: str, inverse: bool = False) -> int:
+    """The value's successor in the order that the key gives range(size): one cycle, no value stays."""
+    if size < 2:
+        return value
+    at = permute(value, size, key, kind) + (-1 if inverse else 1)
+    return permute(at % size, size, key, kind, inverse=True)
+
+
 def _digits(number: str, key: bytes, kind: str) -> str:
-    """As many digits; a fixed point of the permutation moves on."""
-    n = 10 ** len(number)
-    got = permute(int(number), n, key, kind)
-    return str(got).zfill(len(number))
+    """As many digits."""
+    return str(moved(int(number), 10 ** len(number), key, kind)).zfill(len(number))
 
 
 def _filled(shape: str, digits: str) -> str:
@@ -73,7 +94,7 @@ def _letters(text: str, key: bytes, kind: str, alphabet: dict | None = None) ->
     for c in text:
         if c in of:
             value, size = value * len(of[c]) + of[c].index(c), size * len(of[c])
-    value, out = permute(value, size, key, kind), []
+    value, out = moved(value, size, key, kind), []
     for c in reversed(text):
         if c in of:
             value, k = divmod(value, len(of[c]))
@@ -101,7 +122,7 @@ def _card_spans(text: str, taken) -> list[tuple[int, int]]:
     """Valid cards in every run of digit groups: any whole groups of 13 to 19 digits that pass Luhn, so a number beside a card
     doesn't hide it. Groups as cards are printed go first, then by place, longest first; other spans must not cut a phone number."""
     got: list[tuple[int, int]] = []
-    phones = None
+    mine, phones = Taken(), None
     for run in _RUN.finditer(text):
         if run.end() - run.start() < 13:
             continue
@@ -118,7 +139,7 @@ def _card_spans(text: str, taken) -> list[tuple[int, int]]:
                     spans.append((not printed, i, -j))
         for odd, i, j in sorted(spans):
             s, e = groups[i][0], groups[-j][1]
-            if any(a < e and s < b for a, b in got) or taken(s, e):
+            if mine(s, e) or taken(s, e):
                 continue
             d = re.sub(r"\D", "", text[s:e])
             if luhn_digit(d[:-1]) != d[-1]:
@@ -128,6 +149,7 @@ def _card_spans(text: str, taken) -> list[tuple[int, int]]:
                 if any((a < s < b or a < e < b) for a, b in phones):
                     continue
             got.append((s, e))
+            mine.add(s, e)
     return got
 
 
@@ -140,7 +162,7 @@ def _ip(m: re.Match, key: bytes) -> str | None:
     octets = [int(x) for x in m[0].split(".")]
     if max(octets) > 255:
         return None
-    got = permute(int.from_bytes(bytes(octets), "big"), 1 << 32, key, "ip")
+    got = moved(int.from_bytes(bytes(octets), "big"), 1 << 32, key, "ip")
     return ".".join(map(str, got.to_bytes(4, "big")))
 
 
@@ -165,17 +187,18 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
             return _filled(m[0], d)
 
 
-def _date(m: re.Match, key: bytes) -> str | None:
+def _date(m: re.Match, key: bytes, day_first: bool = True) -> str | None:
+    """Year first, or the day before the month where that can be (day_first=False: the month before the day)."""
     parts = [int(x) for x in re.split(r"\D", m[0])]
     year_first = len(re.split(r"\D", m[0])[0]) == 4
-    for order in ((0, 1, 2),) if year_first else ((2, 1, 0), (2, 0, 1)):
+    for order in ((0, 1, 2),) if year_first else ((2, 1, 0), (2, 0, 1))[:: 1 if day_first else -1]:
         try:
             day = datetime.date(*(parts[k] for k in order)).toordinal()
         except ValueError:
             continue
         if not _FIRST_DAY <= day <= _LAST_DAY:
             return None
-        d = datetime.date.fromordinal(_FIRST_DAY + permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date"))
+        d = datetime.date.fromordinal(_FIRST_DAY + moved(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date"))
         new = dict(zip(order, (d.year, d.month, d.day)))
         widths = [len(x) for x in re.split(r"\D", m[0])]
         marks = re.findall(r"\D", m[0]) + [""]
@@ -197,7 +220,7 @@ def _iban(m: re.Match, key: bytes) -> str | None:
 def _email(m: re.Match, key: bytes) -> str:
     local, _, domain = m[0].partition("@")
     got = _letters(local, key, "email")
-    return f"{got}@{domain}" if got != local else f"{local}@{_letters(domain, key, 'email')}"
+    return f"{got}@{domain}" if got != local else f"{local}@{_letters(domain, key, 'email')}"  # a name without letters
 
 
 def _secret(m: re.Match, key: bytes) -> str:
@@ -229,27 +252,44 @@ KINDS = [
 _ANY_DIGIT = re.compile(r"\d")
 
 
-def pseudonymised(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[str, int, int, str]]]:
+class Taken:
+    """Places that don't overlap, and whether one more would."""
+
+    def __init__(self):
+        self.starts, self.ends = [], {}
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.starts, start)
+        self.ends[start] = end
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return bool(k and self.ends[self.starts[k - 1]] > start or k < len(self.starts) and self.starts[k] < end)
+
+
+def pseudonymised(text: str | None, key: bytes, day_first: bool = True) -> tuple[str | None, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each value, by original offsets.
 
     Null stays null. Kinds are sought in a fixed order; a place that one kind has taken is closed to the
-    later ones."""
+    later ones. day_first: how dates are read that can be read in two ways."""
     if not text:
         return text, []
-    found, folded, digits = [], text.casefold(), _ANY_DIGIT.search(text)
+    found, taken, folded, digits = [], Taken(), text.casefold(), _ANY_DIGIT.search(text)
     for kind, needs, pattern, of in KINDS:
         if not (digits if needs is _NUMBER else any(x in (folded if kind == "secret" else text) for x in needs)):
             continue
         if kind == "card":
-            spans = _card_spans(text, lambda a, b: any(s < b and a < e for _, s, e, _ in found))
-            found += [(kind, s, e, _card(text[s:e], key)) for s, e in spans]
-            continue
-        for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for _, s, e, _ in found):
-                continue
-            new = of(m, key)
-            if new is not None:
-                found.append((kind, m.start(), m.end(), new))
+            new = [(kind, s, e, _card(text[s:e], key)) for s, e in _card_spans(text, taken)]
+        else:
+            new = []
+            for m in pattern.finditer(text):
+                if not taken(*m.span()):
+                    got = of(m, key, day_first) if kind == "date" else of(m, key)
+                    if got is not None:
+                        new.append((kind, *m.span(), got))
+        for _, s, e, _ in new:
+            taken.add(s, e)
+        found += new
     found.sort(key=lambda x: x[1])
     out, at = [], 0
     for _, s, e, new in found:
@@ -258,11 +298,11 @@ def pseudonymised(text: str | None, key: bytes = KEY) -> tuple[str | None, list[
     return "".join([*out, text[at:]]), found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, out: str = "found") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, out: str = "found", day_first: bool = True) -> DataFrame:
     """All columns of docs with the text replaced, and `out`: array of (kind, start, end, pseudonym).
 
     Rows are independent: no shuffle. Null and empty texts have an empty array; a column of docs
-    that has the name `out` is replaced."""
+    that has the name `out` is replaced; no rows give no rows."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop(out)
     at = docs.columns.index("text")
@@ -272,7 +312,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, out: str = "found") -> DataF
 
     def of(batches):
         for b in batches:
-            got = [pseudonymised(x.as_py(), key) for x in b.column(at)]
+            got = [pseudonymised(x.as_py(), key, day_first) for x in b.column(at)]
             cols = list(b.columns)
             cols[at] = pa.array([t for t, _ in got], pa.string())
             found = [[{"kind": k, "start": s, "end": e, "pseudonym": p} for k, s, e, p in f] for _, f in got]
@@ -282,6 +322,6 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, out: str = "found") -> DataF
 
 
 def op7_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    """doc_id, the text with pseudonyms, how many values it had and where, of all documents."""
-    got = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """doc_id, the text with pseudonyms by the session's key, how many values it had and where, of all documents."""
+    got = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return got.select("doc_id", "text", F.size("found").alias("n_found"), "found")

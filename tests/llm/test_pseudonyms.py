@@ -15,6 +15,52 @@ def test_permutation_is_one_and_inverts():
     assert all(P.permute(P.permute(v, big, KEY, "c"), big, KEY, "c", inverse=True) == v for v in (0, 1, big - 1, 123456789012345))
 
 
+def test_no_value_stays():
+    for size in (2, 3, 10, 97, 1000):
+        got = [P.moved(v, size, KEY, "x") for v in range(size)]
+        assert sorted(got) == list(range(size)) and all(a != b for a, b in enumerate(got))
+        assert [P.moved(v, size, KEY, "x", inverse=True) for v in got] == list(range(size))
+    day = datetime.date(1900, 1, 1)
+    for k in range(0, 73000, 7):
+        text = (day + datetime.timedelta(k)).isoformat()
+        assert P.pseudonymised(text, KEY)[0] != text
+
+
+def test_dates_in_two_orders():
+    iso = P.pseudonymised("2020-02-01", KEY)[0]
+    year, month, dom = iso.split("-")
+    assert P.pseudonymised("01/02/2020", KEY)[0] == f"{dom}/{month}/{year}"
+    assert P.pseudonymised("02/01/2020", KEY, day_first=False)[0] == f"{month}/{dom}/{year}"
+    assert P.pseudonymised("13/01/2020", KEY, day_first=False)[0] == P.pseudonymised("13/01/2020", KEY)[0]
+
+
+def test_query_against_one_text_at_a_time(spark, sf):
+    got = {r["doc_id"]: r for r in P.op7_pseudonyms(spark, sf).collect()}
+    key = P.session_key(spark)
+    assert P.session_key(spark) == key and len(key) == 32
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    links = {}
+    for r in rows:
+        new, found = P.pseudonymised(r["text"], key)
+        assert got[r["doc_id"]]["text"] == new and got[r["doc_id"]]["n_found"] == len(found)
+        out, at = "", 0  # the found places, replaced in the text, are the result
+        for f in got[r["doc_id"]]["found"]:
+            out, at = out + r["text"][at : f["start"]] + f["pseudonym"], f["end"]
+            was = re.sub(r"\D", "", r["text"][f["start"] : f["end"]])
+            if f["kind"] in ("card", "ssn", "phone"):
+                now = re.sub(r"\D", "", f["pseudonym"])
+                assert links.setdefault((f["kind"], was), now) == now != was
+        assert out + r["text"][at:] == new
+    assert sum(r["n_found"] for r in got.values()) > 10
+
+
+def test_many_values_in_one_text():
+    text = " ".join(f"user{k}@host.example" for k in range(20_000))
+    new, found = P.pseudonymised(text, KEY)
+    assert len(found) == 20_000 and "user17@" not in new
+
+
 def test_formats_and_links():
     text = (
         "card 4111 1111 1111 1111, again 4111111111111111, not 4111111111111112; ip 10.0.0.255 not 10.0.0.256; ssn 123-45-6789; "
@@ -43,7 +89,7 @@ def test_formats_and_links():
 
 def test_offsets_rebuild_the_text():
     text = "x a@b.co y 10.1.2.3 z"
-    new, found = P.pseudonymised(text)
+    new, found = P.pseudonymised(text, KEY)
     out, at = "", 0
     for _, s, e, p in found:
         out += text[at:s] + p
@@ -52,11 +98,11 @@ def test_offsets_rebuild_the_text():
 
 
 def test_edges(odd_docs, no_docs):
-    got = {r["doc_id"]: r for r in P.pseudonymise(odd_docs).collect()}
+    got = {r["doc_id"]: r for r in P.pseudonymise(odd_docs, KEY).collect()}
     assert got[2]["text"] is None and got[3]["text"] == "" and got[2]["found"] == []
     assert [f["kind"] for f in got[7]["found"]] == ["email", "phone", "card"] and "4111 1111" not in got[7]["text"]
-    assert P.pseudonymise(no_docs).count() == 0
-    assert P.pseudonymise(odd_docs, out="slot").columns == ["doc_id", "text", "lang", "source", "n_chars", "slot"]
+    assert P.pseudonymise(no_docs, KEY).count() == 0
+    assert P.pseudonymise(odd_docs, KEY, out="slot").columns == ["doc_id", "text", "lang", "source", "n_chars", "slot"]
 
 
 def test_cards_beside_other_numbers():
