@@ -17,13 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._common import WORD, bounded_batches, table
 
-#: Labelled documents used for training, at most: of label 1, of label 0.
-SAMPLE = (1500, 2500)
+#: Labelled documents used for training, at most: of label 1, of label 0; and bytes of their texts together.
+SAMPLE, SAMPLE_BYTES = (1500, 2500), 48 << 20
 BUCKETS, DIM, EPOCHS, STEPS, BATCH, RATE, GAIN, DECAY = 1 << 18, 4, 40, 300, 128, 0.1, 100.0, 3e-5
 #: Words of no meaning that each text is taken to have besides its own: a few words alone prove little.
 BLANKS = 10
@@ -195,16 +195,21 @@ def fold(doc_id: str) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> list:
-    """(doc_id, text, toxic) of at most `sample` documents of label 1 and 0 outside fold 0, by a hash of doc_id.
+def training_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list:
+    """(doc_id, text, toxic) of at most `sample` documents of label 1 and 0 outside fold 0, by a hash of doc_id, as many as
+    have sample_bytes together: half for each label, and no text has more than a quarter.
 
-    Only the ids of the sample are broadcast; rows without a label or an id are left out."""
+    Only the ids of the sample are broadcast; rows without a label or an id are left out, of rows that share an id the
+    greatest text counts."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")
     ids = known.filter("toxic = 1").orderBy(*order).limit(sample[0]).unionAll(known.filter("toxic = 0").orderBy(*order).limit(sample[1]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    one = {r["doc_id"]: r for r in sorted(rows.collect(), key=lambda r: r["text"] or "", reverse=True)}
-    return [(d, r["text"], r["toxic"]) for d, r in sorted(one.items())]
+    fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes // 4
+    rows = docs.select("doc_id", "text").filter(fits).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    # a row a document of the sample: the sums run over a bounded table, half of the bytes for each label
+    upto = Window.partitionBy("toxic").orderBy(*order)
+    rows = rows.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).filter(F.col("bytes") <= sample_bytes // 2)
+    return sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator())
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:

@@ -55,3 +55,14 @@ def test_long_words_are_read_to_their_end():
     want = f"<{text}>".encode()
     got = {g for p in toxicity.pieces(text) for g in toxicity.subwords(p)}
     assert all(want[i : i + n] in got for n in (4, 5, 6) for i in range(len(want) - n + 1))
+
+
+def test_sample_is_bounded(spark):
+    """Repeated rows count once, texts over a quarter of the bytes not at all, and a label's texts fill half of them."""
+    rows = [(k, "word " * 200) for k in range(400)] * 3 + [(1000, "x" * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in [*range(400), 1000]], "doc_id long, quality int, toxic int")
+    got = toxicity.training_sample(docs, labels, sample_bytes=100_000)
+    assert len({d for d, _, _ in got}) == len(got) and sum(len(t) for _, t, _ in got) <= 100_000
+    assert all(zlib.crc32(str(d).encode()) % 5 and y == d % 2 for d, _, y in got) and len([1 for _, _, y in got if y]) == 50
+    assert len(toxicity.training_sample(docs, labels, (3, 2))) == 5
