@@ -14,7 +14,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see.
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see, in one of the application's
+    own: what an application wrote can be deleted in one go once its results are read.
 
     Only where that setting is absent (a local session) is a temporary folder used."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,7 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{base.rstrip('/')}/loomgraph/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/loomgraph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with marks behind it as long as df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

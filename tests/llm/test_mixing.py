@@ -23,8 +23,8 @@ def water(sizes, weights=(1, 2, 3), most=3):
     return target
 
 
-def fair_queue(rows, turn, budget=None, most=3):
-    """Words taken of each (doc_id): all passes of all sources in one list by finish time, those that are not over by
+def fair_queue(rows, turn, budget=None, most=3, by_pass=False):
+    """Words taken of each doc_id (by_pass: of each of its passes): all passes of all sources in one list by finish time, those that are not over by
     the time of the cut in packets, from the front until the budget is used up. rows: (doc_id, source, size); turn:
     the shuffle's number of (doc_id, size)."""
     sizes = {}
@@ -46,8 +46,12 @@ def fair_queue(rows, turn, budget=None, most=3):
                     line += [((before + at + min(packet, n - at)) / target[s], t, d, p, k, at // packet, min(packet, n - at)) for at in range(0, n, packet)]
                 before += n
     taken, left = {}, budget
-    for *_, d, _, _, _, n in sorted(line):
-        taken[d] = taken.get(d, 0) + min(n, left)
+    for *_, d, p, _, _, n in sorted(line):
+        if by_pass:
+            given = taken.setdefault(d, {})
+            given[p] = given.get(p, 0) + min(n, left)
+        else:
+            taken[d] = taken.get(d, 0) + min(n, left)
         left -= min(n, left)
     return target, sizes, taken
 
