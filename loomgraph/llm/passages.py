@@ -1,12 +1,13 @@
 """Repeated passages, removed by runs of sentences and lines.
 
 A text's lines are cut into sentences, and sentences of more than LONG words into pieces, after words that a hash of
-the word and the one before it picks: the same words are cut at the same places wherever they stand. The shortest runs
-of these that have min_words words, from each start on and up to each line's end, are normalised and hashed (or the
-text's paragraphs are); digests are grouped over the whole corpus; the occurrence with the least (doc_id, offset)
-stays and the others are removed, with their original offsets kept beside the cleaned text. A passage of 50 words is
-thus found wherever it begins and ends in its sentences, lines and texts. Less than min_words words are never removed:
-they repeat by chance."""
+the word and the one before it picks: the same words are cut at the same places wherever they stand. Units are the
+shortest runs of pieces that have min_words words, from each line's first piece on, from the piece with the least hash
+of any adjacent ones that have NEAR words on, and up to each line's last piece (or they are the text's paragraphs).
+Units are normalised and hashed; digests are grouped over the whole corpus; the occurrence with the least (doc_id, offset) stays
+and the others are removed, with their original offsets kept beside the cleaned text. A passage of 50 words is thus
+found wherever it begins and ends in its sentences, lines and texts. Less than min_words words are never removed: they
+repeat by chance."""
 
 from __future__ import annotations
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._common import WORD, bounded_batches, table, written
 
-#: Words of a unit, at least; words of a sentence that is not cut; one in how many places of a longer one is a cut.
-MIN_WORDS, LONG, CUT = 22, 14, 5
+#: Words of a unit, at least; words of a sentence that is not cut; one in how many places of a longer one is a cut;
+#: words of adjacent pieces of which at least one starts a unit.
+MIN_WORDS, LONG, CUT, NEAR = 20, 14, 4, 12
 _WORDS = re.compile(WORD)
 #: A sentence with the blanks after it, or the rest of a line.
 _SENTENCE, _PARAGRAPH = re.compile(r"[^\n]*?[.!?]+[)\"'’”]*[ \t]+(?=[^ \t\n])|[^\n]*?[。！？]+|[^\n]+"), re.compile(r"(?:(?!\n\s*\n).)+", re.S)
@@ -74,9 +76,15 @@ def units_of(text: str | None, min_words: int = MIN_WORDS, paragraphs: bool = Fa
     else:
         atoms = pieces_of(text)
         total = [0, *accumulate(a[2] for a in atoms)]
-        from_each = {(i, bisect_left(total, total[i] + min_words) - 1) for i in range(len(atoms)) if total[i] + min_words <= total[-1]}
         line_ends = [j for j, a in enumerate(atoms) if j + 1 == len(atoms) or "\n" in text[a[1] : atoms[j + 1][0]]]
-        runs = sorted(from_each | {(bisect_right(total, total[j + 1] - min_words) - 1, j) for j in line_ends if total[j + 1] >= min_words})
+        mark = [(crc32(a[3].encode("utf-8", "surrogatepass")), i) for i, a in enumerate(atoms)]
+        starts = {0, *(j + 1 for j in line_ends[:-1])}
+        for i in range(len(atoms)):
+            if total[i] + NEAR > total[-1]:
+                break
+            starts.add(min(mark[i : bisect_left(total, total[i] + NEAR)])[1])
+        from_some = {(i, bisect_left(total, total[i] + min_words) - 1) for i in starts if total[i] + min_words <= total[-1]}
+        runs = sorted(from_some | {(bisect_right(total, total[j + 1] - min_words) - 1, j) for j in line_ends if total[j + 1] >= min_words})
     out, until = [], {}
     for i, j in runs:
         start, end, d = atoms[i][0], atoms[j][1], _digest(" ".join(a[3] for a in atoms[i : j + 1]))

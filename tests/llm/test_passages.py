@@ -20,7 +20,7 @@ def plain_pieces(text):
         first, start = 0, at
         for k in ends if words else ():
             stop = words[k + 1][1] if k + 1 < len(words) else at + len(line)
-            cuts = [c for c in range(first + 1, k) if zlib.crc32(f"{norm[c - 1]} {norm[c]}".encode()) % 5 == 0] if k + 1 - first > 14 else []
+            cuts = [c for c in range(first + 1, k) if zlib.crc32(f"{norm[c - 1]} {norm[c]}".encode()) % 4 == 0] if k + 1 - first > 14 else []
             for c in [*cuts, k]:
                 end = stop if c == k else words[c][2]
                 out.append([start, end, norm[first : c + 1], False])
@@ -31,12 +31,17 @@ def plain_pieces(text):
     return out
 
 
-def plain_units(text, least=22):
+def plain_units(text, least=20):
     p, found = plain_pieces(text or ""), set()
+    hashes = [zlib.crc32(" ".join(x[2]).encode()) for x in p]
+    starts = {k for k in range(len(p)) if k == 0 or p[k - 1][3]}
+    for k in range(len(p)):
+        near = next((m for m in range(1, len(p) - k + 1) if sum(len(x[2]) for x in p[k : k + m]) >= 12), 0)
+        starts |= {k + hashes[k : k + near].index(min(hashes[k : k + near]))} if near else set()
     for i in range(len(p)):
         for j in range(i, len(p)):
             n = sum(len(x[2]) for x in p[i : j + 1])
-            if n >= least and (j == i or n - len(p[j][2]) < least):
+            if i in starts and n >= least and (j == i or n - len(p[j][2]) < least):
                 found.add((i, j))  # the shortest from i on
             if n >= least and p[j][3] and (j == i or n - len(p[i][2]) < least):
                 found.add((i, j))  # the shortest up to the line's end
@@ -45,7 +50,7 @@ def plain_units(text, least=22):
     return [(p[i][0], p[j][1], tuple(w for x in p[i : j + 1] for w in x[2])) for i, j in sorted(found)]
 
 
-def plain_cleaned(rows, least=22):
+def plain_cleaned(rows, least=20):
     seen, out = set(), {}
     for d, text in sorted(rows):
         spans, until, mine = [], {}, set()
