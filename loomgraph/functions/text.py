@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import takewhile
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,22 +70,33 @@ def without_possessive(text: Column) -> Column:
     return F.regexp_replace(text, "['’]s?$", "")
 
 
+def without_comma(text: Column) -> Column:
+    """Without one trailing comma."""
+    return F.regexp_replace(text, ",$", "")
+
+
 def from_capital(text: Column) -> Column:
     """From the first upper-case letter on; empty where there is none."""
     return F.regexp_extract(text, r"(\p{Lu}.*)$", 1)
 
 
 def iri(text: Column) -> Column:
-    """A local IRI: everything but letters, digits, _ and : as _, one pass of __ to _, no leading _.
+    """A local IRI: trimmed, everything but letters, digits, _ and : as _, one pass of __ to _, no leading _.
 
-    A trailing _ takes the character before it along."""
-    t = F.regexp_replace(text, "[^:a-zA-Z0-9_]", "_")
+    A trailing _ takes the character before it along. iri_of() is the same for Python batches."""
+    t = F.regexp_replace(F.trim(text), "[^:a-zA-Z0-9_]", "_")
     t = _rep(t, "__", "_")
     t = F.when(F.startswith(t, F.lit("_")), F.substring(t, 2, 1 << 30)).otherwise(t)
     t = F.concat(F.lit(":"), t)
     return F.when(F.endswith(t, F.lit("_")), F.left(t, F.length(t) - 2)).otherwise(t)
 
 
+def iri_of(text: str) -> str:
+    t = re.sub("[^:a-zA-Z0-9_]", "_", text.strip(" ")).replace("__", "_")
+    t = ":" + t.removeprefix("_")
+    return t[:-2] if t.endswith("_") else t
+
+
 def base_type(ner: Column) -> Column:
     for part in ("PLURAL", "SING", "FEMALE", "MALE"):
         ner = _rep(ner, part, "")
@@ -110,9 +124,9 @@ def after(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.substring(text, at + len(mark), F.lit(1 << 30))).otherwise("")
 
 
-def after_text(whole: Column, part: Column, width: int = 80) -> Column:
-    """The next characters after the first place of a part in the whole."""
-    return F.substring(whole, F.position(part, whole) + F.length(part), F.lit(width))
+def after_text(whole: Column, part: Column) -> Column:
+    """What follows the first place of a part in the whole."""
+    return F.substring(whole, F.position(part, whole) + F.length(part), F.lit(1 << 30))
 
 
 def truncated(text: Column, n: int = 90) -> Column:
@@ -125,25 +139,29 @@ def first_ordinal_text(labels: list[str], ordinal: Column) -> Column:
 
 
 def date_valid(text: Column) -> Column:
-    """yyyy-mm-dd with 1900 < year < 2100, month 1 to 12 and day 1 to 31 (no calendar)."""
-    y, m, d = (F.regexp_extract(text, r"^(\d{4})-(\d{2})-(\d{2})$", k).try_cast("int") for k in (1, 2, 3))
+    """Year, month and day with hyphens: 1900 < year < 2100, month 1 to 12 and day 1 to 31 (no calendar)."""
+    y, m, d = (F.regexp_extract(text, r"^(\d{4})-(\d+)-(\d+)$", k).try_cast("int") for k in (1, 2, 3))
     return F.coalesce((y > 1900) & (y < 2100) & m.between(1, 12) & d.between(1, 31), F.lit(False))
 
 
+# Fixed value: a day of the month; an unpadded one before a comma has a blank in front.
+DAY = "[0-9] | [0-9],|[0-2][0-9] |[0-2][0-9],|3[0-1] |3[0-1],"
+
+
 def time_iri(text: Column, before_after: str = "", needs_date: bool = False) -> Column:
-    """IRI of a point in time: year, month name, day and weekday where the text has them."""
+    """IRI of a point in time: year, month name and day where the text has them, else its weekday, else
+    the text itself (needs_date: nothing)."""
     year = F.regexp_extract(text, "([0-9]{4})", 1)
     month, weekday = (F.regexp_extract(text, f"({'|'.join(names)})", 1) for names in (MONTHS, WEEKDAYS))
-    day = F.trim(F.regexp_replace(F.regexp_extract(text, "([0-2]?[0-9] |[0-2]?[0-9],|3[01] |3[01],)", 1), ",", ""))
-    found = F.concat(
+    day = F.trim(F.regexp_replace(F.regexp_extract(text, f"({DAY})", 1), ",", ""))
+    date = F.concat(
         F.when(year != "", F.concat(F.lit("_Yr"), year)).otherwise(""),
         F.when(month != "", F.concat(F.lit("_Mo"), month)).otherwise(""),
         F.when(day != "", F.concat(F.lit("_Day"), day)).otherwise(""),
-        F.when((weekday != ""), F.concat(F.lit("_"), weekday)).otherwise(""),
     )
     head = F.lit(f":PiT_{before_after}" if before_after else ":PiT")
     plain = F.concat(F.lit(":PiT_"), F.lower(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9 ]", ""), " ", "_")))
-    return F.when(found != "", F.concat(head, found)).otherwise(F.lit("") if needs_date else plain)
+    return F.when(date != "", F.concat(head, date)).when(weekday != "", F.concat(head, F.lit("_Day"), weekday)).otherwise(F.lit("") if needs_date else plain)
 
 
 def bias_class(source: Column, center: list[str], conservative: list[str], international: list[str] | None = None) -> Column:
@@ -151,10 +169,27 @@ def bias_class(source: Column, center: list[str], conservative: list[str], inter
     return out.when(source.isin(center), "center").when(source.isin(conservative), "conservative").otherwise("liberal")
 
 
+#: Latin letters and marks of one character each, and what they fold to; LONG_FOLD fold to two.
+_MARKED = "ÀÁÂÃÄÅĀĂĄàáâãäåāăąÈÉÊËĒĖĘĚèéêëēėęěÌÍÎÏĪĮİìíîïīįıÒÓÔÕÖØŌŐòóôõöøōőÙÚÛÜŪŮŰŲùúûüūůűųÇĆČçćčĎĐďđĞğĢģĶķŁĻĽłļľÑŃŅŇñńņňŔŘŕřŚŞŠśşšŢŤţťÝŸýÿŹŻŽźżžÐð‘’“”–— "
+_PLAIN = "AAAAAAAAAaaaaaaaaaEEEEEEEEeeeeeeeeIIIIIIIiiiiiiiOOOOOOOOooooooooUUUUUUUUuuuuuuuuCCCcccDDddGgGgKkLLLlllNNNNnnnnRRrrSSSsssTTttYYyyZZZzzzDd''\"\"-- "
+LONG_FOLD = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th", "…": "..."}
+
+
 def ascii_folded(text: Column) -> Column:
-    """Common Latin letters without their marks; other characters outside of ASCII drop out."""
-    plain = F.translate(text, "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÇçÑñÝýÿ", "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuCcNnYyy")
-    return F.regexp_replace(_rep(_rep(_rep(plain, "ß", "ss"), "Æ", "AE"), "æ", "ae"), "[^\\x00-\\x7F]", "")
+    """Latin letters without their marks, plain quotes and dashes; other characters outside of ASCII drop out.
+
+    folded() is the same for Python batches."""
+    plain = F.translate(text, _MARKED, _PLAIN)
+    for mark, two in LONG_FOLD.items():
+        plain = _rep(plain, mark, two)
+    return F.regexp_replace(plain, "[^\\x00-\\x7F]", "")
+
+
+_FOLD = str.maketrans(dict(zip(_MARKED, _PLAIN)) | LONG_FOLD)
+
+
+def folded(text: str) -> str:
+    return text.translate(_FOLD).encode("ascii", "ignore").decode()
 
 
 def url_encoded(text: Column, blank: str = "+") -> Column:
@@ -162,10 +197,45 @@ def url_encoded(text: Column, blank: str = "+") -> Column:
 
 
 def base_words(text: Column) -> Column:
-    """The trailing run of capitalised words; where the last word is none, of lower-case words."""
-    capital = F.regexp_extract(text, r"((?:\p{Lu}\S*)(?: \p{Lu}\S*)*)$", 1)
-    lower = F.regexp_extract(text, r"((?:[^\p{Lu}\s]\S*)(?: [^\p{Lu}\s]\S*)*)$", 1)
-    return F.when(capital != "", capital).otherwise(lower)
+    """What a mention is about, for texts of several words with a capital: where the last word is capitalised
+    its trailing words up to a lower-case one, else its trailing words up to a capitalised one. Other texts
+    are their own base words."""
+    run = lambda stop: F.regexp_replace(F.regexp_extract(text, rf"(?:^|\s)((?:[^{stop}\s]\S*)(?:\s+[^{stop}\s]\S*)*)\s*$", 1), r"\s+", " ")
+    last_capital = text.rlike(r"(?:^|\s)\p{Lu}\S*\s*$")
+    base = F.when(F.contains(text, F.lit(" ")) & text.rlike(r"\p{Lu}"), F.when(last_capital, run(r"\p{Ll}")).otherwise(run(r"\p{Lu}")))
+    return F.coalesce(F.nullif(base, F.lit("")), text)
+
+
+def base_words_of(text: str) -> str:
+    words = text.split()
+    if " " not in text or not any(c.isupper() for c in text) or not words:
+        return text
+    stop = str.islower if words[-1][0].isupper() else str.isupper
+    kept = list(takewhile(lambda w: not stop(w[0]), reversed(words)))
+    return " ".join(reversed(kept)) or text
+
+
+def cleaned_name(text: Column) -> Column:
+    """A mention in ASCII without dots, leading article, trailing conjunction and possessive, from its first
+    capital on; empty where nothing of two characters is left. cleaned_name_of() is the same in Python."""
+    t = F.trim(without_article(ascii_folded(_rep(text, ".", ""))))
+    t = F.trim(without_conjunction(t))
+    t = F.trim(F.regexp_extract(t, "(?s)([A-Z].*)$", 1))
+    return F.when(F.length(t) > 1, without_possessive(t)).otherwise("")
+
+
+def cleaned_name_of(text: str) -> str:
+    t = re.sub(f"^(?:{'|'.join(ARTICLES)}) ", "", folded(text.replace(".", ""))).strip(" ")
+    t = re.sub(r" (?:and|or)\Z", "", t).strip(" ")
+    m = re.search(r"[A-Z].*\Z", t, re.S)
+    t = m[0].strip(" ") if m else ""
+    return re.sub(r"['’]s?\Z", "", t) if len(t) > 1 else ""
+
+
+def plain_extract(text: Column) -> Column:
+    """An encyclopedia's extract on one line: double quotes to single ones, line ends and hard blanks to
+    blanks, other characters outside of ASCII to question marks."""
+    return F.regexp_replace(F.regexp_replace(_rep(text, '"', "'"), "[\u00a0\n]", " "), "[^\\x00-\\x7F]", "?")
 
 
 def json_reply(text: Column, schema: str) -> Column:
@@ -173,6 +243,22 @@ def json_reply(text: Column, schema: str) -> Column:
     return F.from_json(_rep(text, "\n", " "), schema)
 
 
+def paragraphs(text: Column) -> Column:
+    """What blank lines divide."""
+    return F.split(text, "\n\n")
+
+
+def whole_number(text: Column) -> Column:
+    """An integer written in digits only; null for anything else."""
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))
+
+
+def last_wins(entries: Column) -> Column:
+    """A map of (key, value) structs, where of equal keys the last one counts."""
+    later = lambda x, k: F.exists(F.slice(entries, k + 2, F.size(entries)), lambda y: y["key"] == x["key"])
+    return F.map_from_entries(F.filter(entries, lambda x, k: ~later(x, k)))
+
+
 def punctuation(text: Column) -> tuple[Column, Column]:
     return F.contains(text, F.lit("?")), F.contains(text, F.lit("!"))
 

@@ -1,4 +1,4 @@
-"""Alignment of topics by the cosine similarity of their vectors."""
+"""Alignment of topics: by the cosine similarity of their vectors, or by the words of their names."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass over the index holds in memory.
-BLOCK = 20_000
+#: Query vectors that one pass over the index holds in memory, and vectors compared with each other at once.
+BLOCK, SIDE = 20_000, 1_000
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -20,7 +20,7 @@ def _matrix(vectors) -> np.ndarray:
 def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str) -> DataFrame:
     """left (query), right (its nearest other vector), score: exact, as blocks of queries against all rows.
 
-    Each pass broadcasts at most BLOCK queries and keeps one candidate a query and batch, so the result of
+    Each pass broadcasts at most BLOCK queries and keeps one candidate a query and task, so the result of
     a pass is small and no pairs are ever rows. Of equals the least key wins."""
     out = None
     total = queries.filter(F.col(vector).isNotNull()).count()
@@ -33,15 +33,22 @@ def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str) -> Data
 
         def of(batches, shared=shared):
             ids, q = shared.value
+            top, who = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
             for b in batches:
                 b = b.sort_values(key)
-                own = b[key].to_numpy()
-                score = np.round(q @ _matrix(b[vector]).T, 9)
-                score[ids[:, None] == own[None, :]] = -np.inf
-                best = score.argmax(axis=1)
-                got = score[np.arange(len(ids)), best]
-                keep = np.isfinite(got)
-                yield pd.DataFrame({"left": ids[keep], "right": own[best[keep]], "score": got[keep]})
+                for at in range(0, len(b), SIDE):  # a task holds SIDE x SIDE scores and one candidate a query
+                    own = b[key].to_numpy()[at : at + SIDE]
+                    m = _matrix(b[vector].iloc[at : at + SIDE]).T
+                    for lo in range(0, len(ids), SIDE):
+                        mine = slice(lo, lo + SIDE)
+                        score = np.round(q[mine] @ m, 9)
+                        score[ids[mine, None] == own[None, :]] = -np.inf
+                        best = score.argmax(axis=1)
+                        got, by = score[np.arange(len(best)), best], own[best]
+                        better = (got > top[mine]) | ((got == top[mine]) & np.isfinite(got) & (by < who[mine]))
+                        top[mine], who[mine] = np.where(better, got, top[mine]), np.where(better, by, who[mine])
+            keep = np.isfinite(top)
+            yield pd.DataFrame({"left": ids[keep], "right": who[keep], "score": top[keep]})
 
         rows = index.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(of, "left long, right long, score double")
         out = rows if out is None else out.unionByName(rows)
@@ -49,3 +56,23 @@ def nearest(queries: DataFrame, index: DataFrame, key: str, vector: str) -> Data
         return index.sparkSession.createDataFrame([], "left long, right long, score double")
     best = out.groupBy("left").agg(F.max(F.struct("score", (-F.col("right")).alias("r"))).alias("b"))
     return best.select("left", (-F.col("b.r")).alias("right"), F.col("b.score").alias("score"))
+
+
+def words(name) -> F.Column:
+    return F.array_distinct(F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def compared(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """(topic) and (topic) -> left, right, score: topics that are each other's best match, by the Jaccard similarity
+    of their words, of at least `least`; all others alone, with a null on the other side.
+
+    Topics meet on words, not as a cross product. Of equals the least topic wins; null topics are left out."""
+    side = lambda d, n: d.select(F.col("topic").alias(n)).filter(F.col(n).isNotNull()).distinct().withColumn(f"{n}_words", words(F.col(n)))
+    a, b = side(left, "left"), side(right, "right")
+    met = a.withColumn("w", F.explode("left_words")).join(b.withColumn("w", F.explode("right_words")), "w")
+    met = met.groupBy("left", "right").agg(F.count("*").alias("common"), F.first(F.size("left_words")).alias("n"), F.first(F.size("right_words")).alias("m"))
+    scored = met.withColumn("score", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).filter(F.col("score") >= least)
+    best = lambda k, o: scored.groupBy(k).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(o).alias("o"))).alias("b")).select(F.col(k), F.col("b.o").alias(o), (-F.col("b.s")).alias("score"))
+    pairs = best("left", "right").join(best("right", "left").drop("score"), ["left", "right"])
+    got = a.select("left").join(pairs, "left", "left").join(b.select("right"), "right", "full")
+    return got.select("left", "right", "score")

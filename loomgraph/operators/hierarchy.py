@@ -5,31 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
+from loomgraph.operators.stored import counted, stored
 
-
-def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.cache()
-
-
-def closure(edges: DataFrame, reflexive: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
     """(child, parent) -> (child, ancestor, depth), with the least depth of each pair.
 
-    Paths double in length every round, so a hierarchy of depth d takes log2(d) joins; cycles end as soon
-    as a round adds nothing. reflexive adds every class as its own ancestor at depth 0."""
-    edges = edges.select("child", "parent").distinct()
-    now = _saved(edges.filter("child != parent").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    n, reach = now.count(), 1
-    while reach < max_depth:
+    Paths double in length every round, so a hierarchy of depth d takes log2(d) joins, however deep it is;
+    cycles end as soon as a round adds nothing. A round joins what the last one found or shortened with all
+    paths. reflexive adds every class as its own ancestor at depth 0."""
+    edges = stored(edges.select("child", "parent").distinct())
+    now, n = counted(edges.filter("child != parent").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    while n:
         step = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child"))
         step = step.select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")).filter("child != ancestor")
-        now = _saved(now.unionByName(step).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
-        reach, m = reach * 2, now.count()
+        now, m = counted(now.unionByName(step).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
         if m == n:
-            break
+            break  # no pair is new; a shorter way would have been found with the pair, as all ways double alike
         n = m
     if reflexive:
         nodes = edges.select(F.col("child").alias("child")).union(edges.select("parent")).distinct()
@@ -64,16 +55,16 @@ def is_instance(facts: DataFrame, closed: DataFrame, allowed: list[str]) -> Data
 def linked_list(first: DataFrame, following: DataFrame) -> DataFrame:
     """(owner, node) heads and (node, next) links -> (owner, node, seq): chains walked by pointer doubling.
 
-    Every node learns its distance to the chain's end, in log2(length) joins; seq counts from 1."""
-    jump = _saved(following.select(F.col("node"), F.col("next").alias("to"), F.lit(1).alias("steps")))
-    heads = first.select("owner", F.col("node").alias("head"))
-    reach = _saved(heads.select("owner", F.col("head").alias("node"), F.lit(1).alias("seq")))
-    for _ in range(MAX_DEPTH):
+    Each round knows twice as many nodes from their owner's head, so a chain takes log2(length) rounds; seq
+    counts from 1. A chain that comes back to a node of its own ends there."""
+    jump = stored(following.select(F.col("node"), F.col("next").alias("to"), F.lit(1).alias("steps")))
+    reach, n = counted(first.select("owner", "node", F.lit(1).alias("seq")))
+    while n:
         step = reach.join(jump, "node").select("owner", F.col("to").alias("node"), (F.col("seq") + F.col("steps")).alias("seq"))
-        more = step.join(reach, ["owner", "node"], "left_anti")
-        if more.isEmpty():
+        reach, m = counted(reach.unionByName(step).groupBy("owner", "node").agg(F.min("seq").alias("seq")))
+        if m == n:
             return reach
-        reach = _saved(reach.unionByName(more))
+        n = m
         twice = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node"))
-        jump = _saved(twice.select("a.node", "b.to", (F.col("a.steps") + F.col("b.steps")).alias("steps")))
+        jump = stored(twice.select("a.node", "b.to", (F.col("a.steps") + F.col("b.steps")).alias("steps")))
     return reach

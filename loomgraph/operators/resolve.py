@@ -1,8 +1,8 @@
 """Entity resolution: mentions to known labels, by priority and then by the order of labels.
 
-1 a country's name, 2 the label itself, 3 a label inside of the mention's base words, 4 the mention inside
-of a label. Exact matches are equi-joins; only what they leave enters the containment join, whose label
-side is a dictionary: it is broadcast when its size allows and joined by blocks of labels otherwise."""
+1 a country's name, 2 the label itself, 3 a label inside of the mention's base words, 4 the mention's base
+words inside of a label. Exact matches are equi-joins; only what they leave enters the containment joins,
+which are equi-joins on short substrings."""
 
 from __future__ import annotations
 
@@ -10,18 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import base_words
-
-BROADCAST_LABELS = 200_000
+from loomgraph.functions.text import base_words, base_words_of, cleaned_name, iri_of
+from loomgraph.operators.substring import containing
 
 
 def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None = None) -> DataFrame:
-    """mentions (mention) x labels (label, iri, seq) x countries (name, iri) -> mention, iri, priority.
+    """mentions (mention) x labels (label, iri, seq) x countries (name, iri) -> mention, iri, priority, label.
 
-    Mentions without a match have a null iri and priority 5. Repeated mentions are resolved once."""
+    Mentions without a match have a null iri and priority 5. Repeated mentions are resolved once; null ones
+    are left out, an empty one matches nothing. Of equals the least seq, then the least iri wins."""
     m = mentions.select("mention").where("mention is not null").distinct()
-    order = Window.partitionBy("label").orderBy("seq", "iri")
-    exact = labels.withColumn("k", F.row_number().over(order)).filter("k = 1").select(F.col("label").alias("mention"), F.col("iri").alias("label_iri"))
+    labels = labels.select("label", F.col("iri").alias("label_iri"), F.col("seq").cast("long").alias("seq")).filter("label <> ''")
+    order = Window.partitionBy("label").orderBy("seq", "label_iri")
+    exact = labels.withColumn("k", F.row_number().over(order)).filter("k = 1").select(F.col("label").alias("mention"), "label_iri")
     got = m.join(exact, "mention", "left")
     if countries is not None:
         named = countries.groupBy(F.col("name").alias("mention")).agg(F.min("iri").alias("country_iri"))
@@ -29,21 +30,14 @@ def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None
     else:
         got = got.withColumn("country_iri", F.lit(None).cast("string"))
     got = got.withColumn("iri", F.coalesce("country_iri", "label_iri")).withColumn("priority", F.when(F.col("country_iri").isNotNull(), 1).when(F.col("label_iri").isNotNull(), 2))
-    done, rest = got.filter("iri is not null").select("mention", "iri", "priority"), got.filter("iri is null").select("mention")
-    rest = rest.withColumn("base", base_words(F.col("mention")))
-    side = labels.select("label", F.col("iri").alias("label_iri"), "seq")
-    blocks = max(1, -(-labels.count() // BROADCAST_LABELS))
-    inside = (F.col("base") != "") & F.contains(F.col("base"), F.col("label"))
-    rank = F.when(F.col("label").isNull(), 5).when(inside, 3).otherwise(4)
-    least = F.min(F.struct(rank.alias("priority"), F.col("seq"), F.col("label_iri").alias("iri")))
-    best = None
-    for k in range(blocks):  # each block of labels is small enough to broadcast
-        part = side.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k) if blocks > 1 else side
-        hit = rest.join(F.broadcast(part), inside | F.contains(F.col("label"), F.col("mention")), "left")
-        one = hit.groupBy("mention").agg(least.alias("b"))
-        best = one if best is None else best.unionByName(one)
-    best = best.groupBy("mention").agg(F.min("b").alias("b"))
-    return done.unionByName(best.select("mention", "b.iri", "b.priority"))
+    known = F.col("mention") != ""
+    done = got.filter(F.col("iri").isNotNull() & known).select("mention", "iri", "priority", F.col("mention").alias("label"))
+    rest = got.filter(F.col("iri").isNull() & known).select("mention", base_words(F.col("mention")).alias("base"))
+    inside = containing(labels, "label", rest, "base").withColumn("priority", F.lit(3))
+    around = containing(rest, "base", labels, "label").withColumn("priority", F.lit(4))
+    hit = inside.unionByName(around).groupBy("mention").agg(F.min(F.struct("priority", "seq", "label_iri", "label")).alias("b"))
+    found = done.unionByName(hit.select("mention", F.col("b.label_iri").alias("iri"), "b.priority", "b.label"))
+    return m.join(found, "mention", "left").withColumn("priority", F.coalesce("priority", F.lit(5)))
 
 
 def phrase_or_rest(phrases: DataFrame, known: DataFrame) -> DataFrame:
@@ -55,26 +49,33 @@ def phrase_or_rest(phrases: DataFrame, known: DataFrame) -> DataFrame:
     return p.withColumn("role", F.coalesce("r1", "r2")).filter("role is not null").select("phrase", "role")
 
 
-def hyphen_parts(mentions: DataFrame, known: DataFrame) -> DataFrame:
-    """(mention) with '-' split into its parts if all of them are known (name); others stay whole."""
+def hyphen_parts(mentions: DataFrame, known: DataFrame, keep_known: bool = False) -> DataFrame:
+    """(mention) with '-' split into its parts if all of them are known (name); others stay whole.
+
+    keep_known also keeps a mention that is known as a whole, so one that is split stays beside its parts."""
     p = mentions.select("mention").distinct().withColumn("part", F.explode(F.split("mention", "-")))
     k = known.select(F.col("name").alias("part")).distinct().withColumn("hit", F.lit(True))
     p = p.join(k, "part", "left")
     every = p.groupBy("mention").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("all_known"))
     p = p.join(every, "mention")
-    return p.filter("all_known").select("mention", "part").unionByName(every.filter("not all_known").select("mention", F.col("mention").alias("part")))
+    got = p.filter("all_known").select("mention", "part").unionByName(every.filter("not all_known").select("mention", F.col("mention").alias("part")))
+    if keep_known:
+        whole = k.select(F.col("part").alias("mention")).join(every.filter("all_known and contains(mention, '-')"), "mention", "left_semi")
+        got = got.unionByName(whole.select("mention", F.col("mention").alias("part")))
+    return got
 
 
-def merged_places(entities: list[tuple[str, str]], sentence: str) -> list[tuple[str, str]]:
-    """Neighbouring places that the sentence has as 'a, b' become one 'a,b'; two are taken at a time."""
+def merged_places(entities: list[tuple], sentence: str) -> list[tuple]:
+    """Neighbouring places (text, type, ...) of one type that the sentence has as 'a, b' become one 'a,b'; two
+    are taken at a time, and what else they had is empty."""
     out, k = [], 0
     while k < len(entities):
-        text, kind = entities[k]
-        if k + 1 < len(entities) and kind in ("GPE", "LOC") and entities[k + 1][1] == kind and f"{text}, {entities[k + 1][0]}" in sentence:
-            out.append((f"{text},{entities[k + 1][0]}", kind))
+        text, kind, *more = entities[k]
+        if k + 1 < len(entities) and ("GPE" in kind or "LOC" in kind) and entities[k + 1][1] == kind and f"{text}, {entities[k + 1][0]}" in sentence:
+            out.append((f"{text},{entities[k + 1][0]}", kind, *([] for _ in more)))
             k += 2
         else:
-            out.append((text, kind))
+            out.append(tuple(entities[k]))
             k += 1
     return out
 
@@ -98,51 +99,78 @@ def gender(names: DataFrame, female: DataFrame, male: DataFrame) -> DataFrame:
     return got.select("name", F.when(F.col("f").isNotNull(), "FEMALE").when(F.col("m").isNotNull(), "MALE").otherwise("").alias("gender"))
 
 
-def cleaned_name(text: str) -> str:
-    """A mention without dots, leading article, trailing conjunction and possessive, from its first capital
-    on; empty where nothing of two characters is left."""
-    import re
-    import unicodedata
-
-    t = "".join(c for c in unicodedata.normalize("NFKD", text.replace(".", "")) if not unicodedata.combining(c))
-    t = re.sub(r"^(?:a|A|an|An|the|The) ", "", t)
-    t = re.sub(r" (?:and|or)$", "", t)
-    m = re.search(r"[A-Z].*$", t)
-    t = re.sub(r"['’]s?$", "", m[0] if m else "")
-    return t if len(t) > 1 else ""
-
-
-def _minted(text: str) -> str:
-    import re
-
-    t = re.sub(r"[^:a-zA-Z0-9_]", "_", text).replace("__", "_").strip("_")
-    return f":{t}"
+class Dictionary:
+    """A narrative's dictionary while it is read: what was known before, found by name, and what it defines.
+
+    before: name -> (iri, ner_type, priority, label), see resolved(); own labels hide equal ones from before."""
+
+    def __init__(self, before: dict):
+        self.before, self.own = before, {}
+
+    def find(self, text: str) -> tuple[str, str | None] | None:
+        """(iri, ner_type) of a text: a country, an exact label, a label in the base words, the base words in
+        a label; what was known before goes ahead of what the narrative defines."""
+        known = self.before.get(text)
+        rank = known[2] if known else 9
+        if known and known[3] in self.own and rank > 1:
+            known = (*self.own[known[3]], rank, known[3])
+        if not text or rank == 1:
+            return known[:2] if known else None
+        if text in self.own:
+            return self.own[text]
+        if rank == 2:
+            return known[:2]
+        base = base_words_of(text)
+        if rank == 3:
+            return known[:2]
+        hit = next((x for label, x in self.own.items() if label in base), None)
+        if hit is None and rank == 4:
+            return known[:2]
+        return hit or next((x for label, x in self.own.items() if base in label), None)
+
+    def exact(self, text: str) -> bool:
+        known = self.before.get(text)
+        return text in self.own or bool(known and known[2] == 2)
+
+    def define(self, labels: list[str], iri: str, ner_type: str) -> None:
+        for label in labels:
+            if label:
+                self.own[label] = (iri, ner_type)
+
+
+def split_known(entities: list[tuple], known) -> list[tuple]:
+    """(text, ner_type, ...) with hyphens split into parts if all are known; one known as a whole stays, too."""
+    out = []
+    for e in entities:
+        parts = e[0].split("-")
+        if len(parts) == 1:
+            out.append(e)
+            continue
+        if known(e[0]):
+            out.append(e)
+        out += [(p, *e[1:]) for p in parts] if all(map(known, parts)) else [e]
+    return out
 
 
 def defined_in_order(mentions: DataFrame, labels: DataFrame) -> DataFrame:
-    """(narrative_id, offset, k, text, kind) against (label, iri) -> the same with iri and is_new.
+    """(narrative_id, offset, k, text, kind) against (label, iri, seq) -> the same with iri and is_new.
 
     The dictionary grows while a narrative is read: a mention that no label matches defines an entity that
-    the narrative's later mentions can match. Narratives are independent of each other, so they are dealt
-    to tasks; one narrative's mentions are read in order. Known labels are a checked, broadcast list."""
-    rows = labels.orderBy("seq").select("label", "iri").limit(BROADCAST_LABELS + 1).collect()
-    if len(rows) > BROADCAST_LABELS:
-        raise ValueError(f"more than {BROADCAST_LABELS} labels: resolve() them first, then only the rest in order")
-    known = mentions.sparkSession.sparkContext.broadcast([(r["label"], r["iri"]) for r in rows])
+    the narrative's later mentions can match. Known labels are matched before, by distributed joins; only a
+    narrative's own definitions are made in order, by one task a narrative: its mentions in turn."""
+    rows = mentions.withColumn("name", cleaned_name(F.col("text"))).filter("name <> ''")
+    known = resolved(rows.select(F.col("name").alias("mention")), labels).filter("iri is not null")
+    rows = rows.join(known.select(F.col("mention").alias("name"), F.struct("iri", "priority", "label").alias("known")), "name", "left")
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        exact, listed, out = dict(reversed(known.value)), list(known.value), []
+        book, out = Dictionary({}), []
         for r in pdf.sort_values(["offset", "k"]).itertuples(index=False):
-            name = cleaned_name(r.text)
-            iri, new = exact.get(name), False
-            if iri is None and name:
-                iri = next((i for label, i in listed if label in name), None) or next((i for label, i in listed if name in label), None)
-            if iri is None and name:
-                iri, new = _minted(name), True
-                exact[name] = iri
-                listed.append((name, iri))
-            if name:
-                out.append((r.narrative_id, r.offset, r.k, r.text, r.kind, iri, new))
+            if r.known is not None:
+                book.before[r.name] = (r.known["iri"], r.kind, r.known["priority"], r.known["label"])
+            hit = book.find(r.name)
+            if hit is None:
+                book.define([r.name], iri_of(r.name), r.kind)
+            out.append((r.narrative_id, r.offset, r.k, r.text, r.kind, hit[0] if hit else iri_of(r.name), hit is None))
         return pd.DataFrame(out, columns=["narrative_id", "offset", "k", "text", "kind", "iri", "is_new"])
 
-    return mentions.groupBy("narrative_id").applyInPandas(of, "narrative_id string, offset long, k long, text string, kind string, iri string, is_new boolean")
+    return rows.groupBy("narrative_id").applyInPandas(of, "narrative_id string, offset long, k long, text string, kind string, iri string, is_new boolean")

@@ -17,6 +17,14 @@ def modal_class(modal: Column, future: Column) -> Column:
     return F.try_element_at(table, key)
 
 
+def concept_class(description: Column) -> Column:
+    """Class of a group of people by the first keyword that its description has; null for none."""
+    out, low = F, F.lower(description)
+    for word, name in vocab.CONCEPT_CLASS.items():
+        out = out.when(F.contains(low, F.lit(word)), name)
+    return out
+
+
 def category(ordinal: Column, values: list[str], default: str) -> Column:
     """Class of a 1-based ordinal; the default outside of the vocabulary."""
     return F.when(ordinal.between(1, len(values)), F.element_at(F.array(*[F.lit(v) for v in values]), F.greatest(F.least(ordinal, F.lit(len(values))), F.lit(1)).cast("int"))).otherwise(default)
@@ -64,14 +72,14 @@ def predicate(role: Column, event: Column, noun: Column, text: Column, any_agent
     some noun of the same event is its agent, see with_any_agent()."""
     role = F.lower(role)
     agent, place = noun.isin(vocab.AGENT_CLASSES), noun.isin(vocab.LOCATION_BUSINESS)
-    animate = noun.isin([c for c in vocab.AGENT_CLASSES if c != ":Plant"])
+    animate = noun.isin([c for c in vocab.AGENT_CLASSES if ":Plant" not in c])
     measure = _has(event, ":Measurement", ":AssessmentMeasurement") | _any([noun.contains(x) for x in (":Measurement", ":AssessmentMeasurement")])
     attribute = _has(event, ":AttributeAndCharacteristic")
     group = _any([noun.contains(x) for x in (":LineOfBusiness", ":EthnicGroup", ":PoliticalGroup", ":ReligiousGroup")])
     feeling = _has(event, ":EmotionalResponse", ":SensoryPerception", ":AttributeAndCharacteristic", ":Cognition")
     table = F.create_map(*[F.lit(x) for r in vocab.ROLES for x in (r, vocab.ROLE_PREDICATE[r])])
     return (
-        F.when(measure, F.when(text.rlike("[0-9]"), ":has_quantification").otherwise(":has_context"))
+        F.when(measure, F.when(text.rlike(r"\p{Nd}"), ":has_quantification").otherwise(":has_context"))
         .when(attribute & group, ":has_aspect")
         .when(attribute & role.isin("agent", "experiencer"), ":has_context")
         .when(_has(event, ":Affiliation"), F.when(role.isin("agent", "experiencer", "subject"), ":has_context").otherwise(":affiliated_with"))
