@@ -1,29 +1,36 @@
-"""Articles from news sites: which addresses can be read, text out of HTML, duplicate titles."""
+"""Articles from news sites: which addresses are read, text out of their pages, duplicate titles, searches."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.vocab import EXCLUDED_URL_PARTS
+from loomgraph.functions.vocab import EXCLUDED_URL_PARTS, SITE_RULES
+from loomgraph.operators import html as H
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: An article's text has more characters than this.
+LEAST_TEXT = 500
+INTERIM = "https://news.google.com/"
 
 
-def excluded(url: Column, rules: DataFrame | None = None) -> Column:
-    """Video and live pages, which hold little text."""
+def _any_part(url: Column, parts) -> Column:
     out = F.lit(False)
-    for part in EXCLUDED_URL_PARTS:
+    for part in parts:
         out = out | F.contains(url, F.lit(part))
     return out
 
 
-def site_rules(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    """(ordinal, url_key, element) in the order in which they are tried."""
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "ordinal int, url_key string, element string")
+def excluded(url: Column, sites=tuple(SITE_RULES)) -> Column:
+    """Video and live pages, which hold little text, and sites without a rule. sites=None: only the former."""
+    out = _any_part(url, EXCLUDED_URL_PARTS)
+    return out if sites is None else out | ~_any_part(url, sites)
+
+
+def site_rules(spark: SparkSession, rules: dict[str, list[str]] | None = None) -> DataFrame:
+    """(ordinal from 1, url_key, rule) in the order in which they are tried."""
+    rules = SITE_RULES if rules is None else rules
+    return spark.createDataFrame([(n, k, r) for n, (k, r) in enumerate(rules.items(), 1)], "ordinal int, url_key string, rule array<string>")
 
 
 def first_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -32,58 +39,16 @@ def first_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     Rules are a short list by construction, so they are broadcast; the least ordinal is a partial
     aggregate, not a sort."""
     hit = pages.join(F.broadcast(rules), F.contains(pages["url"], rules["url_key"]))
-    best = hit.groupBy("page_id").agg(F.min(F.struct("ordinal", "url_key", "element")).alias("r"))
-    return best.select("page_id", "r.ordinal", "r.url_key", "r.element")
-
-
-class _Text(HTMLParser):
-    """Text inside of a chosen element, and of chosen children in it; scripts and styles have none."""
-
-    def __init__(self, within: str, take: str):
-        super().__init__(convert_charrefs=True)
-        self.within, self.take, self.depth, self.inside, self.hidden, self.out = within, take, 0, 0, 0, []
-        self.stack: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            return
-        self.stack.append(tag)
-        self.hidden += tag in ("script", "style")
-        self.depth += tag == self.within
-        if tag == self.take and (self.depth or not self.within):
-            self.inside += 1
-            self.out.append([])
-
-    def handle_endtag(self, tag):
-        if tag not in self.stack:
-            return
-        while self.stack:
-            t = self.stack.pop()
-            self.hidden -= t in ("script", "style")
-            if t == self.take and (self.depth or not self.within) and self.inside:
-                self.inside -= 1
-            self.depth -= t == self.within
-            if t == tag:
-                break
-
-    def handle_data(self, data):
-        if self.inside and not self.hidden and data.strip():
-            self.out[-1].append(data.strip())
-
-
-def html_text(html: str | None, within: str = "article", take: str = "p") -> str:
-    p = _Text(within, take)
-    p.feed(html or "")
-    p.close()
-    return " ".join(" ".join(x) for x in p.out if x)
-
-
-def extracted(pages: DataFrame, within: str = "article", take: str = "p", least: int = 0) -> DataFrame:
-    """page_id and the text of the pages that have over `least` characters of it."""
+    best = hit.groupBy("page_id").agg(F.min(F.struct("ordinal", "url_key", "rule")).alias("r"))
+    return best.select("page_id", "r.ordinal", "r.url_key", "r.rule")
+
+
+def extracted(pages: DataFrame, start: str = "article", at: str = "p", least: int = 0) -> DataFrame:
+    """page_id and the text of the pages that have over `least` characters of it, by one rule for all."""
 
     def of(batches):
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "text": [html_text(h, within, take) for h in b["html"]]})
+            yield pd.DataFrame({"page_id": b["page_id"], "text": [H.read(H.page(h), [start, at]) for h in b["html"]]})
 
     return pages.select("page_id", "html").mapInPandas(of, "page_id long, text string").filter(F.length("text") > least)
 
@@ -94,46 +59,67 @@ def redirect(html: Column) -> Column:
     return F.when((F.size(found) == 1) & ~F.contains(found[0], F.lit("404")), found[0])
 
 
-def article_body(html: Column) -> Column:
-    """articleBody of the page's JSON-LD; null without one."""
-    block = F.regexp_extract(html, r'(?s)<script[^>]*ld\+json[^>]*>(.*?)</script>', 1)
-    return F.get_json_object(block, "$.articleBody")
+def article_texts(pages: DataFrame, rules: dict[str, list[str]] | None = None, least: int = LEAST_TEXT) -> DataFrame:
+    """(page_id, url, html) -> page_id, url, text of the pages with an article of over `least` characters.
 
+    Removed and excluded pages and sites without a rule have none. An interim page stands for the page of its
+    og:url, which is taken from the same pages. The first rule whose key the url contains decides."""
+    rules = SITE_RULES if rules is None else rules
+    pages = pages.filter(~F.contains("url", F.lit("removed.com")))
+    interim = F.startswith("url", F.lit(INTERIM))
+    direct = pages.filter(~interim & ~excluded(F.col("url"), rules)).select("page_id", "url", "html")
+    moved = pages.filter(interim).select("page_id", redirect(F.col("html")).alias("url")).filter(~excluded(F.col("url"), rules))
+    target = pages.filter(~interim).groupBy(F.col("url").alias("target")).agg(F.min("html").alias("html"))
+    all_ = direct.unionByName(moved.join(target, F.col("url") == F.col("target")).select("page_id", "url", "html"))
+    listed = list(rules.items())
 
-def without_prefix_titles(titles: DataFrame, width: int = 30) -> DataFrame:
-    """(id, title): rows are dropped whose first `width` characters start another row's title.
+    def of(batches):
+        for b in batches:
+            texts = [H.read(H.page(h), next((r for k, r in listed if k in u), [])) for u, h in zip(b["url"], b["html"])]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
-    The prefixes are of one length, so this is an equi-join on the prefix, not a theta join. Rows that
-    match each other are all dropped; shorter titles are compared as a whole."""
-    t = titles.withColumn("head", F.left(F.coalesce("title", F.lit("")), F.lit(width)))
-    long = t.filter(F.length("title") >= width)
-    n = t.groupBy("head").agg(F.count("*").alias("n"))
-    kept_long = long.join(n, "head").filter("n = 1").select("id", "title")
-    short = t.filter(F.coalesce(F.length("title"), F.lit(0)) < width)
-    other = t.select(F.col("id").alias("other_id"), F.col("title").alias("other"))
-    # a short title is a prefix of other titles of any length: its own length picks the key
-    lengths = F.sequence(F.lit(1), F.least(F.lit(width - 1), F.length("other")))
-    keys = other.filter(F.length("other") > 0).select("other_id", F.explode(F.transform(lengths, lambda k: F.left(F.col("other"), k))).alias("title"))
-    kept_short = short.filter("title <> ''").join(keys.groupBy("title").agg(F.count("*").alias("n")), "title").filter("n = 1").select("id", "title")
-    return kept_long.unionByName(kept_short)
+    return all_.mapInPandas(of, "page_id long, url string, text string").filter(F.length("text") > least)
 
 
-def pages_needed(total: Column, size: int = 100) -> Column:
-    return F.ceil(total / F.lit(size)).cast("int")
+def article_body(pages: DataFrame) -> DataFrame:
+    """page_id and the text that the page's JSON-LD holds; without one it is empty."""
 
+    def of(batches):
+        for b in batches:
+            yield pd.DataFrame({"page_id": b["page_id"], "text": [H.body_of_json(H.page(h)) for h in b["html"]]})
+
+    return pages.select("page_id", "html").mapInPandas(of, "page_id long, text string")
 
-def span_paragraphs(html: str | None, least: int = 75) -> str:
-    """Texts of paragraphs that begin with a span, of those over `least` characters."""
-    import re
 
-    found = re.findall(r"<p[^>]*>\s*<span[^>]*>(.*?)</span>", html or "", re.S)
-    texts = [re.sub(r"<[^>]+>", "", x).strip() for x in found]
-    return " ".join(x for x in texts if len(x) > least)
+def without_prefix_titles(titles: DataFrame, width: int = 30) -> DataFrame:
+    """(id, title): rows are dropped whose first `width` characters start another row's title.
+
+    The prefixes are of one length, so this is an equi-join on the prefix, not a theta join. Rows that
+    match each other are all dropped; shorter titles are compared as a whole. A null title starts nothing
+    and stays; an empty one starts every other."""
+    t = titles.select("id", "title")
+    known = t.filter("title is not null")
+    head = F.left("title", F.lit(width))
+    n = known.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
+    kept_long = known.filter(F.length("title") >= width).withColumn("head", head).join(n, "head").filter("n = 1").select("id", "title")
+    # a short title is a prefix of other titles of any length: its own length picks the key
+    lengths = F.sequence(F.lit(0), F.least(F.lit(width - 1), F.length("title")))
+    keys = known.select(F.explode(F.transform(lengths, lambda k: F.left(F.col("title"), k))).alias("head")).groupBy("head").agg(F.count("*").alias("n"))
+    kept_short = known.filter(F.length("title") < width).join(keys, F.col("title") == F.col("head")).filter("n = 1").select("id", "title")
+    return kept_long.unionByName(kept_short).unionByName(t.filter("title is null"))
 
 
-def matching_articles(sources: list[DataFrame], width: int = 30) -> DataFrame:
-    """(id, title, ...) of several searches together, without the ones whose title another one starts with."""
+def matching_articles(sources: list[DataFrame], width: int = 30, aggregator: str = "Google News") -> DataFrame:
+    """(id, title, published, source, url) of several searches together: without excluded addresses, and
+    without the aggregator's articles whose first characters start another one's title."""
     every = sources[0]
     for s in sources[1:]:
         every = every.unionByName(s)
-    return every.join(without_prefix_titles(every.select("id", "title"), width).select("id"), "id", "left_semi")
+    from_it = F.coalesce(F.col("source") == aggregator, F.lit(False))
+    alone = without_prefix_titles(every, width).select("id").withColumn("alone", F.lit(True))
+    got = every.join(alone, "id", "left").filter(~from_it | F.coalesce("alone", F.lit(False))).drop("alone")
+    return got.filter(~F.coalesce(excluded(F.col("url"), None), F.lit(False)))
+
+
+def pages_needed(total: Column, size: int = 100) -> Column:
+    return F.ceil(total / F.lit(size)).cast("int")

@@ -1,10 +1,13 @@
 """The quad store: named graphs of a repository as rows (repo, graph, s, p, o, o_kind, o_type, o_lang).
 
-A graph has set semantics. Mutations are functions from quads to quads; QuadTable applies them to a table
-partitioned by repo, replacing whole partitions, so that a reader sees one version or the other."""
+A graph has set semantics. Mutations are functions from quads to quads; QuadTable applies them to a table of
+versions of repositories, so that a reader sees one version or the other."""
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,58 +125,112 @@ def triple_counts(store: DataFrame) -> DataFrame:
 
 def repo_graphs(store: DataFrame, repo: str, exact: bool = True) -> DataFrame:
     """Graphs of a repository; exact=False matches any graph whose name contains the string."""
-    hit = F.col("graph").startswith(f"{repo}_") if exact else F.col("graph").contains(repo)
+    hit = F.col("repo") == repo if exact else F.col("graph").contains(repo)
     return store.filter(hit).select("graph").distinct()
 
 
+def escaped(text: Column) -> Column:
+    """A literal's characters between double quotes, on one line."""
+    for old, new in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def serialised(store: DataFrame) -> DataFrame:
     """One line a triple, in code point order: the order makes exports comparable."""
-    o = F.when(F.col("o_kind") == "iri", F.col("o")).otherwise(F.concat(F.lit('"'), F.col("o"), F.lit('"'), F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).when(F.col("o_type").isNotNull(), F.concat(F.lit("^^"), F.col("o_type"))).otherwise("")))
+    mark = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).when(F.col("o_type").isNotNull(), F.concat(F.lit("^^"), F.col("o_type"))).otherwise("")
+    o = F.when(F.col("o_kind").isin("iri", "bnode"), F.col("o")).otherwise(F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'), mark))
     return store.select(F.concat_ws(" ", "s", "p", o, F.lit(".")).alias("line")).orderBy("line")
 
 
+#: Prefixes that every export declares; others where a line uses them.
+DECLARED = ["", "owl", "rdf", "rdfs", "xsd"]
+
+
 def exported(store: DataFrame, repo: str, graph: str) -> list[str]:
     """Prefix lines, a blank line and the graph's lines, for one narrative's graph."""
-    lines = serialised(store.filter((F.col("repo") == repo) & (F.col("graph") == graph)))
-    return [f"@prefix {p}: <{u}> ." for p, u in list(PREFIXES.items())[:5]] + [""] + [r["line"] for r in lines.toLocalIterator()]
+    graph_ = store.filter((F.col("repo") == repo) & (F.col("graph") == graph))
+    names = F.array_compact(F.array(*[F.when(F.contains(c, F.lit(":")), F.substring_index(c, ":", 1)) for c in ("s", "p", "o_type")], F.when(F.col("o_kind") == "iri", F.substring_index("o", ":", 1))))
+    used = {r[0] for r in graph_.select(F.explode(names).alias("name")).filter(F.col("name").isin(list(PREFIXES))).distinct().collect()}
+    head = [f"@prefix {p}: <{u}> ." for p, u in PREFIXES.items() if p in DECLARED or p in used]
+    return [*head, "", *(r["line"] for r in serialised(graph_).toLocalIterator())]
 
 
 class QuadTable:
-    """Quads as a Parquet table partitioned by repo."""
+    """Quads as Parquet, one folder a repository, in it one a version, in it one a change.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A version is its first folder and what was added since. A folder counts once its write is complete, so a
+    replacement is seen as a whole or not at all; the version before stays for those who read it. A repository
+    has one writer at a time."""
+
+    #: Added folders after which a version is written anew.
+    MANY = 64
 
-    def read(self) -> DataFrame:
-        try:
-            return quads(self.spark.read.parquet(self.path))
-        except Exception as e:  # the first write makes the table
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return self.spark.createDataFrame([], SCHEMA)
-            raise
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _list(self, *parts: str) -> list[str]:
+        """Names in a folder; none where there is no such folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _delete(self, *parts: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    @staticmethod
+    def _folder(repo: str) -> str:
+        return "repo-" + repo.encode().hex()
+
+    def _version(self, folder: str) -> tuple[int, list[str]]:
+        """The last complete version and its folders; 0 and none for a new repository."""
+        for v in reversed([x for x in self._list(folder) if re.fullmatch(r"v\d+", x)]):
+            whole = [d for d in self._list(folder, v) if "_SUCCESS" in self._list(folder, v, d)]
+            if any(d.startswith("0-") for d in whole):
+                return int(v[1:]), [f"{self.path}/{folder}/{v}/{d}" for d in whole]
+        return 0, []
+
+    def read(self, repo: str | None = None) -> DataFrame:
+        """All quads, or a repository's."""
+        folders = [self._folder(repo)] if repo is not None else [x for x in self._list() if x.startswith("repo-")]
+        paths = [p for f in folders for p in self._version(f)[1]]
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def _write(self, repo: str, rows: DataFrame) -> None:
-        staged = f"{self.path}.staged"
-        rows.filter(F.col("repo") == repo).write.mode("overwrite").parquet(staged)  # never overwrite what is being read
-        ready = self.spark.read.schema(SCHEMA).parquet(staged)
-        target = ready.drop("repo").repartition("graph").sortWithinPartitions("graph", "p", "s")
-        target.write.mode("overwrite").parquet(f"{self.path}/repo={repo}")
+        """The repository's next version; the one before the last goes."""
+        folder = self._folder(repo)
+        v, _ = self._version(folder)
+        ready = quads(rows.filter(F.col("repo") == repo)).repartition("graph", "p").sortWithinPartitions("graph", "p", "s")
+        ready.write.parquet(f"{self.path}/{folder}/v{v + 1:08d}/0-{uuid.uuid4().hex}")
+        for old in [x for x in self._list(folder) if re.fullmatch(r"v\d+", x) and int(x[1:]) < v]:
+            self._delete(folder, old)
 
     def add(self, repo: str, new: DataFrame) -> int:
-        fresh = new_only(self.read().filter(F.col("repo") == repo), new.filter(F.col("repo") == repo))
-        n = fresh.count()
-        if n:
-            fresh.drop("repo").write.mode("append").parquet(f"{self.path}/repo={repo}")
+        """Adds what isn't there, and says how many quads that was."""
+        folder = self._folder(repo)
+        v, paths = self._version(folder)
+        place = f"{self.path}/{folder}/v{max(v, 1):08d}/{1 if paths else 0}-{uuid.uuid4().hex}"
+        new_only(self.read(repo), new.filter(F.col("repo") == repo)).write.parquet(place)
+        n = self.spark.read.schema(SCHEMA).parquet(place).count()
+        if not n and paths:
+            self._delete(place.removeprefix(self.path + "/"))
+        elif len(paths) > self.MANY:
+            self._write(repo, self.read(repo))
         return n
 
     def remove(self, repo: str, old: DataFrame) -> None:
-        self._write(repo, removed(self.read().filter(F.col("repo") == repo), old))
+        self._write(repo, removed(self.read(repo), old))
 
     def clear(self, repo: str, graph: str) -> None:
-        self._write(repo, cleared(self.read().filter(F.col("repo") == repo), repo, graph))
+        self._write(repo, cleared(self.read(repo), repo, graph))
 
     def replace(self, repo: str, graph: str, new: DataFrame) -> None:
-        self._write(repo, replaced(self.read().filter(F.col("repo") == repo), repo, graph, new))
+        self._write(repo, replaced(self.read(repo), repo, graph, new))
 
     def apply(self, repo: str, change) -> None:
-        self._write(repo, change(self.read().filter(F.col("repo") == repo)))
+        self._write(repo, change(self.read(repo)))
+
+    def drop(self, repo: str) -> None:
+        """All of a repository."""
+        self._delete(self._folder(repo))

@@ -42,10 +42,11 @@ def background(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def background_names(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = F.create_map(*[F.lit(x) for kv in BACKGROUND_NER.items() for x in kv])
-    b = b.withColumn("ner", F.try_element_at(kinds, F.col("type")))
+    b = b.withColumn("ner", F.try_element_at(kinds, F.lower("type")))
     plural = F.when(F.coalesce("isCollection", F.lit(False)), "PLURAL").otherwise("")
-    ok = b.filter("ner is not null").select("name", "type", F.coalesce("alsoKnownAs", F.array().cast("array<string>")).alias("also"), F.concat(plural, "ner").alias("ner"))
-    return ok, b.filter("ner is null").select("name", "type")
+    more = [c for c in b.columns if c not in ("name", "type", "alsoKnownAs", "isCollection", "ner")]
+    ok = b.filter("ner is not null").select("name", "type", F.coalesce("alsoKnownAs", F.array().cast("array<string>")).alias("also"), F.concat(plural, "ner").alias("ner"), *more)
+    return ok, b.filter("ner is null").select("name", "type", *more)
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:
@@ -94,10 +95,64 @@ def verb_classes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(of, "class string, member string").distinct()
 
 
+NEWS = "articles array<struct<title: string, url: string, content: string, publishedAt: string, source: struct<name: string>>>"
+CONSENT = "https://consent.google.com/ml?continue="
+
+
 def news(spark: SparkSession, path: str) -> DataFrame:
-    """News API replies: articles that are whole, without the marker of removed ones."""
-    a = spark.read.schema("articles array<struct<title: string, url: string, content: string, publishedAt: string>>").json(path).select(F.explode("articles").alias("a")).select("a.*")
-    return a.filter((F.col("title") != "[Removed]") & F.contains("content", F.lit(" [+")))
+    """News API replies, all pages of them: title, published, source, url, content of articles that are whole,
+    without the marker of removed ones; addresses without the consent page before them."""
+    a = spark.read.schema(NEWS).json(path, multiLine=True).select(F.explode("articles").alias("a")).select("a.*")
+    whole = a.filter((F.col("title") != "[Removed]") & F.contains("content", F.lit(" [+")))
+    return whole.select("title", F.col("publishedAt").alias("published"), F.col("source.name").alias("source"), F.replace("url", F.lit(CONSENT), F.lit("")).alias("url"), "content")
+
+
+NYT = "response struct<meta: struct<hits: int>, docs: array<struct<headline: struct<main: string>, pub_date: string, web_url: string>>>"
+
+
+def nyt(spark: SparkSession, path: str) -> DataFrame:
+    """New York Times search replies, ten articles each: title, published, source, url."""
+    d = spark.read.schema(NYT).json(path, multiLine=True).filter("response.meta.hits > 0").select(F.explode("response.docs").alias("d"))
+    return d.select(F.col("d.headline.main").alias("title"), F.col("d.pub_date").alias("published"), F.lit("New York Times").alias("source"), F.col("d.web_url").alias("url"))
+
+
+def nyt_date(date: F.Column) -> F.Column:
+    """yyyy-mm-dd as that search takes it."""
+    return F.replace(date, F.lit("-"), F.lit(""))
+
+
+def synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """Turtle files of classes with :noun_synonym and :verb_synonym: term, kind (label, noun, verb), class."""
+    from loomgraph.sources import turtle
+
+    kinds = F.create_map(*[F.lit(x) for kv in (("rdfs:label", "label"), (":noun_synonym", "noun"), (":verb_synonym", "verb")) for x in kv])
+    q = turtle.read(spark, path, "synonyms")
+    return q.withColumn("kind", F.try_element_at(kinds, F.col("p"))).filter("kind is not null").select(F.col("o").alias("term"), "kind", F.col("s").alias("class"), "o_lang")
+
+
+def lookups(terms: DataFrame, known: DataFrame) -> DataFrame:
+    """(term) against synonyms(): term, kind, class; terms that no class has are left out."""
+    return terms.select("term").distinct().join(known.select("term", "kind", "class").distinct(), "term")
+
+
+def clean_labels(labels: DataFrame) -> DataFrame:
+    """(label, lang) in English that are fit as names: plain ASCII, over 3 characters, without ' of ', ' in ',
+    ' people' and ' culture'."""
+    keep = (F.col("lang") == "en") & (F.length("label") > 3) & ~F.col("label").rlike("[^\\x00-\\x7F]")
+    for part in (" of ", " in ", " people", " culture"):
+        keep = keep & ~F.contains("label", F.lit(part))
+    return labels.filter(keep)
+
+
+def phrases(terms: DataFrame) -> DataFrame:
+    """(term) of several words: more than one blank, a lower-case start, no bracket."""
+    blanks = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
+    return terms.filter((blanks > 1) & F.col("term").rlike(r"^\p{Ll}") & ~F.contains("term", F.lit("(")))
+
+
+def without_part(rows: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose column doesn't contain the part; nulls go, as in a filter of a graph query."""
+    return rows.filter(~F.contains(column, F.lit(part)))
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

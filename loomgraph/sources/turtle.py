@@ -18,7 +18,7 @@ RDF = PREFIXES["rdf"]
 _TOKEN = re.compile(
     r"""\s+|(?P<comment>\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3})
     |(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<lang>@[a-zA-Z]+(?:-[a-zA-Z0-9]+)*)|(?P<type>\^\^)
-    |(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<bnode>_:[\w.-]*\w)|(?P<name>[\w-]*(?:\.[\w-]+)*:(?:[\w%-](?:[\w.%-]*[\w%-])?)?|\w+)|(?P<mark>[.;,\[\]()])""",
+    |(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<bnode>_:[\w.-]*\w)|(?P<name>[\w-]*(?:\.[\w-]+)*:(?:[\w%:-](?:[\w.%:-]*[\w%:-])?)?|\w+)|(?P<mark>[.;,\[\]()])""",
     re.X | re.S,
 )
 _ESCAPE = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
@@ -147,8 +147,8 @@ def parsed(text: str, prefixes: dict | None = PREFIXES) -> list[tuple]:
 
 
 def shortened(iri: str, prefixes: dict = PREFIXES) -> str:
-    for name, base in prefixes.items():
-        if name is not None and iri.startswith(base) and re.fullmatch(r"[\w-]*", iri[len(base) :]):
+    for name, base in sorted(prefixes.items(), key=lambda x: -len(x[1])):  # the longest base names most
+        if name is not None and iri.startswith(base) and re.fullmatch(r"[\w:-]*", iri[len(base) :]):
             return f"{name}:{iri[len(base):]}"
     return f"<{iri}>"
 
