@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 import loomgraph
 from loomgraph.functions import text as T
 from loomgraph.functions.ids import digest_id
+from loomgraph.operators import narrative as N
+from loomgraph.operators import news
 from loomgraph.operators import quads as Q
+from loomgraph.operators import reading
+from loomgraph.operators.entities import Knowledge, entity_quads
+from loomgraph.operators.providers import Absent, Provider, annotated
+from loomgraph.operators.stored import stored
 from loomgraph.sources import files, turtle
 
 DEFAULT_SENTENCES, LEAST_SENTENCES = 10, 2
@@ -35,8 +41,13 @@ def sentence_count(value: str | int | None) -> int:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str):
+    """provider answers what a model would; knowledge and the lists hold what is known of names: countries (name,
+    iri), female and male first names (name)."""
+
+    def __init__(self, spark: SparkSession, path: str, provider: Provider | None = None, knowledge: Knowledge | None = None, countries: DataFrame | None = None, female: DataFrame | None = None, male: DataFrame | None = None):
         self.spark, self.store = spark, Q.QuadTable(spark, path)
+        self.provider, self.knowledge = provider or Absent(), knowledge or Knowledge(spark)
+        self.countries, self.female, self.male = countries, female, male
 
     def version(self) -> str:
         return loomgraph.__version__
@@ -44,7 +55,14 @@ class Engine:
     # repositories
 
     def _server(self) -> DataFrame:
-        return self.store.read().filter(F.col("repo") == Q.DEFAULT)
+        return self.store.read(Q.DEFAULT)
+
+    def _default(self, repo: str) -> DataFrame:
+        return self.store.read(repo).filter(F.col("graph") == Q.graph_name(repo))
+
+    def _labels(self, repo: str) -> DataFrame:
+        """What the server and the repository know by name."""
+        return N.preloaded(N.corrections(self._server()), N.corrections(self._default(repo)))
 
     def list_repositories(self) -> DataFrame:
         s = Q.star(self._server(), type="rdf:type", created="dc:created").filter("type = ':Database'")
@@ -74,30 +92,32 @@ class Engine:
     def drop_repository(self, repo: str) -> None:
         """The repository's graphs (and of no other whose name starts alike), then its entry."""
         self._repo(repo)
-        self.store.apply(repo, lambda q: q.filter("false"))
+        self.store.drop(repo)
         self.store.apply(Q.DEFAULT, lambda q: q.filter(F.col("s") != f":{repo}"))
 
     # background names
 
     def add_background(self, repo: str, names: list[dict]) -> dict:
+        """Names are read like the entities of a sentence; what is new is a background entity and a correction."""
         self._repo(repo)
-        rows = self.spark.createDataFrame([(n.get("name"), n.get("type"), n.get("alsoKnownAs"), n.get("isCollection")) for n in names], "name string, type string, alsoKnownAs array<string>, isCollection boolean")
+        rows = self.spark.createDataFrame([(k, n.get("name"), n.get("type"), n.get("alsoKnownAs"), n.get("isCollection")) for k, n in enumerate(names)], "k int, name string, type string, alsoKnownAs array<string>, isCollection boolean")
         good, skipped = files.background_names(rows)
-        kinds = F.create_map(*[F.lit(x) for kv in (("person", ":Person"), ("thing", ":Resource"), ("organization", ":OrganizationalEntity"), ("place", ":Location"), ("law", ":LawAndPolicy"), ("norp", ":GroupOfAgents")) for x in kv])
-        subject, graph = T.iri(F.col("name")), F.lit(Q.graph_name(repo))
-        facts = {"rdf:type": (F.lit(":Background"), "iri"), ":text": (F.col("name"), "lit"), "rdfs:label": (F.col("name"), "lit")}
-        new = Q.triplify(good, subject, F.lit(repo), graph, **facts)
-        for kind in (kinds[F.col("type")], F.lit(":Correction"), F.when(F.col("ner").startswith("PLURAL"), ":Collection")):
-            new = new.unionByName(Q.triplify(good, subject, F.lit(repo), graph, **{"rdf:type": (kind, "iri")}))
-        also = good.select("name", F.explode("also").alias("label"))
-        new = new.unionByName(Q.triplify(also, subject, F.lit(repo), graph, **{"rdfs:label": (F.col("label"), "lit")}))
-        self.store.add(repo, new)
-        return {"processed": [r["name"] for r in good.collect()], "skippedNames": [r["name"] for r in skipped.collect()]}
+        one = good.groupBy().agg(F.array_sort(F.collect_list(F.struct("k", F.col("name").alias("text"), F.col("ner").alias("ner_type"), "also"))).alias("e"))
+        listed = F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["ner_type"].alias("ner_type"), x["also"].alias("also")))
+        kinds = self.spark.createDataFrame([], reading.UNIT).schema
+        value = {"narrative_id": F.lit("background"), "phase": F.lit(0), "a": F.lit(0), "b": F.lit(0), "owner": F.lit(":background"), "entities": listed}
+        unit = one.select(*[value.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+        facts = reading.read(unit, self._labels(repo), self.provider, self.knowledge, self.countries).filter("kind = 'entity'")
+        new = N.entity_rows(stored(facts), self.knowledge, self.female, self.male)
+        new = new.withColumn("class", F.replace("class", F.lit(":Correction"), F.lit(":Background, :Correction")))
+        self.store.add(repo, entity_quads(new, F.lit(repo), F.lit(Q.graph_name(repo)), self.countries))
+        order = lambda d: [r["name"] for r in d.orderBy("k").collect()]
+        return {"repository": repo, "processedNames": order(good), "skippedNames": order(skipped)}
 
     def list_background(self, repo: str) -> DataFrame:
         """name, type, plural of the background names; groups of people are not listed."""
         self._repo(repo)
-        q = self.store.read().filter((F.col("repo") == repo) & (F.col("graph") == Q.graph_name(repo)))
+        q = self._default(repo)
         is_ = lambda c: F.max(((F.col("p") == "rdf:type") & F.col("o").isin(c)).cast("int")) == 1
         got = q.groupBy("s").agg(F.min(F.when(F.col("p") == ":text", F.col("o"))).alias("name"), is_([":Background"]).alias("b"), is_([":Collection"]).alias("plural"), *[is_(v).alias(k) for k, v in (("person", [":Person"]), ("thing", [":Resource"]), ("organization", [":OrganizationalEntity"]), ("place", [":Location", ":GeopoliticalEntity"]), ("law", [":LawAndPolicy"]))])
         kinds = F.array(*[F.when(F.col(k), k) for k in ("person", "thing", "organization", "place", "law")])
@@ -107,7 +127,7 @@ class Engine:
         self._repo(repo)
         if not name:
             raise ApiError(400, "name is missing")
-        gone = Q.subjects(self.store.read().filter(F.col("repo") == repo), **{"rdf:type": ":Background", ":text": name})
+        gone = Q.subjects(self._default(repo), **{"rdf:type": ":Background", ":text": name})
         if gone.isEmpty():
             raise ApiError(404, f"{name} not found")
         ids = [r["s"] for r in gone.collect()]
@@ -116,36 +136,43 @@ class Engine:
     # narratives
 
     def ingest_narrative(self, repo: str, body: dict, sentences: str | int | None = None) -> dict:
+        """A narrative's graph, what it defines, and its metadata. All sentences are ingested, whatever the number
+        asked for, as yet; a narrative that is there is made anew."""
         self._repo(repo)
-        limit = sentence_count(sentences)
+        sentence_count(sentences)
         for field in ("title", "source", "text"):
             if not body.get(field):
                 raise ApiError(400, f"{field} is missing")
-        one = self.spark.createDataFrame([(body["title"], body["source"], body["text"])], "title string, source string, text string")
-        one = one.withColumn("id", digest_id(F.lit(repo), "title", "source", "text", length=8))
-        found = one.select("id", F.posexplode(T.sentences(T.normalised(F.col("text")))).alias("k", "text")).filter(T.guarded(F.col("text")))
-        nid = one.first()["id"]
-        graph = Q.graph_name(repo, nid)
-        s = F.concat(F.lit(":Sentence_"), digest_id(F.col("id"), F.col("k").cast("string")))
-        rows = Q.triplify(found, s, F.lit(repo), F.lit(graph), **{"rdf:type": (F.lit(":Sentence"), "iri"), ":offset": (F.col("k") + 1, "xsd:integer"), ":text": (T.repaired(F.col("text")), "lit")})
-        n = found.count()
-        triples = self.store.add(repo, rows)
-        meta = [
-            (f":{nid}", "rdf:type", ":InformationGraph", "iri", None), (f":{nid}", "dc:created", self._now(), "lit", "xsd:dateTime"),
+        published, url = body.get("published") or files.NOT_DEFINED, body.get("url") or files.NOT_DEFINED
+        one = self.spark.createDataFrame([(body["title"], body["source"], body["text"], published, url)], "title string, source string, text string, published string, url string")
+        one = one.withColumn("narrative_id", digest_id(F.lit(repo), "title", "source", "text", length=8))
+        nid = one.first()["narrative_id"]
+        graph, created = Q.graph_name(repo, nid), self._now()
+        made = N.create_graphs(one.select("narrative_id", "text"), repo, self.provider, self._labels(repo), self.knowledge, self.countries, self.female, self.male)
+        n, quads = made.tables.sentences.count(), stored(made.graphs)
+        triples = quads.count()
+        about = annotated(one, self.provider, "classification", F.col("text"), N.CLASSIFICATION, "answer")
+        meta = N.metadata_quads(about.withColumn("sentences", F.lit(n)), repo)
+        facts = [
+            (f":{nid}", "rdf:type", ":InformationGraph", "iri", None), (f":{nid}", "dc:created", created, "lit", "xsd:dateTime"),
             (f":{nid}", ":number_triples", str(triples), "lit", "xsd:integer"), (f":{nid}", ":encodes", f":Narrative_{nid}", "iri", None),
-            (f":Narrative_{nid}", "rdf:type", ":Narrative", "iri", None), (f":Narrative_{nid}", ":source", body["source"], "lit", None),
-            (f":Narrative_{nid}", "dc:title", body["title"], "lit", None), (f":Narrative_{nid}", ":number_sentences", str(n), "lit", "xsd:integer"),
-            (f":Narrative_{nid}", ":number_ingested", str(min(n, limit) if limit < n else n), "lit", "xsd:integer"),
-            (f":Narrative_{nid}", "dc:created", body.get("published") or files.NOT_DEFINED, "lit", "xsd:dateTime"),
-            (f":Narrative_{nid}", ":external_link", body.get("url") or files.NOT_DEFINED, "lit", None),
+            (f":Narrative_{nid}", ":number_ingested", str(n), "lit", "xsd:integer"),
         ]
-        self.store.add(repo, self._facts(repo, Q.graph_name(repo), meta))
-        return {"narrativeId": nid, "numberOfTriples": triples, "numberOfSentences": n}
+        known = stored(made.entities.unionByName(meta).unionByName(self._facts(repo, Q.graph_name(repo), facts)))
+        there = not self.store.read(repo).filter(F.col("graph") == graph).isEmpty()
+        if there:
+            self.store.apply(repo, lambda q: Q.added(Q.without_narrative(Q.cleared(q, repo, graph), nid), quads.unionByName(known)))
+        else:
+            self.store.add(repo, quads.unionByName(known))
+        return {
+            "narrativeId": nid, "processed": created, "numberOfTriples": triples, "numberOfSentences": n, "numberIngested": n,
+            "narrativeMetadata": {"title": body["title"], "published": published, "source": body["source"], "url": url},
+        }
 
     def list_narratives(self, repo: str) -> DataFrame:
         """One row a narrative that has all of its metadata."""
         self._repo(repo)
-        q = self.store.read().filter((F.col("repo") == repo) & (F.col("graph") == Q.graph_name(repo)))
+        q = self._default(repo)
         g = Q.star(q, created="dc:created", triples=":number_triples", narrative=":encodes").select(F.substring("s", 2, 100).alias("narrativeId"), "created", F.col("triples").cast("int").alias("numberOfTriples"), "narrative")
         n = Q.star(q, source=":source", title="dc:title", sentences=":number_sentences", ingested=":number_ingested", published="dc:created", url=":external_link")
         n = n.select(F.col("s").alias("narrative"), "source", "title", F.col("sentences").cast("int").alias("numberOfSentences"), F.col("ingested").cast("int").alias("numberIngested"), "published", "url")
@@ -164,7 +191,8 @@ class Engine:
         self.store.apply(repo, lambda q: Q.without_narrative(Q.cleared(q, repo, graph), nid))
 
     def get_graph(self, repo: str, nid: str) -> list[str]:
-        return Q.exported(self.store.read(), repo, self._narrative(repo, nid))
+        graph = self._narrative(repo, nid)
+        return Q.exported(self.store.read(repo), repo, graph)
 
     def replace_graph(self, repo: str, nid: str, body: str) -> int:
         """A narrative's graph from Turtle text, checked before anything is written, and its new count."""
@@ -178,3 +206,30 @@ class Engine:
         old = (F.col("s") == f":{nid}") & F.col("p").isin(":number_triples", "dc:modified")
         self.store.apply(repo, lambda q: Q.replaced(q.filter(~old), repo, graph, new).unionByName(count))
         return n
+
+    def narrative_details(self, repo: str) -> DataFrame:
+        """list_narratives() in the nested form of a response."""
+        n = self.list_narratives(repo)
+        meta = F.struct("title", "published", "source", "url").alias("narrativeMetadata")
+        return n.select("narrativeId", F.col("created").alias("processed"), "numberOfTriples", "numberOfSentences", "numberIngested", meta)
+
+    # news
+
+    def search_articles(self, topic: str | None, from_date: str | None, to_date: str | None, replies: DataFrame) -> DataFrame:
+        """title, published, source, url of recorded search replies (id, title, published, source, url) that name the
+        topic and are of these days, without excluded and duplicate ones."""
+        if not topic or not from_date or not to_date:
+            raise ApiError(400, "topic, fromDate and toDate are required")
+        dates = self.spark.createDataFrame([(from_date,), (to_date,)], "d string").select(T.date_valid(F.col("d")).alias("ok"))
+        if not all(r["ok"] for r in dates.collect()):
+            raise ApiError(400, "fromDate and toDate must be valid dates, yyyy-mm-dd")
+        day = F.left("published", F.lit(10))
+        hit = replies.filter(F.contains(F.lower("title"), F.lit(topic.lower())) & day.between(from_date, to_date))
+        return news.matching_articles([hit]).select("title", "published", "source", "url")
+
+    def drop_orphans(self) -> None:
+        """Graphs of repositories that the server doesn't list."""
+        listed = {r["repo"] for r in self.list_repositories().collect()} | {Q.DEFAULT}
+        for r in self.store.read().select("repo").distinct().collect():
+            if r["repo"] not in listed:
+                self.store.drop(r["repo"])

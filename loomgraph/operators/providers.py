@@ -11,7 +11,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import json_reply
+from loomgraph.functions.text import admin_level, json_reply
+from loomgraph.operators.substring import containing
 
 
 class Provider(Protocol):
@@ -36,6 +37,14 @@ class Absent:
         return inputs.select("key", "input", F.from_json(F.lit(None).cast("string"), schema).alias("answer"))
 
 
+def annotated(rows: DataFrame, provider: Provider, kind: str, text: F.Column, schema: str, name: str) -> DataFrame:
+    """rows with the provider's answer about `text` as the column `name`; equal texts are asked once."""
+    rows = rows.withColumn("asked key", F.sha2(text, 256))
+    asked = rows.select(F.col("asked key").alias("key"), text.alias("input")).filter("key is not null").dropDuplicates(["key"])
+    got = provider.answers(asked, kind, schema).select(F.col("key").alias("asked key"), F.col("answer").alias(name))
+    return rows.join(got, "asked key", "left").drop("asked key")
+
+
 class Lexicon:
     """Rule-based entities: longest known names that a text contains, in order of place."""
 
@@ -51,16 +60,30 @@ class Lexicon:
 
 
 def places(found: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """(text) against (toponym, ascii, feature, code, ...): the name itself, else one that starts with the
-    text, else one that contains it; of equals the least toponym."""
-    first = F.left("toponym", F.lit(3))
-    head = found.select("text").distinct().withColumn("h", F.left("text", F.lit(3)))
-    near = head.join(gazetteer.withColumn("h", first), "h").filter(F.startswith("toponym", F.col("text")))
-    rank = F.when(F.col("toponym") == F.col("text"), 1).otherwise(2)
-    best = near.groupBy("text").agg(F.min_by(F.struct(*gazetteer.columns), F.struct(rank, F.col("toponym"))).alias("g"))
+    """(text) against (toponym, ascii, feature, code, ...), whatever the case: the toponym itself, else the
+    longest toponym that the text starts with, else a first-order division (ADM1) whose toponym or ascii name
+    contains the text, else any place that does; of equals the least toponym, then code.
+
+    All are equi-joins: on the name, on the text's prefixes, on short substrings."""
+    columns = [c for c in gazetteer.columns]
+    t = found.select("text").filter("text <> ''").distinct().withColumn("low", F.lower("text"))
+    g = gazetteer.filter("toponym is not null").select(F.struct(*columns).alias("g"), F.lower("toponym").alias("top"), F.lower(F.coalesce("ascii", "toponym")).alias("asc"))
+    heads = t.select("text", "low", F.explode(F.transform(F.sequence(F.lit(1), F.length("low")), lambda n: F.left(F.col("low"), n))).alias("head"))
+    first = heads.join(g, F.col("head") == F.col("top")).select("text", F.struct(F.when(F.col("low") == F.col("top"), 1).otherwise(2).alias("rank"), (-F.length("top")).alias("n"), "g.toponym", "g.code").alias("by"), "g")
+    names = g.select("g", F.explode(F.array_distinct(F.array("top", "asc"))).alias("name"))
+    inside = containing(t.join(first.select("text"), "text", "left_anti"), "low", names, "name")
+    division = F.when(F.coalesce(F.col("g.code"), F.lit("")) == "ADM1", 3).otherwise(4)
+    relaxed = inside.select("text", F.struct(division.alias("rank"), F.lit(0).alias("n"), "g.toponym", "g.code").alias("by"), "g")
+    best = first.unionByName(relaxed).groupBy("text").agg(F.min_by("g", "by").alias("g"))
     return found.join(best, "text", "left").select("text", "g.*")
 
 
+def admin_division(feature: F.Column, code: F.Column) -> F.Column:
+    """Level of an administrative division: the code's digit; 1 for a seat's code without one; else 0."""
+    digit = admin_level(code)
+    return F.when((feature == "A") & code.startswith("ADM"), digit).when((feature == "P") & code.startswith("PPLA"), F.when(code.rlike("[0-9]"), digit).otherwise(1)).otherwise(0)
+
+
 def feature_class(feature: F.Column, code: F.Column) -> F.Column:
     """Location class of a gazetteer's feature class and code."""
     return (
@@ -72,12 +95,3 @@ def feature_class(feature: F.Column, code: F.Column) -> F.Column:
         .when(feature == "R", ":TransportationFeature").when(feature == "S", ":PhysicalLocation")
         .when(feature.isin("T", "V"), ":GeographicFeature").otherwise(":PopulatedPlace")
     )
-
-
-def descriptions(nouns: DataFrame, pages: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(noun, ner_type, link) against pages (title, description, item) whose item is of a class allowed
-    for the type (ner_type, item): the link's page, else the one of the noun in the country, else the noun's."""
-    tries = nouns.select("noun", "ner_type", F.posexplode(F.array("link", F.concat(F.lit("United_States_"), "noun"), "noun")).alias("rank", "title"))
-    hit = tries.filter("title is not null").join(pages, "title").join(allowed, ["ner_type", "item"], "left_semi")
-    best = hit.groupBy("noun", "ner_type").agg(F.min_by("description", "rank").alias("description"))
-    return nouns.join(best, ["noun", "ner_type"], "left").select("noun", "ner_type", "description")
