@@ -66,9 +66,11 @@ def kg_count_by_graph(t):
     return Q.triple_counts(world(t))
 
 
-@query("kg_repo_graphs", f"WITH {KG} SELECT DISTINCT graph FROM kg WHERE contains(graph, 'world')")
+@query("kg_repo_graphs", f"WITH {KG} SELECT DISTINCT graph FROM kg WHERE repo = 'world'")
 def kg_repo_graphs(t):
-    return Q.repo_graphs(world(t), "world", exact=False)
+    """Graphs of one repository; one whose name begins alike has its own."""
+    w = world(t)
+    return Q.repo_graphs(w.unionByName(w.withColumn("repo", F.lit("world_b")).withColumn("graph", F.replace("graph", F.lit("world_"), F.lit("world_b_")))), "world")
 
 
 @query("kg_construct_sorted", f"WITH {KG} SELECT s || ' ' || p || ' ' || CASE WHEN o_kind = 'iri' THEN o ELSE '\"' || o || '\"' END || ' .' AS line FROM kg WHERE graph = 'world_ASIA' ORDER BY line")
@@ -76,6 +78,20 @@ def kg_construct_sorted(t):
     return Q.serialised(world(t).filter("graph = 'world_ASIA'"))
 
 
+_ESC = "text"
+for _old, _new in (("chr(92)", "chr(92) || chr(92)"), ("'\"'", "chr(92) || '\"'"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'")):
+    _ESC = f"replace({_ESC}, {_old}, {_new})"
+
+
+@query("kg_export_escaped", f"SELECT ':d' || doc_id || ' :text \"' || {_ESC} || '\"' || CASE doc_id % 3 WHEN 0 THEN '@' || lang WHEN 1 THEN '^^xsd:string' ELSE '' END || ' .' AS line FROM documents WHERE text IS NOT NULL")
+def kg_export_escaped(t):
+    """Texts with quotes, backslashes and line ends as literals, with a language, a type or neither."""
+    d = t("documents").filter("text is not null")
+    lang, kind = F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.when(F.col("doc_id") % 3 == 1, "xsd:string")
+    q = d.select(F.lit("w").alias("repo"), F.lit("w_g").alias("graph"), F.concat(F.lit(":d"), F.col("doc_id").cast("string")).alias("s"), F.lit(":text").alias("p"), F.col("text").alias("o"), F.lit("lit").alias("o_kind"), kind.alias("o_type"), lang.alias("o_lang"))
+    return Q.serialised(Q.quads(q))
+
+
 @query("kg_add_dedupe", f"WITH {KG} SELECT {_ALL} FROM kg WHERE graph LIKE 'world_A%' UNION SELECT {_ALL} FROM kg WHERE graph IN ('world_ASIA', 'world_EUROPE')")
 def kg_add_dedupe(t):
     g = world(t)
@@ -174,6 +190,38 @@ def instance_of(t):
     return H.is_instance(facts, H.closure(edges(t)), ["region:1", "region:3"])
 
 
+_STORY = r"""WITH s AS (SELECT doc_id, unnest(generate_series(1, len(x))) AS k, unnest(x) AS text FROM (SELECT doc_id, {0} AS x FROM documents WHERE text IS NOT NULL)),
+ r AS (SELECT doc_id, k, {1} AS text FROM s), n AS (SELECT *, len(string_split(text, ' ')) AS w FROM r)
+ SELECT p, count(*) AS cnt FROM (SELECT unnest([':has_component', 'rdf:type', ':offset', ':text', ':grade_level']) AS p FROM n
+  UNION ALL SELECT unnest([':rhetorical_device', ':rhetorical_device_' || replace({2}[w % 16], ' ', '_')]) FROM n WHERE w % 16 BETWEEN 1 AND 13) GROUP BY 1"""
+
+
+def _story_sql():
+    from loomgraph.functions.vocab import DEVICES
+    from loomgraph.plans.texts import _HY, _REP, NORM, SENTS
+
+    return _STORY.format(SENTS.format(NORM), _HY.format(_HY.format(_REP.format("text"))), "['" + "', '".join(DEVICES) + "']")
+
+
+@query("narrative_graph", _story_sql())
+def narrative_graph(t):
+    """Triples of the graphs of all documents by predicate, from recorded annotations of their sentences: a grade
+    and a rhetorical device by the number of words, of which some are no device."""
+    from loomgraph.functions import text as T
+    from loomgraph.operators import narrative as N
+    from loomgraph.operators.entities import Knowledge
+    from loomgraph.operators.providers import Recorded
+
+    n = t("documents").select(F.col("doc_id").cast("string").alias("narrative_id"), "text")
+    said = n.select(F.explode(T.sentences(T.normalised(F.col("text")))).alias("text")).select(T.repaired(F.col("text")).alias("text")).distinct()
+    words = F.size(F.split("text", " "))
+    reply = F.to_json(F.struct(words.alias("grade_level"), F.array(F.struct((words % 16).alias("device_number"), F.lit("by its words").alias("explanation"))).alias("rhetorical_devices")))
+    recorded = Recorded(said.select(F.lit("sentence").alias("kind"), F.sha2("text", 256).alias("digest"), reply.alias("reply")))
+    none = n.sparkSession.createDataFrame([], "label string, iri string, ner_type string, seq long")
+    made = N.create_graphs(n, "stories", recorded, none, Knowledge(n.sparkSession))
+    return made.graphs.groupBy("p").agg(F.count("*").alias("cnt"))
+
+
 @query("chain_first_next", "SELECT conv_id, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS is_first, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations")
 def chain_first_next(t):
     from loomgraph.operators.semantics import chained

@@ -113,19 +113,38 @@ def name_parts(t):
     return t("part").select("p_partkey", F.array_join(T.name_parts(F.concat("p_name", F.lit(" Smith-Evans"))), "|").alias("parts"))
 
 
+_DAY = "CAST(day(o_orderdate) AS VARCHAR)"
+
+
 @query(
     "time_iri",
-    "SELECT o_orderkey, ':PiT_Yr' || strftime(o_orderdate, '%Y') || '_Mo' || strftime(o_orderdate, '%B') || '_Day' || CAST(day(o_orderdate) AS VARCHAR) AS iri FROM orders",
+    f"""SELECT o_orderkey, ':PiT' || CASE o_orderkey % 7 WHEN 0 THEN '_Yr' || strftime(o_orderdate, '%Y') || '_Mo' || strftime(o_orderdate, '%B') || '_Day' || {_DAY}
+    WHEN 1 THEN '_Yr' || strftime(o_orderdate, '%Y') || '_Mo' || strftime(o_orderdate, '%B') || '_Day' || {_DAY} WHEN 2 THEN '_Day' || strftime(o_orderdate, '%A')
+    WHEN 3 THEN '_Mo' || strftime(o_orderdate, '%B') WHEN 4 THEN '_Yr' || strftime(o_orderdate, '%Y') WHEN 5 THEN '_the_day_after_' || CAST(o_orderkey % 10 AS VARCHAR) ELSE '_Mo' || strftime(o_orderdate, '%B') || '_Day' || {_DAY} END AS iri FROM orders""",
 )
 def time_iri(t):
-    said = F.concat(F.date_format("o_orderdate", "MMMM"), F.lit(" "), F.dayofmonth("o_orderdate").cast("string"), F.lit(", "), F.date_format("o_orderdate", "yyyy"))
+    """Full dates, dates with a weekday, bare weekdays, months, years, words, and days of a month."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    month, day, year, weekday = F.date_format(d, "MMMM"), F.dayofmonth(d).cast("string"), F.date_format(d, "yyyy"), F.date_format(d, "EEEE")
+    said = F.when(k == 0, F.concat(month, F.lit(" "), day, F.lit(", "), year)).when(k == 1, F.concat(weekday, F.lit(", "), month, F.lit(" "), day, F.lit(", "), year)).when(k == 2, F.concat(F.lit("on "), weekday))
+    said = said.when(k == 3, F.concat(F.lit("in "), month)).when(k == 4, F.concat(F.lit("since "), year)).when(k == 5, F.concat(F.lit("the Day after: "), (F.col("o_orderkey") % 10).cast("string"))).otherwise(F.concat(day, F.lit(" "), month))
     return t("orders").select("o_orderkey", T.time_iri(said).alias("iri"))
 
 
-@query("date_valid", "SELECT o_orderkey, month_day <= 31 AND month_day >= 1 AS valid FROM (SELECT o_orderkey, o_orderkey % 40 AS month_day FROM orders)")
+_SAID = "CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN '2024-' || (o_orderkey % 15) || '-' || (o_orderkey % 37) WHEN 2 THEN (1890 + o_orderkey % 230) || '-02-31' WHEN 3 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%y-%m-%d') END"
+
+
+@query(
+    "date_valid",
+    f"SELECT o_orderkey, coalesce(len(p) = 3 AND length(p[1]) = 4 AND list_bool_and(list_transform(p, lambda x: regexp_full_match(x, '[0-9]+'))) AND TRY_CAST(p[1] AS INT) > 1900 AND TRY_CAST(p[1] AS INT) < 2100 AND TRY_CAST(p[2] AS INT) BETWEEN 1 AND 12 AND TRY_CAST(p[3] AS INT) BETWEEN 1 AND 31, false) AS valid FROM (SELECT o_orderkey, string_split({_SAID}, '-') AS p FROM orders)",
+)
 def date_valid(t):
-    text = F.concat(F.lit("1998-02-"), F.lpad((F.col("o_orderkey") % 40).cast("string"), 2, "0"))
-    return t("orders").select("o_orderkey", T.date_valid(text).alias("valid"))
+    """Dates of several forms, years, months and days inside and outside of the bounds."""
+    d, key = F.col("o_orderdate"), F.col("o_orderkey")
+    k, n = key % 5, lambda m: (key % m).cast("string")
+    said = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.concat(F.lit("2024-"), n(15), F.lit("-"), n(37))).when(k == 2, F.concat((1890 + key % 230).cast("string"), F.lit("-02-31")))
+    said = said.when(k == 3, F.date_format(d, "yyyy/MM/dd")).otherwise(F.date_format(d, "yy-MM-dd"))
+    return t("orders").select("o_orderkey", T.date_valid(said).alias("valid"))
 
 
 @query("trunc90", "SELECT doc_id, CASE WHEN length(text) < 91 THEN text ELSE left(text, 90) || ' ...' END AS short FROM documents")
@@ -172,9 +191,14 @@ def sentence_guard(t):
     return d.filter(F.size("s") > 0).select("doc_id", "good", (F.size("s") - F.col("good")).cast("long").alias("skipped"))
 
 
-@query("paragraph_split", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0)) AS BIGINT) AS paragraphs FROM documents")
+@query(
+    "paragraph_split",
+    "SELECT doc_id, CAST(unnest(generate_series(1, len(p))) AS BIGINT) AS k, unnest(p) AS paragraph FROM (SELECT doc_id, string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)) AS p FROM documents)",
+)
 def paragraph_split(t):
-    return t("documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)).cast("long").alias("paragraphs"))
+    """Paragraphs are what blank lines divide; here a line that ends with a full stop is made one."""
+    text = F.replace("text", F.lit(".\n"), F.lit(".\n\n"))
+    return t("documents").select("doc_id", F.posexplode(T.paragraphs(text)).alias("k", "paragraph")).select("doc_id", (F.col("k") + 1).cast("long").alias("k"), "paragraph")
 
 
 @query("sentence_grades", f"SELECT CAST(count(*) AS BIGINT) AS cnt, min(w) AS least, max(w) AS most, round(avg(w), 6) AS mean FROM (SELECT CAST(len(string_split(unnest({SENTS.format(NORM)}), ' ')) AS BIGINT) AS w FROM documents)")
@@ -189,16 +213,32 @@ def json_extract(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("json_reply", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total, count(*) AS n FROM events GROUP BY 1")
+@query(
+    "json_reply",
+    "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_type || ' ' || CASE event_id % 4 WHEN 1 THEN 'a b' ELSE 'c' END END AS said FROM events",
+)
 def json_reply(t):
-    k = T.json_reply(F.concat(F.lit("{\n"), F.expr("substr(props, 2)")), "k long")["k"]
-    return t("events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
+    """Replies over several lines, with a line end inside of a string, and cut off: null."""
+    k = F.col("event_id") % 4
+    said = F.concat(F.col("event_type"), F.lit(" "), F.when(k == 1, "a\nb").otherwise("c"))
+    reply = F.concat(F.lit('{\n"k":\n'), F.get_json_object("props", "$.k"), F.lit(', "said": "'), said, F.lit('"'), F.when(k == 3, "").otherwise("\n}"))
+    got = T.json_reply(reply, "k long, said string")
+    return t("events").select("event_id", got["k"].alias("k"), got["said"].alias("said"))
 
 
-@query("xml_xpath", "SELECT n_nationkey, n_name AS name, 'en' AS lang FROM nation")
+@query(
+    "xml_xpath",
+    "SELECT n_nationkey, n_name || ' & co' AS name, CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN n_name ELSE n_name || '|' || lower(n_name) END AS names, CASE WHEN n_nationkey % 2 = 0 THEN 'https://en.wikipedia.org/wiki/' || n_name END AS link FROM nation",
+)
 def xml_xpath(t):
-    xml = F.concat(F.lit('<g><toponymName>'), F.col("n_name"), F.lit('</toponymName><alternateName lang="en">x</alternateName></g>'))
-    return t("nation").select("n_nationkey", F.xpath_string(xml, F.lit("/g/toponymName")).alias("name"), F.xpath_string(xml, F.lit("/g/alternateName/@lang")).alias("lang"))
+    """A gazetteer's reply: its name, none to two English names among others, a link that may be absent."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    one = lambda lang, x: F.concat(F.lit(f'<alternateName lang="{lang}">'), x, F.lit("</alternateName>"))
+    names = F.concat(F.when(k % 3 > 0, one("en", name)).otherwise(""), one("fr", F.lit("autre")), F.when(k % 3 == 2, one("en", F.lower(name))).otherwise(""))
+    links = F.concat(one("link", F.lit("https://fr.wikipedia.org/wiki/x")), F.when(k % 2 == 0, one("link", F.concat(F.lit("https://en.wikipedia.org/wiki/"), name))).otherwise(""))
+    xml = F.concat(F.lit("<g><toponymName>"), name, F.lit(" &amp; co</toponymName>"), names, links, F.lit("</g>"))
+    english, link = T.alternate_names(xml)
+    return t("nation").select("n_nationkey", F.xpath_string(xml, F.lit("/g/toponymName")).alias("name"), F.array_join(english, "|").alias("names"), link.alias("link"))
 
 
 @query("pagination", "SELECT p_brand, count(*) AS n, CAST(ceil(count(*) / 100.0) AS INTEGER) AS pages FROM part GROUP BY 1")

@@ -33,16 +33,57 @@ def test_store(spark, tmp_path):
     lines = Q.exported(s.read(), "foo", "foo_g")
     assert len(lines) == 8 and lines[6] == ':testS :testP :testO .' and lines[7] == ':testS rdfs:label "text" .'
     s.remove("foo", new.limit(1))
-    assert s.read().filter("repo = 'foo'").count() == 1
+    assert s.read("foo").count() == 1 and s.read().filter("repo = 'foo'").count() == 1
     s.clear("foo", "foo_g")
     assert s.read().count() == 1
     assert [r[0] for r in Q.repo_graphs(s.read(), "foo").collect()] == []
+    under = turtle.from_text(spark, ":x :y :z .", "foo_bar", "foo_bar_default")
+    s.add("foo_bar", under)
+    assert [r[0] for r in Q.repo_graphs(s.read(), "foo").collect()] == [] and [r[0] for r in Q.repo_graphs(s.read(), "foo_bar").collect()] == ["foo_bar_default"]
+    assert {r[0] for r in Q.repo_graphs(s.read(), "foo", exact=False).collect()} == {"foobar_g", "foo_bar_default"}
+    s.drop("foo_bar")
     with pytest.raises(ValueError):
         Q.replaced(other, "foobar", "foobar_g", other.withColumn("o", other["o"].try_cast("int").cast("string")))
     turtle.write(other, f"file://{tmp_path}/ttl")
     assert {tuple(r) for r in turtle.read(spark, f"file://{tmp_path}/ttl/part*", "foobar", "foobar_g").collect()} == {tuple(r) for r in Q.quads(other).collect()}
 
 
+def test_store_versions(spark, tmp_path):
+    """Repositories by any name; a write that didn't end is not seen; readers of the version before go on."""
+    s = Q.QuadTable(spark, f"file://{tmp_path}/quads")
+    for repo in ("007", "7", "a/b c=d", "ö"):
+        q = turtle.from_text(spark, f':s :p "{repo}" .', repo, f"{repo}_g")
+        assert s.add(repo, q) == 1 and s.add(repo, q) == 0 and s.read(repo).count() == 1
+        assert s.read(repo).first()["repo"] == repo and s.read(repo).first()["o"] == repo
+    assert s.read().count() == 4
+    old = s.read("007")
+    s.replace("007", "007_g", turtle.from_text(spark, ":a :b :c , :d .", "007", "007_g"))
+    assert old.count() == 1 and s.read("007").count() == 2
+    half = f"{s.path}/{s._folder('007')}/v00000099/0-broken"
+    s.read("007").limit(1).write.parquet(half)
+    s._delete(f"{s._folder('007')}/v00000099/0-broken/_SUCCESS")
+    assert s.read("007").count() == 2
+    s.apply("007", lambda q: q.filter("o = ':c'"))
+    assert s.read("007").count() == 1
+    s.MANY = 2
+    for k in range(5):
+        assert s.add("007", turtle.from_text(spark, f":n{k} :b :c .", "007", "007_g")) == 1
+    assert s.read("007").count() == 6 and len(s._version(s._folder("007"))[1]) < 5
+
+
+def test_exports_parse(spark, tmp_path):
+    """What is exported is read back: quotes, line ends, backslashes, languages, types, colons and blank nodes."""
+    text = 'He said "no",\n\tthen C:\\\\dir \\r and é'
+    rows = [("r", "r_g", ":a:b", ":p", text, "lit", None, None), ("r", "r_g", ":a", "rdfs:label", text, "lit", "xsd:string", None), ("r", "r_g", ":a", "dc:title", 'x"', "lit", None, "en"), ("r", "r_g", ":a", "rdf:type", "geo:12", "iri", None, None), ("r", "r_g", ":a", ":q", "_:b1", "bnode", None, None)]
+    q = spark.createDataFrame(rows, Q.SCHEMA)
+    lines = Q.exported(q, "r", "r_g")
+    back = turtle.from_text(spark, "\n".join(lines), "r", "r_g")
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in q.collect()}
+    assert [x.split()[1] for x in lines[: lines.index("")]] == [":", "geo:", "dc:", "owl:", "rdf:", "rdfs:", "xsd:"]
+    turtle.write(q, f"file://{tmp_path}/ttl")
+    assert {tuple(r) for r in turtle.read(spark, f"file://{tmp_path}/ttl/part*", "r", "r_g").collect()} == {tuple(r) for r in q.collect()}
+
+
 def test_hierarchy(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "child string, parent string")
     got = {(r[0], r[1]): r[2] for r in H.closure(e).collect()}
@@ -50,6 +91,11 @@ def test_hierarchy(spark):
     assert [r[0] for r in H.roots(e).collect()] == ["d"]
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 20)], "node int, next int")
     heads = spark.createDataFrame([("o", 1)], "owner string, node int")
+    deep = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(150)], "child string, parent string")
+    far = H.closure(deep, reflexive=False)
+    assert far.count() == 150 * 151 // 2 and far.agg({"depth": "max"}).first()[0] == 150
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node int, next int")
+    assert {r["node"]: r["seq"] for r in H.linked_list(heads, ring).collect()} == {1: 1, 2: 2, 3: 3}
     assert {r["node"]: r["seq"] for r in H.linked_list(heads, chain).collect()} == {i: i for i in range(1, 21)}
 
 
@@ -65,26 +111,71 @@ def test_api(spark, tmp_path):
     e.create_repository("foo")
     e.create_repository("foobar")
     assert status(e.create_repository, "foo") == 409 and status(e.create_repository, None) == 400 and status(e.drop_repository, "nope") == 404
-    names = [{"name": n, "type": t, "isCollection": c} for n, t, c in (("Mary", "person", False), ("Smiths", "person", True), ("ACME", "organization", None), ("Act", "law", None), ("Nowhere", "location", None))]
-    assert e.add_background("foo", names)["skippedNames"] == ["Nowhere"]
+    names = [{"name": n, "type": t, "isCollection": c} for n, t, c in (("Mary", "person", False), ("Smiths", "Person", True), ("ACME", "organization", None), ("Act", "law", None), ("Nowhere", "location", None))]
+    names[0]["alsoKnownAs"] = ["Mary Smith", "the Boss"]
+    done = e.add_background("foo", names)
+    assert done["processedNames"] == ["Mary", "Smiths", "ACME", "Act"] and done["skippedNames"] == ["Nowhere"]
     listed = {r["name"]: (r["type"], r["plural"]) for r in e.list_background("foo").collect()}
     assert listed == {"Mary": ("person", None), "Smiths": ("person", True), "ACME": ("organization", None), "Act": ("law", None)}
-    assert status(e.remove_background, "foo", "Bob") == 404
+    own = {(r["s"], r["p"], r["o"]) for r in e.store.read("foo").collect()}
+    assert {(":Mary", "rdf:type", x) for x in (":Person", ":Background", ":Correction")} <= own and {(":Mary", "rdfs:label", x) for x in ("Mary", "Mary Smith", "Boss")} <= own
+    assert status(e.remove_background, "foo", "Bob") == 404 and status(e.remove_background, "foo", None) == 400
     e.remove_background("foo", "Act")
     assert "Act" not in {r["name"] for r in e.list_background("foo").collect()}
     assert status(e.ingest_narrative, "foo", {"title": "t", "source": "s"}) == 400
     assert status(e.ingest_narrative, "foo", {"title": "t", "source": "s", "text": "x y."}, "1") == 400
-    done = e.ingest_narrative("foo", {"title": "T", "source": "S", "text": "Jane won. Bob lost! ? Who knows."})
-    assert done["numberOfSentences"] == 3 and done["numberOfTriples"] == 9
+    body = {"title": "T", "source": "S", "text": 'Jane won. Bob lost! ? Who "really" knows.'}
+    done = e.ingest_narrative("foo", body)
+    assert done["numberOfSentences"] == done["numberIngested"] == 4 and done["numberOfTriples"] == 16
     nid = done["narrativeId"]
     row = e.list_narratives("foo").first()
-    assert row["narrativeId"] == nid and row["numberOfTriples"] == 9 and row["url"] == "not defined"
+    assert row["narrativeId"] == nid and row["numberOfTriples"] == 16 and row["numberIngested"] == 4 and row["url"] == "not defined"
+    nested = e.narrative_details("foo").first()
+    assert nested["narrativeMetadata"]["title"] == "T" and nested["processed"] == done["processed"]
+    assert e.ingest_narrative("foo", body)["narrativeId"] == nid and e.list_narratives("foo").count() == 1
     before = e.get_graph("foo", nid)
-    assert len(before) == 6 + 9 and status(e.get_graph, "foo", "zz") == 404 and status(e.get_graph, "foo", None) == 400
+    assert len(before) == 6 + 16 and status(e.get_graph, "foo", "zz") == 404 and status(e.get_graph, "foo", None) == 400
     assert status(e.replace_graph, "foo", nid, 'subject rdfs:label "bar" .') == 500 and e.get_graph("foo", nid) == before
-    assert e.replace_graph("foo", nid, "\n".join(before)) == 9 and e.get_graph("foo", nid) == before
+    assert e.replace_graph("foo", nid, "\n".join(before)) == 16 and e.get_graph("foo", nid) == before
     assert e.replace_graph("foo", nid, ':a rdfs:label "b" .') == 1 and e.list_narratives("foo").first()["numberOfTriples"] == 1
     e.delete_narrative("foo", nid)
     assert e.list_narratives("foo").count() == 0 and e.list_background("foo").count() == 3
     e.drop_repository("foo")
-    assert [r["repo"] for r in e.list_repositories().collect()] == ["foobar"]
+    assert [r["repo"] for r in e.list_repositories().collect()] == ["foobar"] and e.store.read("foo").count() == 0
+
+
+def test_api_with_annotations(spark, tmp_path):
+    """A quotation, an entity that background names know and one that is new go through the API to the graph and back."""
+    import hashlib
+    import json
+
+    from loomgraph.operators.providers import Recorded
+
+    text = 'Jane Doe met the ACME Corp. “I lost,” Doe said.'
+    say = lambda kind, t, **r: (kind, hashlib.sha256(t.encode()).hexdigest(), json.dumps(r))
+    rows = [
+        say("entities", "Jane Doe met the ACME Corp.", entities=[{"text": "Jane Doe", "ner_type": "PERSON"}, {"text": "the ACME Corp.", "ner_type": "ORG"}]),
+        say("classification", text, subject_areas=[2], summary="A loss.", topics=["loss"], sentiment="negative", sentiment_explanation="She lost."),
+        say("sentence", "I lost,", grade_level=2, rhetorical_devices=[]),
+    ]
+    e = api.Engine(spark, f"file://{tmp_path}/kb", Recorded(spark.createDataFrame(rows, "kind string, digest string, reply string")))
+    e.create_repository("foo")
+    e.add_background("foo", [{"name": "ACME", "type": "organization", "alsoKnownAs": ["ACME Corp"]}])
+    nid = e.ingest_narrative("foo", {"title": 'A "T"', "source": "S", "text": text, "published": "2024-03-25T00:00:00"})["narrativeId"]
+    got = {(r["s"], r["p"], r["o"]) for r in e.store.read("foo").filter(f"graph = 'foo_{nid}'").collect()}
+    assert {o for _, p, o in got if p == ":mentions"} == {":Jane_Doe", ":ACME"} and {o for _, p, o in got if p == ":attributed_to"} == {":Jane_Doe"}
+    assert (":Jane_Doe", "rdf:type", ":Person") in got and not any(s == ":ACME" for s, _, _ in got)
+    kept = {(r["s"], r["p"], r["o"]) for r in e.store.read("foo").filter("graph = 'foo_default'").collect()}
+    assert {(":Jane_Doe", "rdfs:label", "Doe"), (f":Narrative_{nid}", ":subject_area", "economy and business"), (f":Narrative_{nid}", "dc:title", 'A "T"'), (f":Narrative_{nid}", ":text", text)} <= kept
+    lines = e.get_graph("foo", nid)
+    assert e.replace_graph("foo", nid, "\n".join(lines)) == len(got) and e.get_graph("foo", nid) == lines
+    again = e.ingest_narrative("foo", {"title": "U", "source": "S", "text": "Doe won."})
+    assert again["numberOfSentences"] == 1
+
+
+def test_search(spark, tmp_path):
+    e = api.Engine(spark, f"file://{tmp_path}/kb")
+    rows = [(1, "Election night in the city of dreams and more", "2024-03-02T10:00", "Google News", "https://x/a"), (2, "Election night in the city of dreams and others", "2024-03-03", "S", "https://x/b"), (3, "The election", "2024-03-04", "S", "https://x/video/1"), (4, "An election", "2023-01-01", "S", "https://x/d"), (5, "Weather", "2024-03-03", "S", "https://x/e")]
+    r = spark.createDataFrame(rows, "id int, title string, published string, source string, url string")
+    assert [x["url"] for x in e.search_articles("election", "2024-03-01", "2024-03-31", r).collect()] == ["https://x/b"]
+    assert status(e.search_articles, None, "2024-03-01", "2024-03-31", r) == 400 and status(e.search_articles, "x", "2024-13-01", "2024-03-31", r) == 400

@@ -23,7 +23,10 @@ def test_small_functions(spark):
     xml = "<g><alternateName lang='en'>Rome</alternateName><alternateName lang='it'>Roma</alternateName><alternateName lang='link'>https://en.wikipedia.org/wiki/Rome</alternateName></g>"
     names, link = T.alternate_names(F.lit(xml))
     assert pick(names) == ["Rome"] and pick(link) == "https://en.wikipedia.org/wiki/Rome"
-    assert N.span_paragraphs("<p><span>" + "x" * 80 + "</span></p><p><span>short</span></p>") == "x" * 80
+    assert [pick(T.whole_number(F.lit(x))) for x in ("12", "1.5", "x", "")] == [12, None, None, None]
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a", 1), ("b", 2), ("a", 3))])
+    assert pick(T.last_wins(pairs)) == {"a": 3, "b": 2} and pick(T.without_comma(F.lit("x,,"))) == "x,"
+    assert pick(T.plain_extract(F.lit('a "b"\u00a0c\nd é'))) == "a 'b' c d ?"
 
 
 def test_sinks_and_rows(spark, tmp_path):
@@ -36,5 +39,31 @@ def test_sinks_and_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("a,b\n1,x\n")
     assert tuple(files.csv_rows(spark, f"file://{tmp_path}/m.csv").first()) == ("1", "x")
     assert files.as_json(files.csv_rows(spark, f"file://{tmp_path}/m.csv", "a int, b string")).first()[0] == '{"a":1,"b":"x"}'
-    t = lambda *x: spark.createDataFrame(list(x), "id int, title string")
-    assert {r["id"] for r in N.matching_articles([t((1, "same title of an article over thirty characters")), t((2, "same title of an article over thirty characters too"), (3, "another"))]).collect()} == {3}
+    t = lambda *x: spark.createDataFrame(list(x), "id int, title string, published string, source string, url string")
+    same = "same title of an article over thirty characters"
+    found = N.matching_articles([t((1, same, "d", "Google News", "u")), t((2, same + " too", "d", "S", "u"), (3, "another", "d", None, "u"), (4, "more", "d", "S", "u/live/1"))])
+    assert {r["id"] for r in found.collect()} == {2, 3}
+
+
+def test_news_replies(spark, tmp_path):
+    import json
+
+    article = lambda t, c, u: {"title": t, "content": c, "url": u, "publishedAt": "2024-01-01", "source": {"name": "S"}}
+    (tmp_path / "n.json").write_text(json.dumps({"totalResults": 3, "articles": [article("a", "x [+9 chars]", files.CONSENT + "https://x/a"), article("[Removed]", "x [+1", "u"), article("b", "whole", "u")]}, indent=1))
+    assert [tuple(r)[:4] for r in files.news(spark, f"file://{tmp_path}/n.json").collect()] == [("a", "2024-01-01", "S", "https://x/a")]
+    (tmp_path / "t.json").write_text(json.dumps({"response": {"meta": {"hits": 1}, "docs": [{"headline": {"main": "h"}, "pub_date": "2024-01-02", "web_url": "u"}]}}))
+    assert [tuple(r) for r in files.nyt(spark, f"file://{tmp_path}/t.json").collect()] == [("h", "2024-01-02", "New York Times", "u")]
+    assert spark.range(1).select(files.nyt_date(F.lit("2024-01-02"))).first()[0] == "20240102"
+
+
+def test_synonyms(spark, tmp_path):
+    (tmp_path / "s.ttl").write_text('@prefix : <urn:loomgraph:> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n:Army :noun_synonym "military force"@en , "army"@en ; rdfs:label "Army" .\n:Join :verb_synonym "join"@en ; :other "x" .\n')
+    known = files.synonyms(spark, f"file://{tmp_path}/s.ttl")
+    assert {tuple(r)[:3] for r in known.collect()} == {("military force", "noun", ":Army"), ("army", "noun", ":Army"), ("Army", "label", ":Army"), ("join", "verb", ":Join")}
+    asked = spark.createDataFrame([("army",), ("navy",), ("army",)], "term string")
+    assert [tuple(r) for r in files.lookups(asked, known).collect()] == [("army", "noun", ":Army")]
+    labels = spark.createDataFrame([("Paris", "en"), ("Ort", "de"), ("Café", "en"), ("Oz", "en"), ("King of Oz", "en"), ("in town", "en"), ("Celtic people", "en")], "label string, lang string")
+    assert {r["label"] for r in files.clean_labels(labels).collect()} == {"Paris", "in town"}
+    terms = spark.createDataFrame([("as a matter of fact",), ("two words",), ("As a matter",), ("of a kind (x)",)], "term string")
+    assert [r["term"] for r in files.phrases(terms).collect()] == ["as a matter of fact"]
+    assert [r["term"] for r in files.without_part(terms, "term", "a ").collect()] == ["two words"]

@@ -60,16 +60,98 @@ def test_resolution(spark):
     m = spark.createDataFrame([(x,) for x in ("Peru", "Cheney", "former President Trump", "Donald", "nobody", "Peru")], "mention string")
     got = {r["mention"]: (r["iri"], r["priority"]) for r in R.resolved(m, labels, countries).collect()}
     assert got == {"Peru": ("geo:1", 1), "Cheney": (":C", 2), "former President Trump": (":T", 3), "Donald": (":TJ", 4), "nobody": (None, 5)}
+    rally = spark.createDataFrame([("Harris campaign rally",), ("Harris campaign",), ("",)], "mention string")
+    known = spark.createDataFrame([("Biden-Harris campaign rally", ":R", 1), ("campaign", ":c", 2)], "label string, iri string, seq int")
+    assert {r["mention"]: (r["iri"], r["priority"]) for r in R.resolved(rally, known).collect()} == {"Harris campaign rally": (":c", 3), "Harris campaign": (":c", 3), "": (None, 5)}
+    assert {r["mention"]: (r["iri"], r["priority"]) for r in R.resolved(rally, known.filter("seq = 1")).collect()} == {"Harris campaign rally": (":R", 4), "Harris campaign": (":R", 4), "": (None, 5)}
     assert R.merged_places([("Paris", "GPE"), ("Texas", "GPE"), ("Jane", "PERSON")], "in Paris, Texas, Jane") == [("Paris,Texas", "GPE"), ("Jane", "PERSON")]
 
 
+def test_containing(spark):
+    from loomgraph.operators.substring import containing
+
+    parts = spark.createDataFrame([("a",), ("ab",), ("the long part",), ("",), (None,), ("zz",)], "p string")
+    wholes = spark.createDataFrame([("xaby",), ("in the long parts",), ("",), (None,), ("a",)], "w string")
+    got = {(r["p"], r["w"]) for r in containing(parts, "p", wholes, "w").collect()}
+    assert got == {("a", "xaby"), ("ab", "xaby"), ("a", "a"), ("the long part", "in the long parts"), ("a", "in the long parts")}
+
+
+def test_pages_as_trees():
+    from loomgraph.operators import html as H
+
+    page = H.page('<html><body><p>no</p><div class="a story"><p>One <b>two</b></p><script>var a="<p>";</script><p class="x">three<br>four &amp; <p>five</div><p>out</p></body></html>')
+    assert H.read(page, ["div&class&story", "p"]) == "One two threefour & five " and H.read(page, ["div&class&a story", "p&class&x"]) == "threefour & five "
+    assert H.read(page, ["", "p"]) == "no One two threefour & five out " and H.read(page, ["article", "p"]) == "" and H.read(page, []) == ""
+    assert H.read(H.page("<p><span>" + "x" * 80 + "</span></p><p><span>short</span></p><p>" + "y" * 90 + "</p>"), ["", "<p><span>"]) == "x" * 80 + " "
+    ld = lambda x: H.body_of_json(H.page(f'<script type="application/ld+json">{{"a": 1}}</script><script type="application/ld+json">{x}</script>'))
+    assert ld('{"articleBody": "the <b> body"}') == "the <b> body" and ld('{"hasPart": {"cssSelector": ".article-body", "value": "v"}}') == "v"
+    assert ld('{"x": "\n", "articleBody": "over\ntwo lines, of twenty", "y": 1}') == "over\ntwo lines, of twenty" and ld('{"hasPart": {"cssSelector": "z"}}') == "" and ld("[1]") == "" and ld("{") == ""
+    deep = H.page("<div>" * 5000 + "x" + "</div>" * 5000)
+    assert deep.text() == "x" and len(deep.find_all("div")) == 5000 and H.page(None).text() == ""
+
+
 def test_news(spark):
-    html = '<html><head><meta property="og:url" content="http://x/1"><script type="application/ld+json">{"articleBody": "body"}</script></head><body><p>no</p><article><p>One <b>two</b></p><script>var a="<p>";</script><div><p>three</p></div></article></body></html>'
-    assert N.html_text(html) == "One two three"
-    r = spark.createDataFrame([(html,)], "h string").select(N.redirect("h"), N.article_body("h")).first()
-    assert tuple(r) == ("http://x/1", "body")
-    titles = spark.createDataFrame([(1, "A" * 30 + "x"), (2, "A" * 30 + "y"), (3, "B" * 40), (4, "short"), (5, "shorter one"), (6, "unique"), (7, None)], "id int, title string")
-    assert {r["id"] for r in N.without_prefix_titles(titles).collect()} == {3, 5, 6}
+    html = '<html><head><meta property="og:url" content="http://x/1"></head><body></body></html>'
+    assert spark.createDataFrame([(html,)], "h string").select(N.redirect("h")).first()[0] == "http://x/1"
+    body = "<article>" + "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(3)) + "</article>"
+    rows = [
+        (1, "https://abcnews.go.com/a", body), (2, "https://abcnews.go.com/video/a", body), (3, "https://unknown.site/a", body), (4, "https://news.google.com/1", '<meta property="og:url" content="https://thehill.com/x">'),
+        (5, "https://thehill.com/x", body), (6, "https://www.cnn.com/b", f'<script type="application/ld+json">{{"articleBody": "{"text " * 200}"}}</script>'), (7, "https://www.ft.com/c", body), (8, "https://www.usatoday.com/s", "<article><p>short</p></article>"),
+        (9, "https://news.google.com/2", "<p>no address</p>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], len(r["text"]) > 500) for r in N.article_texts(pages).collect()}
+    assert got == {1: ("https://abcnews.go.com/a", True), 4: ("https://thehill.com/x", True), 5: ("https://thehill.com/x", True), 6: ("https://www.cnn.com/b", True)}
+    assert {r["page_id"]: r["text"][:5] for r in N.article_body(pages).collect() if r["text"]} == {6: "text "}
+    titles = spark.createDataFrame([(1, "A" * 30 + "x"), (2, "A" * 30 + "y"), (3, "B" * 40), (4, "short"), (5, "shorter one"), (6, "unique"), (7, None), (8, "")], "id int, title string")
+    assert {r["id"] for r in N.without_prefix_titles(titles).collect()} == {3, 5, 6, 7}
+    assert {r["id"] for r in N.without_prefix_titles(titles.filter("id > 6")).collect()} == {7, 8}
+
+
+def test_places_and_knowledge(spark):
+    from loomgraph.operators.entities import Knowledge, by_type, known_types, labels_of
+
+    rows = [("Paris", "Paris", "P", "PPLC", "France", ["Paname"], "u/Paris"), ("Los Angeles", "Los Angeles", "P", "PPLA2", "United States", None, None), ("New York City", "New York City", "P", "PPL", "United States", None, None), ("New York", "New York", "A", "ADM1", "United States", None, None),
+            ("France", "France", "A", "PCLI", "France", None, None), ("Île", "Ile", "T", "ISL", "France", None, None), ("Oz", "Oz", "L", "RGN", None, None, None), ("Nirgends", "Nirgends", None, None, None, None, None)]
+    g = spark.createDataFrame(rows, "toponym string, ascii string, feature string, code string, country string, names array<string>, link string")
+    asked = ["paris", "Angeles", "York", "Paris, Texas", "Oz", "ILE", "none", "", "France", "Nirgends"]
+    got = {r["text"]: r["toponym"] for r in P.places(spark.createDataFrame([(x,) for x in asked], "text string"), g).collect()}
+    assert got == {"paris": "Paris", "Angeles": "Los Angeles", "York": "New York", "Paris, Texas": "Paris", "Oz": "Oz", "ILE": "Île", "none": None, "": None, "France": "France", "Nirgends": "Nirgends"}
+    know = Knowledge(spark, gazetteer=g)
+    about = {r["name"]: r["location"] for r in know.about(spark.createDataFrame([(x, "GPE") for x in asked if x] + [("Paris", "PERSON")], "name string, base string")).collect()}
+    assert about["Angeles"]["class"] == ":PopulatedPlace, :AdministrativeDivision" and about["Angeles"]["admin_level"] == 2 and about["paris"]["names"] == ["Paname", "paris", "Paris"]
+    assert about["France"]["class"] == ":Country" and about["France"]["country"] == "" and about["Oz"]["class"] == ":DesignatedArea" and about["none"] is None and about["Nirgends"] is None and about["Paris"] is None
+    labels = spark.createDataFrame([("Q1", "en", "alias", 1, "b"), ("Q1", "mul", "label", 0, "a"), ("Q1", "en", "label", 0, "a"), ("Q1", "en", "alias", 0, "c"), ("Q2", "fr", "label", 0, "x")], "item string, lang string, kind string, seq int, value string")
+    assert {r["item"]: r["labels"] for r in labels_of(labels).collect()} == {"Q1": ["a", "c", "b"]}
+    e = spark.createDataFrame([("PERSON", "Jo"), ("GPE", "Oz"), ("PERSON", "Al"), ("PERSON", "Jo")], "ner_type string, text string")
+    assert {r["ner_type"]: r["names"] for r in by_type(e).collect()} == {"PERSON": ["Al", "Jo"], "GPE": ["Oz"]}
+    items, of = spark.createDataFrame([("Jo", "Q9")], "label string, item string"), spark.createDataFrame([("Q9", "Q5"), ("Q9", "Q1")], "item string, class string")
+    assert {r["text"]: r["classes"] for r in known_types(e, items, of).collect()} == {"Jo": ["Q1", "Q5"], "Oz": None, "Al": None}
+
+
+def test_syntax(spark):
+    from loomgraph.operators import syntax as X
+
+    def parse(*tokens):
+        return [dict(zip(("text", "lemma", "pos", "dep", "head", "ent"), t)) for t in tokens]
+
+    born = parse(("Narrator", "narrator", "PROPN", "nsubjpass", 2, ""), ("was", "be", "AUX", "auxpass", 2, ""), ("born", "bear", "VERB", "ROOT", 2, ""), ("on", "on", "ADP", "prep", 2, ""), ("1928", "1928", "NUM", "pobj", 3, "DATE"), ("in", "in", "ADP", "prep", 2, ""), ("Znojmo", "Znojmo", "PROPN", "pobj", 5, "GPE"), (".", ".", "PUNCT", "punct", 2, ""))
+    kin = parse(("Bob", "Bob", "PROPN", "compound", 1, ""), ("Jones", "Jones", "PROPN", "nsubj", 4, ""), ("and", "and", "CCONJ", "cc", 1, ""), ("Paul", "Paul", "PROPN", "conj", 1, ""), ("are", "be", "AUX", "ROOT", 4, ""), ("her", "her", "PRON", "poss", 6, ""), ("brothers", "brother", "NOUN", "attr", 4, ""))
+    sister = parse(("with", "with", "ADP", "ROOT", 0, ""), ("sister", "sister", "NOUN", "pobj", 0, ""), (",", ",", "PUNCT", "punct", 1, ""), ("Beatrice", "Beatrice", "PROPN", "appos", 1, ""))
+    df = spark.createDataFrame([(1, born), (2, kin), (3, sister), (4, []), (5, None)], f"key long, tokens {X.TOKENS}")
+    assert {tuple(r) for r in X.lives(df).collect()} == {(1, "born_on", "I", "1928"), (1, "born_in", "I", "Znojmo"), (2, "family", "brother", "Bob Jones"), (2, "family", "brother", "Paul"), (3, "family", "sister", "Beatrice")}
+    assert [tuple(r) for r in X.subject_verbs(df).collect()] == [(1, "Narrator", "born")]
+    assert {r["key"]: r[1] for r in df.select("key", X.has_subject_verb("tokens")).collect()} == {1: True, 2: True, 3: False, 4: False, 5: None}
+    assert {(r["part"], r["under"]) for r in X.root_parts(df.filter("key = 1")).collect()} == {("Narrator", None), ("on", None), ("in", None), ("1928", "on"), ("Znojmo", "in")}
+    t = spark.createDataFrame([("I was born on June 12, 1928, in Znojmo Nova, a town.",), ("She was born in Rome on 3 May 1900.",), ("none",)], "t string")
+    assert [tuple(r) for r in t.select(*X.born("t")).collect()] == [("June 12, 1928", "Znojmo Nova"), ("3 May 1900", "Rome"), ("", "")]
+    import hashlib
+    import json
+
+    said = ["Jane won.", "She smiled."]
+    replies = spark.createDataFrame([("coref", hashlib.sha256(" ".join(said).encode()).hexdigest(), json.dumps({"updated_sentences": ["Jane won.", "Jane smiled."]}))], "kind string, digest string, reply string")
+    n = spark.createDataFrame([("n1", said), ("n2", ["He left."])], "narrative_id string, sentences array<string>")
+    assert {r["narrative_id"]: r["sentences"] for r in X.coreferences(n, P.Recorded(replies)).collect()} == {"n1": ["Jane won.", "Jane smiled."], "n2": ["He left."]}
 
 
 def test_sources(spark, tmp_path):
@@ -120,9 +202,67 @@ def test_nearest_topics(spark, monkeypatch):
         assert got == {k: int(c[k].argmax()) for k in range(0, 60, 3)}
 
 
-def test_labels_in_blocks(spark, monkeypatch):
-    labels = spark.createDataFrame([(f"name{i:03d}x", f":L{i}", i) for i in range(50)], "label string, iri string, seq int")
-    m = spark.createDataFrame([("the Name name007x",), ("ame03",), ("none",), ("name010x",)], "mention string")
-    want = {tuple(r) for r in R.resolved(m, labels).collect()}
-    monkeypatch.setattr(R, "BROADCAST_LABELS", 7)
-    assert {tuple(r) for r in R.resolved(m, labels).collect()} == want and ("ame03", ":L30", 4) in want
+def test_topics_compared(spark):
+    from loomgraph.operators import align as A
+
+    t = lambda *x: spark.createDataFrame([(v,) for v in x], "topic string")
+    got = {(r["left"], r["right"]) for r in A.compared(t("Gaza war", "Iran", "peace process", None), t("the war in Gaza", "Process of peace", "Gaza war today")).collect()}
+    assert got == {("Gaza war", "Gaza war today"), ("Iran", None), ("peace process", "Process of peace"), (None, "the war in Gaza")}
+
+
+def test_betweenness_by_joins(net):
+    want = {r["node"]: r["centrality"] for r in W.betweenness(net).collect()}
+    for block in (2_000, 4):
+        got = {r["node"]: r["centrality"] for r in W.betweenness(net, max_edges=1, block=block).collect()}
+        assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
+def test_networks_of_the_queries(spark, sf):
+    """Components and eigenvectors of the orders' network by plain Python."""
+    from loomgraph.plans import catalogue
+
+    links = {(f"c{r['o_custkey']}", f"{r['o_orderpriority']}{r['o_orderkey'] % 50}") for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    names = sorted({x for p in links for x in p})
+    at, name = {n: k for k, n in enumerate(names)}, {n: n for n in names}
+    near = {n: [] for n in names}
+    for u, v in links:
+        near[u].append(v)
+        near[v].append(u)
+    seen = set()
+    for n in names:
+        if n not in seen:
+            front = [n]
+            while front:
+                x = front.pop()
+                if x not in seen:
+                    seen.add(x)
+                    name[x] = n
+                    front += near[x]
+    assert {r["node"]: r["component"] for r in catalogue.QUERIES["net_components"](spark, sf).collect()} == name
+    a = np.zeros((len(names), len(names)))
+    for u, v in links:
+        a[at[u], at[v]] = a[at[v], at[u]] = 1
+    vector = np.abs(np.linalg.eigh(a)[1][:, -1])
+    got = {r["node"]: r["centrality"] for r in catalogue.QUERIES["net_eigenvector"](spark, sf).collect()}
+    assert all(abs(got[n] - vector[at[n]]) < 1e-4 for n in names)
+
+
+def test_merged_places_of_the_query(spark, sf):
+    import json
+    import re
+
+    from loomgraph.plans import catalogue
+
+    got = {r["sentence_id"]: json.loads(r["entities"]) for r in catalogue.QUERIES["adjacent_merge"](spark, sf).collect()}
+    merged = 0
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        names = [(n, "LOC" if len(n) % 3 == 0 else "GPE") for n in re.findall(r"[^\W\d_]+", r["text"] or "")]
+        want, k = [], 0
+        while k < len(names):
+            (n, c), after = names[k], names[k + 1] if k + 1 < len(names) else ("", "")
+            both = c == after[1] and f"{n}, {after[0]}" in r["text"]
+            want.append({"text": f"{n},{after[0]}" if both else n, "kind": c})
+            merged += both
+            k += 1 + both
+        assert got.get(r["conv_id"] * 1000 + r["turn"], []) == want
+    assert merged > 5

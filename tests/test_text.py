@@ -18,8 +18,8 @@ def test_strings(spark):
     assert values(spark, T.iri, "Liz Cheney", "U.S. Rep_", "-x y") == [":Liz_Cheney", ":U_S_Re", ":x_y"]
     assert values(spark, T.base_type, "PLURALFEMALEPERSON", "SINGGPE") == ["PERSON", "GPE"]
     assert values(spark, T.name_parts, "Mary  Smith-Evans") == [["Mary", "Smith", "Evans"]]
-    assert values(spark, T.date_valid, "1998-02-31", "1900-01-01", "98-1-1", None) == [True, False, False, False]
-    assert values(spark, T.time_iri, "August 16, 2022", "March 5", "2022 ", "soon then.") == [":PiT_Yr2022_MoAugust_Day16", ":PiT_MoMarch", ":PiT_Yr2022_Day22", ":PiT_soon_then"]
+    assert values(spark, T.date_valid, "1998-02-31", "1900-01-01", "98-1-1", None, "1998-1-9", "1998-13-01") == [True, False, False, False, True, False]
+    assert values(spark, T.time_iri, "August 16, 2022", "March 5", "2022 ", "soon then.", "Friday, June 5, 2024", "on Monday", "31 May") == [":PiT_Yr2022_MoAugust_Day16", ":PiT_MoMarch", ":PiT_Yr2022_Day22", ":PiT_soon_then", ":PiT_Yr2024_MoJune_Day5", ":PiT_DayMonday", ":PiT_MoMay_Day31"]
     assert values(spark, T.base_words, "the former President Donald Trump", "water rights") == ["President Donald Trump", "water rights"]
     assert values(spark, T.ascii_folded, "Café Øst ß") == ["Cafe Ost ss"]
     assert values(spark, lambda c: T.after(c, "//"), "http://a", "b") == ["a", ""]
@@ -43,5 +43,7 @@ def test_semantics(spark):
     assert rule("location", [":Win"], ":Resource") == ":has_context"
     assert rule("goal", [":Win"], ":Location") == ":has_destination"
     assert rule("co-agent", [":Win"], ":Person") is None
+    assert rule("recipient", [":Win"], ":OrganizationalEntity") == ":has_recipient" and rule("source", [":Win"], ":GeopoliticalEntity") == ":has_source"
+    assert rule("location", [":Win"], ":Prison") == ":has_context" and rule("recipient", [":Win"], ":Location, :Collection") == ":has_destination"
     texts = F.array(F.lit("x" * 95), F.lit("abc"), F.lit("b"), F.lit("zz"))
     assert pick(S.details_concatenated(texts)) == "x" * 90 + " ...; abc; zz"
