@@ -5,7 +5,7 @@ is a projection of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
@@ -148,6 +148,7 @@ def known_types(entities: DataFrame, items: DataFrame, instances: DataFrame) ->
     return entities.select("text").distinct().join(one, "text", "left").join(of, "item", "left").select("text", "item", "classes")
 
 
-def first_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("k = 1").drop("k")
+def multimap(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key and the array of its values, in order."""
+    got = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("x"))
+    return got.select(key, F.transform("x", lambda x: x["v"]).alias("values"))

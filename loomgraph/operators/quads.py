@@ -231,6 +231,10 @@ class QuadTable:
     def apply(self, repo: str, change) -> None:
         self._write(repo, change(self.read(repo)))
 
+    def query(self, sql: str, repo: str | None = None, **args) -> DataFrame:
+        """SQL over the quads as the table {quads}; values go in as named parameters (:name), never into the text."""
+        return self.spark.sql(sql, args=args, quads=self.read(repo))
+
     def drop(self, repo: str) -> None:
         """All of a repository."""
         self._delete(self._folder(repo))

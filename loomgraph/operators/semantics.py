@@ -116,3 +116,8 @@ def details_concatenated(texts: Column, width: int = 90) -> Column:
         return F.when(F.contains(out, x), out).when(out == "", truncated(x, width)).otherwise(F.concat(out, F.lit("; "), truncated(x, width)))
 
     return F.aggregate(texts, F.lit(""), step)
+
+
+def whitelisted(entities: Column) -> Column:
+    """Entities (text, ner_type) of the types that have a class; times are not among them."""
+    return F.filter(entities, lambda e: e["ner_type"].isin(list(vocab.NER_CLASS)))

@@ -169,6 +169,12 @@ def dumped(graph: DataFrame, details: DataFrame, path: str) -> None:
     details.coalesce(1).write.mode("overwrite").json(f"{path}/details")
 
 
+def saved(rows: DataFrame, path: str) -> DataFrame:
+    """A dictionary kept as Parquet, and read back from there."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """Rows as JSON strings, for a response."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

@@ -32,6 +32,8 @@ def test_store(spark, tmp_path):
     assert s.add("foobar", other) == 1
     lines = Q.exported(s.read(), "foo", "foo_g")
     assert len(lines) == 8 and lines[6] == ':testS :testP :testO .' and lines[7] == ':testS rdfs:label "text" .'
+    count = "SELECT count(*) AS cnt FROM {quads} WHERE graph = :graph AND o = :o"
+    assert s.query(count, "foo", graph="foo_g", o="text").first()["cnt"] == 1 and s.query(count, graph="x' OR '1' = '1", o="text").first()["cnt"] == 0
     s.remove("foo", new.limit(1))
     assert s.read("foo").count() == 1 and s.read().filter("repo = 'foo'").count() == 1
     s.clear("foo", "foo_g")
