@@ -32,9 +32,14 @@ def repaired(text: Column) -> Column:
     return t
 
 
+#: Abbreviations that don't end a sentence with their full stop; a single capital (an initial, 'U.S.') doesn't, either.
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Messrs", "Mx", "Esq", "Fr", "Sr", "Jr", "Rep", "Sen", "Gov", "Gen", "Lt", "Col", "St", "Prof"]
+
+
 def sentences(text: Column) -> Column:
-    """Array of sentences: cut after . ! ? and white space."""
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1\u0001")
+    """Array of sentences: cut after . ! ? and white space, but for abbreviations."""
+    short = f"(?<!(?:^|[^A-Za-z0-9_])(?:{'|'.join(ABBREVIATIONS)}|[A-Z])\\.)"
+    marked = F.regexp_replace(text, rf"([.!?]){short}\s+", "$1\u0001")
     return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: F.length(s) > 0)
 
 

@@ -8,7 +8,8 @@ from loomgraph.functions import text as T
 from loomgraph.plans.base import query
 
 NORM = "trim(replace(replace(text, chr(10), ' '), '  ', ' '), ' ')"
-SENTS = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: length(s) > 0)"
+_SHORT = r"regexp_replace({0}, '\b(" + "|".join(T.ABBREVIATIONS) + r"|[A-Z])\.(\s)', '\1.' || chr(2) || '\2', 'g')"
+SENTS = r"list_filter(list_transform(string_split(regexp_replace(" + _SHORT + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(replace(s, chr(2), ''), ' ')), lambda s: length(s) > 0)"
 N_QUOTES = {"straight": "len(regexp_extract_all(text, '\"(.*?)\"'))", "single": "len(regexp_extract_all(text, '‘(.*?)’'))", "double": "len(regexp_extract_all(text, '“(.*?)”'))"}
 
 

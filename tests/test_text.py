@@ -11,7 +11,7 @@ def values(spark, fn, *texts):
 def test_strings(spark):
     assert values(spark, T.normalised, " a\nb   c ", None) == ["a b  c", None]
     assert values(spark, T.repaired, "5 % x ] a- b- c") == ["5% x] a-b-c"]
-    assert values(spark, T.sentences, "One. Two! Three?  Four") == [["One.", "Two!", "Three?", "Four"]]
+    assert values(spark, T.sentences, "One. Two! Three?  Four", "U.S. Rep. Jo A. Doe met Mr.  Roe. They left") == [["One.", "Two!", "Three?", "Four"], ["U.S. Rep. Jo A. Doe met Mr.  Roe.", "They left"]]
     assert values(spark, T.dominant_style, 'say "a" and “b” “c”', "none", 'a "x" ‘y’') == ["double", None, "straight"]
     assert values(spark, T.without_article, "The cat", "an owl", "Theory") == ["cat", "owl", "Theory"]
     assert values(spark, T.without_possessive, "Jack's", "the Smiths’", "it") == ["Jack", "the Smiths", "it"]
