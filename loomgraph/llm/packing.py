@@ -265,7 +265,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (with a length column, from 1 to the capacity) plus sequence_id and offset.
 
-    Ranks among the pieces of one length are counted over hash slots first, so a length that most
+    Pieces of one length are told apart by doc_id, piece and ids_crc32; repeated rows have places of their own.
+    No rows give no sequences. Ranks among the pieces of one length are counted over hash slots first, so a length that most
     pieces have is not one task. Only the counts of each length reach the driver."""
     cut = written(cut.withColumn("rslot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SLOTS)).cast("int")), "pieces")
     slots = cut.groupBy("length", "rslot").agg(F.count("*").alias("n"))
@@ -294,5 +295,5 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents' pieces."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents' pieces; see pieces() and packed()."""
     return packed(pieces(table(spark, sf_dir, "documents")))

@@ -79,3 +79,32 @@ def test_rows(spark, odd_docs, no_docs):
         assert place <= 4096
     assert len(by) == -(-sum(r["length"] for r in got) // 4096)
     assert packing.packed(packing.pieces(no_docs)).count() == 0
+
+
+def test_query_against_the_tokenizer(spark, sf):
+    """All pieces of all documents by the whole tokenizer, gapless sequences, and as few of them as the tokens need."""
+    tok, want = Tokenizer.from_file(packing.tokenizer_path()), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for k, s in enumerate(range(0, len(ids), 4096)):
+            want.append((r["doc_id"], k, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())))
+    got = packing.op3_packing(spark, sf).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        place = 0
+        for at, n in sorted(parts):
+            assert at == place
+            place += n
+        assert place <= 4096
+    least = -(-sum(n for *_, n, _ in want) // 4096)
+    assert len(held) <= least + 1
+
+
+def test_ties_and_repeats(spark):
+    """Pieces of one length, and rows that are all alike, have places of their own."""
+    cut = spark.createDataFrame([(1, 0, 0, 2048, 7)] * 6 + [(k, 0, 0, 1024, 7) for k in range(4)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = [(r["sequence_id"], r["offset"]) for r in packing.packed(cut).collect()]
+    assert len(set(got)) == 10 and len({s for s, _ in got}) == 4
