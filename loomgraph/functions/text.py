@@ -285,10 +285,26 @@ def retry_seconds(header: Column, now: Column) -> Column:
     return F.coalesce(number, F.greatest(F.unix_timestamp(at) - F.unix_timestamp(now), F.lit(0)).cast("int"), F.lit(0))
 
 
-def reflowed(text: Column, header: str) -> Column:
-    """Pages to paragraphs: lines that match the page header go, single line ends become blanks."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(header))
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"([^\n])\n([^\n])", "$1 $2"), r"\n{2,}", "\n\n")
+def reflowed(text: Column, header: str, skip: int = 0) -> Column:
+    """Pages to paragraphs: the first lines go, and those that match the page header; an empty line ends a paragraph,
+    other lines are trimmed and joined by blanks."""
+    lines = F.filter(F.slice(F.split(text, "\n"), skip + 1, 1 << 30), lambda x: ~x.rlike(header))
+    parts = F.transform(lines, lambda x: F.when(x == "", "\n\n").otherwise(F.concat(F.trim(x), F.lit(" "))))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(parts, ""), " +(?=\n)", ""), "\n{2,}", "\n\n"))
+
+
+def first_person(text: Column, given: Column, maiden: Column, surname: Column, female: Column) -> Column:
+    """A life told in the third person as told by its person: names and pronouns to I and my, the families to my family."""
+    full = [F.concat(given, F.lit(" ("), maiden, F.lit(") "), surname), F.concat_ws(" ", given, maiden, surname), F.concat_ws(" ", given, surname), given]
+    for form, said in (("'s", "my"), ("", "I")):
+        for name in full:
+            text = F.replace(text, F.concat(name, F.lit(form)), F.lit(said))
+    for she, he, said in (("she", "he", "I"), ("She", "He", "I"), ("her", "his", "my"), ("Her", "His", "My")):
+        text = F.replace(text, F.concat(F.lit(" "), F.when(female, she).otherwise(he), F.lit(" ")), F.lit(f" {said} "))
+    for name in (maiden, surname):
+        for the, said in (("the", "my family"), ("The", "My family")):
+            text = F.replace(text, F.concat(F.lit(f"{the} "), name, F.lit("s")), F.lit(said))
+    return text
 
 
 def alternate_names(xml: Column) -> tuple[Column, Column]:

@@ -19,7 +19,9 @@ def test_small_functions(spark):
     assert pick(T.restored(F.lit("a [Quotation1] b [Quotation2]"), "Quotation", F.array(F.lit("x"), F.lit("y")))) == "a x b y"
     now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     assert [pick(T.retry_seconds(F.lit(h), now)) for h in ("7", "Mon, 01 Jan 2024 00:01:00 GMT", "soon")] == [7, 60, 0]
-    assert pick(T.reflowed(F.lit("Page 1\na\nb\n\nc"), "^Page \\d+$")) == "a b\n\nc"
+    assert pick(T.reflowed(F.lit("Page 1\na\nb\n\nc"), "^Page \\d+$")) == "a b\n\nc" and pick(T.reflowed(F.lit("title\n a\nECHOES 2\nb \n\n\nc"), "ECHOES", 1)) == "a b\n\nc"
+    told = "Erika (Neuman) Eckstut's town was near. Erika Eckstut left, and she took her sister; the Neumans stayed with Erika's dog."
+    assert pick(T.first_person(F.lit(told), F.lit("Erika"), F.lit("Neuman"), F.lit("Eckstut"), F.lit(True))) == "my town was near. I left, and I took my sister; my family stayed with my dog."
     xml = "<g><alternateName lang='en'>Rome</alternateName><alternateName lang='it'>Roma</alternateName><alternateName lang='link'>https://en.wikipedia.org/wiki/Rome</alternateName></g>"
     names, link = T.alternate_names(F.lit(xml))
     assert pick(names) == ["Rome"] and pick(link) == "https://en.wikipedia.org/wiki/Rome"
