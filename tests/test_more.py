@@ -69,3 +69,15 @@ def test_synonyms(spark, tmp_path):
     terms = spark.createDataFrame([("as a matter of fact",), ("two words",), ("As a matter",), ("of a kind (x)",)], "term string")
     assert [r["term"] for r in files.phrases(terms).collect()] == ["as a matter of fact"]
     assert [r["term"] for r in files.without_part(terms, "term", "a ").collect()] == ["two words"]
+
+
+def test_table_function(spark, sf):
+    from loomgraph.functions import tables
+
+    tables.register(spark)
+    more = [(-1, "Mr. A met U.S. Rep. Doe.  Then\nhe left! ?"), (-2, None), (-3, ""), (-4, "x.  y. Z. end")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    docs.createOrReplaceTempView("told")
+    got = {(r["doc_id"], r["offset"], r["text"]) for r in spark.sql("SELECT d.doc_id, s.* FROM told d, LATERAL parse_narrative(d.text) s").collect()}
+    want = docs.select("doc_id", F.posexplode(T.sentences(T.normalised(F.col("text")))).alias("k", "text"))
+    assert got == {(r["doc_id"], r["k"] + 1, r["text"]) for r in want.collect()} and len(got) > 300
