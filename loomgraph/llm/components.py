@@ -20,12 +20,12 @@ def _with_least(e: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """e (u, v) with m of least (c, m, n) at u = c, where the n sum up to total.
 
     A star's centre may have any share of all edges. Nodes that have more than one in SHARE of them are less than
-    SHARE, so they are broadcast and their edges stay where they are."""
+    SHARE, so they are broadcast and their edges go anywhere: under the number of their other end."""
     often = F.col("n") > max(HOT, total // SHARE)
     hot = F.broadcast(least.filter(often).select(F.col("c").alias("hot"), F.col("m").alias("hot_m")))
-    e = e.join(hot, F.col("u") == F.col("hot"), "left")
-    cold = e.filter("hot is null").select("u", "v").join(least.filter(~often).select("c", "m"), F.col("u") == F.col("c"))
-    return cold.select("u", "v", "m").unionAll(e.filter("hot is not null").select("u", "v", F.col("hot_m").alias("m")))
+    e = e.join(hot, F.col("u") == F.col("hot"), "left").withColumn("at", F.when(F.col("hot").isNull(), F.col("u")).otherwise(F.col("v")))
+    rest = least.filter(~often).select("c", "m")
+    return e.join(rest, F.col("at") == F.col("c"), "left").select("u", "v", F.coalesce("hot_m", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -54,5 +54,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(got) == sign or not got[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         sign, total = tuple(got), got[0]
-        now = written(_small_star(_large_star(now, total).distinct(), total).distinct(), "edges")
+        wide = written(_large_star(now, total).distinct(), "edges")
+        now = written(_small_star(wide, total).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
