@@ -44,7 +44,7 @@ def sentences(narratives: DataFrame, provider: Provider) -> DataFrame:
     Sentences that are no words have no entities."""
     cut = narratives.select("narrative_id", F.posexplode(T.sentences(T.normalised(F.col("text")))).alias("k", "text"))
     cut = cut.select("narrative_id", (F.col("k") + 1).alias("offset"), T.repaired(F.col("text")).alias("text"))
-    cut = cut.withColumn("s", F.concat(F.lit(":Sentence_"), digest_id("narrative_id", F.col("offset").cast("string"), "text")))
+    cut = stored(cut.withColumn("s", F.concat(F.lit(":Sentence_"), digest_id("narrative_id", F.col("offset").cast("string"), "text"))))  # texts are cut once
     cut = annotated(cut, provider, "entities", F.when(T.guarded(F.col("text")), F.col("text")), ENTITIES, "found")
     cut = annotated(cut, provider, "sentence", F.col("text"), SENTENCE, "answer")
     return cut.select("narrative_id", "offset", "text", "s", F.col("found.entities").alias("entities"), "answer")
@@ -59,7 +59,7 @@ def quotations(narratives: DataFrame, provider: Provider) -> DataFrame:
     with a subject, by the provider, else by CLAUSE, with their speaker, else that of a 'said' beside them."""
     n = narratives.select("narrative_id", T.normalised(F.col("text")).alias("whole")).withColumn("style", T.dominant_style(F.col("whole")))
     found = F.when(F.col("style") == "straight", T.quotes(F.col("whole"), "straight")).when(F.col("style") == "single", T.quotes(F.col("whole"), "single")).when(F.col("style") == "double", T.quotes(F.col("whole"), "double"))
-    q = n.select("narrative_id", "whole", F.posexplode(found).alias("k", "text"))
+    q = stored(n.select("narrative_id", "whole", F.posexplode(found).alias("k", "text")))
     q = annotated(q, provider, "quotation", F.col("text"), KINDS["quotation"], "verb")
     q = q.filter(F.coalesce("verb.has_subject_verb", F.col("text").rlike(CLAUSE)))
     q = annotated(q, provider, "attribution", F.concat_ws("\n", "text", "whole"), KINDS["attribution"], "by")
@@ -147,14 +147,16 @@ def entity_rows(found: DataFrame, knowledge: Knowledge, female: DataFrame | None
     return e.withColumn("gender", F.lit(None).cast("string"))
 
 
-def told_quads(rows: DataFrame, s: Column, r: Column, g: Column) -> DataFrame:
-    """Grade level and rhetorical devices of rows with an `answer` (SENTENCE). Ordinals outside of the devices are left out."""
-    grade = Q.triplify(rows, s, r, g, **{":grade_level": (F.col("answer.grade_level"), "xsd:integer")})
+def device_quads(rows: DataFrame, s: Column, r: Column, g: Column) -> DataFrame:
+    """Rhetorical devices of rows with an `answer` (SENTENCE), each in one pass: its name and, where there is one, its
+    explanation. Ordinals outside of the devices are left out."""
     dev = rows.select("*", F.explode("answer.rhetorical_devices").alias("d"))
     label = F.when(F.col("d.device_number") > 0, T.first_ordinal_text(V.DEVICES, F.greatest(F.col("d.device_number"), F.lit(1))))
     dev = dev.withColumn("label", label).filter("label is not null")
-    why = dev.select(r.alias("repo"), g.alias("graph"), s.alias("s"), F.concat(F.lit(":rhetorical_device_"), F.translate("label", " ", "_")).alias("p"), F.col("d.explanation").alias("o"), F.lit("lit").alias("o_kind")).filter("o is not null")
-    return grade.unionByName(Q.triplify(dev, s, r, g, **{":rhetorical_device": (F.col("label"), "lit")})).unionByName(Q.quads(why))
+    what = F.struct(F.lit(":rhetorical_device").alias("p"), F.col("label").alias("o"))
+    why = F.struct(F.concat(F.lit(":rhetorical_device_"), F.translate("label", " ", "_")).alias("p"), F.col("d.explanation").alias("o"))
+    both = dev.select(r.alias("repo"), g.alias("graph"), s.alias("s"), F.explode(F.array(what, why)).alias("x"))
+    return Q.quads(both.select("repo", "graph", "s", "x.p", "x.o", F.lit("lit").alias("o_kind")).filter("o is not null"))
 
 
 def graph_quads(t: Tables, repo: str, geo: DataFrame | None = None) -> DataFrame:
@@ -168,19 +170,21 @@ def graph_quads(t: Tables, repo: str, geo: DataFrame | None = None) -> DataFrame
     plain = F.regexp_replace("class", "^:", "")
     fact = lambda kind: t.facts.filter(F.col("kind") == kind)
     time = fact("time").withColumn("when", T.time_iri(F.col("name")))
-    parts = [
+    once = [  # one row each by the way their IRIs are made
         Q.triplify(t.sentences, n, r, g, **{":has_component": iri(s)}),
-        Q.triplify(t.sentences, s, r, g, **{"rdf:type": iri(F.lit(":Sentence")), ":offset": num(F.col("offset")), ":text": lit(F.col("text"))}),
-        told_quads(t.sentences, s, r, g),
-        Q.triplify(t.quotations, s, r, g, **{"rdf:type": iri(F.lit(":Quote")), ":text": lit(F.col("text"))}),
-        told_quads(t.quotations, s, r, g),
-        Q.triplify(fact("mention"), F.col("owner"), r, g, **{":mentions": iri(F.col("iri"))}),
-        Q.triplify(fact("speaker"), F.col("owner"), r, g, **{":attributed_to": iri(F.col("iri"))}),
-        entity_quads(t.entities, r, g, geo),
+        Q.triplify(t.sentences, s, r, g, **{"rdf:type": iri(F.lit(":Sentence")), ":offset": num(F.col("offset")), ":text": lit(F.col("text")), ":grade_level": num(F.col("answer.grade_level"))}),
+        Q.triplify(t.quotations, s, r, g, **{"rdf:type": iri(F.lit(":Quote")), ":text": lit(F.col("text")), ":grade_level": num(F.col("answer.grade_level"))}),
         Q.triplify(t.situations, n, r, g, **{":describes": iri(situation)}),
         Q.triplify(t.situations, situation, r, g, **{"rdf:type": iri(F.lit(":NarrativeEvent")), ":offset": num(F.col("offset")), ":text": lit(F.col("text"))}),
         Q.triplify(t.events, situation, r, g, **{":has_semantic": iri(event), ":has_first": iri(F.when(F.col("is_first"), event))}),
         Q.triplify(t.events, event, r, g, **{":text": lit(F.col("text")), ":has_next": iri(F.col("next")), ":future": true(F.col("future"))}),
+    ]
+    often = [
+        device_quads(t.sentences, s, r, g),
+        device_quads(t.quotations, s, r, g),
+        Q.triplify(fact("mention"), F.col("owner"), r, g, **{":mentions": iri(F.col("iri"))}),
+        Q.triplify(fact("speaker"), F.col("owner"), r, g, **{":attributed_to": iri(F.col("iri"))}),
+        entity_quads(t.entities, r, g, geo),
         Q.triplify(t.event_types, event, r, g, **{"rdf:type": iri(F.col("class"))}),
         named(t.event_types, F.concat(F.lit(":confidence-"), plain), F.col("confidence")).filter("o is not null"),
         named(t.event_types.filter("negated"), F.concat(F.lit(":negated-"), plain), F.lit("true"), of="xsd:boolean"),
@@ -192,10 +196,14 @@ def graph_quads(t: Tables, repo: str, geo: DataFrame | None = None) -> DataFrame
         Q.triplify(time, F.col("when"), r, g, **{"rdf:type": iri(F.lit(":Time")), ":text": lit(F.col("name"))}),
         Q.triplify(time, F.col("owner"), r, g, **{":has_time": iri(F.col("when"))}),
     ]
+    return _all(once).unionByName(_all(often).dropDuplicates(Q.KEY))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.dropDuplicates(Q.KEY)
+    return out
 
 
 def metadata_quads(narratives: DataFrame, repo: str) -> DataFrame:

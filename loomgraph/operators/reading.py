@@ -189,6 +189,10 @@ class Reader:
 
 def read(units: DataFrame, labels: DataFrame, provider: Provider, knowledge: Knowledge, countries: DataFrame | None = None) -> DataFrame:
     """UNIT rows x labels (label, iri, ner_type, seq) -> FACT rows. Countries: (name, iri)."""
+    # most sentences name nothing: they have no facts
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    told = size("entities") | size("phrases") | (F.coalesce("speaker", F.lit("")) != "")
+    units = units.filter(F.coalesce(told, F.lit(False)))
     packed = units.select("narrative_id", F.to_json(F.struct(*units.columns)).alias("unit"))
 
     def names(batches):

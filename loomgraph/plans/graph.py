@@ -211,12 +211,13 @@ def narrative_graph(t):
     from loomgraph.operators import narrative as N
     from loomgraph.operators.entities import Knowledge
     from loomgraph.operators.providers import Recorded
+    from loomgraph.operators.stored import stored
 
     n = t("documents").select(F.col("doc_id").cast("string").alias("narrative_id"), "text")
-    said = n.select(F.explode(T.sentences(T.normalised(F.col("text")))).alias("text")).select(T.repaired(F.col("text")).alias("text")).distinct()
+    said = n.select(F.explode(T.sentences(T.normalised(F.col("text")))).alias("text")).select(T.repaired(F.col("text")).alias("text"))
     words = F.size(F.split("text", " "))
     reply = F.to_json(F.struct(words.alias("grade_level"), F.array(F.struct((words % 16).alias("device_number"), F.lit("by its words").alias("explanation"))).alias("rhetorical_devices")))
-    recorded = Recorded(said.select(F.lit("sentence").alias("kind"), F.sha2("text", 256).alias("digest"), reply.alias("reply")))
+    recorded = Recorded(stored(said.select(F.lit("sentence").alias("kind"), F.sha2("text", 256).alias("digest"), reply.alias("reply"))))
     none = n.sparkSession.createDataFrame([], "label string, iri string, ner_type string, seq long")
     made = N.create_graphs(n, "stories", recorded, none, Knowledge(n.sparkSession))
     return made.graphs.groupBy("p").agg(F.count("*").alias("cnt"))
