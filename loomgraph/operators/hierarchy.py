@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.stored import counted, stored
 
+#: Edges of a hierarchy that goes to every executor; larger ones are closed by joins.
+BROADCAST_EDGES = 20_000
+
+
 def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
-    """(child, parent) -> (child, ancestor, depth), with the least depth of each pair.
+    """(child, parent) -> (child, ancestor, depth), with the least depth of each pair, whatever the depth.
 
-    Paths double in length every round, so a hierarchy of depth d takes log2(d) joins, however deep it is;
-    cycles end as soon as a round adds nothing. A round joins what the last one found or shortened with all
-    paths. reflexive adds every class as its own ancestor at depth 0."""
-    edges = stored(edges.select("child", "parent").distinct())
+    Up to BROADCAST_EDGES edges each class walks up by itself, as rows of one pass. In larger hierarchies paths
+    double in length every round, so depth d takes log2(d) joins. Cycles end where nothing is new. reflexive adds
+    every class as its own ancestor at depth 0."""
+    edges, n = counted(edges.select("child", "parent").filter("child is not null and parent is not null").distinct())
+    now = _walked(edges) if n <= BROADCAST_EDGES else _doubled(edges)
+    if reflexive:
+        nodes = edges.select(F.col("child").alias("child")).union(edges.select("parent")).distinct()
+        now = now.unionByName(nodes.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth")))
+    return now
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    up: dict = {}
+    for r in edges.collect():  # a checked number of rows
+        up.setdefault(r["child"], []).append(r["parent"])
+    shared = edges.sparkSession.sparkContext.broadcast(up)
+    kind = edges.schema["child"].dataType.simpleString()
+
+    def of(batches):
+        up = shared.value
+        for b in batches:
+            rows = []
+            for c in b["child"]:
+                seen, front, depth = {c}, [c], 0
+                while front:
+                    depth += 1
+                    front = [p for p in dict.fromkeys(p for x in front for p in up.get(x, ())) if p not in seen]
+                    seen.update(front)
+                    rows += [(c, p, depth) for p in front]
+            yield pd.DataFrame(rows, columns=["child", "ancestor", "depth"])
+
+    return edges.select("child").distinct().mapInPandas(of, f"child {kind}, ancestor {kind}, depth int")
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    """By joins of what is known with itself. No pair is new in a round: no longer way is there either, as a way
+    of any length has a beginning that is as long as the round's."""
     now, n = counted(edges.filter("child != parent").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     while n:
         step = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child"))
         step = step.select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")).filter("child != ancestor")
         now, m = counted(now.unionByName(step).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
         if m == n:
-            break  # no pair is new; a shorter way would have been found with the pair, as all ways double alike
+            break
         n = m
-    if reflexive:
-        nodes = edges.select(F.col("child").alias("child")).union(edges.select("parent")).distinct()
-        now = now.unionByName(nodes.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth")))
     return now
 
 

@@ -32,3 +32,16 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """stored() and the number of its rows, which Parquet's footers know."""
     got = stored(df)
     return got, got.count()
+
+
+#: Bytes of a table up to which it is dealt out before rows that take long are worked on.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table in as many parts as there are cores: a file of one row group would be read and worked on by one
+    task. Tables of more files or bytes stay as they are, so nothing large moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return df
+    return df.repartition(cores, key)

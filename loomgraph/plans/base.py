@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from loomgraph.operators.stored import spread
+
+#: Tables of long rows, and what tells their rows apart.
+KEYS = {"documents": "doc_id", "pages": "page_id"}
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -11,7 +15,11 @@ def query(name: str, sql: str | None = None):
 
     def keep(fn):
         def run(spark, sf_dir):
-            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            def read(table):
+                df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                return spread(df, KEYS[table]) if table in KEYS else df
+
+            return fn(read)
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

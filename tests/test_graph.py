@@ -86,7 +86,10 @@ def test_exports_parse(spark, tmp_path):
     assert {tuple(r) for r in turtle.read(spark, f"file://{tmp_path}/ttl/part*", "r", "r_g").collect()} == {tuple(r) for r in q.collect()}
 
 
-def test_hierarchy(spark):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_hierarchy(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(H, "BROADCAST_EDGES", broadcast)
+    assert H.closure(spark.createDataFrame([], "child string, parent string")).count() == 0
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "child string, parent string")
     got = {(r[0], r[1]): r[2] for r in H.closure(e).collect()}
     assert got[("a", "d")] == 2 and got[("a", "a")] == 0 and got[("x", "y")] == 1 and ("d", "a") not in got and len(got) == 6 + 6 + 2
