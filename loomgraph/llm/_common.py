@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.stored import spread
+
 #: A word, and what stands between words, in the Java and Python dialects alike.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -53,4 +55,6 @@ def n_words(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; a small one of documents in as many parts as there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
