@@ -13,6 +13,7 @@ import re
 import unicodedata
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -114,25 +115,42 @@ def word_scores(model: Model) -> WordScores:
     return _kept[model.key]
 
 
-def _bags(texts: list[str | None]) -> tuple[list, set[bytes]]:
-    """(buckets, weights) of each text, and the words' pieces seen. A text's weights sum to nearly one."""
-    known, out = {}, []
-    for text in texts:
-        words = [p for w in _WORDS.findall(text or "") for p in pieces(normal(w))]
-        seen: dict[bytes, int] = {}
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-        for w in seen:
-            if w not in known:
-                known[w] = np.array([zlib.crc32(p) & (BUCKETS - 1) for p in subwords(w)], np.int32)
-        if not words:
-            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
-        parts = [known[w] for w in seen]
-        weight = np.repeat(np.array([n / len(p) for n, p in zip(seen.values(), parts)]) / (len(words) + BLANKS), [len(p) for p in parts])
-        bucket, at = np.unique(np.concatenate(parts), return_inverse=True)
-        out.append((bucket, np.bincount(at, weights=weight).astype(np.float32)))
-    return out, set(known)
+class Bags:
+    """Texts as counts of their words' pieces, and the pieces' buckets side by side: a few numbers a word, however
+    often it is said."""
+
+    def __init__(self, texts: list[str | None]):
+        known: dict[bytes, int] = {}
+        flat, ends, self.texts = array("i"), array("q", [0]), []
+        for text in texts:
+            seen: dict[int, int] = {}
+            n = 0
+            for word in _WORDS.findall(text or ""):
+                for w in pieces(normal(word)):
+                    k = known.get(w)
+                    if k is None:
+                        k = known[w] = len(known)
+                        flat.extend(zlib.crc32(p) & (BUCKETS - 1) for p in subwords(w))
+                        ends.append(len(flat))
+                    seen[k] = seen.get(k, 0) + 1
+                    n += 1
+            self.texts.append((np.fromiter(seen, np.int32, len(seen)), np.fromiter(seen.values(), np.int32, len(seen)), n))
+        self.words, self.flat = list(known), np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        self.ends = np.frombuffer(ends, np.int64)
+
+    def buckets(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a text's pieces in turn: their subwords' buckets, and the weight of each; the weights sum to nearly one."""
+        at, count, n = self.texts[i]
+        size = self.ends[at + 1] - self.ends[at]
+        place = np.repeat(self.ends[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.flat[place], np.repeat(count / np.maximum(size, 1) / (n + BLANKS), size)
+
+    def of(self, i: int, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text's kept buckets by their new numbers (to: -1 for others), each once, with its weight."""
+        bucket, weight = self.buckets(i)
+        kept = to[bucket] >= 0
+        new, back = np.unique(to[bucket[kept]], return_inverse=True)
+        return new.astype(np.int32), np.bincount(back, weights=weight[kept], minlength=len(new)).astype(np.float32)
 
 
 def trained(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
@@ -143,16 +161,17 @@ def trained(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, float(np.log(rate / (1 - rate))))
-    bags, words = _bags(texts)
+    said = Bags(texts)
     docs, ones = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for (b, _), t in zip(bags, y):  # a text has each bucket once
+    for i, t in enumerate(y):  # a text has each bucket once
+        b = np.unique(said.buckets(i)[0])
         docs[b] += 1
         ones[b] += t
     z = (ones - docs * rate) / np.sqrt(np.maximum(docs, 1) * rate * (1 - rate))
     keep = (docs >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
     to = np.full(BUCKETS, -1)
     to[keep] = np.arange(keep.sum())
-    bags = [(to[b[keep[b]]], x[keep[b]]) for b, x in bags]
+    bags = [said.of(i, to) for i in range(len(y))]
     size = np.array([len(b) for b, _ in bags])
     r, n = np.random.default_rng(seed), int(keep.sum())
     x = {"e": np.zeros((n, DIM)), "w": r.normal(0, 1, (DIM, 2)) / np.sqrt(DIM), "bias": np.log(np.array([1 - rate, rate]))}
@@ -182,9 +201,9 @@ def trained(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
                 x[k] -= pace * (1 if k == "e" else 0.2) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     share = GAIN * x["e"] @ (x["w"][:, 1] - x["w"][:, 0])
     shares = {}
-    for w in words:  # subwords of the sample only: another one that falls into their bucket says nothing
-        for p in subwords(w):
-            b = zlib.crc32(p) & (BUCKETS - 1)
+    some = np.flatnonzero(np.add.reduceat(keep[said.flat].astype(np.int32), said.ends[:-1])) if len(said.flat) else []
+    for k in some:  # subwords of the sample only: another one that falls into their bucket says nothing
+        for p, b in zip(subwords(said.words[k]), said.flat[said.ends[k] : said.ends[k + 1]]):
             if keep[b]:
                 shares[p] = float(share[to[b]])
     return Model(shares, float(x["bias"][1] - x["bias"][0]))
