@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from loomgraph.llm import chat, minhash, mixing, packing, passages, pseudonyms, quality, ruleset, sharding, simhash, toxicity, whitening
+from loomgraph.llm import chat, minhash, mixing, packing, passages, pseudonyms, quality, ruleset, search, sharding, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_passages": passages.op9_passages,
     "op10_sharding": sharding.op10_sharding,
     "op11_whitening": whitening.op11_whitening,
+    "op12_search": search.op12_search,
     "op13_rules": ruleset.op13_rules,
 }
 #: The others hash by functions that SQL has not, train a model or plan a packing; tests hold them
@@ -21,4 +22,5 @@ QUERIES = {
 ORACLE = {
     "op5_quality": quality.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
+    "op12_search": search.ORACLE_SQL,
 }
