@@ -15,6 +15,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 from zlib import crc32
 
@@ -28,8 +29,31 @@ from loomgraph.llm._common import WORD, bounded_batches, table, written
 #: words of adjacent pieces of which at least one starts a unit.
 MIN_WORDS, LONG, CUT, NEAR = 20, 14, 4, 12
 _WORDS = re.compile(WORD)
-#: A sentence with the blanks after it, or the rest of a line.
-_SENTENCE, _PARAGRAPH = re.compile(r"[^\n]*?[.!?]+[)\"'’”]*[ \t]+(?=[^ \t\n])|[^\n]*?[。！？]+|[^\n]+"), re.compile(r"(?:(?!\n\s*\n).)+", re.S)
+#: A line; a sentence's end in it with the blanks after it, each run of marks read once; marks that need no blank.
+_LINE, _END = re.compile(r"[^\n]+"), re.compile(r"(?<![.!?])[.!?]++[)\"'’”]*+[ \t]++(?=[^ \t\n])")
+_FULL_STOP, _BLANK_LINE = re.compile(r"[。！？]++"), re.compile(r"\n\s*\n")
+
+
+def _sentences(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the sentences of each line, in time by the text's length: up to ends with a blank while the line has one,
+    then up to full stops that need none, then the rest."""
+    for line in _LINE.finditer(text):
+        at = line.start()
+        for pattern in (_END, _FULL_STOP):
+            for m in pattern.finditer(text, at, line.end() + (pattern is _END)):
+                yield at, m.end()
+                at = m.end()
+        if at < line.end():
+            yield at, line.end()
+
+
+def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """Places between blank lines."""
+    at = 0
+    for m in _BLANK_LINE.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
 
 
 def _normal(text: str) -> str:
@@ -45,21 +69,21 @@ def pieces_of(text: str) -> list[tuple[int, int, int, str]]:
 
     Normal form: NFKC, case-folded, words with one blank between them."""
     out = []
-    for m in _SENTENCE.finditer(text):
-        words = _WORDS.findall(m[0])
+    for at, until in _sentences(text):
+        words = _WORDS.findall(text, at, until)
         if not words:
             continue
         if len(words) <= LONG:
-            out.append((m.start(), m.end(), len(words), _normal(" ".join(words))))
+            out.append((at, until, len(words), _normal(" ".join(words))))
             continue
         plain = [_normal(w) for w in words]
-        start, low, ends = m.start(), 0, [x.end() for x in _WORDS.finditer(m[0])]
+        start, low, ends = at, 0, [x.end() for x in _WORDS.finditer(text, at, until)]
         for k in range(1, len(plain) - 1):
             if crc32(f"{plain[k - 1]} {plain[k]}".encode("utf-8", "surrogatepass")) % CUT == 0:
-                end = m.start() + ends[k]
+                end = ends[k]
                 out.append((start, end, k + 1 - low, " ".join(plain[low : k + 1])))
                 start, low = end, k + 1
-        out.append((start, m.end(), len(plain) - low, " ".join(plain[low:])))
+        out.append((start, until, len(plain) - low, " ".join(plain[low:])))
     return out
 
 
@@ -71,7 +95,7 @@ def units_of(text: str | None, min_words: int = MIN_WORDS, paragraphs: bool = Fa
     if not text:
         return []
     if paragraphs:
-        atoms = [(m.start(), m.end(), len(w), _normal(" ".join(w))) for m in _PARAGRAPH.finditer(text) if (w := _WORDS.findall(m[0]))]
+        atoms = [(s, e, len(w), _normal(" ".join(w))) for s, e in _paragraphs(text) if (w := _WORDS.findall(text, s, e))]
         runs = [(i, i) for i, a in enumerate(atoms) if a[2] >= min_words]
     else:
         atoms = pieces_of(text)

@@ -13,7 +13,9 @@ import datetime
 import hashlib
 import re
 import secrets
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._common import bounded_batches, table
 
-#: Session setting of the key, in hex.
-KEY_SETTING = "spark.loomgraph.pseudonyms.key"
+#: Session setting of the key, in hex; Spark hides values of such names in its logs and listings.
+KEY_SETTING = "spark.loomgraph.pseudonyms.secret"
 ROUNDS = 8
 
 
@@ -87,8 +89,14 @@ def _filled(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+#: Characters that are permuted as one number; longer values in blocks, each under its own number.
+BLOCK = 128
+
+
 def _letters(text: str, key: bytes, kind: str, alphabet: dict | None = None) -> str:
     """Each letter or digit replaced within its class, all together as one number of mixed radix."""
+    if len(text) > BLOCK:
+        return "".join(_letters(text[k : k + BLOCK], key, f"{kind} {k}" if k else kind, alphabet) for k in range(0, len(text), BLOCK))
     of = alphabet or _CLASS
     value, size = 0, 1
     for c in text:
@@ -114,6 +122,13 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+def luhn_valid(digits: str) -> Callable[[int, int], bool]:
+    """Whether the digits from one place to another end in their check digit: by sums in which every other digit is doubled."""
+    doubled = [2 * int(c) - 9 * (c > "4") for c in digits]
+    sums = [[0, *accumulate(doubled[k] if k % 2 == odd else int(c) for k, c in enumerate(digits))] for odd in (0, 1)]
+    return lambda start, end: (sums[end % 2][end] - sums[end % 2][start]) % 10 == 0
+
+
 #: Digit groups that cards are printed in; one group alone is one too.
 _PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
 
@@ -122,31 +137,31 @@ def _card_spans(text: str, taken) -> list[tuple[int, int]]:
     """Valid cards in every run of digit groups: any whole groups of 13 to 19 digits that pass Luhn, so a number beside a card
     doesn't hide it. Groups as cards are printed go first, then by place, longest first; other spans must not cut a phone number."""
     got: list[tuple[int, int]] = []
-    mine, phones = Taken(), None
+    mine, phones = Taken(), None  # phones don't overlap
     for run in _RUN.finditer(text):
         if run.end() - run.start() < 13:
             continue
         groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        at = [0, *accumulate(e - s for s, e in groups)]  # digits before each group
+        valid = luhn_valid("".join(text[s:e] for s, e in groups))
         spans = []
         for i in range(len(groups)):
-            n = 0
-            for j in range(i, len(groups)):
-                n += groups[j][1] - groups[j][0]
-                if n > 19:
+            for j in range(bisect_left(at, at[i] + 13, i) - 1, len(groups)):
+                if at[j + 1] - at[i] > 19:
                     break
-                if n >= 13:
+                if valid(at[i], at[j + 1]):
                     printed = i == j or tuple(e - s for s, e in groups[i : j + 1]) in _PRINTED
                     spans.append((not printed, i, -j))
         for odd, i, j in sorted(spans):
             s, e = groups[i][0], groups[-j][1]
             if mine(s, e) or taken(s, e):
                 continue
-            d = re.sub(r"\D", "", text[s:e])
-            if luhn_digit(d[:-1]) != d[-1]:
-                continue
             if odd:
-                phones = [m.span() for m in _PHONE.finditer(text)] if phones is None else phones
-                if any((a < s < b or a < e < b) for a, b in phones):
+                if phones is None:
+                    phones = Taken()
+                    for m in _PHONE.finditer(text):
+                        phones.add(*m.span())
+                if phones.inside(s) or phones.inside(e):
                     continue
             got.append((s, e))
             mine.add(s, e)
@@ -217,6 +232,32 @@ def _iban(m: re.Match, key: bytes) -> str | None:
     return "".join(c if c == " " else next(it) for c in m[0])
 
 
+#: Characters of an address's name and domain, at most.
+_NAME, _DOMAIN = 64, 255
+_OF_NAME, _AFTER_AT = re.compile(r"[\w.+%-]"), re.compile(r"@[\w-]++(?:\.[\w-]++)+")
+_PLAIN_NAME = re.compile(r"[A-Za-z0-9_.+%-]")
+
+
+def _emails(text: str) -> Iterator[re.Match]:
+    """Mail addresses, sought from each @ backwards: a text's length in time, whatever stands before the @.
+
+    The name is what can be one; where that is too long, as in unspaced scripts, its last plain letters."""
+    at = until = 0
+    while (at := text.find("@", at)) >= 0:
+        m = _AFTER_AT.match(text, at)
+        start = at
+        while m and start > until and at - start <= _NAME and _OF_NAME.match(text[start - 1]):
+            start -= 1
+        if at - start > _NAME:
+            start = at
+            while start > until and at - start <= _NAME and _PLAIN_NAME.match(text[start - 1]):
+                start -= 1
+        at += 1
+        if m and 1 < at - start <= _NAME + 1 and m.end() - at <= _DOMAIN:
+            yield _EMAIL.match(text, start, m.end())
+            at = until = m.end()
+
+
 def _email(m: re.Match, key: bytes) -> str:
     local, _, domain = m[0].partition("@")
     got = _letters(local, key, "email")
@@ -235,11 +276,12 @@ def _access(m: re.Match, key: bytes) -> str:
 
 
 _NUMBER = None
+_EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
 _RUN, _GROUP = re.compile(r"(?<![\w+.-])\d++(?:[ -]\d++)*(?!-?\w)"), re.compile(r"\d+")
 _PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!-?\w)|(?<!\w)\+\d[\d ().-]{8,18}\d(?!\w)")
 #: kind, of what a text must contain one for it (_NUMBER: any digit; in lower case for secrets), pattern, replacement (None: the value isn't valid and stays)
 KINDS = [
-    ("email", ("@",), re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), _email),
+    ("email", ("@",), _EMAIL, _email),  # found by _emails
     ("secret", ("token", "secret", "passw", "key"), re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,})"), _secret),
     ("access", ("AKIA", "ASIA"), re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"), _access),
     ("iban", _NUMBER, re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"), _iban),
@@ -262,6 +304,11 @@ class Taken:
         insort(self.starts, start)
         self.ends[start] = end
 
+    def inside(self, at: int) -> bool:
+        """A place has begun before it and goes on after it."""
+        k = bisect_left(self.starts, at)
+        return bool(k and self.ends[self.starts[k - 1]] > at)
+
     def __call__(self, start: int, end: int) -> bool:
         k = bisect_right(self.starts, start)
         return bool(k and self.ends[self.starts[k - 1]] > start or k < len(self.starts) and self.starts[k] < end)
@@ -271,7 +318,9 @@ def pseudonymised(text: str | None, key: bytes, day_first: bool = True) -> tuple
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each value, by original offsets.
 
     Null stays null. Kinds are sought in a fixed order; a place that one kind has taken is closed to the
-    later ones. day_first: how dates are read that can be read in two ways."""
+    later ones. day_first: how dates are read that can be read in two ways. Not sought, as nothing tells them from other
+    numbers and words: phone and social security numbers without marks, IPv6, dates with a month's name. The time grows
+    with the text's length, also where it has no blanks."""
     if not text:
         return text, []
     found, taken, folded, digits = [], Taken(), text.casefold(), _ANY_DIGIT.search(text)
@@ -282,7 +331,7 @@ def pseudonymised(text: str | None, key: bytes, day_first: bool = True) -> tuple
             new = [(kind, s, e, _card(text[s:e], key)) for s, e in _card_spans(text, taken)]
         else:
             new = []
-            for m in pattern.finditer(text):
+            for m in _emails(text) if kind == "email" else pattern.finditer(text):
                 if not taken(*m.span()):
                     got = of(m, key, day_first) if kind == "date" else of(m, key)
                     if got is not None:
