@@ -58,7 +58,7 @@ class Engine:
         return self.store.read(Q.DEFAULT)
 
     def _default(self, repo: str) -> DataFrame:
-        return self.store.read(repo).filter(F.col("graph") == Q.graph_name(repo))
+        return self.store.read(repo, [Q.graph_name(repo)])
 
     def _labels(self, repo: str) -> DataFrame:
         """What the server and the repository know by name."""
@@ -93,7 +93,7 @@ class Engine:
         """The repository's graphs (and of no other whose name starts alike), then its entry."""
         self._repo(repo)
         self.store.drop(repo)
-        self.store.apply(Q.DEFAULT, lambda q: q.filter(F.col("s") != f":{repo}"))
+        self.store.commit(Q.DEFAULT, delete=lambda q: q.filter(F.col("s") == f":{repo}"), graphs=[Q.DEFAULT])
 
     # background names
 
@@ -127,11 +127,10 @@ class Engine:
         self._repo(repo)
         if not name:
             raise ApiError(400, "name is missing")
-        gone = Q.subjects(self._default(repo), **{"rdf:type": ":Background", ":text": name})
-        if gone.isEmpty():
+        known = lambda q: q.join(Q.subjects(q, **{"rdf:type": ":Background", ":text": name}), ["repo", "graph", "s"], "left_semi")
+        if known(self._default(repo)).isEmpty():
             raise ApiError(404, f"{name} not found")
-        ids = [r["s"] for r in gone.collect()]
-        self.store.apply(repo, lambda q: q.filter(~((F.col("graph") == Q.graph_name(repo)) & F.col("s").isin(ids))))
+        self.store.commit(repo, delete=known, graphs=[Q.graph_name(repo)])
 
     # narratives
 
@@ -159,11 +158,7 @@ class Engine:
             (f":Narrative_{nid}", ":number_ingested", str(n), "lit", "xsd:integer"),
         ]
         known = stored(made.entities.unionByName(meta).unionByName(self._facts(repo, Q.graph_name(repo), facts)))
-        there = not self.store.read(repo).filter(F.col("graph") == graph).isEmpty()
-        if there:
-            self.store.apply(repo, lambda q: Q.added(Q.without_narrative(Q.cleared(q, repo, graph), nid), quads.unionByName(known)))
-        else:
-            self.store.add(repo, quads.unionByName(known))
+        self.store.commit(repo, add=quads.unionByName(known), delete=self._metadata(nid), drop=[graph], graphs=[Q.graph_name(repo), graph])
         return {
             "narrativeId": nid, "processed": created, "numberOfTriples": triples, "numberOfSentences": n, "numberIngested": n,
             "narrativeMetadata": {"title": body["title"], "published": published, "source": body["source"], "url": url},
@@ -178,6 +173,11 @@ class Engine:
         n = n.select(F.col("s").alias("narrative"), "source", "title", F.col("sentences").cast("int").alias("numberOfSentences"), F.col("ingested").cast("int").alias("numberIngested"), "published", "url")
         return g.join(n, "narrative").drop("narrative")
 
+    @staticmethod
+    def _metadata(nid: str):
+        """A narrative's two metadata subjects among quads."""
+        return lambda q: q.filter(F.col("s").isin(f":{nid}", f":Narrative_{nid}") & F.col("graph").endswith(f"_{Q.DEFAULT}"))
+
     def _narrative(self, repo: str, nid: str | None) -> str:
         self._repo(repo)
         if not nid:
@@ -188,11 +188,11 @@ class Engine:
 
     def delete_narrative(self, repo: str, nid: str) -> None:
         graph = self._narrative(repo, nid)
-        self.store.apply(repo, lambda q: Q.without_narrative(Q.cleared(q, repo, graph), nid))
+        self.store.commit(repo, delete=self._metadata(nid), drop=[graph], graphs=[Q.graph_name(repo), graph])
 
     def get_graph(self, repo: str, nid: str) -> list[str]:
         graph = self._narrative(repo, nid)
-        return Q.exported(self.store.read(repo), repo, graph)
+        return Q.exported(self.store.read(repo, [graph]), repo, graph)
 
     def replace_graph(self, repo: str, nid: str, body: str) -> int:
         """A narrative's graph from Turtle text, checked before anything is written, and its new count."""
@@ -203,8 +203,8 @@ class Engine:
             raise ApiError(500, "Invalid triples") from e
         n = new.count()
         count = self._facts(repo, Q.graph_name(repo), [(f":{nid}", ":number_triples", str(n), "lit", "xsd:integer"), (f":{nid}", "dc:modified", self._now(), "lit", "xsd:dateTime")])
-        old = (F.col("s") == f":{nid}") & F.col("p").isin(":number_triples", "dc:modified")
-        self.store.apply(repo, lambda q: Q.replaced(q.filter(~old), repo, graph, new).unionByName(count))
+        old = (F.col("graph") == Q.graph_name(repo)) & (F.col("s") == f":{nid}") & F.col("p").isin(":number_triples", "dc:modified")
+        self.store.commit(repo, add=Q.checked(repo, graph, new).unionByName(count), delete=lambda q: q.filter(old), drop=[graph], graphs=[Q.graph_name(repo), graph])
         return n
 
     def narrative_details(self, repo: str) -> DataFrame:
@@ -230,6 +230,6 @@ class Engine:
     def drop_orphans(self) -> None:
         """Graphs of repositories that the server doesn't list."""
         listed = {r["repo"] for r in self.list_repositories().collect()} | {Q.DEFAULT}
-        for r in self.store.read().select("repo").distinct().collect():
-            if r["repo"] not in listed:
-                self.store.drop(r["repo"])
+        for repo in self.store.repositories():
+            if repo not in listed:
+                self.store.drop(repo)

@@ -1,16 +1,19 @@
 """The quad store: named graphs of a repository as rows (repo, graph, s, p, o, o_kind, o_type, o_lang).
 
-A graph has set semantics. Mutations are functions from quads to quads; QuadTable applies them to a table of
-versions of repositories, so that a reader sees one version or the other."""
+A graph has set semantics. Mutations are functions from quads to quads; QuadTable commits them to files with a
+log, so that a reader sees one version or the other."""
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.commits import Folder, Log
+
 KEY = ["repo", "graph", "s", "p", "o", "o_kind", "o_type", "o_lang"]
 SCHEMA = ", ".join(f"{c} string" for c in KEY)
 DEFAULT = "default"
@@ -61,13 +64,16 @@ def new_only(store: DataFrame, new: DataFrame) -> DataFrame:
     return _minus(quads(new).dropDuplicates(KEY), store)
 
 
+def _same() -> Column:
+    """Rows of a and b are one quad."""
+    out = F.lit(True)
+    for c in KEY:
+        out &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return out
+
+
 def _minus(left: DataFrame, right: DataFrame) -> DataFrame:
-    a, b = left.alias("a"), quads(right).alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in KEY]
-    hit = same[0]
-    for x in same[1:]:
-        hit = hit & x
-    return a.join(b, hit, "left_anti")
+    return left.alias("a").join(quads(right).alias("b"), _same(), "left_anti")
 
 
 def removed(store: DataFrame, old: DataFrame) -> DataFrame:
@@ -78,13 +84,18 @@ def cleared(store: DataFrame, repo: str, graph: str) -> DataFrame:
     return store.filter(~((F.col("repo") == repo) & (F.col("graph") == graph)))
 
 
-def replaced(store: DataFrame, repo: str, graph: str, new: DataFrame) -> DataFrame:
-    """A graph's new content in one step; invalid quads are refused before anything changes."""
+def checked(repo: str, graph: str, new: DataFrame) -> DataFrame:
+    """Quads as a graph's content; invalid ones are refused."""
     new = quads(new).withColumn("repo", F.lit(repo)).withColumn("graph", F.lit(graph))
     bad = new.filter("s is null or p is null or o is null or o_kind not in ('iri', 'lit', 'bnode')")
     if not bad.isEmpty():
         raise ValueError("Invalid triples")
-    return cleared(store, repo, graph).unionByName(new.dropDuplicates(KEY))
+    return new.dropDuplicates(KEY)
+
+
+def replaced(store: DataFrame, repo: str, graph: str, new: DataFrame) -> DataFrame:
+    """A graph's new content in one step; invalid quads are refused before anything changes."""
+    return cleared(store, repo, graph).unionByName(checked(repo, graph, new))
 
 
 def subjects(store: DataFrame, **pattern: str) -> DataFrame:
@@ -156,80 +167,193 @@ def exported(store: DataFrame, repo: str, graph: str) -> list[str]:
     return [*head, "", *(r["line"] for r in serialised(graph_).toLocalIterator())]
 
 
+class Conflict(Exception):
+    """Other writers kept changing what a commit is about."""
+
+
+@dataclass
+class State:
+    """What the commits up to a version say: folders of quads and of deletions, each with the version that it came with,
+    and the last batch of each stream."""
+
+    version: int = 0
+    added: dict[str, int] = field(default_factory=dict)
+    deleted: dict[str, int] = field(default_factory=dict)
+    streams: dict[str, int] = field(default_factory=dict)
+    base: int = 0
+    old: list[str] = field(default_factory=list)
+
+    def then(self, version: int, commit: dict) -> State:
+        if commit.get("base"):
+            return State(version, {commit["add"]: version} if commit["add"] else {}, {}, commit["streams"], version, commit["old"])
+        added = self.added | ({commit["add"]: version} if commit["add"] else {})
+        deleted = self.deleted | ({commit["delete"]: version} if commit["delete"] else {})
+        return State(version, added, deleted, self.streams | commit["streams"], self.base, self.old)
+
+
 class QuadTable:
-    """Quads as Parquet, one folder a repository, in it one a version, in it one a change.
+    """Quads as Parquet, one folder a repository, in it one a commit, and a log of the commits.
 
-    A version is its first folder and what was added since. A folder counts once its write is complete, so a
-    replacement is seen as a whole or not at all; the version before stays for those who read it. A repository
-    has one writer at a time."""
+    A commit adds a folder of quads, and one of deletions where it has any: whole graphs and single quads, which
+    hold for what older commits added and are merged on reading. So a change costs what it changes, a reader
+    sees all of a commit or nothing, and what it read stays the same. Writers commit by number: one that finds
+    its number taken looks at the commits between; if they touch its graphs it does its work again on what is
+    there now. A commit of a stream carries its batch, which is never applied twice."""
 
-    #: Added folders after which a version is written anew.
-    MANY = 64
+    #: Folders after which the live quads are written anew, as one; attempts of a commit; graphs that a commit names.
+    MANY, ATTEMPTS, NAMED = 64, 20, 1000
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _list(self, *parts: str) -> list[str]:
-        """Names in a folder; none where there is no such folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
-
-    def _delete(self, *parts: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.files = Folder(spark, self.path)
 
     @staticmethod
     def _folder(repo: str) -> str:
         return "repo-" + repo.encode().hex()
 
-    def _version(self, folder: str) -> tuple[int, list[str]]:
-        """The last complete version and its folders; 0 and none for a new repository."""
-        for v in reversed([x for x in self._list(folder) if re.fullmatch(r"v\d+", x)]):
-            whole = [d for d in self._list(folder, v) if "_SUCCESS" in self._list(folder, v, d)]
-            if any(d.startswith("0-") for d in whole):
-                return int(v[1:]), [f"{self.path}/{folder}/{v}/{d}" for d in whole]
-        return 0, []
-
-    def read(self, repo: str | None = None) -> DataFrame:
-        """All quads, or a repository's."""
-        folders = [self._folder(repo)] if repo is not None else [x for x in self._list() if x.startswith("repo-")]
-        paths = [p for f in folders for p in self._version(f)[1]]
-        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-
-    def _write(self, repo: str, rows: DataFrame) -> None:
-        """The repository's next version; the one before the last goes."""
-        folder = self._folder(repo)
-        v, _ = self._version(folder)
-        ready = quads(rows.filter(F.col("repo") == repo)).repartition("graph", "p").sortWithinPartitions("graph", "p", "s")
-        ready.write.parquet(f"{self.path}/{folder}/v{v + 1:08d}/0-{uuid.uuid4().hex}")
-        for old in [x for x in self._list(folder) if re.fullmatch(r"v\d+", x) and int(x[1:]) < v]:
-            self._delete(folder, old)
+    def repositories(self) -> list[str]:
+        return [bytes.fromhex(x[5:]).decode() for x in self.files.names() if x.startswith("repo-")]
+
+    def _log(self, repo: str) -> Log:
+        return Log(self.files, self._folder(repo), "log")
+
+    def state(self, repo: str) -> State:
+        out = State()
+        for n, commit in self._log(repo).entries():
+            out = out.then(n, commit)
+        return out
+
+    def _rows(self, repo: str, folders: dict[str, int]) -> DataFrame:
+        """The folders' quads, each with the version that it came with."""
+        base = f"{self.path}/{self._folder(repo)}/data"
+        rows = self.spark.read.schema(f"{SCHEMA}, w string").option("basePath", base).parquet(*[f"{base}/w={w}" for w in folders])
+        versions = F.create_map(*[F.lit(x) for pair in folders.items() for x in pair])
+        return rows.withColumn("version", versions[F.col("w")]).drop("w")
+
+    def _live(self, repo: str, state: State, graphs: list[str] | None = None) -> DataFrame:
+        """The quads of a state, of some graphs or all: sorted files let the scan leave others out."""
+        if not state.added:
+            return self.spark.createDataFrame([], SCHEMA)
+        some = (lambda q: q) if graphs is None else lambda q: q.filter(F.col("graph").isin(graphs))
+        rows = some(self._rows(repo, state.added))
+        if state.deleted:
+            gone = some(self._rows(repo, state.deleted))
+            whole = gone.filter("s is null").groupBy(F.col("graph").alias("gone")).agg(F.max("version").alias("until"))
+            rows = rows.join(whole, F.col("graph") == F.col("gone"), "left").filter("until is null or version >= until").drop("gone", "until")
+            single = gone.filter("s is not null").groupBy(KEY).agg(F.max("version").alias("until"))
+            rows = rows.alias("a").join(single.alias("b"), _same() & (F.col("a.version") < F.col("b.until")), "left_anti")
+        return rows.select(KEY)
+
+    def read(self, repo: str | None = None, graphs: list[str] | None = None) -> DataFrame:
+        """All quads, or a repository's, or some of its graphs'."""
+        if repo is not None:
+            return self._live(repo, self.state(repo), graphs)
+        parts = [self._live(r, self.state(r), graphs) for r in self.repositories()]
+        out = parts[0] if parts else self.spark.createDataFrame([], SCHEMA)
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _written(self, repo: str, rows: DataFrame) -> tuple[str | None, int, list[str] | None]:
+        """A new folder with the rows (none where there are no rows), their number, their graphs (None: many)."""
+        w = uuid.uuid4().hex
+        place = f"{self.path}/{self._folder(repo)}/data/w={w}"
+        rows.sortWithinPartitions("graph", "p", "s").write.parquet(place)
+        there = self.spark.read.schema(SCHEMA).parquet(place)
+        n = there.count()
+        if not n:
+            self._discard(repo, w)
+            return None, 0, []
+        names = [r["graph"] for r in there.select("graph").distinct().limit(self.NAMED + 1).collect()]
+        return w, n, names if len(names) <= self.NAMED else None
+
+    def _discard(self, repo: str, *folders: str | None) -> None:
+        for w in folders:
+            if w:
+                self.files.delete(self._folder(repo), "data", f"w={w}")
+
+    def commit(self, repo: str, add: Rows = None, delete: Rows = None, drop: Iterable[str] = (), graphs: list[str] | None = None, stream: tuple[str, int] | None = None) -> int:
+        """One change of a repository: drops graphs, deletes quads, adds those that aren't there then; says how many
+        quads it added. add and delete are quads, or functions from the repository's quads to them.
+
+        graphs: all that the change is about, where the caller knows them; only these are read then. stream: a name and
+        the number of its batch; a batch that is committed already is not committed again, and adds 0."""
+        log, drop = self._log(repo), list(drop)
+        for _ in range(self.ATTEMPTS):
+            state = self.state(repo)
+            if stream and state.streams.get(stream[0], -1) >= stream[1]:
+                return 0
+            live = self._live(repo, state, graphs)
+            rows = lambda x: None if x is None else quads(x(live) if callable(x) else x).filter(F.col("repo") == repo)
+            old, new = rows(delete), rows(add)
+            dropped = self.spark.createDataFrame([(repo, g) for g in drop], "repo string, graph string")
+            gone = quads(dropped) if old is None else quads(dropped).unionByName(old.dropDuplicates(KEY).filter("s is not null"))
+            d, nd, touched = self._written(repo, gone) if drop or old is not None else (None, 0, [])
+            a, na, more = None, 0, []
+            if new is not None:
+                left = live.filter(~F.col("graph").isin(drop)) if drop else live
+                if d and old is not None:
+                    left = _minus(left, self._rows(repo, {d: 0}).filter("s is not null").drop("version"))
+                a, na, more = self._written(repo, new_only(left, new))
+                if graphs is not None and (more is None or not set(more) <= set(graphs)):
+                    self._discard(repo, a, d)
+                    raise ValueError("quads of other graphs than the commit is about")
+            if not a and not d and not stream:
+                return 0
+            touched = None if touched is None or more is None else sorted({*touched, *more, *drop, *(graphs or ())})
+            entry = {"add": a, "delete": d, "graphs": touched, "streams": dict([stream]) if stream else {}}
+            n = state.version + 1
+            while not log.put(n, entry):
+                other = log.get(n)
+                if self._meet(entry, other):
+                    break
+                n += 1
+            else:
+                if n - state.base >= self.MANY:
+                    self.compact(repo)
+                return na
+            self._discard(repo, a, d)
+        raise Conflict(f"{repo}: {self.ATTEMPTS} attempts met other changes of the same graphs")
+
+    @staticmethod
+    def _meet(mine: dict, other: dict) -> bool:
+        """Whether another commit changes what mine was made from. A new base changes nothing but where quads lie,
+        and the deletions of mine hold for it, too."""
+        if other.get("base"):
+            return False
+        if set(mine["streams"]) & set(other["streams"]) or mine["graphs"] is None or other["graphs"] is None:
+            return True
+        return bool(set(mine["graphs"]) & set(other["graphs"]))
+
+    def compact(self, repo: str) -> bool:
+        """The live quads as one folder, sorted by graph and subject, without deletions; False if others committed meanwhile.
+        What the base before this one had replaced is deleted: those who read it have had a base's time."""
+        state = self.state(repo)
+        rows = self._live(repo, state).repartitionByRange("graph", "s")
+        w, _, _ = self._written(repo, rows)
+        if not self._log(repo).put(state.version + 1, {"base": True, "add": w, "streams": state.streams, "old": [*state.added, *state.deleted]}):
+            self._discard(repo, w)
+            return False
+        self._discard(repo, *state.old)
+        self._log(repo).forget(state.base)
+        return True
 
     def add(self, repo: str, new: DataFrame) -> int:
         """Adds what isn't there, and says how many quads that was."""
-        folder = self._folder(repo)
-        v, paths = self._version(folder)
-        place = f"{self.path}/{folder}/v{max(v, 1):08d}/{1 if paths else 0}-{uuid.uuid4().hex}"
-        new_only(self.read(repo), new.filter(F.col("repo") == repo)).write.parquet(place)
-        n = self.spark.read.schema(SCHEMA).parquet(place).count()
-        if not n and paths:
-            self._delete(place.removeprefix(self.path + "/"))
-        elif len(paths) > self.MANY:
-            self._write(repo, self.read(repo))
-        return n
+        return self.commit(repo, add=new)
 
     def remove(self, repo: str, old: DataFrame) -> None:
-        self._write(repo, removed(self.read(repo), old))
+        self.commit(repo, delete=old)
 
     def clear(self, repo: str, graph: str) -> None:
-        self._write(repo, cleared(self.read(repo), repo, graph))
+        self.commit(repo, drop=[graph], graphs=[graph])
 
     def replace(self, repo: str, graph: str, new: DataFrame) -> None:
-        self._write(repo, replaced(self.read(repo), repo, graph, new))
+        self.commit(repo, drop=[graph], add=checked(repo, graph, new), graphs=[graph])
 
-    def apply(self, repo: str, change) -> None:
-        self._write(repo, change(self.read(repo)))
+    def apply(self, repo: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Any change of a repository, as what it takes away and what it adds."""
+        self.commit(repo, add=lambda q: _minus(quads(change(q)), q), delete=lambda q: _minus(q, change(q)))
 
     def query(self, sql: str, repo: str | None = None, **args) -> DataFrame:
         """SQL over the quads as the table {quads}; values go in as named parameters (:name), never into the text."""
@@ -237,4 +361,8 @@ class QuadTable:
 
     def drop(self, repo: str) -> None:
         """All of a repository."""
-        self._delete(self._folder(repo))
+        self.files.delete(self._folder(repo))
+
+
+#: Quads, or a function from the quads that are there to them.
+Rows = DataFrame | Callable[[DataFrame], DataFrame] | None

@@ -1,8 +1,12 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from loomgraph import api
+from loomgraph.operators import commits
 from loomgraph.operators import hierarchy as H
 from loomgraph.operators import quads as Q
 from loomgraph.sources import turtle
+from pyspark.sql import functions as F
 
 TTL = """@prefix : <urn:loomgraph:> . # a comment
 @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
@@ -61,16 +65,86 @@ def test_store_versions(spark, tmp_path):
     old = s.read("007")
     s.replace("007", "007_g", turtle.from_text(spark, ":a :b :c , :d .", "007", "007_g"))
     assert old.count() == 1 and s.read("007").count() == 2
-    half = f"{s.path}/{s._folder('007')}/v00000099/0-broken"
-    s.read("007").limit(1).write.parquet(half)
-    s._delete(f"{s._folder('007')}/v00000099/0-broken/_SUCCESS")
+    s.read("007").limit(1).write.parquet(f"{s.path}/{s._folder('007')}/data/w=broken")  # in no commit
     assert s.read("007").count() == 2
     s.apply("007", lambda q: q.filter("o = ':c'"))
     assert s.read("007").count() == 1
     s.MANY = 2
     for k in range(5):
         assert s.add("007", turtle.from_text(spark, f":n{k} :b :c .", "007", "007_g")) == 1
-    assert s.read("007").count() == 6 and len(s._version(s._folder("007"))[1]) < 5
+    state = s.state("007")
+    assert s.read("007").count() == 6 and state.base and len(state.added) + len(state.deleted) < 5
+
+
+def test_commits_cost_what_they_change(spark, tmp_path):
+    """A replaced graph leaves every file of the others as it is; deletions are merged on reading."""
+    s = Q.QuadTable(spark, f"file://{tmp_path}/quads")
+    body = " ".join(f":s{k} :p :o{k} ." for k in range(50))
+    for g in ("a", "b", "c"):
+        s.add("r", turtle.from_text(spark, body, "r", f"r_{g}"))
+    files = lambda: {str(x): x.stat().st_mtime_ns for x in tmp_path.rglob("*.parquet")}
+    before = files()
+    s.replace("r", "r_b", turtle.from_text(spark, ":new :p :o .", "r", "r_b"))
+    after = files()
+    assert all(after[x] == t for x, t in before.items())
+    rows = [Q.SCHEMA, *(spark.read.parquet(x).count() for x in set(after) - set(before))]
+    assert sum(rows[1:]) == 2  # the new quad and the word that the graph is gone
+    assert {r["graph"]: r["n"] for r in s.read("r").groupBy("graph").agg(F.count("*").alias("n")).collect()} == {"r_a": 50, "r_b": 1, "r_c": 50}
+    s.commit("r", delete=lambda q: q.filter("s = ':s7'"), graphs=["r_a"])
+    assert s.read("r", ["r_a"]).count() == 49 and s.read("r", ["r_c"]).count() == 50
+    assert s.add("r", turtle.from_text(spark, ":s7 :p :o7 . :s8 :p :o8 .", "r", "r_a")) == 1  # comes again after it was deleted
+    whole = {tuple(r) for r in s.read("r").collect()}
+    assert s.compact("r") and {tuple(r) for r in s.read("r").collect()} == whole and len(s.state("r").added) == 1
+    with pytest.raises(ValueError):
+        s.commit("r", add=turtle.from_text(spark, ":s :p :o .", "r", "r_z"), graphs=["r_a"])
+    for g in ("a", "b", "c"):
+        s.clear("r", f"r_{g}")
+    assert s.read("r").count() == 0 and s.compact("r") and s.read("r").count() == 0 and s.add("r", turtle.from_text(spark, body, "r", "r_a")) == 50
+
+
+def test_writers_do_not_lose_each_others_quads(spark, tmp_path):
+    """Four writers at once, of one graph and of others: all is there, nothing twice; a batch is applied once."""
+    s = Q.QuadTable(spark, f"file://{tmp_path}/quads")
+    s.MANY = 5
+    rows = lambda g, n: spark.createDataFrame([("r", g, f":s{k}", ":p", f":o{k}", "iri", None, None) for k in n], Q.SCHEMA)
+    jobs = [lambda k=k: s.add("r", rows("r_one", range(k, k + 4))) for k in range(4)] + [lambda k=k: s.add("r", rows(f"r_{k}", range(3))) for k in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        counts = [f.result() for f in [pool.submit(j) for j in jobs]]
+    assert sum(counts[:4]) == 7 and counts[4:] == [3] * 4
+    got = s.read("r").groupBy("graph").agg(F.count("*").alias("n"), F.countDistinct("s").alias("d")).collect()
+    assert {r["graph"]: (r["n"], r["d"]) for r in got} == {"r_one": (7, 7), **{f"r_{k}": (3, 3) for k in range(4)}}
+    assert s.commit("r", add=rows("r_s", range(2)), stream=("in", 0)) == 2 and s.commit("r", add=rows("r_s", range(9)), stream=("in", 0)) == 0
+    s.compact("r")
+    assert s.commit("r", add=rows("r_s", range(9)), stream=("in", 0)) == 0 and s.commit("r", add=rows("r_s", range(3)), stream=("in", 1)) == 1
+
+
+def test_a_commit_that_meets_another_is_made_again(spark, tmp_path, monkeypatch):
+    s = Q.QuadTable(spark, f"file://{tmp_path}/quads")
+    rows = lambda *n: spark.createDataFrame([("r", "r_g", f":s{k}", ":p", ":o", "iri", None, None) for k in n], Q.SCHEMA)
+    s.add("r", rows(1, 2))
+    done, real = [], s._written
+
+    def meanwhile(repo, df):
+        out = real(repo, df)
+        if not done:
+            done.append(1)
+            s.add("r", rows(3))
+        return out
+
+    monkeypatch.setattr(s, "_written", meanwhile)
+    assert s.commit("r", add=lambda q: q.withColumn("p", F.lit(":q"))) == 3  # reads what the other has added
+    assert s.read("r").count() == 6
+    monkeypatch.setattr(s, "_meet", lambda a, b: True)
+    monkeypatch.setattr(s, "ATTEMPTS", 2)
+    done.clear()
+    real_get = commits.Log.get
+    monkeypatch.setattr(commits.Log, "put", lambda log, n, c: False)  # others are always first
+    monkeypatch.setattr(commits.Log, "get", lambda log, n: real_get(log, n) if n in log.numbers() else {})
+    monkeypatch.setattr(s, "_written", real)
+    before = set(tmp_path.rglob("w=*"))
+    with pytest.raises(Q.Conflict):
+        s.commit("r", delete=rows(1))
+    assert set(tmp_path.rglob("w=*")) == before
 
 
 def test_exports_parse(spark, tmp_path):
