@@ -23,6 +23,8 @@ from loomgraph.operators.stored import stored
 from loomgraph.sources import files, turtle
 
 DEFAULT_SENTENCES, LEAST_SENTENCES = 10, 2
+#: What a narrative comes with.
+BODY = ("title", "source", "text", "published", "url")
 
 
 class ApiError(Exception):
@@ -142,28 +144,48 @@ class Engine:
         for field in ("title", "source", "text"):
             if not body.get(field):
                 raise ApiError(400, f"{field} is missing")
-        published, url = body.get("published") or files.NOT_DEFINED, body.get("url") or files.NOT_DEFINED
-        one = self.spark.createDataFrame([(body["title"], body["source"], body["text"], published, url)], "title string, source string, text string, published string, url string")
-        one = one.withColumn("narrative_id", digest_id(F.lit(repo), "title", "source", "text", length=8))
-        nid = one.first()["narrative_id"]
-        graph, created = Q.graph_name(repo, nid), self._now()
-        made = N.create_graphs(one.select("narrative_id", "text"), repo, self.provider, self._labels(repo), self.knowledge, self.countries, self.female, self.male)
-        n, quads = made.tables.sentences.count(), stored(made.graphs)
-        triples = quads.count()
-        about = annotated(one, self.provider, "classification", F.col("text"), N.CLASSIFICATION, "answer")
-        meta = N.metadata_quads(about.withColumn("sentences", F.lit(n)), repo)
-        facts = [
-            (f":{nid}", "rdf:type", ":InformationGraph", "iri", None), (f":{nid}", "dc:created", created, "lit", "xsd:dateTime"),
-            (f":{nid}", ":number_triples", str(triples), "lit", "xsd:integer"), (f":{nid}", ":encodes", f":Narrative_{nid}", "iri", None),
-            (f":Narrative_{nid}", ":number_ingested", str(n), "lit", "xsd:integer"),
-        ]
-        known = stored(made.entities.unionByName(meta).unionByName(self._facts(repo, Q.graph_name(repo), facts)))
-        self.store.commit(repo, add=quads.unionByName(known), delete=self._metadata(nid), drop=[graph], graphs=[Q.graph_name(repo), graph])
+        one = self.spark.createDataFrame([tuple(body.get(c) for c in BODY)], ", ".join(f"{c} string" for c in BODY))
+        r = self.ingest_narratives(repo, one).first()
         return {
-            "narrativeId": nid, "processed": created, "numberOfTriples": triples, "numberOfSentences": n, "numberIngested": n,
-            "narrativeMetadata": {"title": body["title"], "published": published, "source": body["source"], "url": url},
+            "narrativeId": r["narrativeId"], "processed": r["processed"], "numberOfTriples": r["numberOfTriples"], "numberOfSentences": r["numberOfSentences"], "numberIngested": r["numberOfSentences"],
+            "narrativeMetadata": {"title": r["title"], "published": r["published"], "source": r["source"], "url": r["url"]},
         }
 
+    def ingest_narratives(self, repo: str, bodies: DataFrame, more: DataFrame | None = None, stream: tuple[str, int] | None = None) -> DataFrame:
+        """Any number of narratives (title, source, text, published, url) in one commit, as if they had come one after the
+        other by published and id: each sees the names that those before it define.
+
+        Rows without a title, source or text are left out; rows that are alike in these three are one narrative,
+        and one that is there already is made anew. more: other quads of the repository for the same commit. stream: see QuadTable.commit().
+        Returns narrativeId, processed, numberOfTriples, numberOfSentences, title, published, source, url."""
+        self._repo(repo)
+        told = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(files.NOT_DEFINED)).alias(c)
+        rows = bodies.filter("title <> '' and source <> '' and text <> ''").select("title", "source", "text", told("published"), told("url"))
+        rows = rows.withColumn("narrative_id", digest_id(F.lit(repo), "title", "source", "text", length=8))
+        rows = rows.groupBy("narrative_id").agg(F.min(F.struct("published", "url", "title", "source", "text")).alias("n")).select("narrative_id", "n.*")
+        rows = stored(rows.withColumn("at", F.concat_ws(" ", F.lit("at"), "published", "narrative_id")))
+        created, default = self._now(), Q.graph_name(repo)
+        known = N.Known(N.corrections(self._server()), stored(self._default(repo).filter(F.col("p").isin("rdf:type", "rdfs:label"))))
+        made = N.create_graphs(rows.select("narrative_id", "text", "at"), repo, self.provider, known, self.knowledge, self.countries, self.female, self.male)
+        quads = stored(made.graphs)
+        triples = quads.groupBy(F.substring_index("graph", "_", -1).alias("narrative_id")).agg(F.count("*").alias("triples"))
+        counts = rows.join(made.tables.sentences.groupBy("narrative_id").agg(F.count("*").alias("sentences")), "narrative_id", "left").join(triples, "narrative_id", "left")
+        counts = stored(counts.fillna(0, ["sentences", "triples"]))
+        about = N.metadata_quads(annotated(counts, self.provider, "classification", F.col("text"), N.CLASSIFICATION, "answer"), repo)
+        nid, n = F.concat(F.lit(":"), "narrative_id"), F.concat(F.lit(":Narrative_"), "narrative_id")
+        at = F.lit(repo), F.lit(default)
+        entry = Q.triplify(counts, nid, *at, **{"rdf:type": (F.lit(":InformationGraph"), "iri"), "dc:created": (F.lit(created), "xsd:dateTime"), ":number_triples": (F.col("triples"), "xsd:integer"), ":encodes": (n, "iri")})
+        entry = entry.unionByName(Q.triplify(counts, n, *at, **{":number_ingested": (F.col("sentences"), "xsd:integer")}))
+        new = quads.unionByName(made.entities).unionByName(about).unionByName(entry)
+        new = new if more is None else new.unionByName(Q.quads(more))
+        ids = counts.select(F.explode(F.array(nid, n)).alias("gone"))
+        graphs = counts.select(F.concat(F.lit(f"{repo}_"), "narrative_id").alias("gone"))
+        old = lambda q: q.filter(F.col("graph") == default).join(ids, F.col("s") == F.col("gone"), "left_semi").unionByName(q.join(graphs, F.col("graph") == F.col("gone"), "left_semi"))
+        some = [r["gone"] for r in graphs.limit(Q.QuadTable.NAMED).collect()] if more is None else []
+        about_all = [default, *some] if more is None and len(some) < Q.QuadTable.NAMED else None
+        self.store.commit(repo, add=new, delete=old, graphs=about_all, stream=stream)
+        return counts.select(F.col("narrative_id").alias("narrativeId"), F.lit(created).alias("processed"), F.col("triples").cast("int").alias("numberOfTriples"), F.col("sentences").cast("int").alias("numberOfSentences"), "title", "published", "source", "url")
+
     def list_narratives(self, repo: str) -> DataFrame:
         """One row a narrative that has all of its metadata."""
         self._repo(repo)

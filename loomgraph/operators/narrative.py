@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
@@ -104,8 +104,10 @@ def events(situations: DataFrame) -> DataFrame:
     return ev.withColumn("classes", confident).withColumn("roles", F.col("e.nouns")).drop("e", "kept")
 
 
-def tables(narratives: DataFrame, provider: Provider, labels: DataFrame, knowledge: Knowledge, countries: DataFrame | None = None, female: DataFrame | None = None, male: DataFrame | None = None) -> Tables:
-    """(narrative_id, text) x labels (label, iri, ner_type, seq) -> Tables. Names of the two lists give genders."""
+def tables(narratives: DataFrame, provider: Provider, labels: DataFrame | Known, knowledge: Knowledge, countries: DataFrame | None = None, female: DataFrame | None = None, male: DataFrame | None = None) -> Tables:
+    """(narrative_id, text) x labels (label, iri, ner_type, seq) -> Tables. Names of the two lists give genders.
+
+    With Known in place of labels, narratives have an order (at) and see what those before them define."""
     s, q = stored(sentences(narratives, provider)), quotations(narratives, provider)
     q = stored(annotated(q, provider, "sentence", F.col("text"), SENTENCE, "answer"))
     told = annotated(narratives.select("narrative_id", "text"), provider, "chronology", F.col("text"), KINDS["chronology"], "told")
@@ -122,7 +124,11 @@ def tables(narratives: DataFrame, provider: Provider, labels: DataFrame, knowled
     units = unit(s, narrative_id=F.col("narrative_id"), phase=F.lit(0), a=F.col("offset"), b=zero, owner=F.col("s"), sentence=F.col("text"), entities=found)
     units = units.unionByName(unit(ev, narrative_id=F.col("narrative_id"), phase=F.lit(1), a=F.col("place"), b=F.col("seq"), owner=F.col("event"), classes=F.col("classes"), roles=F.col("roles"), phrases=F.col("phrases.noun_phrases")))
     units = units.unionByName(unit(q, narrative_id=F.col("narrative_id"), phase=F.lit(2), a=F.col("k"), b=zero, owner=F.col("s"), speaker=F.col("speaker")))
-    facts = stored(R.read(stored(units), labels, provider, knowledge, countries))
+    units = stored(units)
+    if isinstance(labels, Known):
+        facts = read_in_order(units, stored(narratives.select("narrative_id", "at")), labels, provider, knowledge, countries)
+    else:
+        facts = stored(R.read(units, labels, provider, knowledge, countries))
     by = S.predicate(F.col("role"), F.col("classes"), F.col("class"), F.col("name"), F.col("any_agent"))
     args = facts.filter("kind = 'argument'").select("narrative_id", F.col("owner").alias("event"), by.alias("predicate"), F.col("iri").alias("noun")).filter("predicate is not null")
     return Tables(
@@ -225,13 +231,18 @@ def metadata_quads(narratives: DataFrame, repo: str) -> DataFrame:
 GROUP_CLASSES = [":Ethnicity", ":ReligiousGroup", ":PoliticalGroup", ":PoliticalIdeology", ":ReligiousBelief", ":GroupOfAgents"]
 
 
-def preloaded(manual: DataFrame, corrections: DataFrame) -> DataFrame:
-    """(s, type, label) of the server's and of a repository's corrections -> (label, iri, class, ner_type, seq): a
-    repository's entry hides the server's; types that no entity type has are left out. A group's type is its class."""
+def _typed(manual: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Corrections of the server (rank 0) and of a repository (1) with the entity type of their class; types that no
+    entity type has are left out. A group's type is its class."""
     kind = F.create_map(*[F.lit(x) for k, v in V.NER_CLASS.items() if k != "NORP" for x in (v, k)])
     ner = F.when(F.col("type").isin(GROUP_CLASSES), F.col("type")).otherwise(F.try_element_at(kind, F.col("type")))
-    both = manual.withColumn("rank", F.lit(0)).unionByName(corrections.withColumn("rank", F.lit(1))).withColumn("ner", ner).filter("ner is not null")
-    got = both.groupBy("label").agg(F.max_by(F.struct(F.col("s").alias("iri"), F.col("type").alias("class"), F.col("ner").alias("ner_type")), F.struct("rank", "s", "type")).alias("k"), F.min("rank").alias("rank"))
+    return manual.withColumn("rank", F.lit(0)).unionByName(corrections.withColumn("rank", F.lit(1))).withColumn("ner", ner).filter("ner is not null")
+
+
+def preloaded(manual: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(s, type, label) of the server's and of a repository's corrections -> (label, iri, class, ner_type, seq): a
+    repository's entry hides the server's."""
+    got = _typed(manual, corrections).groupBy("label").agg(F.max_by(F.struct(F.col("s").alias("iri"), F.col("type").alias("class"), F.col("ner").alias("ner_type")), F.struct("rank", "s", "type")).alias("k"), F.min("rank").alias("rank"))
     return got.select("label", "k.iri", "k.class", "k.ner_type", F.col("rank").cast("long").alias("seq"))
 
 
@@ -242,6 +253,70 @@ def corrections(store: DataFrame) -> DataFrame:
     return s.filter("type <> ':Correction'").select("s", "type", F.explode("labels").alias("label"))
 
 
+#: Before every place of an order of narratives.
+FIRST = ""
+
+
+@dataclass
+class Known:
+    """What is known of names before narratives that have an order: corrections of the server, and the types and labels of
+    a repository's subjects. Places in the order are texts; what a narrative defines is known to those after it."""
+
+    manual: DataFrame  # s, type, label
+    store: DataFrame  # quads
+
+    def facts(self, defined: DataFrame | None) -> DataFrame:
+        """(s, p, o, at): types and labels, each with the first place that gave it."""
+        first = self.store.select("s", "p", "o", F.lit(FIRST).alias("at"))
+        rows = first if defined is None else first.unionByName(defined)
+        return rows.filter(F.col("p").isin("rdf:type", "rdfs:label")).groupBy("s", "p", "o").agg(F.min("at").alias("at"))
+
+    def versions(self, defined: DataFrame | None = None) -> DataFrame:
+        """preloaded() at every place: label, iri, class, ner_type, seq, since, until. A type and a label of a subject hold
+        from the later one of both on; a label's entry may change with each place that says something of it."""
+        f = self.facts(defined)
+        kinds, labels = f.filter("p = 'rdf:type'"), f.filter("p = 'rdfs:label'").select("s", F.col("o").alias("label"), F.col("at").alias("b"))
+        subjects = kinds.filter("o = ':Correction'").select("s", F.col("at").alias("c"))
+        own = kinds.filter("o <> ':Correction'").select("s", F.col("o").alias("type"), F.col("at").alias("a")).join(subjects, "s").join(labels, "s")
+        own = own.select("s", "type", "label", F.greatest("a", "b", "c").alias("at"))
+        both = _typed(self.manual.select("s", "type", "label", F.lit(FIRST).alias("at")), own)
+        best = F.max(F.struct("rank", "s", "type", F.col("ner").alias("ner_type")))
+        by_place = both.groupBy("label", "at").agg(best.alias("best"), F.min("rank").alias("seq"))
+        ordered = Window.partitionBy("label").orderBy("at")
+        run = by_place.select("label", "at", F.max("best").over(ordered).alias("best"), F.min("seq").over(ordered).alias("seq"))
+        entry = F.struct("best", "seq")
+        new = run.withColumn("before", F.lag(entry).over(ordered)).filter(F.col("before").isNull() | (F.col("before") != entry))
+        new = new.withColumn("until", F.lead("at").over(ordered))
+        return new.select("label", F.col("best.s").alias("iri"), F.col("best.type").alias("class"), "best.ner_type", F.col("seq").cast("long").alias("seq"), F.col("at").alias("since"), "until")
+
+
+def definitions(facts: DataFrame, order: DataFrame, knowledge: Knowledge) -> DataFrame:
+    """(s, p, o, at): types and labels of the entities that narratives define, with their places."""
+    found = entity_rows(facts.filter("kind = 'entity'"), knowledge)
+    named = entity_quads(found, F.lit(""), F.col("narrative_id")).filter(F.col("p").isin("rdf:type", "rdfs:label"))
+    return named.join(order, F.col("graph") == F.col("narrative_id")).select("s", "p", "o", "at").distinct()
+
+
+def read_in_order(units: DataFrame, order: DataFrame, known: Known, provider: Provider, knowledge: Knowledge, countries: DataFrame | None = None) -> DataFrame:
+    """Facts of narratives that see what those before them define, as if they were read one after the other.
+
+    All are read at once, with what the reading before has found defined, until that stays the same: after k
+    readings the first k narratives are right, and mostly all are after two or three. No task holds the dictionary."""
+    several = order.count() > 1
+    defined = None
+    for _ in range(order.count() + 2 if several else 1):
+        facts = stored(R.read(units, known.versions(defined), provider, knowledge, countries, order))
+        if not several:
+            return facts
+        new = stored(definitions(facts, order, knowledge))
+        if defined is None and new.isEmpty():
+            return facts
+        if defined is not None and new.count() == defined.count() and new.join(defined, ["s", "p", "o", "at"], "left_anti").isEmpty():
+            return facts
+        defined = new
+    raise AssertionError("definitions of narratives in order have to settle")
+
+
 @dataclass
 class Created:
     """A batch's result: typed tables, quads of the narratives' graphs, entities for the repository's default graph."""
@@ -251,7 +326,8 @@ class Created:
     entities: DataFrame
 
 
-def create_graphs(narratives: DataFrame, repo: str, provider: Provider, labels: DataFrame, knowledge: Knowledge, countries: DataFrame | None = None, female: DataFrame | None = None, male: DataFrame | None = None) -> Created:
-    """(narrative_id, text) -> the narratives' graphs. Narratives don't see what others of their batch define."""
+def create_graphs(narratives: DataFrame, repo: str, provider: Provider, labels: DataFrame | Known, knowledge: Knowledge, countries: DataFrame | None = None, female: DataFrame | None = None, male: DataFrame | None = None) -> Created:
+    """(narrative_id, text) -> the narratives' graphs. With labels narratives don't see what others of their batch define; with
+    Known and a place each (at) they do, as if they came one after the other."""
     t = tables(narratives, provider, labels, knowledge, countries, female, male)
     return Created(t, graph_quads(t, repo, countries), entity_quads(t.entities, F.lit(repo), F.lit(Q.graph_name(repo)), countries))

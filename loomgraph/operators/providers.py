@@ -6,8 +6,12 @@ null structs, so that a missing answer is a row and not a failure."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,18 +49,117 @@ def annotated(rows: DataFrame, provider: Provider, kind: str, text: F.Column, sc
     return rows.join(got, "asked key", "left").drop("asked key")
 
 
+#: A run of letters and digits, or one other character: names begin and end between these.
+_PIECES = re.compile(r"[\w#]+|[^\w#]")
+#: Names whose tree of pieces is one block.
+NAMES = 200_000
+
+
+def tree(names: Iterable[tuple[str, str]]) -> dict:
+    """Names as a tree of their pieces; a name's end holds its type, of several the least."""
+    root: dict = {}
+    for name, kind in names:
+        node = root
+        for x in _PIECES.findall(name):
+            node = node.setdefault(x, {})
+        node[None] = min(kind or "", node.get(None, kind or ""))
+    return root
+
+
+def longest(root: dict, text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the longest name from each place of a text that has one, by places."""
+    pieces, out = list(_PIECES.finditer(text)), []
+    for i, first in enumerate(pieces):
+        node, end, kind = root.get(first[0]), None, ""
+        j = i
+        while node is not None:
+            if None in node:
+                end, kind = pieces[j].end(), node[None]
+            j += 1
+            node = node.get(pieces[j][0]) if j < len(pieces) else None
+        if end is not None:
+            out.append((first.start(), end, kind))
+    return out
+
+
+def leftmost(found: Iterable[tuple]) -> list[tuple]:
+    """Of (start, end, ...) those that begin first, of these the longest, without what they overlap."""
+    out, until = [], -1
+    for x in sorted(found, key=lambda x: (x[0], -x[1], *x[2:])):
+        if x[0] >= until:
+            out.append(x)
+            until = x[1]
+    return out
+
+
 class Lexicon:
-    """Rule-based entities: longest known names that a text contains, in order of place."""
+    """Rule-based entities: the longest known names that a text contains, leftmost first, at every place.
+
+    names (name, ner_type): a tree of them goes to all tasks, in blocks of a bounded number; texts don't move."""
+
+    def __init__(self, names: DataFrame, block: int = NAMES):
+        self.names, self.block = names.filter("name <> ''").select("name", "ner_type"), block
 
-    def __init__(self, names: DataFrame):
-        self.names = names.select("name", "ner_type")
+    def _blocks(self) -> Iterator[dict]:
+        rows = self.names.toLocalIterator()
+        while some := list(islice(rows, self.block)):
+            yield tree((r["name"], r["ner_type"]) for r in some)
 
     def entities(self, sentences: DataFrame) -> DataFrame:
-        """(key, text) -> key, name, ner_type, place. Names and texts meet on words, not as a cross product."""
-        words = sentences.select("key", "text", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_#]+"))).alias("word"))
-        named = self.names.withColumn("word", F.element_at(F.split("name", r"[^\p{L}\p{N}_#]+"), 1))
-        hit = words.join(named, "word").filter(F.contains("text", F.col("name")))
-        return hit.select("key", "name", "ner_type", F.instr(F.col("text"), F.col("name")).alias("place")).distinct()
+        """(key, text) -> key, name, ner_type, place (from 1) of each name in each text; keys are of one text each.
+
+        A name is in a text where its letters are and no word goes on before or after it, case counts. Of names that
+        overlap the one that begins first stays, then the longest; one name of several types has the least. Null and
+        empty texts have none."""
+        schema = f"key {sentences.schema['key'].dataType.simpleString()}, start int, until int, name string, ner_type string"
+        spark, got, blocks = sentences.sparkSession, None, 0
+        for block in self._blocks():
+            found = sentences.select("key", "text").mapInPandas(self._finder(spark.sparkContext.broadcast(block)), schema)
+            got, blocks = found if got is None else got.unionByName(found), blocks + 1
+        if got is None:
+            got = spark.createDataFrame([], schema)
+        elif blocks > 1:  # what the blocks found in a text meets
+            got = got.groupBy("key").applyInPandas(_leftmost_rows, schema)
+        return got.select("key", "name", F.nullif("ner_type", F.lit("")).alias("ner_type"), (F.col("start") + 1).alias("place"))
+
+    @staticmethod
+    def _finder(shared):
+        def of(batches):
+            root = shared.value
+            for b in batches:
+                rows = [(k, s, e, t[s:e], kind) for k, t in zip(b["key"], b["text"]) if t for s, e, kind in leftmost(longest(root, t))]
+                yield pd.DataFrame(rows, columns=_FOUND)
+
+        return of
+
+    def answers(self, inputs: DataFrame, kind: str, schema: str) -> DataFrame:
+        """As a provider: entities by the lexicon, no other answers."""
+        if kind != "entities":
+            return Absent().answers(inputs, kind, schema)
+        found = self.entities(inputs.select("key", F.col("input").alias("text")))
+        listed = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "name", "ner_type"))).alias("x"))
+        answer = F.struct(F.transform("x", lambda e: F.struct(e["name"].alias("text"), e["ner_type"].alias("ner_type"))).alias("entities"))
+        return inputs.join(listed, "key", "left").select("key", "input", F.when(F.col("x").isNotNull(), answer).alias("answer"))
+
+
+_FOUND = ["key", "start", "until", "name", "ner_type"]
+
+
+def _leftmost_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = leftmost(zip(pdf["start"], pdf["until"], pdf["ner_type"], pdf["name"]))
+    return pd.DataFrame([(pdf["key"].iloc[0], s, e, name, kind) for s, e, kind, name in rows], columns=_FOUND)
+
+
+class Either:
+    """The first provider's answers, and where it has none the second's."""
+
+    def __init__(self, first: Provider, second: Provider):
+        self.first, self.second = first, second
+
+    def answers(self, inputs: DataFrame, kind: str, schema: str) -> DataFrame:
+        a = self.first.answers(inputs, kind, schema)
+        b = self.second.answers(inputs, kind, schema).select(F.col("key").alias("other key"), F.col("answer").alias("other"))
+        return a.join(b, F.col("key") == F.col("other key"), "left").select("key", "input", F.coalesce("answer", "other").alias("answer"))
 
 
 def places(found: DataFrame, gazetteer: DataFrame) -> DataFrame:

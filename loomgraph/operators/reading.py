@@ -187,8 +187,10 @@ class Reader:
         return self.out
 
 
-def read(units: DataFrame, labels: DataFrame, provider: Provider, knowledge: Knowledge, countries: DataFrame | None = None) -> DataFrame:
-    """UNIT rows x labels (label, iri, ner_type, seq) -> FACT rows. Countries: (name, iri)."""
+def read(units: DataFrame, labels: DataFrame, provider: Provider, knowledge: Knowledge, countries: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
+    """UNIT rows x labels (label, iri, ner_type, seq) -> FACT rows. Countries: (name, iri).
+
+    order (narrative_id, at): each narrative sees the labels that were known at its place, see resolved()."""
     # most sentences name nothing: they have no facts
     size = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     told = size("entities") | size("phrases") | (F.coalesce("speaker", F.lit("")) != "")
@@ -201,16 +203,23 @@ def read(units: DataFrame, labels: DataFrame, provider: Provider, knowledge: Kno
             yield pd.DataFrame(rows, columns=["narrative_id", "owner", "sentence", "name", "base"])
 
     asked = stored(packed.mapInPandas(names, "narrative_id string, owner string, sentence string, name string, base string"))
-    typed = labels.groupBy("iri", "label").agg(F.min("ner_type").alias("ner_type")).withColumnRenamed("iri", "known_iri").withColumnRenamed("label", "known_label")
-    before = resolved(asked.select(F.col("name").alias("mention")), labels, countries).filter("iri is not null")
-    before = before.join(typed, (F.col("iri") == F.col("known_iri")) & (F.col("label") == F.col("known_label")), "left")
-    before = before.select(F.col("mention").alias("name"), F.array("iri", F.coalesce("ner_type", F.lit("")), F.col("priority").cast("string"), "label").alias("known"))
+    if order is None:
+        typed = labels.groupBy("iri", "label").agg(F.min("ner_type").alias("ner_type")).withColumnRenamed("iri", "known_iri").withColumnRenamed("label", "known_label")
+        key, of_type = ["name"], (F.col("iri") == F.col("known_iri")) & (F.col("label") == F.col("known_label"))
+    else:
+        asked = asked.join(order, "narrative_id")
+        typed = labels.select(F.col("iri").alias("known_iri"), F.col("label").alias("known_label"), "ner_type", "since", "until")
+        then = (F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("at") <= F.col("until")))
+        key, of_type = ["name", "at"], (F.col("iri") == F.col("known_iri")) & (F.col("label") == F.col("known_label")) & then
+    before = resolved(asked.select(F.col("name").alias("mention"), *key[1:]), labels, countries).filter("iri is not null")
+    before = before.join(typed, of_type, "left")
+    before = before.select(F.col("mention").alias("name"), *key[1:], F.array("iri", F.coalesce("ner_type", F.lit("")), F.col("priority").cast("string"), "label").alias("known"))
     about = knowledge.about(asked.filter("base <> ''").select("name", "base"))
     about = about.filter("location is not null or description is not null").select("name", "base", F.struct(F.col("location").isNotNull().alias("placed"), F.col("location.names").alias("names"), F.col("description.labels").alias("labels")).alias("about"))
     happened = asked.filter("base = 'EVENT'").select("narrative_id", "owner", "name", "base", F.concat_ws("\n", "name", "sentence").alias("input"))
     happened = annotated(happened, provider, "noun_event", F.col("input"), "category_number int", "answer")
     happened = happened.select("narrative_id", "owner", "name", "base", event_category(F.col("answer.category_number")).alias("event"))
-    rows = asked.select("narrative_id", "owner", "name", "base").distinct().join(before, "name", "left").join(about, ["name", "base"], "left").join(happened, ["narrative_id", "owner", "name", "base"], "left")
+    rows = asked.select("narrative_id", "owner", "name", "base", *key[1:]).distinct().join(before, key, "left").join(about, ["name", "base"], "left").join(happened, ["narrative_id", "owner", "name", "base"], "left")
     given = rows.filter("known is not null or about is not null or event is not null").select("narrative_id", F.to_json(F.struct("owner", "name", "base", "known", "about", "event")).alias("given"))
 
     def of(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,7 @@ which are equi-joins on short substrings."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import base_words, base_words_of, cleaned_name, iri_of
@@ -18,12 +18,18 @@ def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None
     """mentions (mention) x labels (label, iri, seq) x countries (name, iri) -> mention, iri, priority, label.
 
     Mentions without a match have a null iri and priority 5. Repeated mentions are resolved once; null ones
-    are left out, an empty one matches nothing. Of equals the least seq, then the least iri wins."""
-    m = mentions.select("mention").where("mention is not null").distinct()
-    labels = labels.select("label", F.col("iri").alias("label_iri"), F.col("seq").cast("long").alias("seq")).filter("label <> ''")
-    order = Window.partitionBy("label").orderBy("seq", "label_iri")
-    exact = labels.withColumn("k", F.row_number().over(order)).filter("k = 1").select(F.col("label").alias("mention"), "label_iri")
-    got = m.join(exact, "mention", "left")
+    are left out, an empty one matches nothing. Of equals the least seq, then the least iri wins.
+
+    Where mentions have a place in an order (at) and labels are known after one (since) and up to another (until; null:
+    for good), each mention is resolved by what was known at its place, and the result has at, too."""
+    timed = "at" in mentions.columns
+    key = ["mention", "at"] if timed else ["mention"]
+    valid = (F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("at") <= F.col("until"))) if timed else F.lit(True)
+    m = mentions.select(key).where("mention is not null").distinct()
+    labels = labels.select("label", F.col("iri").alias("label_iri"), F.col("seq").cast("long").alias("seq"), *(["since", "until"] if timed else [])).filter("label <> ''")
+    named = m.join(labels, F.col("mention") == F.col("label")).filter(valid)
+    exact = named.groupBy(key).agg(F.min(F.struct("seq", "label_iri"))["label_iri"].alias("label_iri"))
+    got = m.join(exact, key, "left")
     if countries is not None:
         named = countries.groupBy(F.col("name").alias("mention")).agg(F.min("iri").alias("country_iri"))
         got = got.join(named, "mention", "left")
@@ -31,13 +37,13 @@ def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None
         got = got.withColumn("country_iri", F.lit(None).cast("string"))
     got = got.withColumn("iri", F.coalesce("country_iri", "label_iri")).withColumn("priority", F.when(F.col("country_iri").isNotNull(), 1).when(F.col("label_iri").isNotNull(), 2))
     known = F.col("mention") != ""
-    done = got.filter(F.col("iri").isNotNull() & known).select("mention", "iri", "priority", F.col("mention").alias("label"))
-    rest = got.filter(F.col("iri").isNull() & known).select("mention", base_words(F.col("mention")).alias("base"))
+    done = got.filter(F.col("iri").isNotNull() & known).select(*key, "iri", "priority", F.col("mention").alias("label"))
+    rest = got.filter(F.col("iri").isNull() & known).select(*key, base_words(F.col("mention")).alias("base"))
     inside = containing(labels, "label", rest, "base").withColumn("priority", F.lit(3))
     around = containing(rest, "base", labels, "label").withColumn("priority", F.lit(4))
-    hit = inside.unionByName(around).groupBy("mention").agg(F.min(F.struct("priority", "seq", "label_iri", "label")).alias("b"))
-    found = done.unionByName(hit.select("mention", F.col("b.label_iri").alias("iri"), "b.priority", "b.label"))
-    return m.join(found, "mention", "left").withColumn("priority", F.coalesce("priority", F.lit(5)))
+    hit = inside.unionByName(around).filter(valid).groupBy(key).agg(F.min(F.struct("priority", "seq", "label_iri", "label")).alias("b"))
+    found = done.unionByName(hit.select(*key, F.col("b.label_iri").alias("iri"), "b.priority", "b.label"))
+    return m.join(found, key, "left").withColumn("priority", F.coalesce("priority", F.lit(5)))
 
 
 def phrase_or_rest(phrases: DataFrame, known: DataFrame) -> DataFrame:

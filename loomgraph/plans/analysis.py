@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vocab as V
@@ -421,7 +423,13 @@ def topic_compare(t):
 
 @query("stream_ingest_equiv", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def stream_ingest_equiv(t):
-    """The streaming aggregate's batch form; streaming.ingest runs the same aggregation on a stream."""
-    from loomgraph.streaming.ingest import totals
-
-    return totals(t("events"))
+    """All events through a file stream, in batches of some files, each file once; then their totals."""
+    from loomgraph.operators.stored import shared_folder
+    from loomgraph.streaming.ingest import ingest, totals
+
+    events = t("events")
+    place = f"{shared_folder(events.sparkSession)}/{uuid.uuid4().hex}"
+    events.repartition(8, "event_id").write.parquet(f"{place}/in")
+    stream = ingest(events.sparkSession, f"{place}/in", events.schema, lambda batch, number: batch.write.parquet(f"{place}/out/batch={number}"), f"{place}/checkpoint", files_per_trigger=4)
+    stream.awaitTermination()
+    return totals(events.sparkSession.read.schema(events.schema).parquet(f"{place}/out/*"))

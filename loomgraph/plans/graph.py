@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import hierarchy as H
 from loomgraph.operators import quads as Q
+from loomgraph.operators.stored import shared_folder
 from loomgraph.plans.base import query
 
 KG = """kg AS (
@@ -238,3 +241,22 @@ def chain_walk(t):
     name = lambda x: F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col(x).cast("string"))
     first = c.filter("is_first").select(F.col("conv_id").alias("owner"), name("turn").alias("node"))
     return H.linked_list(first, c.filter("next is not null").select(name("turn").alias("node"), name("next").alias("next"))).select("owner", "node", "seq")
+
+
+@query(
+    "kg_store_log",
+    f"""WITH {KG}, x AS (SELECT {_ALL} FROM kg WHERE graph <> 'world_EUROPE' AND NOT (p = 'rdfs:label' AND graph = 'world_ASIA') UNION SELECT repo, 'world_EUROPE', s, p, o, o_kind FROM kg WHERE graph = 'world_AFRICA'
+     UNION SELECT {_ALL} FROM kg WHERE graph = 'world_ASIA' AND s = 'nation:8')
+    SELECT * FROM x""",
+)
+def kg_store_log(t):
+    """A stored table after commits: all added, twice some of it, a graph replaced, quads deleted and some added again."""
+    g = world(t)
+    spark = g.sparkSession
+    store = Q.QuadTable(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    store.add("world", g)
+    store.add("world", g.filter("graph in ('world_ASIA', 'world_default')"))
+    store.replace("world", "world_EUROPE", g.filter("graph = 'world_AFRICA'"))
+    store.commit("world", delete=lambda q: q.filter("p = 'rdfs:label' and graph = 'world_ASIA'"), graphs=["world_ASIA"])
+    store.commit("world", add=g.filter("s = 'nation:8' and graph = 'world_ASIA'"), graphs=["world_ASIA"])
+    return shown(store.read("world"))

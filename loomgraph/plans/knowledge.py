@@ -9,6 +9,7 @@ from loomgraph.functions import vocab as V
 from loomgraph.operators import entities as E
 from loomgraph.operators import narrative as N
 from loomgraph.operators import providers as P
+from loomgraph.operators import resolve as R
 from loomgraph.operators import semantics as S
 from loomgraph.plans.base import query
 from loomgraph.sources import files
@@ -225,3 +226,41 @@ def narrative_metadata(t):
     )
     n = d.select(k.cast("string").alias("narrative_id"), F.concat("lang", F.lit(" text")).alias("title"), "source", F.lit(None).cast("string").alias("published"), F.lit("not defined").alias("url"), "text", F.col("n_chars").alias("sentences"), answer.alias("answer"))
     return N.metadata_quads(n, "w").select("s", "p", "o")
+
+
+@query(
+    "name_places",
+    r"""WITH w AS (SELECT regexp_extract_all(text, '[\pL\pN_#]+') AS w FROM benchmark),
+    n AS (SELECT DISTINCT array_to_string(w[a:b], ' ') AS name FROM w, (VALUES (1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 4)) AS x(a, b) WHERE len(w) >= b),
+    p AS (SELECT string_agg(regexp_replace(name, '([\pL\pN_#]+)', chr(1) || '\1' || chr(1), 'g'), '|' ORDER BY length(name) DESC, name) AS pattern FROM n),
+    l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+    f AS (SELECT unnest(regexp_extract_all(regexp_replace(line, '([\pL\pN_#]+)', chr(1) || '\1' || chr(1), 'g'), pattern)) AS found FROM l, p)
+    SELECT replace(found, chr(1), '') AS name, count(*) AS n FROM f GROUP BY 1""",
+)
+def name_places(t):
+    """How often the lines of all documents hold each name, of names inside of others the longest: words 1 to 3 and 2 to 4 of
+    the benchmark's items, and their beginnings."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_#]+"), F.lit(0))
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 4))])
+    names = t("benchmark").select(words.alias("w")).select("w", F.explode(spans).alias("x")).filter(F.size("w") >= F.col("x.b"))
+    names = names.select(F.array_join(F.slice("w", F.col("x.a"), F.col("x.b") - F.col("x.a") + 1), " ").alias("name"), F.lit("THING").alias("ner_type")).distinct()
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).select(F.struct("doc_id", "line").alias("key"), "text")
+    return P.Lexicon(names).entities(lines).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "names_known_then",
+    """WITH b AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS best FROM orders GROUP BY 1, 2),
+    k AS (SELECT o_custkey, o_orderdate, max(best) OVER (PARTITION BY o_custkey ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b)
+    SELECT o_orderkey, ':' || lpad(CAST(best AS VARCHAR), 12, '0') AS iri, CAST(CASE WHEN best IS NULL THEN 5 ELSE 2 END AS INTEGER) AS priority FROM orders JOIN k USING (o_custkey, o_orderdate)""",
+)
+def names_known_then(t):
+    """A customer's name means the greatest of the customer's orders of earlier days: names that are defined while narratives
+    come, each mention resolved by what was known at its day."""
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 12, "0"))
+    o = t("orders").select("o_orderkey", F.concat(F.lit(":"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("s"), name.alias("mention"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"))
+    said = F.array(*[F.struct(F.lit(p).alias("p"), c.alias("o")) for p, c in (("rdf:type", F.lit(":Person")), ("rdf:type", F.lit(":Correction")), ("rdfs:label", F.col("mention")))])
+    none = o.sparkSession.createDataFrame([], "s string, type string, label string, p string, o string")
+    known = N.Known(none.select("s", "type", "label"), none.select("s", "p", "o"))
+    versions = known.versions(o.select("s", F.explode(said).alias("f"), "at").select("s", "f.p", "f.o", "at"))
+    return o.join(R.resolved(o.select("mention", "at"), versions), ["mention", "at"]).select("o_orderkey", "iri", "priority")

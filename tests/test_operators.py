@@ -182,6 +182,73 @@ def test_providers(spark):
     lex = P.Lexicon(spark.createDataFrame([("Jane Doe", "PERSON"), ("Wyoming", "GPE")], "name string, ner_type string"))
     ents = lex.entities(spark.createDataFrame([(1, "In Wyoming, Jane Doe won."), (2, "Jane lost.")], "key int, text string")).collect()
     assert {(r["key"], r["name"], r["place"]) for r in ents} == {(1, "Wyoming", 4), (1, "Jane Doe", 13)}
+    both = P.Either(P.Recorded(replies), lex)
+    asked = spark.createDataFrame([("1", "In Wyoming, Jane Doe won."), ("2", "I lost")], "key string, input string")
+    got = {r["key"]: r["answer"] for r in both.answers(asked, "entities", "entities array<struct<text: string, ner_type: string>>").collect()}
+    assert [tuple(x) for x in got["1"]["entities"]] == [("Wyoming", "GPE"), ("Jane Doe", "PERSON")] and got["2"] is None
+    assert {r["key"]: r["answer"] and r["answer"]["speaker"] for r in both.answers(asked, "speaker", "speaker string").collect()} == {"1": None, "2": "she"}
+
+
+def test_longest_names(spark):
+    """Against trying every name at every place of every text; names in one block and in many."""
+    import random
+    import re
+
+    r = random.Random(6)
+    word = lambda: r.choice(["New", "York", "Times", "Square", "the", "U.S", "U.S.", "é", "a", "A"])
+    names = {" ".join(word() for _ in range(r.randrange(1, 4))): r.choice(["GPE", "ORG"]) for _ in range(40)}
+    names |= {"New York": "GPE", "New York Times": "ORG", "York": "GPE"}
+    texts = ["the New York Times of New York, York", "", None, "Yorkshire NewYork New  York", "U.S.A in the U.S. York.York"] + [r.choice(["", " ", "x"]).join(word() + r.choice([" ", ", ", " - "]) for _ in range(r.randrange(1, 30))) for _ in range(120)]
+
+    def plain(text):
+        out, at = [], 0
+        inside = lambda a, b: a < b and re.match(r"[\w#]", text[a]) and b and re.match(r"[\w#]", text[b])
+        while at < len(text):
+            fits = [n for n in names if text.startswith(n, at) and not (at and inside(at - 1, at)) and not (at + len(n) < len(text) and inside(at + len(n) - 1, at + len(n)))]
+            best = max(fits, key=len, default=None)
+            if best:
+                out.append((best, names[best], at + 1))
+            at += len(best) if best else 1
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "key int, text string").repartition(3)
+    want = {(k, *x) for k, t in enumerate(texts) if t for x in plain(t)}
+    assert any(n == "New York Times" for _, n, *_ in want)
+    kinds = spark.createDataFrame([*names.items(), ("York", "ZZZ"), ("", "ORG")], "name string, ner_type string")
+    for block in (5, 1000):
+        got = P.Lexicon(kinds, block).entities(df).collect()
+        assert len(got) == len(want) and {(x["key"], x["name"], x["ner_type"], x["place"]) for x in got} == want
+    assert P.Lexicon(kinds.limit(0)).entities(df).count() == 0
+
+
+def test_containment_meets_few(spark):
+    """Parts and wholes that begin alike: the join makes about as many rows as it keeps."""
+    from loomgraph.operators.substring import containing
+
+    parts = spark.createDataFrame([(f"University of Town {k}",) for k in range(1500)] + [("City 77",), ("of",), ("", ), (None,)], "part string")
+    wholes = spark.createDataFrame([(f"University of City {k}",) for k in range(1500)] + [("The University of Town 1499",), (None,), ("",)], "whole string")
+    pairs = containing(parts, "part", wholes, "whole")
+    got = {(r["part"], r["whole"]) for r in pairs.collect()}
+    want = {(p, w) for (p,) in parts.collect() for (w,) in wholes.collect() if p and w and p in w}
+    assert got == want and len(want) > 1500
+    made = _join_rows(pairs)
+    assert max(made) <= 25 * len(wholes.collect()), made  # substrings of the wholes, none of the 2,250,000 pairs
+
+
+def _join_rows(df):
+    """Rows that each join of a finished plan made."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "AdaptiveSparkPlan" in p.nodeName():
+            todo.append(p.executedPlan())
+            continue
+        if "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        if "Join" in p.nodeName():
+            out.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return out
 
 
 def test_nearest_topics(spark, monkeypatch):
