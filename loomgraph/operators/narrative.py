@@ -302,10 +302,11 @@ def read_in_order(units: DataFrame, order: DataFrame, known: Known, provider: Pr
 
     All are read at once, with what the reading before has found defined, until that stays the same: after k
     readings the first k narratives are right, and mostly all are after two or three. No task holds the dictionary."""
-    several = order.count() > 1
-    defined = None
-    for _ in range(order.count() + 2 if several else 1):
-        facts = stored(R.read(units, known.versions(defined), provider, knowledge, countries, order))
+    n = order.count()
+    several, defined = n > 1, None
+    for _ in range(n + 2):
+        labels = stored(known.versions(defined))  # several joins read it
+        facts = stored(R.read(units, labels, provider, knowledge, countries, order))
         if not several:
             return facts
         new = stored(definitions(facts, order, knowledge))

@@ -59,6 +59,8 @@ def articles(engine: Engine, repo: str, folder: str, checkpoint: str, name: str
     rows = engine.spark.readStream.schema(", ".join(f"{c} string" for c in BODY)).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
     def sink(batch: DataFrame, number: int) -> None:
+        if engine.store.state(repo).streams.get(name, -1) >= number:  # committed before the stream was killed
+            return
         batch = stored(batch)
         more = arrivals(batch, engine.store, repo, name, number, late, width)
         engine.ingest_narratives(repo, batch, more, (name, number))

@@ -45,32 +45,6 @@ def graph(e):
     return set(rows)
 
 
-@pytest.fixture(scope="module")
-def one_by_one(spark, provider, tmp_path_factory):
-    e = engine(spark, provider, tmp_path_factory.mktemp("one"))
-    for k in range(len(SAID)):
-        e.ingest_narrative("r", bodies(spark, k).first().asDict())
-    return e
-
-
-def test_a_batch_is_as_one_after_the_other(spark, provider, one_by_one, tmp_path):
-    want = graph(one_by_one)
-    mentioned = {o for _, _, _, p, o, *_ in want if p == ":mentions"}
-    assert mentioned == {":Harriet_Hageman", ":Acme_Holdings", ":Wyoming"}  # nothing is defined twice
-    e = engine(spark, provider, tmp_path / "all")
-    got = e.ingest_narratives("r", bodies(spark, 3, 1, 0, 2, 1))
-    assert graph(e) == want and got.count() == 4 and e.list_narratives("r").count() == 4
-    assert {(r["title"], r["numberOfSentences"]) for r in got.collect()} == {(f"T{k}", 1) for k in range(4)}
-    e.ingest_narratives("r", bodies(spark, 1, 2))  # made anew, with what is known by now
-    assert {x for x in graph(e) if x[3] == ":mentions"} == {x for x in want if x[3] == ":mentions"}
-
-
-def test_bad_rows_and_none(spark, provider, tmp_path):
-    e = engine(spark, provider, tmp_path / "q")
-    some = bodies(spark, 0).unionByName(bodies(spark, 1).withColumn("text", F.lit(None).cast("string"))).unionByName(bodies(spark, 2).withColumn("title", F.lit("")))
-    assert e.ingest_narratives("r", some).count() == 1 and e.ingest_narratives("r", some.limit(0)).count() == 0
-
-
 def test_versions_of_labels(spark):
     """A label's entry changes with what is defined after it, and only for those who come later."""
     prior = spark.createDataFrame([(":A", "rdf:type", ":Correction"), (":A", "rdf:type", ":Person"), (":A", "rdfs:label", "Jo")], "s string, p string, o string")
@@ -80,47 +54,56 @@ def test_versions_of_labels(spark):
     assert {(r["label"], r["iri"], r["since"], r["until"]) for r in got.collect()} == {("Jo", ":A", "", "2"), ("Jo", ":B", "2", None), ("Flo", ":B", "4", None)}
 
 
-def write(folder, k):
+def write(folder, k, **more):
     folder.mkdir(exist_ok=True)
-    row = {"title": f"T{k}", "source": "S", "text": SAID[k][0], "published": f"2024-01-0{k + 1}T00:00:00"}
-    (folder / f"{k}.json").write_text(json.dumps(row))
-
-
-def test_a_stream_killed_and_started_again(spark, provider, one_by_one, tmp_path, monkeypatch):
-    """Batches of one file; the second fails after its commit, the third before it; nothing is lost or there twice."""
+    row = {"title": f"T{k}", "source": "S", "text": SAID[k][0], "published": f"2024-01-0{k + 1}T00:00:00"} | more
+    (folder / f"{k}{len(more)}.json").write_text(json.dumps(row))
+
+
+def test_streams_and_batches_are_as_one_after_the_other(spark, provider, tmp_path, monkeypatch):
+    """Two narratives one by one, and as one batch of a stream that is killed after its commit and started again; then a third,
+    killed before its commit: nothing is lost, nothing is there twice, and names that came before are known."""
+    one = engine(spark, provider, tmp_path / "one")
+    for k in (0, 1):
+        one.ingest_narrative("r", bodies(spark, k).first().asDict())
+    want = graph(one)
+    assert {x[4] for x in want if x[3] == ":mentions"} == {":Harriet_Hageman", ":Acme_Holdings"}
     e = engine(spark, provider, tmp_path / "s")
-    run = lambda: ingest.articles(e, "r", f"file://{tmp_path}/in", f"file://{tmp_path}/cp", late="36 hours", width="1 day", files_per_trigger=1).awaitTermination()
-    real, failing = e.store.commit, {1: "after", 2: "before"}
+    run = lambda: ingest.articles(e, "r", f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
+    real, failing = e.store.commit, ["after", "before"]
 
     def commit(*args, **more):
-        when = failing.pop(more["stream"][1], None)
+        when = failing.pop(0) if failing and more["stream"] else None
         if when != "before":
             real(*args, **more)
         if when:
             raise RuntimeError("killed")
 
     monkeypatch.setattr(e.store, "commit", commit)
-    for k in range(3):
+    for k in (1, 0):
         write(tmp_path / "in", k)
-        if k == 0:
-            run()
-            continue
-        with pytest.raises(StreamingQueryException):
-            run()
+    write(tmp_path / "in", 2, text=None)  # not a narrative
+    with pytest.raises(StreamingQueryException):
         run()
-    (tmp_path / "in/late.json").write_text(json.dumps({"title": "T3", "source": "S", "text": SAID[3][0], "published": "2024-01-04T00:00:00"}))
     run()
-    assert graph(e) == graph(one_by_one)
-    (tmp_path / "in/old.json").write_text(json.dumps({"title": "old", "source": "S", "text": "x", "published": "2024-01-01T05:00:00"}))
+    assert graph(e) == want and failing == ["before"]
+    write(tmp_path / "in", 2)
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert graph(e) == want
     run()
-    run()  # nothing new
-    windows = {r["begins"].day: (r["articles"], r["late"]) for r in ingest.arrived(e.store, "r").collect()}
-    assert windows == {1: (2, 1), 2: (1, 0), 3: (1, 0), 4: (1, 0)} and e.list_narratives("r").count() == 5
-
-
-def test_a_stream_in_one_batch(spark, provider, one_by_one, tmp_path):
-    e = engine(spark, provider, tmp_path / "s")
-    for k in range(len(SAID)):
-        write(tmp_path / "in", k)
-    ingest.articles(e, "r", f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
-    assert graph(e) == graph(one_by_one)
+    got = graph(e)
+    assert got > want and {x[4] for x in got if x[3] == ":mentions"} == {":Harriet_Hageman", ":Acme_Holdings"}  # nothing new in the third
+    assert {(r["title"], r["numberOfSentences"]) for r in e.list_narratives("r").collect()} == {(f"T{k}", 1) for k in range(3)}
+    assert {r["begins"].day: (r["articles"], r["late"]) for r in ingest.arrived(e.store, "r").collect()} == {1: (1, 0), 2: (1, 0), 3: (2, 0)}
+
+
+def test_late_articles_are_counted(spark, tmp_path):
+    """By their window, against the latest of the batches before; articles without a time are in none."""
+    table = Q.QuadTable(spark, f"file://{tmp_path}/q")
+    batches = [["2024-01-01T00:00:00", "2024-01-05T00:00:00", None], ["2024-01-01T05:00:00", "2024-01-04T12:00:00", "soon"], ["2024-01-01T06:00:00"]]
+    for k, times in enumerate(batches):
+        batch = spark.createDataFrame([(t,) for t in times], "published string")
+        table.commit("r", add=ingest.arrivals(batch, table, "r", "s", k, "1 day", "1 day"), stream=("s", k))
+    got = {r["begins"].day: (r["articles"], r["late"]) for r in ingest.arrived(table, "r").collect()}
+    assert got == {1: (3, 2), 4: (1, 0), 5: (1, 0)}
