@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.stored import stored
+
 #: Query vectors that one pass over the index holds in memory, and vectors compared with each other at once.
 BLOCK, SIDE = 20_000, 1_000
 
@@ -62,16 +64,32 @@ def words(name) -> F.Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def _rare_first(sides: DataFrame, least: float) -> DataFrame:
+    """(side, topic, words) -> side, topic, word: of each topic's words, rarest first, as many as one of a similar one
+    must share. Of n words at least least * n are common to both, so not all of the others can be the rarest n - that + 1."""
+    each = sides.select("side", "topic", F.size("words").alias("n"), F.explode("words").alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("often"))
+    listed = each.join(often, "word").groupBy("side", "topic").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("by"), F.first("n").alias("n"))
+    needed = F.greatest(F.ceil(F.col("n") * F.lit(least) - 1e-9), F.lit(1)).cast("int")
+    return listed.select("side", "topic", F.explode(F.slice("by", 1, F.greatest(F.col("n") - needed + 1, F.lit(0)))).alias("x")).select("side", "topic", "x.word")
+
+
 def compared(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """(topic) and (topic) -> left, right, score: topics that are each other's best match, by the Jaccard similarity
     of their words, of at least `least`; all others alone, with a null on the other side.
 
-    Topics meet on words, not as a cross product. Of equals the least topic wins; null topics are left out."""
-    side = lambda d, n: d.select(F.col("topic").alias(n)).filter(F.col(n).isNotNull()).distinct().withColumn(f"{n}_words", words(F.col(n)))
-    a, b = side(left, "left"), side(right, "right")
-    met = a.withColumn("w", F.explode("left_words")).join(b.withColumn("w", F.explode("right_words")), "w")
-    met = met.groupBy("left", "right").agg(F.count("*").alias("common"), F.first(F.size("left_words")).alias("n"), F.first(F.size("right_words")).alias("m"))
-    scored = met.withColumn("score", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).filter(F.col("score") >= least)
+    Topics meet on their rare words only, which loses no match: a word that most topics have joins nothing unless
+    they have no other. Of equals the least topic wins; null topics are left out."""
+    side = lambda d, n: d.select(F.lit(n).alias("side"), "topic").filter("topic is not null").distinct().withColumn("words", words(F.col("topic")))
+    both = stored(side(left, "left").unionByName(side(right, "right")))
+    of = lambda d, n, *more: d.filter(F.col("side") == n).select(F.col("topic").alias(n), *more)
+    a, b = (of(both, n, F.col("words").alias(f"{n}_words")) for n in ("left", "right"))
+    rare = stored(_rare_first(both, least))
+    met = of(rare, "left", "word").join(of(rare, "right", "word"), "word").select("left", "right").distinct()
+    n, m = F.size("left_words"), F.size("right_words")
+    met = met.join(a, "left").join(b, "right").filter((F.least(n, m) >= F.greatest(n, m) * F.lit(least) - 1e-9))
+    common = F.size(F.array_intersect("left_words", "right_words"))
+    scored = stored(met.select("left", "right", (common / (n + m - common)).alias("score")).filter(F.col("score") >= least))
     best = lambda k, o: scored.groupBy(k).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(o).alias("o"))).alias("b")).select(F.col(k), F.col("b.o").alias(o), (-F.col("b.s")).alias("score"))
     pairs = best("left", "right").join(best("right", "left").drop("score"), ["left", "right"])
     got = a.select("left").join(pairs, "left", "left").join(b.select("right"), "right", "full")

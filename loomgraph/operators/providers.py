@@ -43,10 +43,13 @@ class Absent:
 
 def annotated(rows: DataFrame, provider: Provider, kind: str, text: F.Column, schema: str, name: str) -> DataFrame:
     """rows with the provider's answer about `text` as the column `name`; equal texts are asked once."""
-    rows = rows.withColumn("asked key", F.sha2(text, 256))
-    asked = rows.select(F.col("asked key").alias("key"), text.alias("input")).filter("key is not null").dropDuplicates(["key"])
-    got = provider.answers(asked, kind, schema).select(F.col("key").alias("asked key"), F.col("answer").alias(name))
-    return rows.join(got, "asked key", "left").drop("asked key")
+    own = "asked key"
+    while own in {c.lower() for c in rows.columns}:
+        own += "_"
+    rows = rows.withColumn(own, F.sha2(text, 256))
+    asked = rows.select(F.col(own).alias("key"), text.alias("input")).filter("key is not null").dropDuplicates(["key"])
+    got = provider.answers(asked, kind, schema).select(F.col("key").alias(own), F.col("answer").alias(name))
+    return rows.join(got, own, "left").drop(own)
 
 
 #: A run of letters and digits, or one other character: names begin and end between these.
