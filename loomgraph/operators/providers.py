@@ -116,8 +116,9 @@ class Lexicon:
         empty texts have none."""
         schema = f"key {sentences.schema['key'].dataType.simpleString()}, start int, until int, name string, ner_type string"
         spark, got, blocks = sentences.sparkSession, None, 0
+        every = len(self.names.take(self.block + 1)) > self.block  # what one block leaves out can be what stays of all
         for block in self._blocks():
-            found = sentences.select("key", "text").mapInPandas(self._finder(spark.sparkContext.broadcast(block)), schema)
+            found = sentences.select("key", "text").mapInPandas(self._finder(spark.sparkContext.broadcast(block), every), schema)
             got, blocks = found if got is None else got.unionByName(found), blocks + 1
         if got is None:
             got = spark.createDataFrame([], schema)
@@ -126,11 +127,12 @@ class Lexicon:
         return got.select("key", "name", F.nullif("ner_type", F.lit("")).alias("ner_type"), (F.col("start") + 1).alias("place"))
 
     @staticmethod
-    def _finder(shared):
+    def _finder(shared, every: bool):
         def of(batches):
             root = shared.value
             for b in batches:
-                rows = [(k, s, e, t[s:e], kind) for k, t in zip(b["key"], b["text"]) if t for s, e, kind in leftmost(longest(root, t))]
+                found = ((k, t, longest(root, t)) for k, t in zip(b["key"], b["text"]) if t)
+                rows = [(k, s, e, t[s:e], kind) for k, t, own in found for s, e, kind in (own if every else leftmost(own))]
                 yield pd.DataFrame(rows, columns=_FOUND)
 
         return of

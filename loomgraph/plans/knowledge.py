@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions import vocab as V
+from loomgraph.operators import classes as C
 from loomgraph.operators import entities as E
 from loomgraph.operators import narrative as N
 from loomgraph.operators import providers as P
@@ -264,3 +265,22 @@ def names_known_then(t):
     known = N.Known(none.select("s", "type", "label"), none.select("s", "p", "o"))
     versions = known.versions(o.select("s", F.explode(said).alias("f"), "at").select("s", "f.p", "f.o", "at"))
     return o.join(R.resolved(o.select("mention", "at"), versions), ["mention", "at"]).select("o_orderkey", "iri", "priority")
+
+
+_WORD = "string_split(p_name, ' ')[2]"
+
+
+@query(
+    "term_votes",
+    f"""WITH k AS (SELECT p_name AS term, p_type AS "class" FROM part WHERE p_size < 5 UNION SELECT {_WORD}, p_brand FROM part),
+    w AS (SELECT term, "class", (5040 * len(string_split(term, ' '))) // count(*) OVER (PARTITION BY term) AS weight FROM k),
+    f AS (SELECT p_partkey, CASE WHEN p_name IN (SELECT term FROM k) THEN p_name ELSE {_WORD} END AS term FROM part UNION ALL SELECT p_partkey, {_WORD} FROM part),
+    v AS (SELECT p_partkey, "class", sum(weight) AS votes FROM f JOIN w USING (term) GROUP BY ALL)
+    SELECT p_partkey, "class", CAST(votes AS BIGINT) AS votes, CAST((100 * votes) // sum(votes) OVER (PARTITION BY p_partkey) AS INTEGER) AS confidence, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY votes DESC, "class") AS INTEGER) AS rank FROM v""",
+)
+def term_votes(t):
+    """Classes of a text by the terms in it: the longest ones, in the plural and in other case too."""
+    p, word = t("part"), F.element_at(F.split("p_name", " "), 2)
+    known = p.filter("p_size < 5").select(F.col("p_name").alias("term"), F.col("p_type").alias("class")).unionByName(p.select(word.alias("term"), F.col("p_brand").alias("class")))
+    text = F.concat(F.lit("Two "), "p_name", F.lit("s beside a "), F.upper(word))
+    return C.voted(p.select(F.col("p_partkey").alias("key"), text.alias("text")), known.withColumn("kind", F.lit("noun"))).withColumnRenamed("key", "p_partkey")
