@@ -91,6 +91,6 @@ def compared(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame
     common = F.size(F.array_intersect("left_words", "right_words"))
     scored = stored(met.select("left", "right", (common / (n + m - common)).alias("score")).filter(F.col("score") >= least))
     best = lambda k, o: scored.groupBy(k).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(o).alias("o"))).alias("b")).select(F.col(k), F.col("b.o").alias(o), (-F.col("b.s")).alias("score"))
-    pairs = best("left", "right").join(best("right", "left").drop("score"), ["left", "right"])
-    got = a.select("left").join(pairs, "left", "left").join(b.select("right"), "right", "full")
-    return got.select("left", "right", "score")
+    pairs = stored(best("left", "right").join(best("right", "left").drop("score"), ["left", "right"]).select("left", "right", "score"))
+    alone = lambda d, n: d.select(n).join(pairs, n, "left_anti")  # noqa: E731  joined as nulls they would be one key
+    return pairs.unionByName(alone(a, "left"), allowMissingColumns=True).unionByName(alone(b, "right"), allowMissingColumns=True)
