@@ -9,7 +9,7 @@ from pyspark.sql.functions import udtf
 
 from loomgraph.functions.text import ABBREVIATIONS
 
-_END = re.compile(r"[.!?]\s+")
+_END = re.compile(r"[.!?][\t\n\f\r ]+|\x01")
 _SHORT = re.compile(rf"(?:^|[^A-Za-z0-9_])(?:{'|'.join(ABBREVIATIONS)}|[A-Z])\.$")
 
 
@@ -17,10 +17,10 @@ def sentences_of(text: str) -> list[str]:
     """The sentences that text.sentences() gives for the normalised text."""
     text, out, at = text.replace("\n", " ").replace("  ", " ").strip(" "), [], 0
     for m in _END.finditer(text):
-        if not _SHORT.search(text, max(0, m.start() - 12), m.start() + 1):
-            out.append(text[at : m.start() + 1])
+        if m[0] == "\x01" or not _SHORT.search(text, max(0, m.start() - 12), m.start() + 1):
+            out.append(text[at : m.start() + (m[0] != "\x01")])
             at = m.end()
-    return [x for x in (s.strip(" ") for s in [*out, text[at:]]) if x]
+    return [x for x in (s.replace("\x02", "").strip(" ") for s in [*out, text[at:]]) if x]
 
 
 class ParseNarrative:

@@ -26,6 +26,19 @@ def test_strings(spark):
     assert values(spark, lambda c: T.json_reply(c, "a int"), '{"a":\n1}', "no")[0]["a"] == 1
 
 
+def test_sentences_keep_their_characters(spark):
+    """Characters at a sentence's ends that spell its place, and control characters, as the query's SQL has them."""
+    import duckdb
+    from loomgraph.functions.tables import sentences_of
+    from loomgraph.plans.texts import NORM, SENTS
+
+    texts = ["So. 1 of 11", "A b. Cd.  11 ! 2 22", "a.\x0bb.\x0c c. \x01 d.\x01e\x02. f.\x02 g", "  0 0.", "Mr.\x02 X. Mr. \x02Y.\u00a0Z! \x1cQ", None]
+    want = [duckdb.execute(f"SELECT {SENTS.format(NORM)} FROM (SELECT CAST(? AS VARCHAR) AS text)", [t]).fetchone()[0] for t in texts]
+    assert want[0] == ["So.", "1 of 11"]
+    assert values(spark, lambda c: T.sentences(T.normalised(c)), *texts) == want
+    assert [sentences_of(t) for t in texts[:-1]] == want[:-1]
+
+
 def test_semantics(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c).first()[0]
