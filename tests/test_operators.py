@@ -284,6 +284,44 @@ def test_betweenness_by_joins(net):
         assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-12 for n in want)
 
 
+def test_betweenness_of_many_sources(spark):
+    """Blocks of sources over networks with and without sides, with hubs and several components, against one walk at a time."""
+    from collections import deque
+
+    rng = np.random.default_rng(3)
+    sided = {(int(a), 1000 + int(b)) for a, b in zip(rng.integers(0, 300, 700), rng.integers(0, 7, 700))} | {(2000, 3000)}
+    for links in (sided, sided | {(1, 2), (1000, 1001)}):
+        near = {}
+        for u, v in links:
+            near.setdefault(u, []).append(v)
+            near.setdefault(v, []).append(u)
+        want = dict.fromkeys(near, 0.0)
+        for s in near:
+            depth, paths, order, queue = {s: 0}, {s: 1}, [], deque([s])
+            while queue:
+                x = queue.popleft()
+                order.append(x)
+                for y in near[x]:
+                    if y not in depth:
+                        depth[y], paths[y] = depth[x] + 1, 0
+                        queue.append(y)
+                    if depth[y] == depth[x] + 1:
+                        paths[y] += paths[x]
+            share = dict.fromkeys(order, 0.0)
+            for y in reversed(order[1:]):
+                for x in near[y]:
+                    if depth[x] == depth[y] - 1:
+                        share[x] += paths[x] / paths[y] * (1 + share[y])
+                want[y] += share[y]
+        got = {r["node"]: r["centrality"] for r in W.betweenness(spark.createDataFrame(sorted(links), "u long, v long")).collect()}
+        n = len(near)
+        assert set(got) == set(want) and all(abs(got[x] - want[x] / ((n - 1) * (n - 2))) < 1e-12 for x in near)
+    u, v = np.array(sorted(sided)).T
+    u, v = np.unique(np.concatenate((u, v)), return_inverse=True)[1].reshape(2, -1)
+    side = W._sides(*W._csr(np.concatenate((u, v)), np.concatenate((v, u)), u.max() + v.max() + 2))
+    assert side is not None and (side[u] != side[v]).all()
+
+
 def test_networks_of_the_queries(spark, sf):
     """Components and eigenvectors of the orders' network by plain Python."""
     from loomgraph.plans import catalogue
