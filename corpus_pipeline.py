@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near-copies: sets of five-word
-    shingles of a Jaccard similarity of 0.8 or more, each link verified on the whole texts.
+    shingles of a Jaccard similarity of 0.8 or more, each link verified on the whole texts. SimHash fingerprints
+    within op4's bits propose links, MinHash bands those beyond them.
 
     A doc_id that several rows have stays once. Rows without a doc_id are not compared and stay."""
     kept, rows = unused(docs, "kept"), unused(docs, "rows")

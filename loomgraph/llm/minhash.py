@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._common import bounded_batches, table, written
 from loomgraph.llm.components import components
-from loomgraph.llm.simhash import GROUP_ROWS, group_edges, references, unlike_bytes
+from loomgraph.llm.simhash import GROUP_ROWS, fingerprint, group_edges, links, references, unlike_bytes
 
 PERMUTATIONS, WIDTH, BANDS, THRESHOLD = 128, 5, 32, 0.8
 #: Shingles hashed at once: a permutation's values stay in the cache.
@@ -197,9 +197,9 @@ def op2_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (digest of the whole text) and signature (its minima as bytes) of every row."""
+    """doc_id, same (digest of the whole text), signature (its minima as bytes) and fp (its SimHash) of every row."""
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "same", "signature"]
+    names = ["doc_id", "same", "signature", "fp"]
 
     def of(batches):
         for b in batches:
@@ -210,11 +210,12 @@ def signed(docs: DataFrame) -> DataFrame:
                     if k > lo:
                         s = signatures(texts[lo:k])
                         same = [hashlib.blake2b(x, digest_size=16).digest() for x in texts[lo:k]]
-                        yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k - lo), pa.array(same), pa.array([x.astype("<u4").tobytes() for x in s])], names)
+                        fp = np.array([fingerprint(x) for x in texts[lo:k]], np.uint64).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k - lo), pa.array(same), pa.array([x.astype("<u4").tobytes() for x in s]), pa.array(fp)], names)
                     lo, size = k, 0
                 size += len(t or b"")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, same binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, same binary, signature binary, fp long")
 
 
 #: Texts of which over this share of the minima differ are not compared: at a similarity of 0.8 that has a chance of about 1e-10.
@@ -276,12 +277,19 @@ def _candidates(classes: DataFrame, bands: int, group_rows: int) -> DataFrame:
     return group_edges(rows, words, round(UNLIKE * PERMUTATIONS), references(1, words), group_rows, unlike_bytes)
 
 
+def _alike(classes: DataFrame, group_rows: int) -> DataFrame:
+    """(rep, fp) of different texts -> edges (u, v) that connect all whose SimHash fingerprints are op4's few bits apart."""
+    first = written(classes.groupBy("fp").agg(F.min("rep").alias("first")), "alike")
+    equal = classes.join(first.withColumnRenamed("fp", "own"), F.col("fp") == F.col("own")).filter("rep != first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    return equal.unionAll(links(first.select(F.col("first").alias("rep"), "fp"), group_rows=group_rows))
+
+
 def copy_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, group_rows: int = GROUP_ROWS, cluster_bytes: int = CLUSTER_BYTES) -> DataFrame:
     """doc_id and component_id of every row: groups connected by a Jaccard similarity of `threshold` or more between whole
     texts, as sets of WIDTH-word shingles, named by their least doc_id.
 
-    Signatures only propose: texts that share a band and most minima make clusters, and in a cluster every text's whole set of
-    shingles (64-bit hashes) is compared with all that it isn't connected to yet. A pair at 0.8 misses all of the 32 bands
+    SimHash fingerprints and MinHash signatures only propose: texts whose fingerprints are as near as op4 links them, and texts
+    that share a band and most minima, make clusters, and in a cluster every text's whole set of shingles (64-bit hashes) is compared with all that it isn't connected to yet. A pair at 0.8 misses all of the 32 bands
     with a chance of 5e-8. Equal texts are one class, so are all without words; rows without a doc_id are left out;
     repeated rows come out repeated."""
     spark = docs.sparkSession
@@ -289,8 +297,9 @@ def copy_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     empty = F.col("signature") == F.lit(b"\xff" * 4 * PERMUTATIONS)
     rows = signed(docs).withColumn("same", F.when(empty, F.lit(b"")).otherwise(F.col("same")))
     rows = written(rows, "signatures")
-    classes = written(rows.groupBy("same").agg(F.min(F.struct("doc_id", "signature")).alias("r")).select("same", F.col("r.doc_id").alias("rep"), "r.signature"), "classes")
-    near = components(_candidates(classes.filter(F.col("same") != F.lit(b"")).select("rep", "signature"), bands, group_rows))
+    classes = written(rows.groupBy("same").agg(F.min(F.struct("doc_id", "signature", "fp")).alias("r")).select("same", F.col("r.doc_id").alias("rep"), "r.signature", "r.fp"), "classes")
+    worded = classes.filter(F.col("same") != F.lit(b""))
+    near = components(_alike(worded.select("rep", "fp"), group_rows).unionAll(_candidates(worded.select("rep", "signature"), bands, group_rows)))
     near = near.unionAll(near.select(F.col("component").alias("node"), "component")).distinct()  # a star's centre has no row of its own
     bounded_batches(spark)
     texts = docs.join(near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id").dropDuplicates(["doc_id", "text"])

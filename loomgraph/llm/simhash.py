@@ -26,14 +26,14 @@ GROUP_ROWS = 20_000
 SMALL = 48
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
+def fingerprint(text: str | bytes | None, width: int = 4) -> int:
     """SimHash over the width-word shingles of a whole text: unsigned, 0 for no words or null.
 
     Shingles are hashed by XXH64 (seed 42); a bit is 1 if it is set in over half of the hashes.
     ASCII letters are lower-cased; fewer words than the width make one shingle."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
     if not words:
         return 0
     joined, h = b" ".join(words), xxhash.xxh64_intdigest

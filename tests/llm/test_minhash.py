@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import numpy as np
-from loomgraph.llm import minhash
+from loomgraph.llm import minhash, simhash
 
 
 def shingles(text):
@@ -131,3 +131,16 @@ def test_copy_groups_against_brute_force(spark):
         got = {x["doc_id"]: x["component_id"] for x in minhash.copy_groups(docs, **sizes).collect()}
         assert [got[k] for k in range(len(texts))] == name
     assert minhash.copy_groups(docs.limit(0)).count() == 0
+
+
+def test_copy_groups_by_simhash(spark):
+    """Copies whose fingerprints op4 links are found where the bands of minima propose nothing; the whole texts decide."""
+    words = [f"w{k * k % 7919}" for k in range(3_000)]
+    changed = lambda n: " ".join("changed" if k in (700, 1900)[:n] or k % 37 == 5 and k < 37 * (n - 2) else w for k, w in enumerate(words))
+    bits = lambda text: (simhash.fingerprint(changed(0)) ^ simhash.fingerprint(text)).bit_count()
+    a, b, c = changed(0), changed(2), next(changed(n) for n in range(3, 60) if 0 < bits(changed(n)) <= simhash.RADIUS)
+    assert bits(b) == 0 and simhash.fingerprint(a.encode()) == simhash.fingerprint(a)
+    docs = spark.createDataFrame([(1, "else " * 50), (4, b), (5, c), (3, a), (6, a), (7, None), (8, " ")], "doc_id long, text string")
+    want = {(1, 1), (3, 3), (4, 3), (5, 3), (6, 3), (7, 7), (8, 7)}
+    assert {tuple(r) for r in minhash.copy_groups(docs, bands=1).collect()} == want
+    assert {tuple(r) for r in minhash.copy_groups(docs, threshold=0.9999, bands=1).collect()} == {(d, d if d in (4, 5) else c) for d, c in want}
