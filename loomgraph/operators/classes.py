@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vocab as V
@@ -45,17 +45,21 @@ def voted(texts: DataFrame, known: DataFrame, block: int = NAMES) -> DataFrame:
     clean = F.regexp_replace(F.trim(F.lower("term")), r"\s+", " ")
     terms = known.filter("class is not null").select(clean.alias("term"), "kind", "class").filter("term <> ''")
     shapes = stored(terms.select(F.explode(forms(F.col("term"), F.coalesce("kind", F.lit("")))).alias("form"), "class").distinct())
-    shared = shapes.groupBy("form").agg(F.count("*").alias("classes"))
-    weight = F.expr(f"({VOTES}L * size(split(form, ' '))) div classes")
-    weights = shapes.join(shared, "form").select("form", "class", weight.alias("weight"))
+    shared = shapes.groupBy("form").agg(F.collect_list("class").alias("classes"))
     names = shared.select(F.col("form").alias("name"), F.lit(None).cast("string").alias("ner_type"))
     spaced = F.regexp_replace(F.lower("text"), r"\s+", " ")
     found = Lexicon(names, block).entities(texts.select("key", spaced.alias("text")).filter("text is not null"))
-    votes = found.join(weights, F.col("name") == F.col("form")).groupBy("key", "class").agg(F.sum("weight").alias("votes"))
-    of = Window.partitionBy("key")  # no more rows than there are classes
-    share = F.expr("cast((100 * votes) div total as int)")
-    votes = votes.withColumn("total", F.sum("votes").over(of)).withColumn("rank", F.row_number().over(of.orderBy(F.desc("votes"), "class")))
-    return votes.select("key", "class", "votes", share.alias("confidence"), "rank")
+    found = found.repartition("key").groupBy("key").agg(F.sort_array(F.collect_list("name")).alias("terms"))
+    found = stored(found.withColumn("of", F.sha2(F.array_join("terms", "\n"), 256)))
+    # texts with the same terms have the same votes, so a term of many texts isn't joined with each of them
+    terms = found.select("of", "terms").dropDuplicates(["of"]).select("of", F.explode("terms").alias("name")).groupBy("of", "name").agg(F.count("*").alias("n"))
+    weight = F.expr(f"({VOTES}L * size(split(form, ' '))) div size(classes)")
+    votes = terms.join(shared, F.col("name") == F.col("form")).select("of", (F.col("n") * weight).alias("votes"), F.explode("classes").alias("class"))
+    votes = votes.groupBy("of", "class").agg(F.sum("votes").alias("votes"))
+    ranked = votes.groupBy(F.col("of").alias("by")).agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "class"))).alias("ranked"), F.sum("votes").alias("total"))
+    got = found.join(ranked, F.col("of") == F.col("by")).select("key", "total", F.posexplode("ranked").alias("k", "x"))
+    got = got.select("key", "x.class", (-F.col("x.less")).alias("votes"), "total", (F.col("k") + 1).alias("rank"))
+    return got.select("key", "class", "votes", F.expr("cast((100 * votes) div total as int)").alias("confidence"), "rank")
 
 
 class Voted:

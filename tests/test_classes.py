@@ -56,3 +56,30 @@ def test_as_provider(spark):
     assert got["Jane"] is None
     assert [(x.text, NOUN_CLASSES[x.category_number - 1]) for x in got["two armies ** Jane ** army"].noun_phrases] == [("two armies", ":ArmedForce"), ("army", ":ArmedForce")]
     assert p.answers(asked("x"), "chronology", N.KINDS["chronology"]).first()["answer"] is None
+
+
+def test_votes_of_a_term_of_all_texts(spark):
+    """Texts of the same terms are joined with the classes once, however many they are."""
+    from loomgraph.operators import classes as C
+
+    known = spark.createDataFrame([("ring", "noun", c) for c in ("a", "b", "c")] + [("blue ring", "noun", "b"), ("bolt", "noun", "d")], "term string, kind string, class string")
+    texts = spark.range(3_000).selectExpr("id as key", "case id % 3 when 0 then 'A ring, a blue ring and rings' when 1 then 'Bolt' else 'none' end as text")
+    got = C.voted(texts, known)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["key"] % 3, set()).add(tuple(r)[1:])
+    assert rows == {0: {("b", 2 * 1680 + 10080, 66, 1), ("a", 3360, 16, 2), ("c", 3360, 16, 3)}, 1: {("d", 5040, 100, 1)}}
+    assert got.groupBy("key").count().count() == 2_000
+    joined = lambda node: [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+    plan, most = got._jdf.queryExecution(), []
+    got._jdf.collectToPython()
+    stack = [plan.executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+        most += joined(node)
+        stack += [node.children().apply(k) for k in range(node.children().size())]
+    assert sorted(most) == [4, 2_000]  # terms of two kinds of texts, then one row a text
