@@ -18,7 +18,7 @@ from loomgraph.operators import quads as Q
 from loomgraph.operators import reading as R
 from loomgraph.operators import semantics as S
 from loomgraph.operators.entities import Knowledge, entity_quads
-from loomgraph.operators.providers import Provider, annotated
+from loomgraph.operators.providers import Provider, annotated, silent
 from loomgraph.operators.resolve import gender
 from loomgraph.operators.stored import stored
 
@@ -44,7 +44,8 @@ def sentences(narratives: DataFrame, provider: Provider) -> DataFrame:
     Sentences that are no words have no entities."""
     cut = narratives.select("narrative_id", F.posexplode(T.sentences(T.normalised(F.col("text")))).alias("k", "text"))
     cut = cut.select("narrative_id", (F.col("k") + 1).alias("offset"), T.repaired(F.col("text")).alias("text"))
-    cut = stored(cut.withColumn("s", F.concat(F.lit(":Sentence_"), digest_id("narrative_id", F.col("offset").cast("string"), "text"))))  # texts are cut once
+    cut = cut.withColumn("s", F.concat(F.lit(":Sentence_"), digest_id("narrative_id", F.col("offset").cast("string"), "text")))
+    cut = cut if hasattr(provider, "replies") else stored(cut)  # texts are cut once: what is asked for is read again
     cut = annotated(cut, provider, "entities", F.when(T.guarded(F.col("text")), F.col("text")), ENTITIES, "found")
     cut = annotated(cut, provider, "sentence", F.col("text"), SENTENCE, "answer")
     return cut.select("narrative_id", "offset", "text", "s", F.col("found.entities").alias("entities"), "answer")
@@ -59,16 +60,21 @@ def quotations(narratives: DataFrame, provider: Provider) -> DataFrame:
     with a subject, by the provider, else by CLAUSE, with their speaker, else that of a 'said' beside them."""
     n = narratives.select("narrative_id", T.normalised(F.col("text")).alias("whole")).withColumn("style", T.dominant_style(F.col("whole")))
     found = F.when(F.col("style") == "straight", T.quotes(F.col("whole"), "straight")).when(F.col("style") == "single", T.quotes(F.col("whole"), "single")).when(F.col("style") == "double", T.quotes(F.col("whole"), "double"))
-    q = stored(n.select("narrative_id", "whole", F.posexplode(found).alias("k", "text")))
+    q = n.select("narrative_id", "whole", F.posexplode(found).alias("k", "text")).withColumn("near", _near(F.col("whole"), F.col("text")))
+    q = stored(q.drop("whole") if silent(provider, "attribution") else q)  # else a text is there once a quotation
     q = annotated(q, provider, "quotation", F.col("text"), KINDS["quotation"], "verb")
     q = q.filter(F.coalesce("verb.has_subject_verb", F.col("text").rlike(CLAUSE)))
-    q = annotated(q, provider, "attribution", F.concat_ws("\n", "text", "whole"), KINDS["attribution"], "by")
-    tail = T.after_text(F.col("whole"), F.col("text"))
-    name = r"((?:M[rs]s?\. |Dr\. )?\p{Lu}[\p{L}.-]*(?: \p{Lu}[\p{L}.-]*)*|she|he|they)"
-    near = F.coalesce(F.nullif(F.regexp_extract(tail, rf"^[”’\", ]*{name} (?:said|says|added|told)", 1), F.lit("")), F.nullif(F.regexp_extract(tail, rf"^[”’\", ]*(?:said|says|added) {name}", 1), F.lit("")), F.lit(""))
+    q = annotated(q, provider, "attribution", F.concat_ws("\n", "text", *(["whole"] if "whole" in q.columns else [])), KINDS["attribution"], "by")
     told = F.when(F.col("by.speaker").isin("error", "string"), "").otherwise(F.col("by.speaker"))
     s = F.concat(F.lit(":Quotation_"), digest_id("narrative_id", F.col("k").cast("string"), "text"))
-    return q.select("narrative_id", "k", "text", s.alias("s"), F.coalesce(told, near).alias("speaker"))
+    return q.select("narrative_id", "k", "text", s.alias("s"), F.coalesce(told, "near").alias("speaker"))
+
+
+def _near(whole: Column, text: Column) -> Column:
+    """The speaker by a 'said' beside a quotation's first place; empty where there is none."""
+    tail = T.after_text(whole, text)
+    name = r"((?:M[rs]s?\. |Dr\. )?\p{Lu}[\p{L}.-]*(?: \p{Lu}[\p{L}.-]*)*|she|he|they)"
+    return F.coalesce(F.nullif(F.regexp_extract(tail, rf"^[”’\", ]*{name} (?:said|says|added|told)", 1), F.lit("")), F.nullif(F.regexp_extract(tail, rf"^[”’\", ]*(?:said|says|added) {name}", 1), F.lit("")), F.lit(""))
 
 
 @dataclass

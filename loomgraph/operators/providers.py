@@ -28,7 +28,14 @@ class Recorded:
     """Answers from a table (kind, digest, reply): JSON replies by sha256 of the input."""
 
     def __init__(self, table: DataFrame):
-        self.table = table
+        self.table, self.kinds = table, None
+
+    def replies(self, kind: str) -> DataFrame | None:
+        """digest (as bytes), reply of a kind; None where the table has none."""
+        if self.kinds is None:
+            self.kinds = {r["kind"] for r in self.table.select("kind").distinct().collect()}  # no more than KINDS
+        own = self.table.filter(F.col("kind") == kind).select(F.unhex("digest").alias("digest"), "reply")
+        return own.groupBy("digest").agg(F.max("reply").alias("reply")) if kind in self.kinds else None
 
     def answers(self, inputs: DataFrame, kind: str, schema: str) -> DataFrame:
         known = self.table.filter(F.col("kind") == kind).groupBy("digest").agg(F.max("reply").alias("reply"))
@@ -37,16 +44,29 @@ class Recorded:
 
 
 class Absent:
+    def replies(self, kind: str) -> None:
+        return None
+
     def answers(self, inputs: DataFrame, kind: str, schema: str) -> DataFrame:
         return inputs.select("key", "input", F.from_json(F.lit(None).cast("string"), schema).alias("answer"))
 
 
+def silent(provider: Provider, kind: str) -> bool:
+    """Whether a provider is known to have no answers of a kind."""
+    return hasattr(provider, "replies") and provider.replies(kind) is None
+
+
 def annotated(rows: DataFrame, provider: Provider, kind: str, text: F.Column, schema: str, name: str) -> DataFrame:
     """rows with the provider's answer about `text` as the column `name`; equal texts are asked once."""
     own = "asked key"
     while own in {c.lower() for c in rows.columns}:
         own += "_"
+    if silent(provider, kind):
+        return rows.withColumn(name, F.from_json(F.lit(None).cast("string"), schema))
     rows = rows.withColumn(own, F.sha2(text, 256))
+    if hasattr(provider, "replies"):  # by digest, which the key is: inputs don't move
+        got = provider.replies(kind).select(F.col("digest").alias(own), json_reply(F.col("reply"), schema).alias(name))
+        return rows.withColumn(own, F.unhex(own)).join(got, own, "left").drop(own)
     asked = rows.select(F.col(own).alias("key"), text.alias("input")).filter("key is not null").dropDuplicates(["key"])
     got = provider.answers(asked, kind, schema).select(F.col("key").alias(own), F.col("answer").alias(name))
     return rows.join(got, own, "left").drop(own)

@@ -189,3 +189,19 @@ def test_python_and_columns_agree(spark):
     for r in rows:
         assert (r["c"], r["b"], r["i"], r["f"]) == (T.cleaned_name_of(r["s"]), T.base_words_of(r["s"]), T.iri_of(r["s"]), T.folded(r["s"])), r["s"]
     assert T.base_words_of("Biden-Harris campaign") == "campaign" and T.base_words_of("former President Trump") == "President Trump"
+
+
+def test_quotations_carry_no_narratives(spark):
+    """Kinds without recorded answers are not asked for, and quotations then leave their narrative's text behind."""
+    from loomgraph.operators import narrative as N
+    from loomgraph.operators.providers import Absent, Recorded, annotated
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([("sentence", "x", "{}")], "kind string, digest string, reply string")
+    n = spark.createDataFrame([("1", 'Jane Roe came. "I am here," said Jane Roe to us. ' + "more words " * 50)], "narrative_id string, text string")
+    for provider in (Recorded(table), Absent()):
+        q = N.quotations(n, provider)
+        assert [(r["text"], r["speaker"]) for r in q.collect()] == [("I am here,", "Jane Roe")]
+        assert "whole" not in q._jdf.queryExecution().optimizedPlan().toString()
+        plan = annotated(n, provider, "entities", F.col("text"), N.ENTITIES, "found")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
