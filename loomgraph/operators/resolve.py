@@ -6,7 +6,6 @@ which are equi-joins on short substrings."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,14 +86,17 @@ def merged_places(entities: list[tuple], sentence: str) -> list[tuple]:
 
 
 def merge_neighbours(rows: DataFrame) -> DataFrame:
-    """sentence_id, sentence, entities array<struct<text,kind>> -> the same with merged places, in batches."""
-
-    def of(batches):
-        for b in batches:
-            merged = [[{"text": t, "kind": k} for t, k in merged_places([(e["text"], e["kind"]) for e in es], s)] for es, s in zip(b["entities"], b["sentence"])]
-            yield pd.DataFrame({"sentence_id": b["sentence_id"], "sentence": b["sentence"], "entities": merged})
-
-    return rows.select("sentence_id", "sentence", "entities").mapInPandas(of, "sentence_id long, sentence string, entities array<struct<text:string,kind:string>>")
+    """sentence_id, sentence, entities array<struct<text,kind>> -> the same with merged places, see merged_places().
+
+    A mark for each entity says whether it can be merged with the next; of a run of such, every second one is taken."""
+    after = lambda k: F.get("entities", k + 1)
+    place = lambda x, k: (F.contains(x["kind"], F.lit("GPE")) | F.contains(x["kind"], F.lit("LOC"))) & (after(k)["kind"] == x["kind"])
+    both = lambda x, k: F.contains("sentence", F.concat(x["text"], F.lit(", "), after(k)["text"]))
+    marks = F.transform("entities", lambda x, k: F.when(place(x, k) & both(x, k), "1").otherwise("0"))
+    marked = rows.select("sentence_id", "sentence", "entities", F.split(F.regexp_replace(F.array_join(marks, ""), "1.", "1-"), "").alias("marks"))
+    one = lambda x, k: F.struct(F.when(F.get("marks", k) == "1", F.concat(x["text"], F.lit(","), after(k)["text"])).otherwise(x["text"]).alias("text"), x["kind"].alias("kind"))
+    merged = F.filter(F.transform("entities", lambda x, k: F.when(F.get("marks", k) != "-", one(x, k))), lambda x: x.isNotNull())
+    return marked.select(F.col("sentence_id").cast("long").alias("sentence_id"), "sentence", merged.alias("entities"))
 
 
 def gender(names: DataFrame, female: DataFrame, male: DataFrame) -> DataFrame:

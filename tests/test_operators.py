@@ -371,3 +371,16 @@ def test_merged_places_of_the_query(spark, sf):
             k += 1 + both
         assert got.get(r["conv_id"] * 1000 + r["turn"], []) == want
     assert merged > 5
+
+
+def test_merge_neighbours_runs(spark):
+    """Runs of places, two at a time, in no Python worker, against merged_places()."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        es = [(str(rng.choice(["A", "B", "Bé"])), str(rng.choice(["GPE", "SINGGPE", "LOC", "PERSON"], p=[0.7, 0.1, 0.1, 0.1]))) for _ in range(k % 9)]
+        rows.append((k, str(rng.choice(["", "A, A, B", "A, A, A, A; B, Bé, B, A"])), es))
+    df = spark.createDataFrame(rows, "sentence_id long, sentence string, entities array<struct<text:string,kind:string>>")
+    got = R.merge_neighbours(df)
+    assert {r["sentence_id"]: [tuple(e) for e in r["entities"]] for r in got.collect()} == {k: R.merged_places(es, s) for k, s, es in rows}
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
