@@ -6,10 +6,12 @@ which are equi-joins on short substrings."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import base_words, base_words_of, cleaned_name, iri_of
+from loomgraph.operators.stored import stored
 from loomgraph.operators.substring import containing
 
 
@@ -37,7 +39,7 @@ def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None
     got = got.withColumn("iri", F.coalesce("country_iri", "label_iri")).withColumn("priority", F.when(F.col("country_iri").isNotNull(), 1).when(F.col("label_iri").isNotNull(), 2))
     known = F.col("mention") != ""
     done = got.filter(F.col("iri").isNotNull() & known).select(*key, "iri", "priority", F.col("mention").alias("label"))
-    rest = got.filter(F.col("iri").isNull() & known).select(*key, base_words(F.col("mention")).alias("base"))
+    rest = stored(got.filter(F.col("iri").isNull() & known).select(*key, base_words(F.col("mention")).alias("base")))  # both searches read it often
     inside = containing(labels, "label", rest, "base").withColumn("priority", F.lit(3))
     around = containing(rest, "base", labels, "label").withColumn("priority", F.lit(4))
     hit = inside.unionByName(around).filter(valid).groupBy(key).agg(F.min(F.struct("priority", "seq", "label_iri", "label")).alias("b"))
