@@ -30,7 +30,8 @@ def containing(parts: DataFrame, part: str, wholes: DataFrame, whole: str, width
     w = wholes.select(F.col(whole).alias("the whole")).filter(F.length("the whole") > 0).distinct()
     mine = F.when(F.length("the part") < width, F.array("the part")).otherwise(F.array_distinct(_of_length(F.col("the part"), width)))
     p = p.select("the part", F.explode(mine).alias("gram"))
-    w = w.select("the whole", F.explode(grams(F.col("the whole"), width)).alias("gram"))
+    short = {r[0] for r in p.filter(F.length("the part") < width).select(F.length("the part")).distinct().collect()}  # under width many
+    w = w.select("the whole", F.explode(F.array_distinct(F.flatten(F.array(*[_of_length(F.col("the whole"), k) for k in sorted({width, *short})])))).alias("gram"))
     w = w.join(p.select("gram").distinct(), "gram", "left_semi")
     common = w.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = p.join(common, "gram", "left").groupBy("the part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("by"))

@@ -31,6 +31,19 @@ def test_network(net):
     assert all(abs(got[k + 1] - want[k]) < 1e-4 for k in range(9))
 
 
+def test_containing_makes_needed_substrings_only(spark):
+    """Wholes give substrings of the width, and of fewer characters only where a part has as few."""
+    from loomgraph.operators.substring import containing
+
+    wholes = spark.createDataFrame([("Customer#000000012345",), ("xaby",)], "w string")
+    rows = {}
+    for name in ("#00000001", "ab"):
+        got = containing(spark.createDataFrame([(name,)], "p string"), "p", wholes, "w")
+        rows[name] = got._jdf.queryExecution().optimizedPlan().toString().count("sequence(1,")
+        assert [r["p"] for r in got.collect()] == [name]
+    assert rows["ab"] > rows["#00000001"]
+
+
 def test_betweenness(net):
     near = {}
     for u, v in EDGES:
