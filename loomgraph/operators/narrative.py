@@ -20,7 +20,7 @@ from loomgraph.operators import semantics as S
 from loomgraph.operators.entities import Knowledge, entity_quads
 from loomgraph.operators.providers import Provider, annotated, silent
 from loomgraph.operators.resolve import gender
-from loomgraph.operators.stored import stored
+from loomgraph.operators.stored import large, stored
 
 SEMANTICS = "array<struct<category_number: int, same_or_opposite: string, correctness: int>>"
 SITUATION = f"simpler_sentences array<struct<text: string, future_tense: boolean, modal: string, semantics: {SEMANTICS}, nouns: array<struct<noun_text: string, semantic_role: string>>>>"
@@ -283,7 +283,7 @@ class Known:
         f = self.facts(defined)
         kinds, labels = f.filter("p = 'rdf:type'"), f.filter("p = 'rdfs:label'").select("s", F.col("o").alias("label"), F.col("at").alias("b"))
         subjects = kinds.filter("o = ':Correction'").select("s", F.col("at").alias("c"))
-        own = kinds.filter("o <> ':Correction'").select("s", F.col("o").alias("type"), F.col("at").alias("a")).join(subjects, "s").join(labels, "s")
+        own = kinds.filter("o <> ':Correction'").select("s", F.col("o").alias("type"), F.col("at").alias("a")).join(large(subjects), "s").join(large(labels), "s")
         own = own.select("s", "type", "label", F.greatest("a", "b", "c").alias("at"))
         both = _typed(self.manual.select("s", "type", "label", F.lit(FIRST).alias("at")), own)
         best = F.max(F.struct("rank", "s", "type", F.col("ner").alias("ner_type")))

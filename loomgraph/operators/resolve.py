@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import base_words, base_words_of, cleaned_name, iri_of
-from loomgraph.operators.stored import stored
+from loomgraph.operators.stored import large, stored
 from loomgraph.operators.substring import containing
 
 
@@ -28,9 +28,9 @@ def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None
     valid = (F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("at") <= F.col("until"))) if timed else F.lit(True)
     m = mentions.select(key).where("mention is not null").distinct()
     labels = labels.select("label", F.col("iri").alias("label_iri"), F.col("seq").cast("long").alias("seq"), *(["since", "until"] if timed else [])).filter("label <> ''")
-    named = m.join(labels, F.col("mention") == F.col("label")).filter(valid)
+    named = m.join(large(labels), F.col("mention") == F.col("label")).filter(valid)
     exact = named.groupBy(key).agg(F.min(F.struct("seq", "label_iri"))["label_iri"].alias("label_iri"))
-    got = m.join(exact, key, "left")
+    got = m.join(large(exact), key, "left")
     if countries is not None:
         named = countries.groupBy(F.col("name").alias("mention")).agg(F.min("iri").alias("country_iri"))
         got = got.join(named, "mention", "left")
@@ -44,7 +44,7 @@ def resolved(mentions: DataFrame, labels: DataFrame, countries: DataFrame | None
     around = containing(rest, "base", labels, "label").withColumn("priority", F.lit(4))
     hit = inside.unionByName(around).filter(valid).groupBy(key).agg(F.min(F.struct("priority", "seq", "label_iri", "label")).alias("b"))
     found = done.unionByName(hit.select(*key, F.col("b.label_iri").alias("iri"), "b.priority", "b.label"))
-    return m.join(found, key, "left").withColumn("priority", F.coalesce("priority", F.lit(5)))
+    return m.join(large(found), key, "left").withColumn("priority", F.coalesce("priority", F.lit(5)))
 
 
 def phrase_or_rest(phrases: DataFrame, known: DataFrame) -> DataFrame:

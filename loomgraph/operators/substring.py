@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.stored import large
+
 #: Characters of the substring that the join compares first.
 GRAM = 5
 
@@ -32,10 +34,10 @@ def containing(parts: DataFrame, part: str, wholes: DataFrame, whole: str, width
     p = p.select("the part", F.explode(mine).alias("gram"))
     short = {r[0] for r in p.filter(F.length("the part") < width).select(F.length("the part")).distinct().collect()}  # under width many
     w = w.select("the whole", F.explode(F.array_distinct(F.flatten(F.array(*[_of_length(F.col("the whole"), k) for k in sorted({width, *short})])))).alias("gram"))
-    w = w.join(p.select("gram").distinct(), "gram", "left_semi")
+    w = w.join(large(p.select("gram").distinct()), "gram", "left_semi")
     common = w.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = p.join(common, "gram", "left").groupBy("the part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("by"))
+    rarest = p.join(large(common), "gram", "left").groupBy("the part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("by"))
     rarest = rarest.filter("by.n > 0").select("the part", "by.gram")
-    pairs = rarest.join(w, "gram").filter(F.contains("the whole", F.col("the part"))).drop("gram")
-    got = parts.join(pairs, F.col(part) == F.col("the part"))
-    return got.join(wholes, F.col(whole) == F.col("the whole")).drop("the part", "the whole")
+    pairs = rarest.join(large(w), "gram").filter(F.contains("the whole", F.col("the part"))).drop("gram")
+    got = parts.join(large(pairs), F.col(part) == F.col("the part"))
+    return got.join(large(wholes), F.col(whole) == F.col("the whole")).drop("the part", "the whole")

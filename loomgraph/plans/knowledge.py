@@ -12,7 +12,7 @@ from loomgraph.operators import narrative as N
 from loomgraph.operators import providers as P
 from loomgraph.operators import resolve as R
 from loomgraph.operators import semantics as S
-from loomgraph.operators.stored import stored
+from loomgraph.operators.stored import large, stored
 from loomgraph.plans.base import query
 from loomgraph.sources import files
 
@@ -265,7 +265,7 @@ def names_known_then(t):
     none = o.sparkSession.createDataFrame([], "s string, type string, label string, p string, o string")
     known = N.Known(none.select("s", "type", "label"), none.select("s", "p", "o"))
     versions = stored(known.versions(o.select("s", F.explode(said).alias("f"), "at").select("s", "f.p", "f.o", "at")))  # several joins read it
-    return o.join(R.resolved(o.select("mention", "at"), versions), ["mention", "at"]).select("o_orderkey", "iri", "priority")
+    return o.join(large(R.resolved(o.select("mention", "at"), versions)), ["mention", "at"]).select("o_orderkey", "iri", "priority")
 
 
 _WORD = "string_split(p_name, ' ')[2]"

@@ -44,6 +44,20 @@ def test_containing_makes_needed_substrings_only(spark):
     assert rows["ab"] > rows["#00000001"]
 
 
+def test_names_are_not_collected_for_joins(spark):
+    """However small a table of names looks, no join of the resolution and of the versions of names broadcasts it."""
+    from loomgraph.operators import narrative as N
+    from loomgraph.operators import resolve as R
+
+    facts = [(s, p, o, at) for s, label, at in ((":A", "Jo", "1"), (":B", "Jo Flo", "3")) for p, o in (("rdf:type", ":Person"), ("rdf:type", ":Correction"), ("rdfs:label", label))]
+    none = spark.createDataFrame([], "s string, type string, label string, p string, o string")
+    versions = N.Known(none.select("s", "type", "label"), none.select("s", "p", "o")).versions(spark.createDataFrame(facts, "s string, p string, o string, at string"))
+    got = R.resolved(spark.createDataFrame([("Jo", "2"), ("Flo", "2"), ("Flo", "4"), ("Jo", "1")], "mention string, at string"), versions)
+    assert {(r["mention"], r["at"], r["iri"], r["priority"]) for r in got.collect()} == {("Jo", "2", ":A", 2), ("Flo", "2", None, 5), ("Flo", "4", ":B", 4), ("Jo", "1", None, 5)}
+    for df in (versions, got):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_betweenness(net):
     near = {}
     for u, v in EDGES:
