@@ -311,6 +311,27 @@ def test_betweenness_by_joins(net):
         assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-12 for n in want)
 
 
+def test_betweenness_by_hubs(spark, net, monkeypatch):
+    """Ways between hubs, by blocks of classes, give what walks by arrays and by joins give: with twins, links between hubs,
+    several components, long ways; and no row of a link or of another node comes to the driver."""
+    rng = np.random.default_rng(5)
+    sided = {(int(a), 1000 + int(b)) for a, b in zip(rng.integers(0, 200, 300), rng.integers(0, 12, 300))} | {(2000, 3000), (2001, 3000)}
+    twins = sided | {(a + 5000, b) for a, b in sided if a < 1000} | {(1001, 1002), (1003, 1009)}
+    for links in (sided, twins, {(k, k + 1) for k in range(1, 30)} | {(3, 40), (3, 41)}):
+        e = spark.createDataFrame(sorted(links), "u long, v long")
+        want = {r["node"]: r["centrality"] for r in W.betweenness(e, hubs=0).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(W, "CLASSES", 40)
+            m.setattr(W, "TILE", (8, 16))
+            m.setattr(W, "_by_arrays", None)
+            got = {r["node"]: r["centrality"] for r in W.betweenness(e).collect()}
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    want = {r["node"]: r["centrality"] for r in W.betweenness(net).collect()}
+    for most in (10, 1):
+        got = {r["node"]: r["centrality"] for r in W.betweenness(net, max_edges=most, block=4, hubs=0).collect()}
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
 def test_betweenness_of_many_sources(spark):
     """Blocks of sources over networks with and without sides, with hubs and several components, against one walk at a time."""
     from collections import deque
