@@ -311,6 +311,22 @@ def test_betweenness_by_joins(net):
         assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-12 for n in want)
 
 
+def test_links_come_as_packed_arrays(spark, monkeypatch):
+    """Walks by arrays: links are sorted and packed by tasks, the driver collects no table of them; sides as by one step."""
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(7)
+    links = np.unique(np.stack((rng.integers(0, 500, 9_000), rng.integers(500, 520, 9_000)), axis=1), axis=0)
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    start, near = W._arrays(spark.createDataFrame(links.tolist(), "u int, v int"), 520, len(links))
+    u, v = np.concatenate((links, links[:, ::-1])).T
+    want = W._csr(u, v, 520)
+    assert (start == want[0]).all() and all(sorted(near[a:b]) == sorted(want[1][a:b]) for a, b in zip(start, start[1:]))
+    side = W._sides(start, near)
+    assert len(set(side[:500])) == len(set(side[500:])) == 1 and side[0] != side[519]
+    assert W.betweenness(spark.createDataFrame(links.tolist(), "u int, v int"), hubs=0).count() == len(np.unique(links))
+
+
 def test_betweenness_by_hubs(spark, net, monkeypatch):
     """Ways between hubs, by blocks of classes, give what walks by arrays and by joins give: with twins, links between hubs,
     several components, long ways; and no row of a link or of another node comes to the driver."""
